@@ -71,7 +71,7 @@ def dataset_summary(
             F.collect_list(F.struct("position", "column", "dtype", "kind", "n_unique", "n_missing", "example"))
         ).alias("columns_info")
     )
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return (
         shape(df)
         .select("n_rows", "n_columns")
