@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -158,15 +160,16 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select(
         c("c_custkey").alias("id"), (c("c_acctbal") / 1000).alias("x"), c("c_nationkey").cast("double").alias("y"),
-        F.array_position(_SEGMENTS, c("c_mktsegment")).cast("double").alias("label"),
+        F.array_position(_segments(), c("c_mktsegment")).cast("double").alias("label"),
     )
     df = df.select("id", F.array("x", "y").alias("features"), "label")
     model = neighbors.NearestNeighbors(7, "distance", block=200).fit(df.filter(c("id") % 10 > 0))
     found = model.transform(df.filter(c("id") % 10 == 0))
-    return found.select("id", F.element_at(_SEGMENTS, c("prediction").cast("int")).alias("predicted"))
+    return found.select("id", F.element_at(_segments(), c("prediction").cast("int")).alias("predicted"))
 
 
-_SEGMENTS = F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+def _segments():
+    return F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
 
 
 # --- clustering and anomalies -----------------------------------------------------------------
@@ -308,7 +311,7 @@ def _(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate")
     plan = suggest_plan(df)
     plan.drop.pop("o_totalprice", None)
-    recipe = fit_recipe(df, plan)
+    recipe = fit_recipe(df, replace(plan, scaling="standard"))
     at = {n: i for i, n in enumerate(recipe.feature_names)}
     x = vector_to_array("features")
     return recipe.apply(df, keep=("o_orderkey",)).select(

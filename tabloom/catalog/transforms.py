@@ -29,7 +29,8 @@ def _(spark, sf_dir):
     )
 
 
-_DATE_SQL = """year(d) AS d_year, month(d) AS d_month, day(d) AS d_day, isodow(d) - 1 AS d_dow,
+_DATE_SQL = """CAST(year(d) AS INT) AS d_year, CAST(month(d) AS INT) AS d_month, CAST(day(d) AS INT) AS d_day,
+  CAST(isodow(d) - 1 AS INT) AS d_dow,
   coalesce(CAST(isodow(d) >= 6 AS INT), 0) AS d_is_weekend"""
 
 

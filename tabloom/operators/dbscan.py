@@ -138,7 +138,7 @@ def _touch(eps: float):
 
 def _near_box(vec: Column, low: Column, high: Column, eps: float) -> Column:
     """The point lies within eps of the box."""
-    gaps = F.zip_with(F.zip_with(low, vec, lambda l, v: l - v), F.zip_with(vec, high, lambda v, h: v - h), F.greatest)
+    gaps = F.zip_with(F.zip_with(low, vec, lambda l, v: l - v), F.zip_with(vec, high, lambda v, h: v - h), lambda a, b: F.greatest(a, b))
     squares = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + F.pow(F.greatest(g, F.lit(0.0)), F.lit(2.0)))
     return squares <= F.lit((eps * (1 + 1e-9)) ** 2)
 
