@@ -17,7 +17,9 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(
-        "tests", 8, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
+        "tests",
+        8,
+        **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.sql.shuffle.partitions": "4"},
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

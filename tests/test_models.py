@@ -123,7 +123,7 @@ def test_local_outlier_factor(spark):
     reach = np.take_along_axis(d, order, 1)[:, -1]
     density = np.array([1 / (np.maximum(reach[o], d[i, o]).mean() + 1e-10) for i, o in enumerate(order)])
     want = np.array([density[o].mean() / density[i] for i, o in enumerate(order)])
-    assert np.argmax(got[:151]) == 150
+    assert got[150] > 2
     # Equal distances among copies may pick other copies, which have the same density.
     assert np.allclose(got, want, rtol=1e-6)
 
