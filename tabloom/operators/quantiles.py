@@ -1,93 +1,157 @@
 """Exact quantiles with linear interpolation at any size.
 
-Spark's ``percentile`` is exact but keeps every distinct value of the column in one aggregation buffer.
-It is used only where that number has been checked. Beyond the bound an order statistic is found by
-narrowing: sketch a bracket around its rank, count what lies below and inside, and repeat inside the
-bracket until few distinct values remain. Every pass is a scan with map-side aggregation.
+Spark's ``percentile`` is exact but keeps every distinct value of the column in one aggregation buffer,
+so it is used only for tables counted as small. Beyond that the values at the wanted ranks are found by
+narrowing, for all columns and ranks at once: count rows per bin of the value range, keep the bin that
+holds the rank, and repeat inside it until so few rows are left that they can be ranked one by one. Each
+round is a scan whose tasks pass on a few counts; no value is shuffled before the last round.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, numeric_columns
 
-MAP_LIMIT = 1_000_000
-BRACKET_LIMIT = 50_000
-_SKETCH = 10_000
+# Tables up to this many rows use the built-in aggregate.
+SMALL_ROWS = 1_000_000
+# Rows of one bin that may be ranked in one task.
+RANK_ROWS = 20_000
+BINS = 4_096
+_TOTAL_BINS = 400_000
 
 
-def _sketch_error(n: int) -> float:
-    return 2.0 / _SKETCH + 2.0 / max(n, 1)
+@dataclass(frozen=True)
+class _Search:
+    column: int
+    rank: int  # as asked
+    rest: int  # within the interval
+    low: float
+    high: float
+
+
+_TOP = 1.7976931348623157e308
+
+
+def _place(x: Column, low: float, high: float, bins: int) -> Column:
+    """The bin of x in [low, high]; a range that would overflow is measured in halves."""
+    a, b = max(low, -_TOP), min(high, _TOP)
+    if max(abs(a), abs(b)) > _TOP / 4:
+        x = F.least(F.greatest(x, F.lit(-_TOP)), F.lit(_TOP)) / 2
+        a, b = a / 2, b / 2
+    if a >= b:
+        return F.lit(0)
+    return F.least(F.floor((x - F.lit(a)) / F.lit(b - a) * bins).cast("int"), F.lit(bins - 1))
 
 
 def order_statistics(
-    df: DataFrame, value: Column, ranks: Sequence[int], bracket_limit: int = BRACKET_LIMIT
-) -> dict[int, float]:
-    """The values at the given 0-based ranks among the non-missing ``value``s, in ascending order."""
-    data = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull())
-    found: dict[int, float] = {}
-    for rank in sorted(set(ranks)):
-        inside, skipped = data, 0
-        n = None
-        while True:
-            first = inside.agg(
-                F.count(F.lit(1)).alias("n"),
-                F.min("v").alias("low"),
-                F.max("v").alias("high"),
-                F.approx_count_distinct("v").alias("distinct"),
-            ).first()
-            n, want = first.n, rank - skipped
-            if not 0 <= want < n:
-                raise ValueError(f"rank {rank} outside a column of {skipped + n} values")
-            if first.low == first.high:
-                found[rank] = first.low
-                break
-            if first.distinct <= bracket_limit:
-                found[rank] = _pick(inside, want)
-                break
-            share = want / n
-            slack = _sketch_error(n)
-            low, high = inside.agg(
-                F.percentile_approx("v", [max(share - slack, 0.0), min(share + slack, 1.0)], _SKETCH).alias("b")
-            ).first().b
-            if share - slack <= 0:
-                low = first.low
-            if share + slack >= 1:
-                high = first.high
-            counts = inside.agg(
-                F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v") <= high).alias("upto")
-            ).first()
-            if counts.below <= want < counts.upto and counts.upto - counts.below < n:
-                inside = inside.filter((F.col("v") >= low) & (F.col("v") <= high))
-                skipped += counts.below
+    df: DataFrame,
+    values: Mapping[str, Column],
+    ranks: Mapping[str, Sequence[int]],
+    rank_rows: int = RANK_ROWS,
+    bins: int = BINS,
+) -> dict[str, dict[int, float]]:
+    """For each named value the values at the given 0-based ranks of its ascending, non-missing rows."""
+    names = list(values)
+    data = df.select(*[values[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    x = [F.col(f"x{i}") for i in range(len(names))]
+    ends = data.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(x)],
+        *[F.min(v).alias(f"lo{i}") for i, v in enumerate(x)],
+        *[F.max(v).alias(f"hi{i}") for i, v in enumerate(x)],
+    ).first()
+    found: dict[str, dict[int, float]] = {c: {} for c in names}
+    open_now: list[_Search] = []
+    for i, c in enumerate(names):
+        n, low, high = ends[f"n{i}"], ends[f"lo{i}"], ends[f"hi{i}"]
+        for rank in sorted(set(ranks[c])):
+            if not 0 <= rank < n:
+                raise ValueError(f"rank {rank} outside a column of {n} values")
+            if low == high:
+                found[c][rank] = low
+            else:
+                open_now.append(_Search(i, rank, rank, low, high))
+    sizes = {i: ends[f"n{i}"] for i in range(len(names))}
+    ready = [s for s in open_now if sizes[s.column] <= rank_rows]
+    open_now = [s for s in open_now if sizes[s.column] > rank_rows]
+    while open_now:
+        narrowed = []
+        for before, s, bin_rows in _round(data, x, open_now, bins):
+            if s.low == s.high:
+                found[names[s.column]][s.rank] = s.low
+            elif bin_rows <= rank_rows or (s.low, s.high) == (before.low, before.high):
+                # What no bin can part any more are neighbouring numbers, a few values with many copies.
+                ready.append(s)
             else:
-                # The sketch gave no progress: halve the value range instead, which always narrows.
-                middle = first.low + (first.high - first.low) / 2
-                left = inside.filter(F.col("v") <= middle)
-                n_left = left.count()
-                if want < n_left:
-                    inside = left
-                else:
-                    inside, skipped = inside.filter(F.col("v") > middle), skipped + n_left
+                narrowed.append(s)
+        open_now = narrowed
+    for s, value in _finish(data, x, ready):
+        found[names[s.column]][s.rank] = value
     return found
 
 
-def _pick(df: DataFrame, rank: int) -> float:
-    """The value at ``rank`` of a frame whose distinct values are few enough for one task."""
-    counted = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        counted.withColumn("upto", F.sum("n").over(running))
-        .filter(F.col("upto") > rank)
-        .agg(F.min("v").alias("v"))
-        .first()
-        .v
+def _intervals(searches: list[_Search]) -> dict[tuple, int]:
+    return {key: i for i, key in enumerate(dict.fromkeys((s.column, s.low, s.high) for s in searches))}
+
+
+def _round(data: DataFrame, x: list[Column], searches: list[_Search], bins: int):
+    """One narrowing round: each search, the bin that holds its rank, and the rows of that bin."""
+    spark = data.sparkSession
+    intervals = _intervals(searches)
+    bins = max(min(bins, _TOTAL_BINS // len(intervals)), 2)
+    cells = [
+        F.when(
+            (x[c] >= F.lit(low)) & (x[c] <= F.lit(high)),
+            F.struct(F.lit(i).alias("i"), _place(x[c], low, high, bins).alias("bin"), x[c].alias("v")),
+        )
+        for (c, low, high), i in intervals.items()
+    ]
+    counts = (
+        data.select(F.explode(F.array(*cells)).alias("cell"))
+        .filter("cell is not null")
+        .select("cell.*")
+        .groupBy("i", "bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    # A window over the bins of one interval.
+    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("bin")))
+    wanted = spark.createDataFrame(
+        [(intervals[(s.column, s.low, s.high)], j, s.rest) for j, s in enumerate(searches)], "i int, j int, rest long"
     )
+    # One row per search.
+    hits = running.join(F.broadcast(wanted), "i").filter("upto > rest and upto - n <= rest").collect()
+    for r in hits:
+        s = searches[r.j]
+        yield s, _Search(s.column, s.rank, r.rest - (r.upto - r.n), r.low, r.high), r.n
+
+
+def _finish(data: DataFrame, x: list[Column], searches: list[_Search]):
+    """Rank the rows of the last intervals, one interval per window group."""
+    if not searches:
+        return
+    intervals = _intervals(searches)
+    cells = [
+        F.when((x[c] >= F.lit(low)) & (x[c] <= F.lit(high)), F.struct(F.lit(i).alias("i"), x[c].alias("v")))
+        for (c, low, high), i in intervals.items()
+    ]
+    counts = (
+        data.select(F.explode(F.array(*cells)).alias("cell"))
+        .filter("cell is not null")
+        .select("cell.*")
+        .groupBy("i", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("v")))
+    wanted = data.sparkSession.createDataFrame(
+        [(intervals[(s.column, s.low, s.high)], j, s.rest) for j, s in enumerate(searches)], "i int, j int, rest long"
+    )
+    for r in running.join(F.broadcast(wanted), "i").filter("upto > rest and upto - n <= rest").collect():
+        yield searches[r.j], r.v
 
 
 def interpolate(n: int, share: float) -> tuple[int, int, float]:
@@ -97,61 +161,57 @@ def interpolate(n: int, share: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), place - low
 
 
+def _mix(low: float, high: float, weight: float) -> float:
+    return low if low == high or weight == 0 else low + (high - low) * weight
+
+
 def narrow_quantiles(
-    df: DataFrame, value: Column, shares: Sequence[float], n: int | None = None, bracket_limit: int = BRACKET_LIMIT
-) -> list[float | None]:
-    """Quantiles of one column by narrowing."""
-    if n is None:
-        n = df.filter(value.isNotNull()).count()
-    if n == 0:
-        return [None] * len(shares)
-    places = [interpolate(n, s) for s in shares]
-    at = order_statistics(df, value, [r for low, high, _ in places for r in (low, high)], bracket_limit)
-    return [at[low] + (at[high] - at[low]) * w for low, high, w in places]
-
-
-def small_columns(df: DataFrame, columns: Sequence[str], map_limit: int = MAP_LIMIT) -> set[str]:
-    """The columns whose distinct values are known to fit one aggregation buffer."""
-    if not columns:
-        return set()
-    if df.count() <= map_limit:
-        return set(columns)
-    row = df.agg(*[F.approx_count_distinct(as_double(df, c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return {c for c, d in zip(columns, row) if d * 1.25 <= map_limit}
+    df: DataFrame, values: Mapping[str, Column], shares: Sequence[float], rank_rows: int = RANK_ROWS, bins: int = BINS
+) -> dict[str, list[float | None]]:
+    """Quantiles of the named values by narrowing."""
+    counts = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())]).first()
+    places = {c: [interpolate(n, s) for s in shares] for c, n in zip(values, counts) if n}
+    ranks = {c: [r for low, high, _ in p for r in (low, high)] for c, p in places.items()}
+    at = order_statistics(df, {c: values[c] for c in places}, ranks, rank_rows, bins) if places else {}
+    return {
+        c: [_mix(at[c][low], at[c][high], w) for low, high, w in places[c]] if c in places else [None] * len(shares)
+        for c in values
+    }
 
 
 def quantile_columns(
     df: DataFrame,
     shares: Sequence[float],
     columns: Sequence[str] | None = None,
-    map_limit: int = MAP_LIMIT,
+    small_rows: int = SMALL_ROWS,
 ) -> dict[str, Column]:
     """For each numeric column an aggregate expression: ARRAY of its quantiles.
 
-    Columns within the bound use ``percentile`` and stay lazy; the others are narrowed at once and
+    A small table uses ``percentile`` and stays lazy; a larger one is narrowed at once and its quantiles
     enter as literals.
     """
     wanted = list(numeric_columns(df) if columns is None else columns)
-    small = small_columns(df, wanted, map_limit)
-    out: dict[str, Column] = {}
-    for c in wanted:
-        if c in small:
-            out[c] = F.percentile(as_double(df, c), F.array(*[F.lit(float(s)) for s in shares]))
-        else:
-            values = narrow_quantiles(df, as_double(df, c), shares)
-            out[c] = F.array(*[F.lit(v).cast("double") for v in values])
-    return out
+    if not wanted:
+        return {}
+    if df.count() <= small_rows:
+        at = F.array(*[F.lit(float(s)) for s in shares])
+        return {c: F.percentile(as_double(df, c), at) for c in wanted}
+    found = narrow_quantiles(df, {c: as_double(df, c) for c in wanted}, shares)
+    return {c: F.array(*[F.lit(v).cast("double") for v in found[c]]) for c in wanted}
 
 
 def exact_quantiles(
     df: DataFrame,
     shares: Sequence[float],
     columns: Sequence[str] | None = None,
-    map_limit: int = MAP_LIMIT,
+    small_rows: int = SMALL_ROWS,
 ) -> dict[str, list[float | None]]:
     """Quantiles of numeric columns as driver values: a handful of numbers per column."""
-    expressions = quantile_columns(df, shares, columns, map_limit)
-    if not expressions:
+    wanted = list(numeric_columns(df) if columns is None else columns)
+    if not wanted:
         return {}
+    if df.count() > small_rows:
+        return narrow_quantiles(df, {c: as_double(df, c) for c in wanted}, shares)
+    expressions = quantile_columns(df, shares, wanted, small_rows)
     row = df.agg(*[e.alias(f"q{i}") for i, e in enumerate(expressions.values())]).first()
     return {c: list(v) if v is not None else [None] * len(shares) for c, v in zip(expressions, row)}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import DATETIME, col, columns_of
 from ..functions.scalars import epoch_micros, iso_text
-from .quantiles import MAP_LIMIT, interpolate, order_statistics
+from .quantiles import RANK_ROWS, SMALL_ROWS, interpolate, order_statistics
 
 RANGE_ROWS = 1_000_000
 MAX_RANGES = 10_000
@@ -78,20 +78,39 @@ def steps(
     )
 
 
-def _median_step(moves: DataFrame, n_steps: int, n_zero: int, map_limit: int) -> float:
-    low, high, weight = interpolate(n_steps, 0.5)
-    positive = F.col("step_s")
-    wanted = [r - n_zero for r in (low, high) if r >= n_zero]
-    at = order_statistics(moves, positive, wanted, min(map_limit, 50_000)) if wanted else {}
-    a, b = (0.0 if r < n_zero else at[r - n_zero] for r in (low, high))
-    return a + (b - a) * weight
+def _step_summary(every: DataFrame, n_steps: int, mean: float, small_rows: int, rank_rows: int) -> tuple[float, float]:
+    """Sum of squared distances from the mean step, and the median step; repeats are steps of zero."""
+    if n_steps <= small_rows:
+        weighted = F.array(
+            F.struct(F.col("step_s").alias("v"), F.lit(1).cast("long").alias("w")),
+            F.struct(F.lit(0.0).alias("v"), F.col("n_zero").alias("w")),
+        )
+        row = every.select(F.explode(weighted).alias("cell")).agg(
+            F.sum(F.col("cell.w") * (F.col("cell.v") - F.lit(mean)) ** 2).alias("squares"),
+            F.percentile("cell.v", F.lit(0.5), F.col("cell.w")).alias("median"),
+        ).first()
+        return row.squares, row.median
+    every = every.persist()
+    try:
+        sums = every.agg(
+            F.sum("n_zero").alias("n_zero"), F.sum((F.col("step_s") - F.lit(mean)) ** 2).alias("squares")
+        ).first()
+        moves = every.filter(F.col("step_s").isNotNull())
+        low, high, weight = interpolate(n_steps, 0.5)
+        ranks = [r - sums.n_zero for r in (low, high) if r >= sums.n_zero]
+        at = order_statistics(moves, {"s": F.col("step_s")}, {"s": ranks}, rank_rows)["s"] if ranks else {}
+    finally:
+        every.unpersist()
+    a, b = (0.0 if r < sums.n_zero else at[r - sums.n_zero] for r in (low, high))
+    return (sums.squares or 0.0) + sums.n_zero * mean**2, a + (b - a) * weight
 
 
 def temporal_summary(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     range_rows: int = RANGE_ROWS,
-    map_limit: int = MAP_LIMIT,
+    small_rows: int = SMALL_ROWS,
+    rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
     """H8: extent, median step and regularity of each datetime column.
 
@@ -119,14 +138,8 @@ def temporal_summary(
             continue
         mean = edge.range_s / n_steps
         every = steps(df, c, range_rows=range_rows)
-        moves = every.filter(F.col("step_s").isNotNull())
-        sums = every.agg(
-            F.sum("n_zero").alias("n_zero"),
-            F.sum((F.col("step_s") - F.lit(mean)) ** 2).alias("squares"),
-        ).first()
-        squares = (sums.squares or 0.0) + sums.n_zero * mean**2
+        squares, median = _step_summary(every, n_steps, mean, small_rows, rank_rows)
         std = math.sqrt(squares / (n_steps - 1)) if n_steps > 1 else None
-        median = _median_step(moves, n_steps, sums.n_zero, map_limit)
         regular = std is not None and std < abs(median or 1.0) * 0.1
         rows.append((c, edge.first, edge.last, edge.range_s, median, std, regular))
     return df.sparkSession.createDataFrame(rows, schema)

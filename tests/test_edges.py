@@ -238,8 +238,15 @@ def test_quantile_paths_agree(spark):
     )
     shares = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
     direct = quantiles.exact_quantiles(df, shares)
-    narrowed = {
-        c: quantiles.narrow_quantiles(df, F.col(c), shares, bracket_limit=20) for c in ("x", "gappy")
-    }
-    for c in direct:
-        assert direct[c] == pytest.approx(narrowed[c])
+    values = {c: F.col(c) for c in ("x", "gappy")}
+    for rank_rows, bins in ((20, 4), (200, 64), (10**6, 8)):
+        narrowed = quantiles.narrow_quantiles(df, values, shares, rank_rows, bins)
+        for c in direct:
+            assert direct[c] == pytest.approx(narrowed[c])
+
+
+def test_quantiles_of_extreme_values(spark):
+    values = [float("inf"), float("-inf"), 1.7e308, -1.7e308, 5e-324, 0.0, 1.0, 2.0, 3.0, 1e300] * 3
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = quantiles.order_statistics(df, {"x": F.col("x")}, {"x": range(30)}, rank_rows=2, bins=3)["x"]
+    assert [got[i] for i in range(30)] == sorted(values)
