@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import as_double, numeric_columns
+from ..session import written
 from .quantiles import exact_quantiles
 
 TREES = 100
@@ -146,11 +147,20 @@ def fit_isolation_forest(
     return IsolationForest(tuple(wanted), tuple(tuple(r) for r in rows), size)
 
 
+def score_cut(df: DataFrame, score: str, contamination: float) -> float | None:
+    """The quantile that parts the strangest rows; the scores are computed once for all its passes."""
+    scores = df.select(score).persist()
+    try:
+        return exact_quantiles(scores, (1.0 - contamination,), [score])[score][0]
+    finally:
+        scores.unpersist()
+
+
 def flag_anomalies(
     df: DataFrame, score: str, contamination: float = 0.05, output: str = "is_anomaly"
 ) -> DataFrame:
     """Rows whose score lies above the (1 - contamination) quantile of all scores."""
-    cut = exact_quantiles(df, (1.0 - contamination,), [score])[score][0]
+    cut = score_cut(df, score, contamination)
     return df.withColumn(output, F.col(score) > F.lit(cut))
 
 
@@ -164,9 +174,6 @@ def anomaly_summary(
     if n < 20 or not wanted:
         return df.sparkSession.createDataFrame([(False, 0, 0.0)], schema)
     forest = fit_isolation_forest(df, wanted, seed=seed)
-    scored = df.select(forest.score(df).alias("score")).persist()
-    try:
-        flagged = flag_anomalies(scored, "score", contamination).filter("is_anomaly").count()
-    finally:
-        scored.unpersist()
+    scored = written(df.select(forest.score(df).alias("score")), "scores")
+    flagged = flag_anomalies(scored, "score", contamination).filter("is_anomaly").count()
     return df.sparkSession.createDataFrame([(True, flagged, round(flagged / n, 4))], schema)

@@ -14,8 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.kinds import as_double, col
 from .blocks import matrix
-from .isolation import SAMPLE, TREES, IsolationForest, fit_isolation_forest
-from .quantiles import exact_quantiles
+from .isolation import SAMPLE, TREES, IsolationForest, fit_isolation_forest, score_cut
 
 
 def _width(df: DataFrame, features: str) -> int:
@@ -45,9 +44,7 @@ class IsolationForestEstimator:
         plain = _spread_out(df.select("features"), "features", width)
         names = [f"v{i}" for i in range(width)]
         forest = fit_isolation_forest(plain, names, self.trees, self.sample, self.seed)
-        cut = exact_quantiles(
-            plain.select(forest.score(plain).alias("score")), (1.0 - self.contamination,), ["score"]
-        )["score"][0]
+        cut = score_cut(plain.select(forest.score(plain).alias("score")), "score", self.contamination)
         return IsolationForestModel(forest, cut)
 
 
@@ -88,7 +85,7 @@ class MahalanobisEstimator:
         usable = values > 1e-12 * max(values.max(), 1e-300)
         whiten = vectors[:, usable] / np.sqrt(values[usable])
         model = MahalanobisModel(mean, whiten, 0.0)
-        cut = exact_quantiles(model.scored(lean), (1.0 - self.nu,), ["score"])["score"][0]
+        cut = score_cut(model.scored(lean), "score", self.nu)
         return MahalanobisModel(mean, whiten, cut)
 
 

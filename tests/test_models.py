@@ -128,12 +128,13 @@ def test_local_outlier_factor(spark):
     assert np.allclose(got, want, rtol=1e-6)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few):
     chain = [(i, i + 1) for i in range(0, 200)]
     star = [(1000, i) for i in range(1001, 1400)]
     edges = spark.createDataFrame([(b, a) if a % 2 else (a, b) for a, b in chain + star], "a long, b long")
     vertices = spark.createDataFrame([(i,) for i in [*range(201), *range(1000, 1400), 5000]], "id long")
-    roots = {r.id: r.root for r in components(vertices, edges).collect()}
+    roots = {r.id: r.root for r in components(vertices, edges, few_edges=few).collect()}
     assert all(roots[i] == 0 for i in range(201))
     assert all(roots[i] == 1000 for i in range(1000, 1400)) and roots[5000] == 5000
 
