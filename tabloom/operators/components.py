@@ -2,53 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
 from .lookup import lookup_join
 
-# Edges counted as few enough for one task.
-FEW_EDGES = 500_000
-
-
-class Forest:
-    """Union of vertices inside one task; passes on one edge per joined vertex."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, v: int) -> int:
-        root = v
-        while self.parent.setdefault(root, root) != root:
-            root = self.parent[root]
-        while self.parent[v] != root:
-            self.parent[v], v = root, self.parent[v]
-        return root
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def edges(self) -> tuple[list[int], list[int]]:
-        moved = [v for v in self.parent if self.find(v) != v]
-        return moved, [self.find(v) for v in moved]
-
-
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """(a, b) with b the smallest vertex that a reaches, for a counted number of edges."""
-
-    def unite(block: pd.DataFrame) -> pd.DataFrame:
-        forest = Forest()
-        for a, b in zip(block["a"].tolist(), block["b"].tolist()):
-            forest.join(a, b)
-        moved, roots = forest.edges()
-        return pd.DataFrame({"a": moved, "b": roots})
-
-    return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(unite, "a bigint, b bigint")
-
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(
@@ -59,31 +18,25 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _star(links: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """Hang the kept neighbours of every node, and the node itself, on its smallest neighbour."""
-    smallest = links.groupBy("u").agg(
-        F.least(F.min("v"), F.min("u")).alias("root"), F.count(F.lit(1)).alias("__n")
+    smallest = written(
+        links.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("root"), F.count(F.lit(1)).alias("__n")), "roots"
     )
     # The centre of a star has very many links, hence the balanced lookup.
     hung = lookup_join(links, smallest, "u").filter(keep).select(F.col("v").alias("a"), F.col("root").alias("b"))
     return hung, smallest
 
 
-def components(
-    vertices: DataFrame, edges: DataFrame, max_rounds: int = 100, few_edges: int = FEW_EDGES
-) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, root): the smallest vertex reachable from each vertex.
 
     ``vertices`` has (id), ``edges`` has (a, b) in any direction. Rounds grow with the logarithm of the
-    longest chain; each one is written to the shared folder, so its history stays short. Edges counted as
-    few are united in one task.
+    longest chain; each one is written to the shared folder, so its history stays short.
     """
     current = written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        if mark is None and current.count() <= few_edges:
-            current = _in_one_task(current)
-            break
         large, _ = _star(_both_ways(current), F.col("v") > F.col("u"))
-        large = large.filter("a <> b").distinct()
+        large = written(large.filter("a <> b").distinct(), "edges")
         down = large.select(
             F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
         )

@@ -17,12 +17,36 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .blocks import Cells, block_join, chunks, distances, distinct_vectors, matrix, vector_array
-from .components import Forest, components
+from .components import components
 from .encoders import ranked
 from .lookup import lookup_join
 from .metrics import NOISE
 
 
+class Forest:
+    """Union of vertices inside one task; passes on one edge per joined vertex."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, v: int) -> int:
+        root = v
+        while self.parent.setdefault(root, root) != root:
+            root = self.parent[root]
+        while self.parent[v] != root:
+            self.parent[v], v = root, self.parent[v]
+        return root
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def edges(self) -> tuple[list[int], list[int]]:
+        moved = [v for v in self.parent if self.find(v) != v]
+        return moved, [self.find(v) for v in moved]
+
+
 def _count_near(eps: float):
     def work(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(queries["vec"]), matrix(points["vec"])
