@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .common import crc_mod
+from .langid import fit, identify
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .registry import ORACLES, QUERIES, query, read
 from .url_rules import judge_urls
@@ -19,6 +22,14 @@ URL_RULES = [
 ]
 
 
+@query("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = fit(docs, ~held_out)
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_mix_sources", r"""
 WITH d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS key,
@@ -47,6 +58,26 @@ def op5_mix_sources(spark, sf_dir):
     return mix_sources(read(spark, sf_dir, "documents"))
 
 
+@query("op6_near_duplicates", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+  FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM g),
+s AS (SELECT doc_id, unnest(g) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON a = doc_id""")
+def op6_near_duplicates(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op8_url_rules", """
 WITH p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
