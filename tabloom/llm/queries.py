@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .fingerprints import fingerprint_edits
 from .langid import fit, identify
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -78,6 +79,11 @@ def op6_near_duplicates(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op7_fingerprints")
+def op7_fingerprints(spark, sf_dir):
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 @query("op8_url_rules", """
 WITH p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
