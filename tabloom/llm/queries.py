@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .decontaminate import find_leaks, split_items
 from .fingerprints import fingerprint_edits
 from .langid import fit, identify
 from .minhash import near_duplicates
@@ -100,3 +101,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 def op8_url_rules(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(read(spark, sf_dir, "pages"), rules)
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark, sf_dir):
+    return find_leaks(read(spark, sf_dir, "documents"), split_items(read(spark, sf_dir, "benchmark")))
