@@ -10,6 +10,7 @@ from .fingerprints import fingerprint_edits
 from .langid import fit, identify
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .passages import repeated_passages
 from .registry import ORACLES, QUERIES, query, read
 from .url_rules import judge_urls
 
@@ -106,3 +107,8 @@ def op8_url_rules(spark, sf_dir):
 @query("op9_decontaminate")
 def op9_decontaminate(spark, sf_dir):
     return find_leaks(read(spark, sf_dir, "documents"), split_items(read(spark, sf_dir, "benchmark")))
+
+
+@query("op10_repeated_passages")
+def op10_repeated_passages(spark, sf_dir):
+    return repeated_passages(read(spark, sf_dir, "documents"))
