@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import crc_mod
 from .decontaminate import find_leaks, split_items
 from .fingerprints import fingerprint_edits
@@ -13,6 +14,7 @@ from .mixing import mix_sources
 from .passages import repeated_passages
 from .registry import ORACLES, QUERIES, query, read
 from .url_rules import judge_urls
+from .warc import round_trip
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -33,6 +35,19 @@ def op2_language_id(spark, sf_dir):
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_warc", """
+WITH h AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM h GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h JOIN f USING (h)""")
+def op3_warc(spark, sf_dir):
+    return round_trip(read(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
+
+
 @query("op5_mix_sources", r"""
 WITH d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS key,
