@@ -12,6 +12,7 @@ from .langid import fit, identify
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .passages import repeated_passages
+from .pitman_yor import score_texts
 from .registry import ORACLES, QUERIES, query, read
 from .url_rules import judge_urls
 from .warc import round_trip
@@ -48,6 +49,13 @@ def op3_warc(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
 
 
+@query("op4_pitman_yor")
+def op4_pitman_yor(spark, sf_dir):
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = score_texts(read(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 @query("op5_mix_sources", r"""
 WITH d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS key,
