@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .chat import conversations, format_preferences, last_answer_swapped
 from .common import crc_mod
 from .decontaminate import find_leaks, split_items
 from .fingerprints import fingerprint_edits
@@ -28,6 +29,41 @@ URL_RULES = [
 ]
 
 
+@query("op1_preferences", """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, i, text, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM t WHERE role = 'assistant'),
+c AS (
+  SELECT t.conv_id, count(*) AS n, max(l.i) AS last, max(l.text) AS told, coalesce(max(p.text), '') AS swapped
+  FROM t LEFT JOIN a l ON l.conv_id = t.conv_id AND l.back = 1 LEFT JOIN a p ON p.conv_id = t.conv_id AND p.back = 2
+  GROUP BY t.conv_id),
+k AS (SELECT *, CASE WHEN last IS NULL THEN n - 1 WHEN told = swapped THEN n ELSE last - 1 END AS k FROM c),
+b AS (
+  SELECT t.conv_id, i, role, 'c' AS side, text, k FROM t JOIN k USING (conv_id)
+  UNION ALL
+  SELECT t.conv_id, i, role, 'r', CASE WHEN i = last THEN swapped ELSE text END, k FROM t JOIN k USING (conv_id)
+  WHERE last IS NOT NULL OR i < n),
+r AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM b),
+o AS (
+  SELECT *, coalesce(sum(length(shown)) FILTER (WHERE i > k) OVER (PARTITION BY conv_id, side ORDER BY i
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 13 + length(role) AS start FROM r)
+SELECT conv_id, k::INT AS n_prompt_turns,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE side = 'c' AND i <= k), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE side = 'c' AND i > k), '') AS chosen,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE side = 'r' AND i > k), '') AS rejected,
+       coalesce(string_agg(start::BIGINT || '-' || (start + length(text) + 10)::BIGINT, ',' ORDER BY i)
+                FILTER (WHERE side = 'c' AND i > k AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(start::BIGINT || '-' || (start + length(text) + 10)::BIGINT, ',' ORDER BY i)
+                FILTER (WHERE side = 'r' AND i > k AND role = 'assistant'), '') AS rejected_spans
+FROM o GROUP BY conv_id, k""")
+def op1_preferences(spark, sf_dir):
+    told = conversations(read(spark, sf_dir, "conversations"))
+    pairs = told.select("id", F.col("turns").alias("chosen"), last_answer_swapped(F.col("turns")).alias("rejected"))
+    return format_preferences(pairs).withColumnRenamed("id", "conv_id")
+
+
 @query("op2_language_id")
 def op2_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
