@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,18 +30,33 @@ def local_session(app: str = "tabloom", cores: str | int = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per context, for clusters that do not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_tabloom_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        # The driver hands the file out while the context lives.
+        folder = tempfile.mkdtemp(prefix="tabloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shutil.copytree(package, os.path.join(folder, "all", "tabloom"), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "tabloom"), "zip", os.path.join(folder, "all")))
+        context._tabloom_shipped = True
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent only a local session gets a temporary folder: on a cluster a
+    Where the setting is absent only a session in one process gets a temporary folder, once: on a cluster a
     machine-local folder would be lost with its machine.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tabloom-")
+        spark.conf.set("spark.checkpoint.dir", named)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
