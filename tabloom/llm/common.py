@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # A word: bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,3 +31,12 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "lef
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def first_of_each(df: DataFrame, key: str) -> DataFrame:
+    """One row for each value of ``key``; rows with a null key all stay. Only rows with a repeated key are moved."""
+    repeated = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
+    if repeated.isEmpty():
+        return df
+    ids = written(repeated, "repeated")
+    return with_ids(df, ids, key, "left_anti").unionByName(with_ids(df, ids, key).dropDuplicates([key]))

@@ -209,6 +209,14 @@ def split_items(items: DataFrame, id_column: str = "item_id", text_column: str =
     )
 
 
+def _shards(items: DataFrame, threshold: float) -> Iterator[BlockMaxIndex]:
+    """Indexes of the items, each of at most about ``SHARD_BYTES`` of text."""
+    size = items.agg(F.sum(F.octet_length(F.coalesce("question", F.lit(""))) + F.octet_length(F.coalesce("answer", F.lit(""))))).first()[0]
+    n = max(1, -(-(size or 0) // SHARD_BYTES))
+    for shard in range(n):
+        yield _index(items.filter(F.pmod(F.xxhash64("id", "question", "answer"), F.lit(n)) == shard).collect(), threshold)
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -222,22 +230,16 @@ def find_leaks(
     with its own pass over the documents.
     """
     lean = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    id_type = lean.schema["id"].dataType.simpleString()
-    item_type = items.schema["id"].dataType.simpleString()
+    id_type, item_type = lean.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double"
-    size = items.agg(F.sum(F.octet_length(F.coalesce("question", F.lit(""))) + F.octet_length(F.coalesce("answer", F.lit(""))))).first()[0]
-    shards = max(1, -(-(size or 0) // SHARD_BYTES))
-    context = docs.sparkSession.sparkContext
-    arrow_item = pa.int64() if item_type in ("bigint", "int") else pa.string()
+    arrow_item = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
     found = None
-    for shard in range(shards):
-        mine = items.filter(F.pmod(F.xxhash64("id", "question", "answer"), F.lit(shards)) == shard)
-        index = context.broadcast(_index(mine.collect(), threshold))
+    for index in _shards(items, threshold):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", _BYTES):
-                    rows = leaks_in(index.value, *plain_words(part.column("text")))
+                    rows = leaks_in(index, *plain_words(part.column("text")))
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("id").take(pa.array([r[0] for r in rows], pa.int64())),
@@ -250,3 +252,19 @@ def find_leaks(
         part = lean.mapInArrow(search, schema)
         found = part if found is None else found.unionAll(part)
     return found.withColumnRenamed("id", id_column)
+
+
+def with_leaks(docs: DataFrame, items: DataFrame, column: str = "n_leaks", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Add the number of items that each document leaks, as in :func:`find_leaks`; rows keep their other columns."""
+    marked = docs.withColumn(column, F.lit(0).cast("bigint"))
+    for index in _shards(items, threshold):
+
+        def count(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, text_column, _BYTES):
+                    rows = [r[0] for r in leaks_in(index, *plain_words(part.column(text_column)))]
+                    n = np.bincount(np.array(rows, np.int64), minlength=part.num_rows) + part.column(column).to_numpy()
+                    yield part.set_column(part.schema.get_field_index(column), column, pa.array(n.astype(np.int64)))
+
+        marked = marked.mapInArrow(count, marked.schema)
+    return marked

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .words import buffers, mix, slices
 
@@ -139,23 +140,26 @@ def fit(docs: DataFrame, trains: Column, per_lang: int = FIT_PER_LANG, alpha: fl
     return Model(tuple(langs), np.log(table / table.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum()))
 
 
-def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, lang_pred, score): the most probable language of each whole text and its posterior probability.
+def with_language(
+    docs: DataFrame, model: Model, text_column: str = "text", lang_column: str = "lang_pred", score_column: str = "score"
+) -> DataFrame:
+    """Add the most probable language of each whole text and its posterior probability.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Rows are judged one by
-    one, so nulls and repeats of ids do no harm; other columns are not read; an empty table gives an empty result.
+    one and keep their other columns, but for any named like the new ones; an empty table gives an empty result.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop(lang_column, score_column)
+    schema = StructType([*kept.schema.fields, StructField(lang_column, StringType()), StructField(score_column, DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", _BYTES):
-                langs, share = known.value.score(part.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(langs, pa.string()), pa.array(share, pa.float64())],
-                    names=["id", "lang_pred", "score"],
-                )
-
-    lean = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    id_type = lean.schema["id"].dataType.simpleString()
-    return lean.mapInArrow(score, f"id {id_type}, lang_pred string, score double").withColumnRenamed("id", id_column)
+            for part in slices(batch, text_column, _BYTES):
+                langs, share = model.score(part.column(text_column))
+                yield part.append_column(lang_column, pa.array(langs, pa.string())).append_column(score_column, pa.array(share, pa.float64()))
+
+    return kept.mapInArrow(score, schema)
+
+
+def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of each row as in :func:`with_language`; only the id and the text are read."""
+    return with_language(docs.select(id_column, text_column), model, text_column).drop(text_column)

@@ -103,7 +103,12 @@ def _cuts(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return cuts
 
 
-def mix_sources(
+def _place(key: Column, seed: int) -> Column:
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(text), 1, _BITS // 4), 16, 10).cast("long")
+
+
+def mix_plan(
     docs: DataFrame,
     pattern: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
@@ -112,23 +117,14 @@ def mix_sources(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
-) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) for each document.
-
-    Size counts words. Sources in code point order, null last, weigh ``pattern`` in turn and share ``share`` times
-    all words by :func:`water_fill`. A source whose target is e epochs takes each document floor(e) times, and once
-    more the documents that come first in an order seeded by the id until their words come nearest the rest:
-    the source misses its target by at most half a document. Documents with equal ids in a source are taken alike.
-    Null texts have size 0; a null id is an id of its own; empty tables give empty results. No document is taken
-    more than ceil(``max_epochs``) times.
-    """
-    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")))), 1, _BITS // 4), 16, 10)
+) -> tuple[DataFrame, DataFrame]:
+    """The documents as (id, key, size, place), and for each source (key, source_size, target, whole, cut, __n)."""
     sized = written(
         docs.select(
             F.col(id_column).alias("id"),
             source_key(F.col(source_column)).alias("key"),
             word_count(F.col(text_column)).alias("size"),
-            place.cast("long").alias("place"),
+            _place(F.col(id_column), seed).alias("place"),
         ), "sized",
     )
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__n"))
@@ -140,16 +136,45 @@ def mix_sources(
         .withColumn("whole", F.coalesce(epochs, F.lit(0)))
         .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "targets",
     )
-    cuts = _cuts(sized, targets)
-    table = targets.join(cuts, "key", "left").select(
+    table = targets.join(_cuts(sized, targets), "key", "left").select(
         "key", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"), "__n"
     )
-    copies = F.col("whole") + F.when(F.col("place") <= F.col("cut"), 1).otherwise(0)
+    return sized, written(table, "mix")
+
+
+def _copies() -> Column:
+    return (F.col("whole") + F.when(F.col("place") <= F.col("cut"), 1).otherwise(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """(id, size, source_size, target, copies, taken) for each document; options as in :func:`mix_plan`.
+
+    Size counts words. Sources in code point order, null last, weigh ``pattern`` in turn and share ``share`` times
+    all words by :func:`water_fill`. A source whose target is e epochs takes each document floor(e) times, and once
+    more the documents that come first in an order seeded by the id until their words come nearest the rest:
+    the source misses its target by at most half a document. Documents with equal ids in a source are taken alike.
+    Null texts have size 0; a null id is an id of its own; empty tables give empty results. No document is taken
+    more than ceil(``max_epochs``) times.
+    """
+    sized, table = mix_plan(docs, id_column=id_column, **options)
     return (
-        lookup_join(sized, written(table, "mix"), "key")
-        .withColumn("copies", copies.cast("long"))
+        lookup_join(sized, table, "key")
+        .withColumn("copies", _copies())
         .select(
             F.col("id").alias(id_column), "size", "source_size", "target", "copies",
             (F.col("copies") * F.col("size")).alias("taken"),
         )
     )
+
+
+def with_copies(
+    docs: DataFrame, column: str = "copies", id_column: str = "doc_id", source_column: str = "source", seed: int = 17, **options
+) -> DataFrame:
+    """Add how often the mix takes each document; rows keep their columns and stay in their tasks unless sources are
+    very many."""
+    _, table = mix_plan(docs, id_column=id_column, source_column=source_column, seed=seed, **options)
+    names = {c: f"__mix_{c}" for c in ("key", "whole", "cut")}
+    lean = table.select(*[F.col(c).alias(n) for c, n in names.items()], "__n")
+    keyed = docs.withColumn("__mix_key", source_key(F.col(source_column)))
+    taken = F.when(_place(F.col(id_column), seed) <= F.col("__mix_cut"), 1).otherwise(0)
+    return lookup_join(keyed, lean, "__mix_key").withColumn(column, (F.col("__mix_whole") + taken).cast("long")).drop(*names.values())

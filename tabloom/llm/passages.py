@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import with_ids
+from .common import BROADCAST_IDS, with_ids
 from .words import buffers, mix, shingles, slices, word_hashes
 
 WIDTH = 5
@@ -219,3 +219,41 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     )
     found = both.mapInArrow(_verify, "id bigint, source_id bigint, first_word int, n_words int, overlap double")
     return found.withColumnRenamed("id", id_column)
+
+
+def _cut(text_column: str, spans_column: str):
+    """Take the passages out of the texts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_column)
+            for part in slices(batch, text_column, _BYTES):
+                data, offsets = buffers(part.column(at))
+                _, starts, ends, bounds = word_hashes(data, offsets)
+                spans = part.column(spans_column).to_pylist()
+                texts = []
+                for i, mine in enumerate(spans):
+                    done, left = int(offsets[i]), []
+                    for first, n in sorted((s["first_word"], s["n_words"]) for s in mine):
+                        begin, stop = int(starts[bounds[i] + first]), int(ends[bounds[i] + first + n - 1])
+                        left.append(bytes(data[done : max(begin, done)]))
+                        done = max(done, stop)
+                    left.append(bytes(data[done : offsets[i + 1]]))
+                    texts.append(b"".join(left).decode())
+                out = part.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                yield out.drop_columns([spans_column])
+
+    return cut
+
+
+def without_passages(docs: DataFrame, passages: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without the ``passages`` found in them; other rows and columns stay as they are.
+
+    Documents without passages are not moved. The passages of a document are bounded by its length.
+    """
+    grouped = written(
+        passages.groupBy(F.col(id_column).alias("__id")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans")), "spans"
+    )
+    ids = grouped.select(F.col("__id").alias(id_column))
+    touched = docs.join(F.broadcast(grouped) if ids.count() <= BROADCAST_IDS else grouped, F.col(id_column) == F.col("__id")).drop("__id")
+    return with_ids(docs, ids, id_column, "left_anti").unionByName(touched.mapInArrow(_cut(text_column, "__spans"), docs.schema))
