@@ -2,8 +2,8 @@
 candidate edges, and links confirmed on full shingle sets.
 
 Documents with equal sets collapse into one representative first. In a bucket every member is compared with one hub
-only; members that a hub leaves undecided meet a new hub in the next round, so that pairs stay linear in the rows
-of the buckets and no link between two members of a bucket is lost.
+first; only members that this leaves undecided are compared with more, so that pairs stay near the rows of the buckets
+and no link between two members of a bucket that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -131,13 +131,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _hubs(rows: DataFrame) -> DataFrame:
+def _first_hubs(rows: DataFrame) -> DataFrame:
     """(key, hub) of the buckets with two members or more. Which member is the hub varies with the bucket."""
     order = F.col("id").bitwiseXOR(F.col("key"))
     ends = rows.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"))
     return ends.filter("low <> high").select("key", F.col("low").bitwiseXOR(F.col("key")).alias("hub"))
 
 
+def _more_hubs(rows: DataFrame, n: int) -> DataFrame:
+    """(key, hub, hub_root) of the first ``n`` members of each bucket; tasks pass on no more than ``n`` of a bucket."""
+    order = Window.partitionBy("key").orderBy(F.col("id").bitwiseXOR(F.col("key")))
+    return (
+        rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
+        .select("key", F.col("id").alias("hub"), F.col("root").alias("hub_root"), "nth")
+    )
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Add the sizes of intersection and union to (a, b)."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
@@ -150,34 +159,54 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of representatives in a common bucket whose likeness is at least ``percent`` %."""
+    """(a, b) that connect all representatives with a likeness of at least ``percent`` % in a common bucket.
+
+    The first round compares the members of a bucket with one hub. Its distances, a metric, and the components of
+    the links found so far decide most other pairs; what is left of a bucket meets twice as many hubs in each
+    further round, until all that is left of it is in one component.
+    """
     apart = 1 - percent / 100
     rows = reps.select("id", F.explode("bands").alias("key"))
-    sets, links = None, []
+    met = written(rows.join(_first_hubs(rows), "key"), "buckets")
+    ids = written(met.select("id").distinct(), "ids")
+    sets = written(with_ids(docs, ids, "id").mapInArrow(_sets, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
+
+    def seen(pairs: DataFrame) -> DataFrame:
+        return written(_compared(pairs, sets).withColumn("linked", F.col("both") * 100 >= F.col("either") * percent), "pairs")
+
+    known = seen(met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    links = known.filter("linked").select("a", "b")
+    # A member that the hub links can only be linked to one that it rejects if their distances to the hub differ by
+    # no more than a link allows.
+    far = met.filter("id <> hub").join(
+        known.select(F.col("a").alias("hub"), F.col("b").alias("id"), "linked", (1 - F.col("both") / F.col("either")).alias("d")),
+        ["hub", "id"],
+    )
+    nearest = far.filter("not linked").groupBy("key").agg(F.min("d").alias("nearest"))
+    rows = far.join(nearest, "key").filter(~F.col("linked") | (F.col("d") + apart + 1e-9 >= F.col("nearest"))).select("key", "id")
+    hubs = 1
     while True:
-        met = written(rows.join(_hubs(rows), "key"), "buckets")
-        if met.isEmpty():
-            break
-        if sets is None:
-            ids = written(met.select("id").distinct(), "ids")
-            sets = written(with_ids(docs, ids, "id").mapInArrow(_sets, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
-        pairs = met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        seen = written(_compared(pairs, sets).withColumn("linked", F.col("both") * 100 >= F.col("either") * percent), "pairs")
-        links.append(seen.filter("linked").select("a", "b"))
-        # The distance 1 - likeness is a metric: a member that the hub links can only be linked to one that it
-        # rejects if their distances to the hub differ by no more than a link allows.
-        far = met.filter("id <> hub").join(
-            seen.select(F.col("a").alias("hub"), F.col("b").alias("id"), "linked", (1 - F.col("both") / F.col("either")).alias("d")),
-            ["hub", "id"],
-        )
-        nearest = far.filter("not linked").groupBy("key").agg(F.min("d").alias("nearest"))
-        rows = written(
-            far.join(nearest, "key").filter(~F.col("linked") | (F.col("d") + apart + 1e-9 >= F.col("nearest"))).select("key", "id"), "rows"
-        )
-    found = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    for part in links:
-        found = found.unionAll(part)
-    return found.distinct()
+        rows = written(_undecided(rows.select("key", "id"), links), "rows")
+        if rows.isEmpty():
+            return links
+        hubs *= 2
+        chosen = _more_hubs(rows, hubs)
+        asked = rows.join(chosen, "key").filter("id <> hub and root <> hub_root")
+        pairs = asked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        found = seen(pairs)
+        links = links.unionAll(found.filter("linked").select("a", "b"))
+        rows = rows.join(chosen.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+
+
+def _undecided(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, root) of the buckets whose members are not all in one component of the links."""
+    rows = written(rows, "rows")
+    if rows.isEmpty():
+        return rows.withColumn("root", F.col("id"))
+    roots = components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
+    rooted = written(rows.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
+    ends = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return rooted.join(ends.select("key"), "key")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -198,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     grouped = signed.filter("set_key is not null")
     classes = written(grouped.groupBy("set_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("__n")), "classes")
     reps = written(grouped.join(classes.select("set_key", "id"), ["set_key", "id"]).select("id", "bands"), "reps")
-    edges = written(_links(reps, lean, percent), "links")
+    edges = written(_links(reps, lean, percent).distinct(), "links")
     vertices = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     roots = components(vertices, edges)
     table = classes.join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("component_id"), "__n")
