@@ -356,7 +356,7 @@ def test_next_token_probabilities_sum_to_one(make_docs, monkeypatch):
         pitman_yor.score_texts(docs, F.lit(True), head=head)
         model = models[-1]
         n = len(model.head)
-        assert n == min(head, 12) and model.types == 12 and model.tokens == 27
+        assert n == min(head, 12) and model.types == 12 and model.tokens == 28
         for context in range(n + 2):
             p = model.backoff[context] * model.parent
             mine = model.cells // (n + 2) == context
