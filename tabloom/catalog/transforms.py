@@ -326,26 +326,52 @@ def _(spark, sf_dir):
 # --- splits -----------------------------------------------------------------------------------
 
 # A position both engines can compute; its ties fall on the same side.
-_PLACE_SQL = "((o_orderkey * 7919) % 10007) / 10007.0"
+# Distinct for all order keys, so that positions have no ties.
+_PLACE_SQL = "((o_orderkey * 7919 % 10000019) / 10000019.0)"
 
 
 def _place():
-    return (c("o_orderkey") * 7919 % 10007) / F.lit(10007.0)
+    return (c("o_orderkey") * 7919 % 10000019) / F.lit(10000019.0)
 
 
 @query(
     "holdout_split",
-    f"""WITH p AS (SELECT o_orderkey, o_orderstatus, {_PLACE_SQL} AS u FROM orders),
-    r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY u) - 1 AS i,
-      count(*) OVER (PARTITION BY o_orderstatus) AS n FROM p),
-    cut AS (SELECT o_orderstatus, u AS cut FROM r WHERE i = floor(0.2 * n))
-    SELECT o_orderkey, o_orderstatus, u < cut AS is_valid FROM p JOIN cut USING (o_orderstatus)""",
+    f"""WITH r AS (SELECT o_orderkey, o_orderstatus,
+      row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_PLACE_SQL}) - 1 AS i,
+      count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+    SELECT o_orderkey, o_orderstatus, i < floor(0.2 * n) AS is_valid FROM r""",
 )
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return split.holdout(df, 0.2, "o_orderstatus", position=_place())
 
 
+_TIED_SQL = """WITH r AS (SELECT o_orderstatus, o_orderkey % 3 AS u,
+      row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey % 3) - 1 AS i,
+      count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)"""
+
+
+@query(
+    "holdout_of_equal_places",
+    f"""{_TIED_SQL} SELECT o_orderstatus, u, count(*) AS n, count(*) FILTER (WHERE i < floor(0.2 * n)) AS n_valid
+    FROM r GROUP BY o_orderstatus, u""",
+)
+def _(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderstatus", (c("o_orderkey") % 3).alias("u"))
+    marked = split.holdout(df, 0.2, "o_orderstatus", position=c("u") / 3)
+    return marked.groupBy("o_orderstatus", "u").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("n_valid"))
+
+
+@query(
+    "holdout_without_key",
+    """SELECT o_orderpriority, count(*) AS n, CAST(floor(0.2 * count(*)) AS BIGINT) AS n_valid FROM orders
+    GROUP BY o_orderpriority""",
+)
+def _(spark, sf_dir):
+    marked = split.holdout(table(spark, sf_dir, "orders").select("o_orderpriority"), 0.2, "o_orderpriority")
+    return marked.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("n_valid"))
+
+
 @query(
     "holdout_by_key",
     """SELECT o_orderstatus, count(*) AS n, CAST(floor(0.2 * count(*)) AS BIGINT) AS n_valid FROM orders
@@ -358,21 +384,31 @@ def _(spark, sf_dir):
     )
 
 
+_FOLD_SQL = "CAST((i >= floor(0.2 * n)) AS INT) + CAST((i >= floor(0.4 * n)) AS INT) + CAST((i >= floor(0.6 * n)) AS INT) + CAST((i >= floor(0.8 * n)) AS INT)"
+
+
 @query(
     "cross_folds",
-    f"""WITH p AS (SELECT o_orderkey, o_orderstatus, {_PLACE_SQL} AS u FROM orders),
-    r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY u) - 1 AS i,
-      count(*) OVER (PARTITION BY o_orderstatus) AS n FROM p),
-    cuts AS (SELECT o_orderstatus, u AS cut FROM r
-      WHERE i IN (floor(0.2 * n), floor(0.4 * n), floor(0.6 * n), floor(0.8 * n)))
-    SELECT o_orderkey, CAST((SELECT count(*) FROM cuts WHERE cuts.o_orderstatus = p.o_orderstatus AND p.u >= cut)
-    AS INT) AS fold FROM p""",
+    f"""WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_PLACE_SQL}) - 1 AS i,
+      count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+    SELECT o_orderkey, {_FOLD_SQL} AS fold FROM r""",
 )
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return split.folds(df, 5, "o_orderstatus", position=_place()).drop("o_orderstatus")
 
 
+@query(
+    "folds_without_key",
+    f"""WITH r AS (SELECT o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority) - 1 AS i,
+      count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+    SELECT o_orderpriority, {_FOLD_SQL} AS fold, count(*) AS rows FROM r GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    marked = split.folds(table(spark, sf_dir, "orders").select("o_orderpriority"), 5, "o_orderpriority")
+    return marked.groupBy("o_orderpriority", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- metrics ----------------------------------------------------------------------------------
 
 # A rule that predicts one column from another stands in for a model.

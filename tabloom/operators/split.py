@@ -1,14 +1,13 @@
 """Exact stratified splits without sorting or moving rows (V1, V2).
 
-Each row carries a number in [0, 1) that only depends on its key. The cut between train and hold-out,
-or between folds, is an order statistic of that number within a class. It is found by counting rows per
-class and slice and looking closer at the one slice that holds the cut, so hot classes cost no more than
-small ones; the split itself is a comparison with a handful of cuts.
+Each row has a place in [0, 1). The cut between train and hold-out, or between folds, is an order statistic of the
+places within a class. It is found by counting rows per class and bin of places, and looking closer at the bins that
+hold a cut, so hot classes cost no more than small ones. Rows with the place of a cut are parted by a number that each
+row gets when it is written. The split itself compares a row with the cuts of its class.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,90 +15,90 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import col
 from ..session import written
+from .lookup import lookup_join
 
-SLICES = 1_024
-SLICE_ROWS = 200_000
-MAX_STRATA = 1_000
-_TWO_53 = 1 << 53
+# Places are whole numbers of 48 bits, narrowed by 12, 12 and 24 of them.
+_BITS = 48
+_LEVELS = (12, 12, 24)
+_END = 1 << _BITS
+# Cuts are broadcast up to this many (four numbers each); beyond it they are joined by a shuffle.
+BROADCAST_CUTS = 200_000
 
 
 def position_of(df: DataFrame, key: Sequence[str] | None = None, seed: int = 42) -> Column:
     """A number in [0, 1) per row, from the hash of its key.
 
-    Without a key the whole row is hashed together with the task that reads it, so that copies of one
-    row do not all land on the same side. Such a number belongs to one evaluation: keep it with the rows.
+    Without a key it comes from the row's place in the table, so it belongs to one evaluation: write it with the rows.
     """
-    parts = [col(c) for c in key] if key else [*[_hashable(df, c) for c in df.columns], F.spark_partition_id()]
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(_TWO_53)) / F.lit(float(_TWO_53))
-
-
-def _hashable(df: DataFrame, name: str) -> Column:
-    c = col(name)
-    return F.to_json(F.struct(c)) if df.schema[name].dataType.typeName() == "map" else c
-
-
-def cut_points(
-    df: DataFrame, position: Column, fractions: Sequence[float], stratum: Column | None = None,
-    slice_rows: int = SLICE_ROWS, slices: int = SLICES,
-) -> dict[str | None, list[float]]:
-    """For each class the positions at rank floor(fraction * rows); rows below a cut come before it."""
-    data = df.select(
-        (F.lit(None) if stratum is None else stratum).cast("string").alias("s"), position.alias("p")
-    )
-    sizes = {r.s: r.n for r in data.groupBy("s").agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()}
-    if len(sizes) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} classes: split without a stratum")
-    # Each open search: class, cut number, rank still to find, and the interval it lies in.
-    open_cuts = [
-        (s, j, math.floor(f * n), 0.0, 1.0) for s, n in sizes.items() for j, f in enumerate(fractions)
-    ]
-    found: dict[tuple, float] = {(s, j): math.inf for s, j, rank, _, _ in open_cuts if rank >= sizes[s]}
-    open_cuts = [c for c in open_cuts if (c[0], c[1]) not in found]
-    while open_cuts:
-        frame = df.sparkSession.createDataFrame(open_cuts, "os string, j int, rank long, low double, high double")
-        # At most MAX_STRATA rows per cut.
-        joined = data.join(
-            F.broadcast(frame),
-            F.col("s").eqNullSafe(F.col("os")) & (F.col("p") >= F.col("low")) & (F.col("p") < F.col("high")),
-        )
-        width = F.col("high") - F.col("low")
-        place = F.least(F.floor((F.col("p") - F.col("low")) / width * slices), F.lit(slices - 1))
-        counts = (
-            joined.withColumn("slice", place)
-            .groupBy("s", "j", "rank", "low", "high", "slice")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first"), F.max("p").alias("last"))
-        )
-        # A window over at most ``slices`` rows per search.
-        running = Window.partitionBy("s", "j").orderBy("slice")
-        hit = (
-            counts.withColumn("upto", F.sum("n").over(running))
-            .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-            .collect()
+    parts = [col(c) for c in key] if key else [F.monotonically_increasing_id()]
+    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(_END)) / F.lit(float(_END))
+
+
+def _near(cuts: DataFrame) -> DataFrame:
+    return F.broadcast(cuts) if cuts.count() <= BROADCAST_CUTS else cuts
+
+
+def _locate(data: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, j, cut, rest): the place at 0-based ``rank`` of each class in ``data`` (s, i), and how many of the rows at
+    that place come before the rank. ``wanted`` has (s, j, rank)."""
+    found = wanted.select("s", "j", "rank", F.lit(0).cast("long").alias("prefix"))
+    left = _BITS
+    for level, bits in enumerate(_LEVELS):
+        shift = left - bits
+        if level:
+            inside = data.withColumn("prefix", F.shiftright("i", left)).join(_near(found), ["s", "prefix"])
+            bins = inside.groupBy("s", "j", "rank", F.shiftright("i", shift).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            running = Window.partitionBy("s", "j").orderBy("bin")
+            upto = bins.withColumn("upto", F.sum("n").over(running))
+        else:
+            # A window over at most 4,096 bins of a class.
+            bins = data.groupBy("s", F.shiftright("i", shift).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("bin"))).join(found, "s")
+        hit = (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))
+        rest = F.col("rank") - (F.col("upto") - F.col("n"))
+        found = written(upto.filter(hit).select("s", "j", rest.alias("rank"), F.col("bin").alias("prefix")), "cuts")
+        left = shift
+    return found.select("s", "j", F.col("prefix").alias("cut"), F.col("rank").alias("rest"))
+
+
+def _below(
+    df: DataFrame, position: Column, fractions: Sequence[float], stratum: Column | None, seed: int
+) -> tuple[DataFrame, list[Column], list[str]]:
+    """``df`` with the cuts of each row's class; for each fraction whether a row is among the first
+    floor(fraction * rows) of its class; the names of the helper columns."""
+    s = F.lit("") if stratum is None else F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit(""))
+    placed = df.withColumn("__s", s).withColumn("__i", F.floor(position * _END).cast("long"))
+    data = placed.select(F.col("__s").alias("s"), F.col("__i").alias("i"))
+    sizes = written(data.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    ranks = F.array(*[F.struct(F.lit(j).alias("j"), F.floor(F.col("n") * f).alias("rank")) for j, f in enumerate(fractions)])
+    wanted = sizes.select("s", "n", F.inline(ranks)).filter("rank < n").select("s", "j", "rank")
+    cuts = _locate(data, wanted)
+    tied = cuts.filter("rest > 0")
+    if tied.isEmpty():
+        placed, cuts = placed.withColumn("__q", F.lit(0).cast("long")), cuts.withColumn("q", F.lit(0).cast("long"))
+    else:
+        number = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(_END))
+        placed = written(placed.withColumn("__q", number), "numbered")
+        at = _near(tied.select(F.col("s").alias("__s"), "j", F.col("cut").alias("__i"), "rest"))
+        ties = placed.select("__s", "__i", "__q").join(at, ["__s", "__i"])
+        one = F.concat_ws("/", "j", "__s")
+        inner = _locate(
+            ties.select(one.alias("s"), F.col("__q").alias("i")),
+            tied.select(F.concat_ws("/", "j", "s").alias("s"), "j", F.col("rest").alias("rank")),
         )
-        narrowed, ready = [], []
-        for r in hit:
-            rest = r.rank - (r.upto - r.n)
-            if r["first"] == r["last"] or rest == 0:
-                found[(r.s, r.j)] = r["first"]
-            else:
-                search = (r.s, r.j, rest, r["first"], math.nextafter(r["last"], 2.0))
-                (ready if r.n <= slice_rows else narrowed).append(search)
-        if ready:
-            found.update(_finish(df, data, ready))
-        open_cuts = narrowed
-    return {s: [found[(s, j)] for j in range(len(fractions))] for s in sizes}
-
-
-def _finish(df: DataFrame, data: DataFrame, ready: list[tuple]) -> dict[tuple, float]:
-    """Cuts whose slices are small enough to rank row by row, one slice per window group."""
-    frame = df.sparkSession.createDataFrame(ready, "os string, j int, rank long, low double, high double")
-    joined = data.join(
-        F.broadcast(frame),
-        F.col("s").eqNullSafe(F.col("os")) & (F.col("p") >= F.col("low")) & (F.col("p") < F.col("high")),
-    )
-    order = Window.partitionBy("s", "j").orderBy("p")
-    rows = joined.withColumn("i", F.row_number().over(order) - 1).filter(F.col("i") == F.col("rank")).collect()
-    return {(r.s, r.j): r.p for r in rows}
+        cuts = cuts.withColumn("__js", F.concat_ws("/", "j", "s")).join(inner.select(F.col("s").alias("__js"), F.col("cut").alias("q")), "__js", "left").withColumn("q", F.coalesce("q", F.lit(0)))
+    columns = [
+        F.max(F.when(F.col("j") == j, F.col(c))).alias(f"__{c}{j}") for j in range(len(fractions)) for c in ("cut", "q")
+    ]
+    table = sizes.join(cuts, "s", "left").groupBy("s").agg(F.max("n").alias("__n"), *columns).withColumnRenamed("s", "__s")
+    marked = lookup_join(placed, written(table, "cut_table"), "__s")
+    tests = [
+        F.col(f"__cut{j}").isNull() | (F.col("__i") < F.col(f"__cut{j}"))
+        | ((F.col("__i") == F.col(f"__cut{j}")) & (F.col("__q") < F.col(f"__q{j}")))
+        for j in range(len(fractions))
+    ]
+    helpers = ["__s", "__i", "__q", *[f"__{c}{j}" for j in range(len(fractions)) for c in ("cut", "q")]]
+    return marked, tests, helpers
 
 
 def _placed(df: DataFrame, key: Sequence[str] | None, position: Column | None, seed: int) -> DataFrame:
@@ -109,21 +108,6 @@ def _placed(df: DataFrame, key: Sequence[str] | None, position: Column | None, s
     return placed if key else written(placed, "placed")
 
 
-def _cut_columns(
-    df: DataFrame, cuts: dict[str | None, list[float]], stratum: Column | None, names: list[str]
-) -> DataFrame:
-    """Attach the cuts of each row's class; one row per class."""
-    if stratum is None:
-        only = next(iter(cuts.values()), [math.inf] * len(names))
-        return df.select("*", *[F.lit(v).alias(n) for n, v in zip(names, only)])
-    schema = ", ".join(["__s string", *[f"{n} double" for n in names]])
-    frame = df.sparkSession.createDataFrame([(s, *v) for s, v in cuts.items()], schema)
-    joined = df.withColumn("__stratum", stratum.cast("string")).join(
-        F.broadcast(frame), F.col("__stratum").eqNullSafe(F.col("__s")), "left"
-    )
-    return joined.drop("__stratum", "__s")
-
-
 def holdout(
     df: DataFrame,
     fraction: float = 0.2,
@@ -133,12 +117,14 @@ def holdout(
     seed: int = 42,
     output: str = "is_valid",
 ) -> DataFrame:
-    """V1: mark floor(fraction * rows) of each class as hold-out."""
-    group = None if stratum is None else col(stratum)
+    """V1: mark floor(fraction * rows) of each class as hold-out.
+
+    Rows are placed by the hash of their key; equal keys, or rows without a key, by the order in which they are
+    written. Null is a class of its own.
+    """
     placed = _placed(df, key, position, seed)
-    cuts = cut_points(placed, F.col("__place"), [fraction], group)
-    marked = _cut_columns(placed, cuts, group, ["__cut"])
-    return marked.withColumn(output, F.col("__place") < F.col("__cut")).drop("__place", "__cut")
+    marked, (below,), helpers = _below(placed, F.col("__place"), [fraction], None if stratum is None else col(stratum), seed)
+    return marked.withColumn(output, below).drop("__place", *helpers)
 
 
 def folds(
@@ -151,10 +137,8 @@ def folds(
     output: str = "fold",
 ) -> DataFrame:
     """V2: a fold number from 0 to k-1; folds of one class differ by at most one row."""
-    group = None if stratum is None else col(stratum)
     placed = _placed(df, key, position, seed + 1)
-    names = [f"__cut{j}" for j in range(1, k)]
-    cuts = cut_points(placed, F.col("__place"), [j / k for j in range(1, k)], group)
-    marked = _cut_columns(placed, cuts, group, names)
-    fold = sum(((F.col("__place") >= F.col(n)).cast("int") for n in names), F.lit(0))
-    return marked.withColumn(output, fold).drop("__place", *names)
+    shares = [j / k for j in range(1, k)]
+    marked, below, helpers = _below(placed, F.col("__place"), shares, None if stratum is None else col(stratum), seed)
+    fold = sum(((~b).cast("int") for b in below), F.lit(0))
+    return marked.withColumn(output, fold).drop("__place", *helpers)

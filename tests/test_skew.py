@@ -60,21 +60,33 @@ def test_splits_are_exact_under_skew(spark):
     assert len(hot_sizes) == 5 and max(hot_sizes) - min(hot_sizes) <= 1
 
 
-def test_split_narrows_large_slices(spark):
+def test_split_follows_the_places(spark):
     df = spark.range(4000)
-    cuts = split.cut_points(
-        df, F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / F.lit(float(1 << 53)), [0.1, 0.5], slice_rows=10, slices=4
-    )
-    values = sorted(
-        r.p for r in df.select((F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("p")).collect()
-    )
-    assert cuts[None] == [values[400], values[2000]]
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 48)) / F.lit(float(1 << 48))
+    rows = split.folds(df.withColumn("p", place), 4, position=F.col("p")).orderBy("p").collect()
+    assert [r.fold for r in rows] == [i // 1000 for i in range(4000)]
 
 
-def test_split_of_identical_rows(spark):
+@pytest.mark.parametrize("key", [None, ["x"]])
+def test_split_of_identical_rows(spark, key):
     df = spark.range(2000).select(F.lit("same").alias("x")).repartition(8)
-    n = split.holdout(df, 0.25).filter("is_valid").count()
-    assert 0 <= n <= 2000
+    assert split.holdout(df, 0.25, key=key).filter("is_valid").count() == 500
+    assert [r["count"] for r in split.folds(df, 5, key=key).groupBy("fold").count().collect()] == [400] * 5
+
+
+def test_split_of_few_distinct_rows(spark):
+    df = spark.range(10_000).select((F.col("id") % 4).alias("x"), (F.col("id") % 3).alias("y")).coalesce(1)
+    for r in split.holdout(df, 0.2, "y").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("v")).collect():
+        assert r.v == r.n // 5
+    sizes = split.folds(df, 5, "y").groupBy("y", "fold").count().collect()
+    assert len(sizes) == 15 and {r["count"] for r in sizes} <= {666, 667}
+
+
+def test_split_of_many_classes(spark):
+    df = spark.range(12_000).select((F.col("id") % 3000).alias("y"), "id")
+    marked = split.holdout(df, 0.5, "y", key=["id"])
+    assert marked.groupBy("y").agg(F.count_if("is_valid").alias("v")).filter("v <> 2").isEmpty()
+    assert split.holdout(df.limit(0), 0.5, "y").count() == 0
 
 
 def test_steps_with_a_hot_timestamp(spark):
