@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.kinds import CATEGORICAL, NUMERIC, drop_columns, select_kind
+from ..functions.scalars import epoch_micros
 from ..operators import correlation, profile, tally, temporal
+from ..session import written
 from .base import GAPS_SQL, KINDS, categorical, gaps, numeric, query, rounded, table, union_sql
 
 _DESCRIBED = ("mean", "std", "min", "q25", "q50", "q75", "max")
@@ -417,7 +419,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     found = temporal.steps(table(spark, sf_dir, "events"), "ts")
-    return rounded(found.select(F.unix_micros("ts").alias("ts_us"), "step_s", "n_zero"), "step_s")
+    return rounded(found.select(epoch_micros(F.col("ts")).alias("ts_us"), "step_s", "n_zero"), "step_s")
 
 
 @query(
@@ -428,7 +430,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     found = temporal.steps(table(spark, sf_dir, "events"), "ts", range_rows=2_000)
-    return rounded(found.select(F.unix_micros("ts").alias("ts_us"), "step_s", "n_zero"), "step_s")
+    return rounded(found.select(epoch_micros(F.col("ts")).alias("ts_us"), "step_s", "n_zero"), "step_s")
 
 
 @query(
@@ -440,7 +442,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     found = temporal.steps(table(spark, sf_dir, "events"), "ts", ["user_id"], range_rows=2_000)
-    return rounded(found.select("user_id", F.unix_micros("ts").alias("ts_us"), "step_s", "n_zero"), "step_s")
+    return rounded(found.select("user_id", epoch_micros(F.col("ts")).alias("ts_us"), "step_s", "n_zero"), "step_s")
 
 
 def _temporal_sql(name: str, column: str) -> str:
@@ -473,3 +475,41 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     numbers = select_kind(table(spark, sf_dir, "events"), NUMERIC)
     return numbers.agg(*[F.count(c).alias(c) for c in numbers.columns])
+
+
+_CLOCK_SQL = "(SELECT event_id, TIMESTAMP '2024-03-29 00:00:00' + to_hours(event_id % 96) AS ts FROM events)"
+
+
+def _clock_changes(spark, sf_dir):
+    """Hourly times without a zone over four days, in the night of one of which many zones skip an hour."""
+    start = F.expr("TIMESTAMP_NTZ'2024-03-29 00:00:00'")
+    hours = F.make_dt_interval(F.lit(0), (F.col("event_id") % 96).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", (start + hours).alias("ts"))
+
+
+@query("temporal_summary_over_a_clock_change", _temporal_sql(_CLOCK_SQL, "ts"))
+def _(spark, sf_dir):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        found = temporal.temporal_summary(_clock_changes(spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    return rounded(rounded(found, "range_s", "median_step_s"), "std_step_s", digits=4)
+
+
+@query(
+    "time_steps_over_a_clock_change",
+    f"""WITH d AS (SELECT ts, count(*) - 1 AS n_zero FROM {_CLOCK_SQL} GROUP BY ts)
+    SELECT epoch_us(ts) AS ts_us, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts)) / 1e6, 6) AS step_s,
+    n_zero FROM d""",
+)
+def _(spark, sf_dir):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        found = temporal.steps(_clock_changes(spark, sf_dir), "ts")
+        found = written(found.select(epoch_micros(F.col("ts")).alias("ts_us"), "step_s", "n_zero"), "steps")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    return rounded(found, "step_s")

@@ -65,7 +65,7 @@ def _(spark, sf_dir):
     strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso FROM events""",
 )
 def _(spark, sf_dir):
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.round(scalars.elapsed_seconds(start, c("ts")), 6).alias("elapsed_s"),

@@ -41,9 +41,29 @@ def date_parts(c: Column, prefix: str) -> list[Column]:
     ]
 
 
+def _is_instant(c: Column) -> Column:
+    """Whether a column is a timestamp with a zone; known when the query is planned."""
+    return F.typeof(c) == "timestamp"
+
+
 def epoch_micros(c: Column) -> Column:
-    """microseconds since the epoch of a date or timestamp."""
-    return F.unix_micros(c.cast("timestamp"))
+    """microseconds since the epoch of a date or timestamp.
+
+    A date or a timestamp without a zone is counted from the epoch as written, whatever the session's zone.
+    """
+    since = c.cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    hours = F.extract(F.lit("DAY"), since).cast("long") * 24 + F.extract(F.lit("HOUR"), since)
+    seconds = (hours * 60 + F.extract(F.lit("MINUTE"), since)) * 60
+    written = seconds * 1_000_000 + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("long")
+    return F.when(_is_instant(c), F.unix_micros(c.cast("timestamp"))).otherwise(written)
+
+
+def from_epoch_micros(c: Column, has_zone: bool) -> Column:
+    """the timestamp so many microseconds after the epoch, with or without a zone."""
+    if has_zone:
+        return F.timestamp_micros(c)
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (c / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)"))
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + since
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
@@ -52,8 +72,10 @@ def elapsed_seconds(start: Column, end: Column) -> Column:
 
 
 def iso_text(c: Column) -> Column:
-    """ISO-8601 text to the microsecond."""
-    return F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """ISO-8601 text to the microsecond, as written or, for an instant, in the session's zone."""
+    text = c.cast("timestamp_ntz").cast("string")
+    fraction = F.rpad(F.substring(text, 21, 6), 6, "0")
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."), fraction)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

@@ -16,16 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import DATETIME, col, columns_of
-from ..functions.scalars import epoch_micros, iso_text
+from ..functions.scalars import epoch_micros, from_epoch_micros, iso_text
 from .quantiles import RANK_ROWS, SMALL_ROWS, interpolate, order_statistics
 
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 10_000
 
 
 def _ranged(distinct: DataFrame, n_distinct: int, range_rows: int) -> tuple[DataFrame, int]:
     """Add ``part``: the ordered range a timestamp falls in, balanced by sketched quantiles."""
-    parts = min(max(math.ceil(n_distinct / range_rows), 1), MAX_RANGES)
+    parts = max(math.ceil(n_distinct / range_rows), 1)
     if parts == 1:
         return distinct.withColumn("part", F.lit(0.0)), 1
     shares = [i / parts for i in range(1, parts)]
@@ -67,12 +66,12 @@ def steps(
         condition = F.col("ts") == F.col("first")
         for test in same:
             condition = condition & test
-        # Without keys the starts number at most MAX_RANGES rows.
+        # Without keys there is one row per range, a millionth of the distinct timestamps.
         side = starts if partition_by else F.broadcast(starts)
         inner = inner.join(side, condition, "left").withColumn("before", F.coalesce("before", "previous"))
     return inner.select(
         *keys,
-        F.timestamp_micros("ts").alias("ts"),
+        from_epoch_micros(F.col("ts"), df.schema[column].dataType.typeName() == "timestamp").alias("ts"),
         ((F.col("ts") - F.col("before")) / F.lit(1e6)).alias("step_s"),
         "n_zero",
     )
