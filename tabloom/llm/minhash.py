@@ -2,8 +2,8 @@
 candidate edges, and links confirmed on full shingle sets.
 
 Documents with equal sets collapse into one representative first. In a bucket every member is compared with one hub
-first; only members that this leaves undecided are compared with more, so that pairs stay near the rows of the buckets
-and no link between two members of a bucket that would join two components is lost.
+first; only members that this leaves undecided are compared with others, so that pairs stay near the rows of the
+buckets and no link between two members of a bucket that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..operators.lookup import lookup_join
 from ..session import written
-from .common import with_ids
+from .common import partitions, with_ids
 from .words import buffers, mix, shingles, slices, word_hashes
 
 WIDTH = 3
@@ -28,6 +29,12 @@ BANDS = 48
 ROWS = 8
 BINS = BANDS * ROWS
 _BYTES = 4 << 20
+# Rows of a bucket, and pairs of sets, that a task of the later rounds takes.
+_TASK_ROWS = 200_000
+_TASK_PAIRS = 20_000
+# Sets of a block, and shingles that two blocks are compared on at a time.
+_BLOCK = 64
+_COLUMNS = 1 << 14
 
 
 def _probe_orders() -> np.ndarray:
@@ -138,75 +145,139 @@ def _first_hubs(rows: DataFrame) -> DataFrame:
     return ends.filter("low <> high").select("key", F.col("low").bitwiseXOR(F.col("key")).alias("hub"))
 
 
-def _more_hubs(rows: DataFrame, n: int) -> DataFrame:
-    """(key, hub, hub_root) of the first ``n`` members of each bucket; tasks pass on no more than ``n`` of a bucket."""
-    order = Window.partitionBy("key").orderBy(F.col("id").bitwiseXOR(F.col("key")))
-    return (
-        rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
-        .select("key", F.col("id").alias("hub"), F.col("root").alias("hub_root"), "nth")
-    )
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add the sizes of intersection and union to (a, b)."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+def _compared(pairs: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Add to ``n`` pairs (a, b) whether they are linked, and their distance."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    near = with_ids(sets, ids, "id")
+    left = near.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+    right = near.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
+    sized = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either")
     )
+    linked = F.col("both") * 100 >= F.col("either") * percent
+    told = sized.select("a", "b", linked.alias("linked"), (1 - F.col("both") / F.col("either")).alias("d"))
+    return written(told.coalesce(-(-n // _TASK_PAIRS) or 1), "pairs")
 
 
 def _links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(a, b) that connect all representatives with a likeness of at least ``percent`` % in a common bucket.
 
-    The first round compares the members of a bucket with one hub. Its distances, a metric, and the components of
-    the links found so far decide most other pairs; what is left of a bucket meets twice as many hubs in each
-    further round, until all that is left of it is in one component.
+    Members of a bucket are first compared with one hub. What that leaves undecided is narrowed by three exact rules:
+    distances to the hub, a metric; components of the links found so far; and shingles that no other undecided
+    document has, which bound a document's likeness to all others. The rest is compared block by block.
     """
     apart = 1 - percent / 100
     rows = reps.select("id", F.explode("bands").alias("key"))
-    met = written(rows.join(_first_hubs(rows), "key"), "buckets")
-    ids = written(met.select("id").distinct(), "ids")
+    met = written(rows.join(_first_hubs(rows), "key").filter("id <> hub"), "buckets")
+    pairs = written(met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "asked")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = written(with_ids(docs, ids, "id").mapInArrow(_sets, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
-
-    def seen(pairs: DataFrame) -> DataFrame:
-        return written(_compared(pairs, sets).withColumn("linked", F.col("both") * 100 >= F.col("either") * percent), "pairs")
-
-    known = seen(met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    known = _compared(pairs, pairs.count(), sets, percent)
     links = known.filter("linked").select("a", "b")
     # A member that the hub links can only be linked to one that it rejects if their distances to the hub differ by
     # no more than a link allows.
-    far = met.filter("id <> hub").join(
-        known.select(F.col("a").alias("hub"), F.col("b").alias("id"), "linked", (1 - F.col("both") / F.col("either")).alias("d")),
-        ["hub", "id"],
-    )
+    far = met.join(known.withColumnsRenamed({"a": "hub", "b": "id"}), ["hub", "id"])
     nearest = far.filter("not linked").groupBy("key").agg(F.min("d").alias("nearest"))
     rows = far.join(nearest, "key").filter(~F.col("linked") | (F.col("d") + apart + 1e-9 >= F.col("nearest"))).select("key", "id")
-    hubs = 1
-    while True:
-        rows = written(_undecided(rows.select("key", "id"), links), "rows")
-        if rows.isEmpty():
-            return links
-        hubs *= 2
-        chosen = _more_hubs(rows, hubs)
-        asked = rows.join(chosen, "key").filter("id <> hub and root <> hub_root")
-        pairs = asked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = seen(pairs)
-        links = links.unionAll(found.filter("linked").select("a", "b"))
-        rows = rows.join(chosen.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-
-
-def _undecided(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, root) of the buckets whose members are not all in one component of the links."""
     rows = written(rows, "rows")
-    if rows.isEmpty():
-        return rows.withColumn("root", F.col("id"))
+    rows, n = _undecided(rows, rows.count(), links)
+    if not n:
+        return links
+    rows = rows.join(_own_shingles(rows, sets), "id")
+    # Of x's shingles the other can have all but its own, and it has at least the bucket's least size.
+    least = rows.groupBy("key").agg(F.min("size").alias("least"))
+    shared = F.col("size") - F.col("own")
+    rows = rows.join(least, "key").filter(shared * 100 >= (F.greatest("least", shared) + F.col("own")) * percent)
+    rows, n = _in_several(_sized(rows.select("key", "id", "root"), n), n)
+    return links.unionAll(_links_of_rest(rows, n, sets, percent)) if n else links
+
+
+def _links_of_rest(rows: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the members of undecided buckets (key, id, root) across components.
+
+    The buckets with one prevailing component form a group. Its members outside that component, the seekers, are
+    compared with all members, a block of each in one row, and only links come out.
+    """
+    tally = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    prevailing = tally.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("group"))
+    members = _sized(rows.join(prevailing, "key").select("group", "id", "root").distinct(), n)
+    seekers = members.filter("root <> group")
+
+    def blocks(side: DataFrame, names: tuple[str, str]) -> DataFrame:
+        numbers = side.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
+        placed = side.join(numbers, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        one = F.struct("id", "root", "shingles")
+        return placed.join(sets, "id").groupBy("group", F.col("block").alias(names[0])).agg(F.collect_list(one).alias(names[1]))
+
+    asking, asked = written(blocks(seekers, ("x", "seekers")), "asking"), written(blocks(members, ("y", "members")), "blocks")
+    pairs = asking.join(asked, "group").repartition(partitions(rows), "group", "x", "y").select("seekers", "members")
+    return written(pairs.mapInArrow(_linked_in_blocks(percent), "a bigint, b bigint").distinct(), "links")
+
+
+def _linked_in_blocks(percent: int):
+    """For each seeker one link to each component that a member of the other block has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values for c in ("seekers", "members"))
+                x_ids, y_ids, x_roots, y_roots = (s.field(c).to_numpy() for c in ("id", "root") for s in (x, y))
+                both = _common(x.field("shingles"), y.field("shingles"))
+                n_x, n_y = (pa.compute.list_value_length(s.field("shingles")).to_numpy().astype(np.int64) for s in (x, y))
+                hit = (both * 100 >= (n_x[:, None] + n_y[None, :] - both) * percent) & (x_roots[:, None] != y_roots[None, :])
+                a, b = np.nonzero(hit)
+                _, first = np.unique(np.stack([a, y_roots[b]]), axis=1, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x_ids[a[first]]), pa.array(y_ids[b[first]])], names=["a", "b"])
+
+    return run
+
+
+def _common(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """The number of common values of each pair of lists, a slice of the values at a time."""
+    n_x, n_y = len(x), len(y)
+    rows = np.repeat(np.arange(n_x + n_y), np.concatenate([pa.compute.list_value_length(s).to_numpy() for s in (x, y)]))
+    values, column = np.unique(np.concatenate([s.flatten().to_numpy() for s in (x, y)]), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((n_x, n_y), np.int64)
+    for at in range(0, len(values), _COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + _COLUMNS]))
+        table = np.zeros((n_x + n_y, _COLUMNS), np.float32)
+        table[rows[part], column[part] - at] = 1
+        both += (table[:n_x] @ table[n_x:].T).astype(np.int64)
+    return both
+
+
+def _sized(df: DataFrame, rows: int, label: str = "rows") -> DataFrame:
+    """Write a table with as many tasks as that number of rows needs."""
+    return written(df.coalesce(-(-rows // _TASK_ROWS) or 1), label)
+
+
+def _undecided(rows: DataFrame, n: int, links: DataFrame) -> tuple[DataFrame, int]:
+    """Add the component by the links as ``root``, and keep the buckets that have members of several; the count."""
+    if not n:
+        return rows.withColumn("root", F.col("id")), 0
     roots = components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
-    rooted = written(rows.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
-    ends = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return rooted.join(ends.select("key"), "key")
+    rooted = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return _in_several(_sized(rooted, n), n)
+
+
+def _in_several(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
+    ends = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    kept = _sized(rows.join(ends.select("key"), "key"), n)
+    return kept, kept.count()
+
+
+def _own_shingles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, size, own): the shingles of each document in ``rows``, and how many of them no other there has."""
+    ids = written(rows.select("id").distinct(), "ids")
+    mine = written(with_ids(sets, ids, "id"), "sets")
+    single = (
+        mine.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    )
+    return mine.join(single, "id", "left").select("id", F.size("shingles").alias("size"), F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
