@@ -239,7 +239,7 @@ def _(spark, sf_dir):
     """The same codes from range partitions and a shuffle join, as for very many categories."""
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     codes = encoders.ordinal_table(df.filter(c("c_custkey") % 4 > 0), "c_name", rank_rows=200)
-    return encoders.ordinal(df, "c_name", codes, broadcast_rows=0).drop("c_name")
+    return encoders.ordinal(df, "c_name", codes, broadcast_bytes=0).drop("c_name")
 
 
 @query(

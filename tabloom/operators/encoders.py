@@ -12,7 +12,7 @@ from ..functions.kinds import as_double, col
 from ..functions.scalars import date_parts, safe_ratio
 from ..session import cut_lineage
 from .correlation import correlated_pairs
-from .lookup import BROADCAST_ROWS, lookup_join
+from .lookup import BROADCAST_BYTES, lookup_join
 from .quantiles import exact_quantiles
 
 MAX_ONEHOT = 20
@@ -188,13 +188,13 @@ def ordinal_table(df: DataFrame, column: str, rank_rows: int = RANK_ROWS) -> Dat
 
 
 def ordinal(
-    df: DataFrame, column: str, table: DataFrame, output: str | None = None, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, column: str, table: DataFrame, output: str | None = None, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """The code of each value, -1 for one that the table does not have."""
     out = output or f"{column}_code"
     keyed = table.select(F.col("value").alias("__category"), "__n", F.col("code").alias("__code"))
     joined = lookup_join(
-        df.withColumn("__category", col(column).cast("string")), keyed, "__category", broadcast_rows=broadcast_rows
+        df.withColumn("__category", col(column).cast("string")), keyed, "__category", broadcast_bytes=broadcast_bytes
     )
     return joined.select(
         *[col(c) for c in df.columns], F.coalesce("__code", F.lit(-1)).cast("double").alias(out)
@@ -223,13 +223,13 @@ def target_encode(
     table: DataFrame,
     fallback: float,
     output: str | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The smoothed mean of each category; unseen and missing ones get ``fallback``."""
     out = output or f"{column}_mean"
     keyed = table.select(F.col("value").alias("__category"), "__n", F.col("code").alias("__code"))
     joined = lookup_join(
-        df.withColumn("__category", col(column).cast("string")), keyed, "__category", broadcast_rows=broadcast_rows
+        df.withColumn("__category", col(column).cast("string")), keyed, "__category", broadcast_bytes=broadcast_bytes
     )
     return joined.select(*[col(c) for c in df.columns], F.coalesce("__code", F.lit(fallback)).alias(out))
 

@@ -111,33 +111,44 @@ class IsolationForest:
         return IsolationForest(tuple(raw["columns"]), tuple(tuple(n) for n in raw["nodes"]), raw["sample"])
 
 
+def _distinct(rng: np.random.Generator, n: int, size: int) -> set[int]:
+    """``size`` distinct numbers below ``n``."""
+    if 2 * size >= n:
+        return set(rng.permutation(n)[:size].tolist())
+    found: set[int] = set()
+    while len(found) < size:
+        found.update(rng.integers(0, n, size - len(found)).tolist())
+    return found
+
+
 def fit_isolation_forest(
     df: DataFrame, columns: Sequence[str] | None = None, trees: int = TREES, sample: int = SAMPLE, seed: int = 42
 ) -> IsolationForest:
-    """Draw ``sample`` rows for each tree, without replacement within a tree, and grow the trees."""
+    """Draw ``sample`` rows for each tree, or all if there are fewer, without replacement within a tree, and grow them."""
     wanted = list(numeric_columns(df) if columns is None else columns)
     names = [f"c{i}" for i in range(len(wanted))]
     plain = df.select(*[F.coalesce(as_double(df, c), F.lit(0.0)).alias(n) for c, n in zip(wanted, names)])
-    n = plain.count()
+    # The number of a row holds the partition that wrote it in its upper bits and its place there in the lower 33.
+    numbered = written(plain.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    parts = numbered.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    ends = np.cumsum([r.n for r in parts])
+    n = int(ends[-1]) if parts else 0
     size = min(sample, n)
-    total = trees * sample
-    if n >= 2 * total:
-        # Disjoint samples: a random top-k over the table, dealt out to the trees.
-        share = min(1.0, 3.0 * total / n)
-        drawn = plain.sample(share, seed).withColumn("__r", F.rand(seed + 1)).orderBy("__r").limit(total)
-        dealt = drawn.withColumn("__tree", F.pmod(F.floor(F.col("__r") * 1e9).cast("int"), F.lit(trees)))
-    else:
-        # The table is smaller than the draw itself, so each tree takes its own subset of all rows.
-        share = min(1.0, 1.3 * size / max(n, 1) + 0.01)
-        dealt = plain.select(
-            "*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("__tree")
-        ).withColumn("__r", F.rand(seed)).filter(F.col("__r") < F.lit(share))
+    rng = np.random.default_rng(seed)
+    chosen = []
+    for tree in range(trees if n else 0):
+        for order, row in enumerate(sorted(_distinct(rng, n, size))):
+            part = int(np.searchsorted(ends, row, side="right"))
+            place = row - int(ends[part - 1] if part else 0)
+            chosen.append((tree, order, (parts[part].part << 33) + place))
+    # trees * sample rows at most.
+    picks = df.sparkSession.createDataFrame(chosen, "__tree int, __r int, __at long")
+    dealt = numbered.join(F.broadcast(picks), "__at")
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def grow(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
-        chosen = block.sort_values("__r").head(sample)
-        nodes = _grow(chosen[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]), limit)
+        nodes = _grow(block.sort_values("__r")[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]), limit)
         frame = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "depth"])
         frame.insert(0, "node", range(len(frame)))
         frame.insert(0, "tree", tree)

@@ -2,35 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kinds import col
 
-BROADCAST_ROWS = 200_000
+# A table is broadcast up to this many bytes, measured row by row.
+BROADCAST_BYTES = 16 << 20
 HOT_SHARE = 1_000
 _SALTS = 1_024
 
 
+def _cell_bytes(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(c) + 8
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.aggregate(c, F.lit(8).cast("long"), lambda n, x: n + F.coalesce(_cell_bytes(x, inner), F.lit(8)))
+        return F.size(c) * 8 + 8
+    if isinstance(kind, VectorUDT):
+        return F.size(vector_to_array(c)) * 8 + 8
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """About what the rows take in memory."""
+    cells = [F.coalesce(_cell_bytes(col(f.name), f.dataType).cast("long"), F.lit(8)) for f in df.schema.fields]
+    return int(df.agg(F.sum(sum(cells, F.lit(16).cast("long"))).alias("n")).first().n or 0)
+
+
 def lookup_join(
     df: DataFrame,
     table: DataFrame,
     key: str,
-    table_rows: int | None = None,
+    table_bytes: int | None = None,
     n_rows: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add the columns of ``table`` (``key``, values…, ``__n``) to ``df`` by ``key``.
 
-    ``__n`` is how often the key occurs. A table counted as small is broadcast. A larger one is split:
+    ``__n`` is how often the key occurs. A table measured as small is broadcast. A larger one is split:
     keys holding more than a thousandth of all rows are fewer than a thousand, so they are broadcast,
     and the rows carrying them are scattered over many salts instead of meeting in one task; only the
     remaining keys are matched by a shuffle.
     """
-    rows = table.count() if table_rows is None else table_rows
+    size = measured_bytes(table) if table_bytes is None else table_bytes
     values = [c for c in table.columns if c not in (key, "__n")]
     lean = table.select(col(key).alias("__key"), *[col(c) for c in values])
-    if rows <= broadcast_rows:
+    if size <= broadcast_bytes:
         return df.join(F.broadcast(lean), col(key) == F.col("__key"), "left").drop("__key")
 
     total = table.agg(F.sum("__n").alias("n")).first().n if n_rows is None else n_rows

@@ -287,9 +287,9 @@ def top_outliers(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3
     return outliers(df, columns).orderBy(F.desc("n_outliers"), "position").limit(k).drop("position")
 
 
-def boxplots(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 10) -> DataFrame:
-    """Five numbers and whisker ends (the last values inside the fences) of up to ten columns."""
-    wanted = list(numeric_columns(df) if columns is None else columns)[:limit]
+def boxplots(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Five numbers and whisker ends (the last values inside the fences) of numeric columns."""
+    wanted = list(numeric_columns(df) if columns is None else columns)
     quartiles = exact_quantiles(df, (0.25, 0.5, 0.75), wanted)
     structs = []
     for c in wanted:
@@ -319,10 +319,10 @@ def boxplots(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 1
 
 
 def histograms(
-    df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20, limit: int = 12
+    df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20
 ) -> DataFrame:
-    """Equal-width bins between the extremes of up to twelve numeric columns; empty bins are left out."""
-    wanted = list(numeric_columns(df) if columns is None else columns)[:limit]
+    """Equal-width bins between the extremes of numeric columns; empty bins are left out."""
+    wanted = list(numeric_columns(df) if columns is None else columns)
     if not wanted:
         return df.sparkSession.createDataFrame([], "column string, bin int, lower double, upper double, n long")
     ends = df.agg(

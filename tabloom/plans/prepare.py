@@ -24,7 +24,7 @@ from ..operators.encoders import (
     scaler_values,
     target_mean_table,
 )
-from ..operators.lookup import BROADCAST_ROWS, lookup_join
+from ..operators.lookup import lookup_join, measured_bytes
 from ..session import written
 from .heuristics import Plan
 
@@ -39,7 +39,7 @@ class CategoryStep:
     levels: list[str] = field(default_factory=list)
     shared: bool = False
     fallback: float = -1.0
-    table_rows: int = 0
+    table_bytes: int = 0
 
 
 @dataclass
@@ -102,7 +102,7 @@ class Recipe:
             table = self.tables[step.column].select(
                 F.col("value").alias(f"__c{i}"), "__n", F.col("code").cast("double").alias(f"__code{i}")
             )
-            out = lookup_join(out, table, f"__c{i}", step.table_rows)
+            out = lookup_join(out, table, f"__c{i}", step.table_bytes)
             if step.encoder == "onehot":
                 rare = F.col(f"__code{i}").isNotNull() & ~F.col(f"__c{i}").isin(step.levels)
                 out = out.withColumn(f"__c{i}_{len(step.levels)}", F.coalesce(rare.cast("double"), F.lit(0.0)))
@@ -161,7 +161,7 @@ def _category_step(
     else:
         return None
     if column in tables:
-        step.table_rows = tables[column].count()
+        step.table_bytes = measured_bytes(tables[column])
     return step
 
 

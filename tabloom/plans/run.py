@@ -41,9 +41,6 @@ from .quality import gather, insights, quality_breakdown, quality_score
 from .registry import ModelSpec
 from .training import PRIMARY_METRIC, Settings, Trained, leaderboard, train_supervised, train_unsupervised
 
-# Above this many rows distinct counts are sketched first and settled only where a rule depends on them.
-SCREEN_ROWS = 100_000_000
-
 
 @dataclass
 class RunResult:
@@ -129,10 +126,14 @@ def run(
     specs: list[ModelSpec] | None = None,
     key: list[str] | None = None,
     profiled: bool = True,
+    screened: bool = False,
 ) -> RunResult:
-    """Profile, choose a target and type, plan, train, explain."""
+    """Profile, choose a target and type, plan, train, explain.
+
+    With ``screened`` distinct counts are sketched first and counted exactly only where a rule depends on them.
+    """
     df = normalize(df)
-    tally = collect_tally(df, screened=df.count() > SCREEN_ROWS)
+    tally = collect_tally(df, screened=screened)
     suggestions = target_frame(df, None, tally)
     if target is None and auto_target:
         ranked = recommend_target(df, None, tally)

@@ -10,6 +10,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lookup import BROADCAST_BYTES, measured_bytes
 from ..operators.neighbors import NearestNeighborsModel
 from ..operators.outlier_models import IsolationForestModel, MahalanobisModel
 from .heuristics import ProblemType
@@ -48,8 +49,8 @@ class Scorer:
         if self.classes is None:
             return out
         names = self.classes.select(F.col("code").cast("double").alias("prediction"), F.col("value").alias("predicted"))
-        # One row per class.
-        return out.join(F.broadcast(names), "prediction", "left").select(*keep, "prediction", "predicted")
+        few = measured_bytes(names) <= BROADCAST_BYTES
+        return out.join(F.broadcast(names) if few else names, "prediction", "left").select(*keep, "prediction", "predicted")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Into a folder that must not exist yet."""

@@ -23,7 +23,7 @@ def counted(df):
 def test_lookup_join(spark, limit):
     df = hot(spark)
     table = counted(df).filter("key <> 'k7'").withColumn("value", F.length("key"))
-    got = lookup.lookup_join(df, table, "key", broadcast_rows=limit)
+    got = lookup.lookup_join(df, table, "key", broadcast_bytes=limit)
     want = df.join(table.drop("__n"), "key", "left").select("id", "key", "value")
     assert got.columns == ["id", "key", "value"]
     assert got.exceptAll(want).count() == 0 and got.count() == df.count()
@@ -34,7 +34,7 @@ def test_hot_rows_are_spread(spark):
     table = counted(df).withColumn("value", F.lit(1))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = lookup.lookup_join(df, table, "key", broadcast_rows=0)
+        got = lookup.lookup_join(df, table, "key", broadcast_bytes=0)
         sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
