@@ -11,7 +11,7 @@ from tabloom.llm.langid import UNKNOWN, fit, with_language
 from tabloom.llm.minhash import near_duplicates
 from tabloom.llm.mixing import with_copies
 from tabloom.llm.passages import repeated_passages, without_passages
-from tabloom.session import scratch_path, written
+from tabloom.session import scratch_path, ship, written
 
 # The least posterior probability of a document's language.
 LANGUAGE_SCORE = 0.5
@@ -60,7 +60,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage is written and read again, so that a lost executor costs at most a stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
