@@ -4,5 +4,5 @@ WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu x
 
 
 def prose(seed: int, n: int) -> str:
-    """A text of ``n`` words that shares hardly any shingle with that of another seed."""
-    return " ".join(f"{WORDS[(seed * 7 + i * i * (seed % 5 + 1) + i) % 20]}{(seed * 31 + i * 17) % 97}" for i in range(n))
+    """A text of ``n`` words that has no word in common with that of another seed."""
+    return " ".join(f"{WORDS[(seed * 7 + i * i * (seed % 5 + 1) + i) % 20]}{seed}n{i * 17 % 97}" for i in range(n))
