@@ -13,7 +13,7 @@ from ..operators.dbscan import dbscan
 from ..plans import explain, run, training
 from ..plans.heuristics import ProblemType, suggest_plan
 from ..plans.prepare import fit_recipe, varying_features
-from ..plans.registry import Context, ModelSpec, get_models
+from ..plans.registry import Context, candidate, candidates
 from ..plans.scoring import Scorer
 from ..session import scratch_path
 from ..sources import sinks
@@ -27,12 +27,6 @@ def _vectors(df, *columns):
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
 
 
-def _spec(kind: ProblemType, name: str, **defaults) -> ModelSpec:
-    """A registry entry with smaller defaults and no search."""
-    spec = next(s for s in get_models(kind) if s.name == name)
-    return ModelSpec(spec.name, kind, spec.factory, {}, {**spec.defaults, **defaults})
-
-
 def _tiers(spark, sf_dir):
     """Line items with a class that depends on price and discount."""
     tier = F.when(c("l_extendedprice") > 70000, "high").when(c("l_discount") > 0.05, "deal").otherwise("plain")
@@ -74,19 +68,19 @@ _LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 for _name, _specs in {
     "logistic_regression": [("LogisticRegression", {})],
-    "random_forest_classifier": [("RandomForest", {"n_trees": 20, "max_depth": 6})],
+    "random_forest_classifier": [("RandomForest", {"numTrees": 20, "maxDepth": 6})],
     "support_vectors": [("SVM", {})],
 }.items():
 
     @query(_name)
     def _(spark, sf_dir, specs=_specs):
-        chosen = [_spec(CLASSIFICATION, n, **p) for n, p in specs]
+        chosen = [candidate(CLASSIFICATION, n, **p) for n, p in specs]
         return _board(spark, _fit(_tiers(spark, sf_dir), "tier", CLASSIFICATION, chosen, _LINE_KEY))
 
 
 @query("boosted_trees_classifier")
 def _(spark, sf_dir):
-    spec = _spec(CLASSIFICATION, "BoostedTrees", rounds=10, max_depth=3)
+    spec = candidate(CLASSIFICATION, "BoostedTrees", maxIter=10, maxDepth=3)
     return _board(spark, _fit(_late(spark, sf_dir), "watch", CLASSIFICATION, [spec], ["o_orderkey"]))
 
 
@@ -100,21 +94,21 @@ def _(spark, sf_dir):
     plan.imputation["c_acctbal"], plan.encoders["c_acctbal"] = "none", "passthrough"
     trained = training.train_supervised(
         df, "rich", plan, CLASSIFICATION, training.Settings(trials=1, cv_folds=1),
-        [_spec(CLASSIFICATION, "MLP", hidden=(8,))],
+        [candidate(CLASSIFICATION, "MLP", hidden=(8,))],
     )
     return _board(spark, trained)
 
 
 for _name, _spec_of in {
     "linear_regression": ("LinearRegression", {}),
-    "random_forest_regressor": ("RandomForest", {"n_trees": 20, "max_depth": 6}),
-    "boosted_trees_regressor": ("BoostedTrees", {"rounds": 10, "max_depth": 4}),
-    "gradient_boosting": ("GradientBoosting", {"rounds": 10}),
+    "random_forest_regressor": ("RandomForest", {"numTrees": 20, "maxDepth": 6}),
+    "boosted_trees_regressor": ("BoostedTrees", {"maxIter": 10, "maxDepth": 4}),
+    "gradient_boosting": ("GradientBoosting", {"maxIter": 10}),
 }.items():
 
     @query(_name)
     def _(spark, sf_dir, spec=_spec_of):
-        chosen = [_spec(REGRESSION, spec[0], **spec[1])]
+        chosen = [candidate(REGRESSION, spec[0], **spec[1])]
         return _board(spark, _fit(_prices(spark, sf_dir), "net", REGRESSION, chosen, _LINE_KEY))
 
 
@@ -125,7 +119,7 @@ for _name, _spec_of in {
 )
 def _(spark, sf_dir):
     df = _vectors(table(spark, sf_dir, "lineitem").withColumnRenamed("l_extendedprice", "label"), "l_quantity")
-    model = _spec(REGRESSION, "LinearRegression").factory({}, Context(df.count(), 1)).fit(df)
+    model = candidate(REGRESSION, "LinearRegression").build({}, Context(df.count(), 1)).fit(df)
     return spark.createDataFrame(
         [(round(float(model.coefficients[0]), 4), round(model.intercept, 2))], "slope double, intercept double"
     )
@@ -184,17 +178,17 @@ def _part_vectors(spark, sf_dir):
 
 @query("kmeans")
 def _(spark, sf_dir):
-    spec = _spec(ProblemType.CLUSTERING, "KMeans", restarts=2)
+    spec = candidate(ProblemType.CLUSTERING, "KMeans", restarts=2)
     df = _part_vectors(spark, sf_dir).persist()
-    scored = spec.factory(spec.defaults, Context(df.count(), 2)).fit(df).transform(df)
+    scored = spec.build(spec.params, Context(df.count(), 2)).fit(df).transform(df)
     return scored.select("p_partkey", "prediction")
 
 
 @query("bisecting_kmeans")
 def _(spark, sf_dir):
-    spec = _spec(ProblemType.CLUSTERING, "Agglomerative")
+    spec = candidate(ProblemType.CLUSTERING, "Agglomerative")
     df = _part_vectors(spark, sf_dir).persist()
-    scored = spec.factory(spec.defaults, Context(df.count(), 2)).fit(df).transform(df)
+    scored = spec.build(spec.params, Context(df.count(), 2)).fit(df).transform(df)
     return scored.select("p_partkey", "prediction")
 
 
@@ -334,7 +328,7 @@ def _(spark, sf_dir):
 
 @query("model_search")
 def _(spark, sf_dir):
-    logistic = next(s for s in get_models(CLASSIFICATION) if s.name == "LogisticRegression")
+    logistic = next(s for s in candidates(CLASSIFICATION) if s.name == "LogisticRegression")
     return _board(spark, _fit(_late(spark, sf_dir), "watch", CLASSIFICATION, [logistic], ["o_orderkey"], 3, 3))
 
 
@@ -404,7 +398,7 @@ def _(spark, sf_dir):
 
 @query("permutation_importance")
 def _(spark, sf_dir):
-    spec = _spec(CLASSIFICATION, "RandomForest", n_trees=10, max_depth=5)
+    spec = candidate(CLASSIFICATION, "RandomForest", numTrees=10, maxDepth=5)
     trained = _fit(_tiers(spark, sf_dir), "tier", CLASSIFICATION, [spec], _LINE_KEY)
     found = explain.permutation_importance(trained)
     trained.release()
@@ -413,7 +407,7 @@ def _(spark, sf_dir):
 
 @query("model_importance")
 def _(spark, sf_dir):
-    spec = _spec(CLASSIFICATION, "RandomForest", n_trees=10, max_depth=5)
+    spec = candidate(CLASSIFICATION, "RandomForest", numTrees=10, maxDepth=5)
     trained = _fit(_tiers(spark, sf_dir), "tier", CLASSIFICATION, [spec], _LINE_KEY)
     method, found = explain.feature_importance(trained)
     trained.release()
@@ -470,7 +464,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_type")
     plan = suggest_plan(df)
-    specs = [_spec(ProblemType.CLUSTERING, "KMeans", k=3, restarts=1)]
+    specs = [candidate(ProblemType.CLUSTERING, "KMeans", k=3, restarts=1)]
     trained = training.train_unsupervised(df, plan, ProblemType.CLUSTERING, specs=specs)
     return explain.explain_clusters(trained, df)["profile"]
 
@@ -482,7 +476,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Every line item through the saved and reloaded model."""
     df = _tiers(spark, sf_dir)
-    trained = _fit(df, "tier", CLASSIFICATION, [_spec(CLASSIFICATION, "LogisticRegression")], _LINE_KEY)
+    trained = _fit(df, "tier", CLASSIFICATION, [candidate(CLASSIFICATION, "LogisticRegression")], _LINE_KEY)
     path = scratch_path(spark, "scorer")
     Scorer.of(trained).save(spark, path)
     trained.release()
@@ -492,7 +486,7 @@ def _(spark, sf_dir):
 @query("sample_explanations")
 def _(spark, sf_dir):
     df = _prices(spark, sf_dir)
-    trained = _fit(df, "net", REGRESSION, [_spec(REGRESSION, "LinearRegression")], _LINE_KEY)
+    trained = _fit(df, "net", REGRESSION, [candidate(REGRESSION, "LinearRegression")], _LINE_KEY)
     scored = Scorer.of(trained).score(df, ("l_orderkey", "l_linenumber", "l_quantity", "l_discount"))
     trained.release()
     return explain.sample_explanations(scored, _LINE_KEY, 3)
@@ -500,7 +494,7 @@ def _(spark, sf_dir):
 
 @query("stored_leaderboard")
 def _(spark, sf_dir):
-    trained = _fit(_prices(spark, sf_dir), "net", REGRESSION, [_spec(REGRESSION, "LinearRegression")], _LINE_KEY)
+    trained = _fit(_prices(spark, sf_dir), "net", REGRESSION, [candidate(REGRESSION, "LinearRegression")], _LINE_KEY)
     path = scratch_path(spark, "leaderboard")
     sinks.write_leaderboard(training.leaderboard(spark, trained), path)
     trained.release()
@@ -509,7 +503,7 @@ def _(spark, sf_dir):
 
 def _full_run(spark, sf_dir):
     df = _late(spark, sf_dir)
-    specs = [_spec(CLASSIFICATION, "LogisticRegression"), _spec(CLASSIFICATION, "RandomForest", n_trees=10, max_depth=5)]
+    specs = [candidate(CLASSIFICATION, "LogisticRegression"), candidate(CLASSIFICATION, "RandomForest", numTrees=10, maxDepth=5)]
     return df, run.run(
         df, "watch", settings=training.Settings(trials=1, cv_folds=2), specs=specs, key=["o_orderkey"]
     )
@@ -519,8 +513,8 @@ def _full_run(spark, sf_dir):
 def _(spark, sf_dir):
     _df, result = _full_run(spark, sf_dir)
     path = scratch_path(spark, "run")
-    result.write(path)
-    return spark.read.parquet(f"{path}/leaderboard").select("rank", "name", "score")
+    result.write(spark, path)
+    return spark.read.parquet(f"{path}/facets/leaderboard").select("rank", "name", "score")
 
 
 @query("report_summary")

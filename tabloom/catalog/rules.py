@@ -416,4 +416,4 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    return tally.n_unique(drop_columns(df, [c.name for c in heuristics.detect_id_columns(df)]))
+    return tally.n_unique(drop_columns(df, list(heuristics.id_reasons(df))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.heuristics import ProblemType, suggest_plan
-from ..plans.registry import ModelSpec, _linear
+from ..plans.registry import candidate
 from ..plans.scoring import Scorer
 from ..plans.training import Settings, train_supervised
 from ..session import scratch_path
@@ -65,7 +65,7 @@ def _(spark, sf_dir):
     target = "l_extendedprice"
     trained = train_supervised(
         stored, target, suggest_plan(stored, target), ProblemType.REGRESSION,
-        Settings(trials=1, cv_folds=1), [ModelSpec("LinearRegression", ProblemType.REGRESSION, _linear)],
+        Settings(trials=1, cv_folds=1), [candidate(ProblemType.REGRESSION, "LinearRegression")],
         key=["l_orderkey", "l_linenumber"],
     )
     schema = table(spark, sf_dir, "lineitem").schema

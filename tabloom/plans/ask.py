@@ -11,7 +11,7 @@ from ..functions.kinds import drop_columns, numeric_columns, plan_numeric_column
 from ..operators.correlation import top_pairs
 from ..operators.profile import duplicate_count, missing, outliers, target_summary, target_top_values, top_missing
 from ..operators.tally import collect_tally
-from .heuristics import detect_id_columns
+from .heuristics import id_reasons
 
 # The words that route a question, first match wins. All words of one inner tuple must occur.
 KEYWORDS: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = (
@@ -105,7 +105,7 @@ def _target(df, target, *_):
 
 
 def _outliers(df, *_):
-    analysed = drop_columns(df, [c.name for c in detect_id_columns(df)])
+    analysed = drop_columns(df, list(id_reasons(df)))
     first = outliers(analysed).orderBy("position").limit(5)
     return _answer("outliers", first, F.col("column"), F.col("n_outliers"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import enum
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +53,9 @@ class ProblemType(str, enum.Enum):
     TIME_SERIES = "time_series"
 
 
-@dataclass(frozen=True)
-class IdColumn:
-    name: str
-    reason: str
-
+class Ranked(NamedTuple):
+    """A column that may be the target."""
 
-@dataclass(frozen=True)
-class TargetSuggestion:
     column: str
     problem_type: ProblemType
     score: float
@@ -80,10 +76,12 @@ class Plan:
     notes: dict[str, str] = field(default_factory=dict)
 
 
-def is_identifier_name(name: str) -> bool:
-    """the name matches one of the identifier patterns."""
-    text = name.strip()
-    return bool(text) and any(re.search(p, text, re.IGNORECASE) for p in ID_NAME_PATTERNS)
+_ID_NAME = re.compile("|".join(f"(?:{p})" for p in ID_NAME_PATTERNS), re.IGNORECASE)
+
+
+def looks_like_id(name: str) -> bool:
+    """some identifier pattern occurs in the name."""
+    return _ID_NAME.search(name.strip()) is not None
 
 
 def hash_like_columns(df: DataFrame, columns: list[str]) -> set[str]:
@@ -101,31 +99,26 @@ def hash_like_columns(df: DataFrame, columns: list[str]) -> set[str]:
     }
 
 
-def detect_id_columns(df: DataFrame, tally: TableTally | None = None, threshold: float = ID_RATIO) -> list[IdColumn]:
-    """H1: columns that identify rows; the first rule that holds gives the reason."""
+# Why a column identifies rows: (reason, test of its tally and of whether its values look like hashes).
+ID_RULES = (
+    ("name_and_unique", lambda c, hashed: c.unique_ratio >= ID_RATIO and looks_like_id(c.name)),
+    ("numeric_unique", lambda c, hashed: c.unique_ratio >= UNIQUE_RATIO and c.numeric),
+    ("hash_like", lambda c, hashed: hashed),
+)
+
+
+def id_reasons(df: DataFrame, tally: TableTally | None = None) -> dict[str, str]:
+    """H1: the columns that identify rows, each with the first rule that holds. Values are read only of unique texts
+    that no rule on the tally settles."""
     tally = tally or collect_tally(df)
-    texts = [
-        c.name
-        for c in tally.columns
-        if c.kind == CATEGORICAL
-        and c.unique_ratio >= UNIQUE_RATIO
-        and not (is_identifier_name(c.name) and c.unique_ratio >= threshold)
-    ]
-    hashes = hash_like_columns(df, texts)
-    found = []
-    for c in tally.columns:
-        if is_identifier_name(c.name) and c.unique_ratio >= threshold:
-            found.append(IdColumn(c.name, "name_and_unique"))
-        elif c.numeric and c.unique_ratio >= UNIQUE_RATIO:
-            found.append(IdColumn(c.name, "numeric_unique"))
-        elif c.name in hashes:
-            found.append(IdColumn(c.name, "hash_like"))
-    return found
+    why = {c.name: next((reason for reason, holds in ID_RULES if holds(c, False)), None) for c in tally.columns}
+    texts = [c.name for c in tally.columns if not why[c.name] and c.kind == CATEGORICAL and c.unique_ratio >= UNIQUE_RATIO]
+    why.update(dict.fromkeys(hash_like_columns(df, texts), ID_RULES[-1][0]))
+    return {name: reason for name, reason in why.items() if reason}
 
 
 def id_columns_frame(df: DataFrame, tally: TableTally | None = None) -> DataFrame:
-    rows = [(c.name, c.reason) for c in detect_id_columns(df, tally)]
-    return df.sparkSession.createDataFrame(rows, "column string, reason string")
+    return df.sparkSession.createDataFrame(list(id_reasons(df, tally).items()), "column string, reason string")
 
 
 def detect_problem_type(df: DataFrame, target: str | None = None, tally: TableTally | None = None) -> ProblemType:
@@ -145,106 +138,95 @@ def recommended_type(c: ColumnTally) -> ProblemType:
     return ProblemType.CLASSIFICATION
 
 
-def _target_score(c: ColumnTally, place: int, width: int) -> tuple[float, list[str]]:
-    points, reasons = 0.0, []
-
-    def give(amount: float, reason: str) -> None:
-        nonlocal points
-        points += amount
-        reasons.append(reason)
-
-    if any(hint in c.name.lower() for hint in TARGET_HINTS):
-        give(0.35, "name_hint")
-    if place == width - 1:
-        give(0.10, "last_column")
-    elif place >= width - 3:
-        give(0.04, "near_last")
-    if c.n_unique <= 15 and not c.numeric:
-        give(0.30, "few_categories")
-    elif c.n_unique <= 20 and c.numeric:
-        give(0.20, "few_numbers")
-    elif c.numeric and c.unique_ratio > 0.05:
-        give(0.15, "continuous")
-    if 1 < c.n_unique <= 5:
-        give(0.05, "low_cardinality")
-    if c.missing_ratio > 0.30:
-        give(-0.20, "many_missing")
-    if c.missing_ratio > 0.60:
-        points = -1.0
-    return points, reasons
-
-
-def recommend_target(
-    df: DataFrame, user_target: str | None = None, tally: TableTally | None = None, k: int = 5
-) -> list[TargetSuggestion]:
-    """H5/K4: ranked target candidates; a target chosen by the user stands alone with score 1."""
+# What speaks for a column as the target. Of each group the first rule that holds counts: (reason, points, test of
+# the tally and of how many columns come after it). Points are fixed values.
+TARGET_RULES = (
+    (("name_hint", 0.35, lambda c, after: any(h in c.name.lower() for h in TARGET_HINTS)),),
+    (("last_column", 0.10, lambda c, after: after == 0), ("near_last", 0.04, lambda c, after: after < 3)),
+    (
+        ("few_categories", 0.30, lambda c, after: not c.numeric and c.n_unique <= 15),
+        ("few_numbers", 0.20, lambda c, after: c.numeric and c.n_unique <= 20),
+        ("continuous", 0.15, lambda c, after: c.numeric and c.unique_ratio > 0.05),
+    ),
+    (("low_cardinality", 0.05, lambda c, after: c.n_unique in range(2, 6)),),
+    (("many_missing", -0.20, lambda c, after: c.missing_ratio > 0.30),),
+)
+# A column with a larger share of missing values is no target.
+TARGET_MISSING = 0.60
+
+
+def rank_targets(
+    df: DataFrame, chosen: str | None = None, tally: TableTally | None = None, k: int = 5
+) -> list[Ranked]:
+    """H5/K4: the ``k`` columns with most points; a target that the user has chosen stands alone with score 1."""
     tally = tally or collect_tally(df)
-    if user_target and user_target in tally:
-        return [TargetSuggestion(user_target, recommended_type(tally[user_target]), 1.0, ("user_choice",))]
-    found = []
-    for place, c in enumerate(tally.columns):
-        points, reasons = _target_score(c, place, len(tally.columns))
-        if points > 0:
-            found.append(TargetSuggestion(c.name, recommended_type(c), round(points, 3), tuple(reasons)))
-    return sorted(found, key=lambda s: -s.score)[:k]
+    if chosen and chosen in tally:
+        return [Ranked(chosen, recommended_type(tally[chosen]), 1.0, ("user_choice",))]
+    ranked = []
+    for after, c in zip(range(len(tally.columns) - 1, -1, -1), tally.columns):
+        met = [next((r for r in group if r[2](c, after)), None) for group in TARGET_RULES]
+        points = sum(r[1] for r in met if r)
+        if points > 0 and c.missing_ratio <= TARGET_MISSING:
+            ranked.append(Ranked(c.name, recommended_type(c), round(points, 3), tuple(r[0] for r in met if r)))
+    return sorted(ranked, key=lambda r: -r.score)[:k]
 
 
 def target_frame(df: DataFrame, user_target: str | None = None, tally: TableTally | None = None) -> DataFrame:
     rows = [
         (i + 1, s.column, s.problem_type.value, s.score, ",".join(s.reasons))
-        for i, s in enumerate(recommend_target(df, user_target, tally))
+        for i, s in enumerate(rank_targets(df, user_target, tally))
     ]
     return df.sparkSession.createDataFrame(
         rows, "rank int, column string, problem_type string, score double, reasons string"
     )
 
 
-def _drop_reason(c: ColumnTally, n_rows: int) -> str | None:
-    if c.n_unique <= 1:
-        return "constant"
-    if c.numeric and c.n_unique >= max(n_rows, 1):
-        return "unique_per_row"
-    if c.missing_ratio > 0.95:
-        return "mostly_missing"
-    return None
+# Why a column is of no use: (reason, test of its tally, of the number of rows and of its kind).
+DROP_RULES = (
+    ("nested", lambda c, rows, kind: kind == NESTED),
+    ("constant", lambda c, rows, kind: c.n_unique <= 1),
+    ("unique_per_row", lambda c, rows, kind: c.numeric and c.n_unique >= max(rows, 1)),
+    ("mostly_missing", lambda c, rows, kind: c.missing_ratio > 0.95),
+)
+# How the columns that stay are filled and coded: the first rule that holds. (test, value); fixed values.
+FILL_RULES = (
+    (lambda c: not c.numeric, "most_frequent"),
+    (lambda c: c.n_missing, "median"),
+    (lambda c: True, "none"),
+)
+CODE_RULES = (
+    (lambda c: c.numeric and 2 < c.n_unique <= 10, "ordinal"),
+    (lambda c: c.numeric, "passthrough"),
+    (lambda c: c.n_unique <= 10, "onehot"),
+    (lambda c: True, "wide"),
+)
+
+
+def _first(rules, *about):
+    return next((value for value, holds in rules if holds(*about)), None)
 
 
 def suggest_plan(df: DataFrame, target: str | None = None, tally: TableTally | None = None) -> Plan:
     """H9: what to drop, impute, encode, scale, reduce and derive."""
     tally = tally or collect_tally(df)
-    drop = {c.name: c.reason for c in detect_id_columns(df, tally) if c.name != target}
-    imputation: dict[str, str] = {}
-    encoders: dict[str, str] = {}
-    notes: dict[str, str] = {}
-    for c in tally.columns:
-        if c.name == target or c.name in drop:
-            continue
-        if kind_of(df.schema[c.name].dataType) == NESTED:
-            drop[c.name] = "nested"
-            continue
-        reason = _drop_reason(c, tally.n_rows)
-        if reason:
-            drop[c.name] = reason
-        elif c.numeric:
-            imputation[c.name] = "median" if c.n_missing else "none"
-            encoders[c.name] = "ordinal" if 2 < c.n_unique <= 10 else "passthrough"
-        else:
-            imputation[c.name] = "most_frequent"
-            wide = "target" if target else "ordinal"
-            encoders[c.name] = "onehot" if c.n_unique <= 10 else wide
-            if c.n_unique > 50:
-                notes[c.name] = "high_cardinality"
+    kinds = {c: kind_of(f.dataType) for c, f in zip(df.columns, df.schema.fields)}
+    drop = {c: why for c, why in id_reasons(df, tally).items() if c != target}
+    asked = [c for c in tally.columns if c.name != target and c.name not in drop]
+    drop |= {c.name: why for c in asked if (why := _first(DROP_RULES, c, tally.n_rows, kinds[c.name]))}
+    kept = [c for c in asked if c.name not in drop]
+    wide = {"wide": "target" if target else "ordinal"}
+    codes = {c.name: next(code for holds, code in CODE_RULES if holds(c)) for c in kept}
     numbers = [c for c in numeric_columns(df) if c not in drop and c != target]
-    wide_table = len(df.columns) - len(drop) > 50 and tally.n_rows > 500
+    many = len(df.columns) - len(drop) > 50 and tally.n_rows > 500
     return Plan(
         drop=drop,
-        imputation=imputation,
-        encoders=encoders,
+        imputation={c.name: next(how for holds, how in FILL_RULES if holds(c)) for c in kept},
+        encoders={c: wide.get(code, code) for c, code in codes.items()},
         scaling="standard" if numbers else "none",
-        reduction="variance" if wide_table else None,
+        reduction="variance" if many else None,
         date_features=tuple(columns_of(df, DATETIME)),
         ratios=len(numbers) >= 3,
-        notes=notes,
+        notes={c.name: "high_cardinality" for c in kept if not c.numeric and c.n_unique > 50},
     )
 
 

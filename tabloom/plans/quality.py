@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from ..functions.kinds import drop_columns, numeric_columns
 from ..operators.isolation import anomaly_summary
 from ..operators.profile import class_balance_summary, duplicate_count, missing, outliers
 from ..operators.tally import TableTally, collect_tally
-from .heuristics import IdColumn, detect_id_columns
+from .heuristics import id_reasons
 
 # Points lost per column above a missing share, and per table above a duplicate share.
 MISSING_POINTS = ((0.50, 12), (0.20, 5), (0.05, 2))
@@ -23,7 +23,7 @@ class Evidence:
     """The facet rows that scoring rules read: a few rows per column of the table."""
 
     n_rows: int
-    ids: tuple[IdColumn, ...]
+    ids: tuple[str, ...]
     missing: tuple
     n_duplicates: int
     outliers: tuple
@@ -32,8 +32,8 @@ class Evidence:
 
 def gather(df: DataFrame, target: str | None = None, tally: TableTally | None = None) -> Evidence:
     tally = tally or collect_tally(df)
-    ids = tuple(detect_id_columns(df, tally))
-    analysed = drop_columns(df, [c.name for c in ids])
+    ids = tuple(id_reasons(df, tally))
+    analysed = drop_columns(df, ids)
     return Evidence(
         n_rows=tally.n_rows,
         ids=ids,
@@ -57,7 +57,7 @@ def penalties(e: Evidence) -> list[tuple[int, str, str, float]]:
     lost = [(_points(r.ratio, MISSING_POINTS), "missing", r["column"], float(r.ratio)) for r in e.missing]
     ratio = e.n_duplicates / max(e.n_rows, 1)
     lost.append((_points(ratio, DUPLICATE_POINTS), "duplicates", str(e.n_duplicates), round(ratio, 4)))
-    lost.append((min(8, 2 * len(e.ids)), "identifiers", ",".join(c.name for c in e.ids), float(len(e.ids))))
+    lost.append((min(8, 2 * len(e.ids)), "identifiers", ",".join(e.ids), float(len(e.ids))))
     lost.append(
         (min(15, 3 * len(e.outliers)), "outliers", _top_names(e.outliers, "n_outliers"), float(len(e.outliers)))
     )
@@ -93,12 +93,17 @@ def insights(
     evidence: Evidence | None = None,
     anomaly_threshold: float = 0.1,
     contamination: float = 0.05,
+    anomalies: Row | None = None,
 ) -> DataFrame:
-    """H7: (rank, code, detail, measure): what a reader should know first."""
+    """H7: (rank, code, detail, measure): what a reader should know first.
+
+    A forest flags a fixed share of the rows, so it is fitted, unless its summary is given as ``anomalies``, only
+    where that share can reach the threshold; otherwise the code ``anomalies`` cannot occur.
+    """
     e = evidence or gather(df, target)
     found: list[tuple[str, str, float]] = []
     if e.ids:
-        found.append(("identifiers", ",".join(c.name for c in e.ids), float(len(e.ids))))
+        found.append(("identifiers", ",".join(e.ids), float(len(e.ids))))
     if e.missing:
         found.append(("missing", _top_names(e.missing, "n_missing"), float(sum(r.n_missing for r in e.missing))))
     if e.n_duplicates:
@@ -107,12 +112,11 @@ def insights(
         found.append(("imbalance", e.balance.target, float(e.balance.majority_minority_ratio)))
     if e.outliers:
         found.append(("outliers", _top_names(e.outliers, "n_outliers"), float(len(e.outliers))))
-    # Flags are a fixed share of the rows, so the forest is fitted only where that share can matter.
-    if contamination + 1 / max(e.n_rows, 1) > anomaly_threshold:
-        analysed = drop_columns(df, [c.name for c in e.ids])
-        row = anomaly_summary(analysed, numeric_columns(analysed), contamination).first()
-        if row.available and row.ratio > anomaly_threshold:
-            found.append(("anomalies", str(row.n_anomalies), float(row.ratio)))
+    if anomalies is None and contamination + 1 / max(e.n_rows, 1) > anomaly_threshold:
+        analysed = drop_columns(df, e.ids)
+        anomalies = anomaly_summary(analysed, numeric_columns(analysed), contamination).first()
+    if anomalies is not None and anomalies.available and anomalies.ratio > anomaly_threshold:
+        found.append(("anomalies", str(anomalies.n_anomalies), float(anomalies.ratio)))
     found = found or [("clean", "", 0.0)]
     return df.sparkSession.createDataFrame(
         [(i + 1, *r) for i, r in enumerate(found)], "rank int, code string, detail string, measure double"

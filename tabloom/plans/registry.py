@@ -1,33 +1,25 @@
-"""Model registry (M1-M16): what is trained for each problem type, with defaults and search spaces.
+"""What is trained for each problem type.
 
-A factory takes the chosen parameters and a :class:`Context` and returns an estimator: a ``pyspark.ml``
-one, or an object of this package with the same ``fit(df).transform(df)`` surface.
+A candidate is a name, a way to build an estimator, and Spark parameters: those of the plain fit, and the values a
+search may try. Estimators are those of ``pyspark.ml`` or objects of this package with the same
+``fit(df).transform(df)`` surface. ``BOARD`` lists the candidates in training order; more can be added at run time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml import classification, clustering, regression
 
 from ..operators.dbscan import DensityClusters
 from ..operators.neighbors import LocalOutlierFactor, NearestNeighbors
 from ..operators.outlier_models import IsolationForestEstimator, MahalanobisEstimator
 from .heuristics import ProblemType
 
-# Deepest tree that Spark grows; stands for "no limit".
-DEEPEST = 30
+# Forests "without a limit" stop here: a tree of that depth has at most 32,768 leaves, so 200 of them fit a driver.
+FOREST_DEPTH = 15
 
 
 @dataclass(frozen=True)
@@ -39,59 +31,46 @@ class Context:
 
 
 @dataclass(frozen=True)
-class ModelSpec:
-    name: str
-    problem_type: ProblemType
-    factory: Callable[[dict[str, Any], Context], Any]
-    space: dict[str, list] = field(default_factory=dict)
-    defaults: dict[str, Any] = field(default_factory=dict)
-    supports_proba: bool = False
-
-
-def _one_vs_rest(estimator, context: Context):
-    return estimator if context.n_classes <= 2 else OneVsRest(classifier=estimator)
+class PerRow:
+    """A penalty on the summed loss, as a share of the mean loss that Spark minimises."""
 
+    value: float
 
-def _logistic(p, c):
-    # The penalty of the inverse-strength form C is 1 / (C * rows) in Spark's mean-loss form.
-    return LogisticRegression(maxIter=1000, regParam=1.0 / (p["C"] * max(c.n_rows, 1)), standardization=False)
+    def of(self, context: Context) -> float:
+        return self.value / max(context.n_rows, 1)
 
+    def __str__(self) -> str:
+        return f"{self.value:g}/rows"
 
-def _linear(p, c):
-    # One-hot columns keep every level, so many solutions fit equally; a trace of ridge picks the smallest.
-    return LinearRegression(regParam=1e-8, elasticNetParam=0.0)
 
-
-def _forest(kind):
-    def build(p, c):
-        return kind(
-            numTrees=p["n_trees"],
-            maxDepth=p["max_depth"] or DEEPEST,
-            minInstancesPerNode=max(p.get("min_split", 2) // 2, 1),
-            seed=c.seed,
-        )
-
-    return build
+Params = Mapping[str, Any]
 
 
-def _boosted_classifier(p, c):
-    return _one_vs_rest(
-        GBTClassifier(maxIter=p["rounds"], maxDepth=p["max_depth"], stepSize=p["rate"], seed=c.seed), c
-    )
+@dataclass(frozen=True)
+class Candidate:
+    name: str
+    problem_type: ProblemType
+    build: Callable[[Params, Context], Any]
+    params: Params = field(default_factory=dict)
+    grid: Mapping[str, tuple] = field(default_factory=dict)
 
 
-def _boosted_regressor(p, c):
-    return GBTRegressor(maxIter=p["rounds"], maxDepth=p["max_depth"], stepSize=p["rate"], seed=c.seed)
+def _estimator(kind: type, *, two_classes: bool = False, **fixed) -> Callable[[Params, Context], Any]:
+    """Build a Spark estimator from its own parameters; one that knows two classes only is fitted one-vs-rest."""
 
+    def build(params: Params, context: Context):
+        given = {k: v.of(context) if isinstance(v, PerRow) else v for k, v in {**fixed, **params}.items()}
+        if hasattr(kind, "setSeed"):
+            given["seed"] = context.seed
+        one = kind(**given)
+        return classification.OneVsRest(classifier=one) if two_classes and context.n_classes > 2 else one
 
-def _svm(p, c):
-    return _one_vs_rest(LinearSVC(maxIter=100, regParam=1.0 / (p["C"] * max(c.n_rows, 1)), standardization=False), c)
+    return build
 
 
-def _perceptron(p, c):
-    return MultilayerPerceptronClassifier(
-        layers=[c.n_features, *p["hidden"], max(c.n_classes, 2)], maxIter=500, seed=c.seed
-    )
+def _perceptron(params: Params, context: Context):
+    layers = [context.n_features, *params["hidden"], max(context.n_classes, 2)]
+    return classification.MultilayerPerceptronClassifier(layers=layers, maxIter=500, seed=context.seed)
 
 
 class RestartedKMeans:
@@ -101,107 +80,78 @@ class RestartedKMeans:
         self.k, self.restarts, self.seed = k, restarts, seed
 
     def fit(self, df):
-        runs = [KMeans(k=self.k, seed=self.seed + i).fit(df) for i in range(self.restarts)]
+        runs = [clustering.KMeans(k=self.k, seed=self.seed + i).fit(df) for i in range(self.restarts)]
         return min(runs, key=lambda m: m.summary.trainingCost)
 
 
-def classification_models() -> list[ModelSpec]:
-    kind = ProblemType.CLASSIFICATION
-    return [
-        ModelSpec("LogisticRegression", kind, _logistic, {"C": [0.1, 1.0, 5.0]}, {"C": 1.0}, True),
-        ModelSpec(
-            "RandomForest", kind, _forest(RandomForestClassifier),
-            {"n_trees": [100, 300], "max_depth": [None, 10, 20], "min_split": [2, 5]},
-            {"n_trees": 200, "max_depth": None, "min_split": 2}, True,
-        ),
-        ModelSpec(
-            "BoostedTrees", kind, _boosted_classifier,
-            {"rounds": [200, 400], "max_depth": [3, 6], "rate": [0.05, 0.1]},
-            {"rounds": 200, "max_depth": 6, "rate": 0.1}, True,
-        ),
-        ModelSpec(
-            "KNN", kind, lambda p, c: NearestNeighbors(p["k"], p["weights"]),
-            {"k": [3, 5, 11], "weights": ["uniform", "distance"]}, {"k": 5, "weights": "uniform"},
-        ),
-        ModelSpec("SVM", kind, _svm, {"C": [0.5, 1.0, 5.0]}, {"C": 1.0}),
-        ModelSpec("MLP", kind, _perceptron, {"hidden": [(64,), (64, 32)]}, {"hidden": (64, 32)}, True),
-    ]
-
-
-def regression_models() -> list[ModelSpec]:
-    kind = ProblemType.REGRESSION
-    return [
-        ModelSpec("LinearRegression", kind, _linear),
-        ModelSpec(
-            "RandomForest", kind, _forest(RandomForestRegressor),
-            {"n_trees": [100, 300], "max_depth": [None, 10, 20]}, {"n_trees": 200, "max_depth": None},
-        ),
-        ModelSpec(
-            "BoostedTrees", kind, _boosted_regressor,
-            {"rounds": [200, 400], "max_depth": [3, 6], "rate": [0.05, 0.1]},
-            {"rounds": 200, "max_depth": 6, "rate": 0.1},
-        ),
-        ModelSpec(
-            "GradientBoosting", kind, _boosted_regressor,
-            {"rounds": [100, 300], "max_depth": [3, 5], "rate": [0.05, 0.1]},
-            {"rounds": 100, "max_depth": 3, "rate": 0.1},
-        ),
-    ]
-
-
-def clustering_models() -> list[ModelSpec]:
-    kind = ProblemType.CLUSTERING
-    return [
-        ModelSpec(
-            "KMeans", kind, lambda p, c: RestartedKMeans(p["k"], p.get("restarts", 10), c.seed),
-            {"k": [3, 4, 5, 8]}, {"k": 4},
-        ),
-        ModelSpec(
-            "DBSCAN", kind, lambda p, c: DensityClusters(p["eps"], p["min_points"]),
-            {"eps": [0.3, 0.5, 0.8], "min_points": [3, 5, 10]}, {"eps": 0.5, "min_points": 5},
-        ),
-        ModelSpec(
-            "Agglomerative", kind, lambda p, c: BisectingKMeans(k=p["k"], seed=c.seed), {"k": [3, 4, 5]}, {"k": 4}
-        ),
-    ]
-
-
-def anomaly_models() -> list[ModelSpec]:
-    kind = ProblemType.ANOMALY_DETECTION
-    return [
-        ModelSpec(
-            "IsolationForest", kind, lambda p, c: IsolationForestEstimator(p["contamination"], seed=c.seed),
-            {"contamination": [0.05, 0.1]}, {"contamination": 0.05},
-        ),
-        ModelSpec(
-            "OneClassSVM", kind, lambda p, c: MahalanobisEstimator(p["nu"]), {"nu": [0.05, 0.1]}, {"nu": 0.05}
-        ),
-        ModelSpec(
-            "LocalOutlierFactor", kind, lambda p, c: LocalOutlierFactor(p["k"], p.get("contamination", 0.05)),
-            {"k": [10, 20]}, {"k": 20},
-        ),
-    ]
-
-
-_BUILT_IN = {
-    ProblemType.CLASSIFICATION: classification_models,
-    ProblemType.REGRESSION: regression_models,
-    ProblemType.CLUSTERING: clustering_models,
-    ProblemType.ANOMALY_DETECTION: anomaly_models,
-}
-_EXTRA: dict[ProblemType, list[ModelSpec]] = {}
-
-
-def register_model(spec: ModelSpec) -> None:
-    """Add a model to the list of its problem type; a spec of the same name is replaced."""
-    rest = [s for s in _EXTRA.get(spec.problem_type, []) if s.name != spec.name]
-    _EXTRA[spec.problem_type] = [*rest, spec]
-
-
-def get_models(problem_type: ProblemType) -> list[ModelSpec]:
-    """The models of a problem type in training order."""
-    if problem_type not in _BUILT_IN:
+def _board() -> dict[ProblemType, tuple[Candidate, ...]]:
+    """Names and values are fixed: the models, plain settings and search values that results are compared by."""
+    board: dict[ProblemType, list[Candidate]] = {}
+
+    def add(kind: ProblemType, name: str, build, params: Params = {}, **grid: tuple) -> None:
+        board.setdefault(kind, []).append(Candidate(name, kind, build, params, grid))
+
+    ml, depths = ProblemType, (FOREST_DEPTH, 10, 20)
+    boosting = {"maxIter": (200, 400), "maxDepth": (3, 6), "stepSize": (0.05, 0.1)}
+
+    # Penalties are the inverse of 0.1, 1 and 5 (0.5, 1 and 5 for the support vectors), spread over the rows.
+    add(ml.CLASSIFICATION, "LogisticRegression",
+        _estimator(classification.LogisticRegression, maxIter=1000, standardization=False),
+        {"regParam": PerRow(1.0)}, regParam=(PerRow(10.0), PerRow(1.0), PerRow(0.2)))
+    add(ml.CLASSIFICATION, "RandomForest", _estimator(classification.RandomForestClassifier),
+        {"numTrees": 200, "maxDepth": FOREST_DEPTH, "minInstancesPerNode": 1},
+        numTrees=(100, 300), maxDepth=depths, minInstancesPerNode=(1, 2))
+    add(ml.CLASSIFICATION, "BoostedTrees", _estimator(classification.GBTClassifier, two_classes=True),
+        {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}, **boosting)
+    add(ml.CLASSIFICATION, "KNN", lambda p, c: NearestNeighbors(p["k"], p["weights"]),
+        {"k": 5, "weights": "uniform"}, k=(3, 5, 11), weights=("uniform", "distance"))
+    add(ml.CLASSIFICATION, "SVM",
+        _estimator(classification.LinearSVC, two_classes=True, maxIter=100, standardization=False),
+        {"regParam": PerRow(1.0)}, regParam=(PerRow(2.0), PerRow(1.0), PerRow(0.2)))
+    add(ml.CLASSIFICATION, "MLP", _perceptron, {"hidden": (64, 32)}, hidden=((64,), (64, 32)))
+
+    # One-hot columns keep every level, so many lines fit equally; a trace of ridge picks the smallest.
+    add(ml.REGRESSION, "LinearRegression", _estimator(regression.LinearRegression, regParam=1e-8))
+    add(ml.REGRESSION, "RandomForest", _estimator(regression.RandomForestRegressor),
+        {"numTrees": 200, "maxDepth": FOREST_DEPTH}, numTrees=(100, 300), maxDepth=depths)
+    add(ml.REGRESSION, "BoostedTrees", _estimator(regression.GBTRegressor),
+        {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}, **boosting)
+    add(ml.REGRESSION, "GradientBoosting", _estimator(regression.GBTRegressor),
+        {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}, maxIter=(100, 300), maxDepth=(3, 5), stepSize=(0.05, 0.1))
+
+    add(ml.CLUSTERING, "KMeans", lambda p, c: RestartedKMeans(p["k"], p["restarts"], c.seed),
+        {"k": 4, "restarts": 10}, k=(3, 4, 5, 8))
+    add(ml.CLUSTERING, "DBSCAN", lambda p, c: DensityClusters(p["eps"], p["min_points"]),
+        {"eps": 0.5, "min_points": 5}, eps=(0.3, 0.5, 0.8), min_points=(3, 5, 10))
+    add(ml.CLUSTERING, "Agglomerative", _estimator(clustering.BisectingKMeans), {"k": 4}, k=(3, 4, 5))
+
+    add(ml.ANOMALY_DETECTION, "IsolationForest", lambda p, c: IsolationForestEstimator(p["contamination"], seed=c.seed),
+        {"contamination": 0.05}, contamination=(0.05, 0.1))
+    add(ml.ANOMALY_DETECTION, "OneClassSVM", lambda p, c: MahalanobisEstimator(p["nu"]), {"nu": 0.05}, nu=(0.05, 0.1))
+    add(ml.ANOMALY_DETECTION, "LocalOutlierFactor", lambda p, c: LocalOutlierFactor(p["k"], p["contamination"]),
+        {"k": 20, "contamination": 0.05}, k=(10, 20))
+    return {kind: tuple(found) for kind, found in board.items()}
+
+
+BOARD = _board()
+_ADDED: dict[tuple[ProblemType, str], Candidate] = {}
+
+
+def add_candidate(candidate: Candidate) -> None:
+    """Train this one too; a candidate of the same problem type and name is replaced."""
+    _ADDED[candidate.problem_type, candidate.name] = candidate
+
+
+def candidates(problem_type: ProblemType) -> list[Candidate]:
+    """The candidates of a problem type in training order."""
+    if problem_type not in BOARD:
         raise ValueError(f"no models for {problem_type.value}")
-    extra = {s.name: s for s in _EXTRA.get(problem_type, [])}
-    built_in = [extra.pop(s.name, s) for s in _BUILT_IN[problem_type]()]
-    return [*built_in, *extra.values()]
+    named = {c.name: c for c in BOARD[problem_type]}
+    named.update({name: c for (kind, name), c in _ADDED.items() if kind is problem_type})
+    return list(named.values())
+
+
+def candidate(problem_type: ProblemType, name: str, **params) -> Candidate:
+    """One candidate without a search, with some of its parameters set."""
+    found = next(c for c in candidates(problem_type) if c.name == name)
+    return Candidate(found.name, problem_type, found.build, {**found.params, **params})

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinds import CATEGORICAL, DATETIME, columns_of, drop_columns, normalize, numeric_columns
-from ..operators.correlation import top_pairs
+from ..operators.correlation import correlations, top_pairs
 from ..operators.isolation import anomaly_summary
 from ..operators.profile import (
+    boxplots,
     categorical_summary,
     class_balance,
     class_balance_summary,
     column_info,
     describe_numeric,
     duplicate_count,
+    histograms,
     missing,
     missing_totals,
     outliers,
     shape,
+    target_distribution,
 )
 from ..operators.tally import TableTally, collect_tally
 from ..operators.temporal import temporal_summary
@@ -29,16 +33,16 @@ from .explain import explain_clusters, feature_importance, top_features
 from .heuristics import (
     Plan,
     ProblemType,
-    detect_id_columns,
     detect_problem_type,
     id_columns_frame,
     plan_frame,
-    recommend_target,
+    rank_targets,
     suggest_plan,
     target_frame,
 )
 from .quality import gather, insights, quality_breakdown, quality_score
-from .registry import ModelSpec
+from .registry import Candidate
+from .scoring import Scorer
 from .training import PRIMARY_METRIC, Settings, Trained, leaderboard, train_supervised, train_unsupervised
 
 
@@ -52,10 +56,25 @@ class RunResult:
     status: str = "trained"
     notes: list[str] = field(default_factory=list)
 
-    def write(self, path: str) -> None:
-        """One folder per facet."""
+    def overview(self, spark: SparkSession) -> DataFrame:
+        """(item, value): type, target, status, notes, the plan and the best model with its settings."""
+        rows = [("problem_type", self.problem_type.value), ("target", self.target), ("status", self.status)]
+        rows += [("note", note) for note in self.notes]
+        rows.append(("plan", json.dumps(asdict(self.plan), sort_keys=True)))
+        if self.trained is not None:
+            best = self.trained.best
+            rows += [("best_model", best.name)]
+            rows += [("parameter", f"{k}={v}") for k, v in best.params.items()]
+            rows += [("metric", f"{k}={v}") for k, v in best.metrics.items()]
+        return spark.createDataFrame(rows, "item string, value string")
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        """The overview, one folder per facet, and the best model with its preparation."""
+        self.overview(spark).write.parquet(f"{path}/overview")
         for name, frame in self.facets.items():
-            frame.write.parquet(f"{path}/{name}")
+            frame.write.parquet(f"{path}/facets/{name}")
+        if self.trained is not None:
+            Scorer.of(self.trained).save(spark, f"{path}/scorer")
 
 
 def dataset_summary(
@@ -88,32 +107,44 @@ def dataset_summary(
 
 
 def profile(df: DataFrame, target: str | None = None, tally: TableTally | None = None) -> dict[str, DataFrame]:
-    """All profile facets. Identifier columns are left out of the analysed ones."""
+    """All profile facets. Identifier columns are left out of the analysed ones.
+
+    What the quality rules read is computed once and handed on as rows.
+    """
     df = normalize(df)
     tally = tally or collect_tally(df)
-    ids = [c.name for c in detect_id_columns(df, tally)]
-    analysed = drop_columns(df, ids)
     evidence = gather(df, target, tally)
+    analysed = drop_columns(df, evidence.ids)
+
+    def known(lazy: DataFrame, rows) -> DataFrame:
+        return df.sparkSession.createDataFrame(list(rows), lazy.schema)
+
+    anomalies = anomaly_summary(analysed, numeric_columns(analysed))
+    pairs = correlations(analysed)
     facets = {
         "shape": shape(df),
         "id_columns": id_columns_frame(df, tally),
         "describe": describe_numeric(analysed),
-        "missing": missing(df),
+        "missing": known(missing(df), evidence.missing),
         "missing_totals": missing_totals(df),
         "duplicates": duplicate_count(df, tally),
+        "correlations": pairs,
         "top_pairs": top_pairs(analysed),
-        "outliers": outliers(analysed),
+        "outliers": known(outliers(analysed), evidence.outliers),
+        "histograms": histograms(analysed),
+        "boxplots": boxplots(analysed),
         "categorical": categorical_summary(analysed, columns_of(analysed, CATEGORICAL)),
-        "anomalies": anomaly_summary(analysed, numeric_columns(analysed)),
+        "anomalies": anomalies,
         "quality": quality_score(df, target, evidence),
         "quality_breakdown": quality_breakdown(df, target, evidence),
-        "insights": insights(df, target, evidence),
+        "insights": insights(df, target, evidence, anomalies=anomalies.first()),
     }
     if columns_of(df, DATETIME):
         facets["temporal"] = temporal_summary(df)
     if target in df.columns:
         facets["class_balance"] = class_balance(df, target)
         facets["class_balance_summary"] = class_balance_summary(df, target)
+        facets["target_distribution"] = target_distribution(df, target)
     return facets
 
 
@@ -123,7 +154,7 @@ def run(
     auto_target: bool = False,
     problem_type: ProblemType | None = None,
     settings: Settings = Settings(),
-    specs: list[ModelSpec] | None = None,
+    specs: list[Candidate] | None = None,
     key: list[str] | None = None,
     profiled: bool = True,
     screened: bool = False,
@@ -136,12 +167,13 @@ def run(
     tally = collect_tally(df, screened=screened)
     suggestions = target_frame(df, None, tally)
     if target is None and auto_target:
-        ranked = recommend_target(df, None, tally)
+        ranked = rank_targets(df, None, tally)
         target = ranked[0].column if ranked else None
     kind = problem_type or detect_problem_type(df, target, tally)
     plan = suggest_plan(df, target, tally)
     facets = profile(df, target, tally) if profiled else {}
     facets["targets"] = suggestions
+    facets["dataset"] = dataset_summary(df, "run", "table", target, kind)
     facets["plan"] = plan_frame(df, plan)
     result = RunResult(kind, target, plan, facets)
     if kind is ProblemType.TIME_SERIES:

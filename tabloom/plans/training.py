@@ -24,7 +24,7 @@ from ..operators.tally import TableTally, collect_tally
 from ..session import written
 from .heuristics import Plan, ProblemType
 from .prepare import Recipe, fit_recipe, label_frame
-from .registry import Context, ModelSpec, get_models
+from .registry import Candidate, Context, candidates
 
 PRIMARY_METRIC = {
     ProblemType.CLASSIFICATION: "f1_weighted",
@@ -80,12 +80,12 @@ class Trained:
             frame.unpersist()
 
 
-def parameter_points(spec: ModelSpec, trials: int, seed: int) -> list[dict[str, Any]]:
+def parameter_points(spec: Candidate, trials: int, seed: int) -> list[dict[str, Any]]:
     """V3: the defaults first, then a seeded random subset of the grid."""
-    points = [dict(spec.defaults)]
-    if spec.space and trials > 1:
-        grid = [dict(zip(spec.space, v)) for v in itertools.product(*spec.space.values())]
-        grid = [{**spec.defaults, **p} for p in grid]
+    points = [dict(spec.params)]
+    if spec.grid and trials > 1:
+        grid = [dict(zip(spec.grid, v)) for v in itertools.product(*spec.grid.values())]
+        grid = [{**spec.params, **p} for p in grid]
         others = [p for p in grid if p != points[0]]
         points += random.Random(seed).sample(others, min(trials - 1, len(others)))
     return points
@@ -98,12 +98,12 @@ def supervised_metrics(scored: DataFrame, problem_type: ProblemType) -> dict[str
 
 
 def cross_validate(
-    prepared: list[tuple[DataFrame, DataFrame]], spec: ModelSpec, params: dict, context: Context
+    prepared: list[tuple[DataFrame, DataFrame]], spec: Candidate, params: dict, context: Context
 ) -> float:
     """V2: mean primary metric over the folds, each prepared from its own training part."""
     scores = []
     for train, valid in prepared:
-        model = spec.factory(params, context).fit(train)
+        model = spec.build(params, context).fit(train)
         scores.append(supervised_metrics(model.transform(valid), spec.problem_type)[PRIMARY_METRIC[spec.problem_type]])
     return sum(scores) / len(scores)
 
@@ -112,7 +112,7 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _error(spec: ModelSpec, exc: Exception) -> ModelResult:
+def _error(spec: Candidate, exc: Exception) -> ModelResult:
     return ModelResult(spec.name, spec.problem_type, {"error": 0.0}, {}, error=str(exc).splitlines()[0][:500])
 
 
@@ -133,7 +133,7 @@ def train_supervised(
     plan: Plan,
     problem_type: ProblemType,
     settings: Settings = Settings(),
-    specs: list[ModelSpec] | None = None,
+    specs: list[Candidate] | None = None,
     key: list[str] | None = None,
     tally: TableTally | None = None,
 ) -> Trained:
@@ -166,7 +166,7 @@ def train_supervised(
             prepared.append((_kept(own.apply(part, keep=("label",))), _kept(own.apply(probe, keep=("label",)))))
 
     results = []
-    for spec in specs or get_models(problem_type):
+    for spec in specs or candidates(problem_type):
         started = time.perf_counter()
         try:
             result = _search(spec, prepared, train, valid, context, settings)
@@ -202,7 +202,7 @@ def _search(spec, prepared, train, valid, context, settings) -> ModelResult:
     if not tried:
         raise failed or RuntimeError("nothing tried")
     cv_score, params = max(tried, key=lambda t: t[0] if t[0] == t[0] else float("-inf"))
-    model = spec.factory(params, context).fit(train)
+    model = spec.build(params, context).fit(train)
     metrics = supervised_metrics(model.transform(valid), spec.problem_type)
     if metric not in metrics:
         raise RuntimeError(f"{metric} is undefined")
@@ -232,23 +232,23 @@ def train_unsupervised(
     plan: Plan,
     problem_type: ProblemType,
     settings: Settings = Settings(),
-    specs: list[ModelSpec] | None = None,
+    specs: list[Candidate] | None = None,
 ) -> Trained:
     """V4: every model on all rows with its default parameters, ranked by silhouette."""
     recipe = fit_recipe(df, plan)
     train = _kept(recipe.apply(df))
     context = Context(train.count(), len(recipe.feature_names), 0, settings.seed)
     results = []
-    for spec in specs or get_models(problem_type):
+    for spec in specs or candidates(problem_type):
         started = time.perf_counter()
         try:
-            model = spec.factory(dict(spec.defaults), context).fit(train)
+            model = spec.build(dict(spec.params), context).fit(train)
             scored = _kept(model.transform(train))
             metrics = unsupervised_metrics(scored, problem_type)
             scored.unpersist()
             results.append(
                 ModelResult(
-                    spec.name, problem_type, metrics, dict(spec.defaults),
+                    spec.name, problem_type, metrics, dict(spec.params),
                     round(time.perf_counter() - started, 2), model=model,
                 )
             )

@@ -31,7 +31,7 @@ def test_empty_table(spark):
     assert temporal.temporal_summary(df).count() == 0
     assert profile.histograms(df).count() == 0
     assert profile.categorical_summary(df).count() == 0
-    assert heuristics.detect_id_columns(df) == []
+    assert heuristics.id_reasons(df) == {}
     assert one(quality.quality_score(df))["score"] == 100
     assert one(quality.insights(df))["code"] == "clean"
     assert [c.n_unique for c in tally.collect_tally(df).columns] == [0, 0, 0, 0]
@@ -64,14 +64,14 @@ def test_constant_and_all_missing_columns(spark):
 def test_identifier_rules(spark):
     hashes = [("%032x" % (i * 7919), "%06x" % i, f"word {i}", i % 3, i * 1.5) for i in range(300)]
     df = spark.createDataFrame(hashes, "digest string, short string, phrase string, user_id int, amount double")
-    found = {c.name: c.reason for c in heuristics.detect_id_columns(df)}
+    found = heuristics.id_reasons(df)
     assert found == {"digest": "hash_like", "amount": "numeric_unique"}
     for name in ("id", "user_id", "ID", "uuid", "orderid", "rownum", "my_id_col", "Invoice_ID"):
-        assert heuristics.is_identifier_name(name), name
+        assert heuristics.looks_like_id(name), name
     for name in ("width", "idea", "price", "", "  ", "keyboard"):
-        assert not heuristics.is_identifier_name(name), name
+        assert not heuristics.looks_like_id(name), name
     nearly = spark.createDataFrame([(min(i, 98),) for i in range(100)], "user_id int")
-    assert [c.reason for c in heuristics.detect_id_columns(nearly)] == ["name_and_unique"]
+    assert list(heuristics.id_reasons(nearly).values()) == ["name_and_unique"]
 
 
 def test_duplicates_treat_null_as_equal(spark):
@@ -172,11 +172,11 @@ def test_target_scores(spark):
         [(i % 3, float(i), f"w{i}", None if i < 70 else 1) for i in range(100)],
         "class int, x double, word string, gone int",
     )
-    found = {s.column: s for s in heuristics.recommend_target(df)}
+    found = {s.column: s for s in heuristics.rank_targets(df)}
     assert "gone" not in found and "word" not in {k for k, v in found.items() if v.score > 0.05}
     assert found["class"].score == 0.6 and found["class"].problem_type.value == "classification"
     assert found["x"].score == 0.19
-    chosen = heuristics.recommend_target(df, "x")
+    chosen = heuristics.rank_targets(df, "x")
     assert [(s.column, s.score) for s in chosen] == [("x", 1.0)]
 
 

@@ -22,8 +22,7 @@ def frame(spark, x, **columns):
 
 
 def spec(kind, name, **defaults):
-    found = next(s for s in registry.get_models(kind) if s.name == name)
-    return dataclasses.replace(found, space={}, defaults={**found.defaults, **defaults})
+    return registry.candidate(kind, name, **defaults)
 
 
 def blobs(seed, sizes, centres, spread):
@@ -190,9 +189,9 @@ def classified(spark):
     plan = heuristics.suggest_plan(df, "up")
     specs = [
         spec(P.CLASSIFICATION, "LogisticRegression"),
-        spec(P.CLASSIFICATION, "RandomForest", n_trees=8, max_depth=4),
+        spec(P.CLASSIFICATION, "RandomForest", numTrees=8, maxDepth=4),
         spec(P.CLASSIFICATION, "KNN"),
-        dataclasses.replace(spec(P.CLASSIFICATION, "SVM"), name="Broken", factory=lambda p, c: 1 / 0),
+        dataclasses.replace(spec(P.CLASSIFICATION, "SVM"), name="Broken", build=lambda p, c: 1 / 0),
     ]
     trained = training.train_supervised(
         df, "up", plan, P.CLASSIFICATION, training.Settings(trials=1, cv_folds=2), specs, ["row"]
@@ -243,7 +242,7 @@ def test_reruns_agree(spark):
     for _ in range(2):
         trained = training.train_supervised(
             df, "level", plan, P.REGRESSION, training.Settings(trials=1, cv_folds=1),
-            [spec(P.REGRESSION, "LinearRegression"), spec(P.REGRESSION, "GradientBoosting", rounds=5)], ["row"],
+            [spec(P.REGRESSION, "LinearRegression"), spec(P.REGRESSION, "GradientBoosting", maxIter=5)], ["row"],
         )
         scores.append([(r.name, round(r.metrics["r2"], 9)) for r in trained.results])
         assert trained.best.metrics["r2"] > 0.99
@@ -254,17 +253,17 @@ def test_reruns_agree(spark):
 def test_search_takes_the_best_point(spark):
     df = planted(spark, 300).drop("up")
     wanted = dataclasses.replace(
-        spec(P.REGRESSION, "GradientBoosting", rounds=1), space={"rounds": [1, 8], "rate": [0.1, 0.3]}
+        spec(P.REGRESSION, "GradientBoosting", maxIter=1), grid={"maxIter": (1, 8), "stepSize": (0.1, 0.3)}
     )
     trained = training.train_supervised(
         df, "level", heuristics.suggest_plan(df, "level"), P.REGRESSION,
         training.Settings(trials=4, cv_folds=2), [wanted], ["row"],
     )
-    assert trained.best.params["rounds"] == 8
+    assert trained.best.params["maxIter"] == 8
     trained.release()
-    points = training.parameter_points(next(s for s in registry.get_models(P.REGRESSION) if s.space), 4, 42)
+    points = training.parameter_points(next(s for s in registry.candidates(P.REGRESSION) if s.grid), 4, 42)
     assert len(points) == 4 and points == training.parameter_points(
-        next(s for s in registry.get_models(P.REGRESSION) if s.space), 4, 42
+        next(s for s in registry.candidates(P.REGRESSION) if s.grid), 4, 42
     )
 
 
@@ -282,20 +281,33 @@ def test_cluster_run(spark, tmp_path):
     sizes = [r.n for r in result.facets["clusters_sizes"].collect()]
     assert sorted(sizes) == [60, 60, 60]
     assert result.facets["clusters_verdict"].first().verdict == "good"
-    result.write(str(tmp_path / "run"))
-    assert spark.read.parquet(str(tmp_path / "run" / "leaderboard")).count() == 3
+    result.write(spark, str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run" / "facets" / "leaderboard")).count() == 3
+    told = {r.item: r.value for r in spark.read.parquet(str(tmp_path / "run" / "overview")).collect()}
+    assert told["problem_type"] == "clustering" and told["status"] == "trained" and told["best_model"] in found
+    again = Scorer.load(spark, str(tmp_path / "run" / "scorer")).score(df)
+    assert again.groupBy("prediction").count().filter("count = 60").count() == 3
+    for name in ("histograms", "boxplots", "correlations", "dataset"):
+        assert result.facets[name].count() > 0
     assert set(run.report(result)) >= {"shape", "quality", "plan", "leaderboard"}
     items = {r.item for r in run.executive_summary(result, df).collect()}
     assert {"problem_type", "rows", "best_model", "top_1", "top_3"} <= items
 
 
-def test_anomaly_run(spark):
+def test_anomaly_run(spark, tmp_path):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(size=(150, 2)).round(1), [[9.0, 9.0]] * 3])
     df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
     result = run.run(df, problem_type=P.ANOMALY_DETECTION, profiled=False)
     assert [r.error for r in result.trained.results] == [None] * 3
     assert all(0 < r.metrics["n_anomalies"] < 40 for r in result.trained.results)
+    # A model that labels the rows it is fitted on is saved as the labels of their features.
+    lof = next(r for r in result.trained.results if r.name == "LocalOutlierFactor")
+    one = Scorer(P.ANOMALY_DETECTION, lof.name, result.trained.recipe, lof.model, None, result.trained.train)
+    one.save(spark, str(tmp_path / "lof"))
+    again = Scorer.load(spark, str(tmp_path / "lof"))
+    assert sorted(r.prediction for r in again.score(df).collect()) == sorted(r.prediction for r in one.score(df).collect())
+    assert again.score(spark.createDataFrame([(100.0, 100.0)], "a double, b double")).first().prediction is None
 
 
 def test_time_series_is_not_trained(spark):
@@ -304,7 +316,7 @@ def test_time_series_is_not_trained(spark):
     result = run.run(df)
     assert result.problem_type is P.TIME_SERIES and result.trained is None and "time series" in result.status
     with pytest.raises(ValueError):
-        registry.get_models(P.TIME_SERIES)
+        registry.candidates(P.TIME_SERIES)
 
 
 def test_auto_target(spark):
@@ -317,12 +329,12 @@ def test_auto_target(spark):
 
 
 def test_own_models_can_be_registered():
-    extra = registry.ModelSpec("Extra", P.REGRESSION, lambda p, c: None)
-    registry.register_model(extra)
+    extra = registry.Candidate("Extra", P.REGRESSION, lambda p, c: None)
+    registry.add_candidate(extra)
     try:
-        assert registry.get_models(P.REGRESSION)[-1] is extra
+        assert registry.candidates(P.REGRESSION)[-1] is extra
     finally:
-        registry._EXTRA.clear()
+        registry._ADDED.clear()
 
 
 def test_silhouette_rules(spark):
