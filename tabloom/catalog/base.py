@@ -56,6 +56,22 @@ gaps AS (
 )"""
 
 
+KINDS["spiked"] = [
+    ("row_id", "numeric"), ("l_quantity", "numeric"), ("l_discount", "numeric"), ("l_tax", "numeric"), ("mark", "categorical"),
+]
+
+# Line items with a key, values far from all others in two columns, gaps, and a rare class.
+SPIKED_SQL = """
+spiked AS (
+  SELECT l_orderkey * 10 + l_linenumber AS row_id,
+         CASE WHEN l_orderkey % 97 = 0 THEN l_quantity * 1000 ELSE l_quantity END AS l_quantity,
+         CASE WHEN l_orderkey % 89 = 0 THEN -1000.0 ELSE l_discount END AS l_discount,
+         CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_tax END AS l_tax,
+         CASE WHEN l_partkey % 50 = 0 THEN 'rare' ELSE 'usual' END AS mark
+  FROM lineitem
+)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,6 +90,18 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spiked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twin of SPIKED_SQL."""
+    c = F.col
+    return table(spark, sf_dir, "lineitem").select(
+        (c("l_orderkey") * 10 + c("l_linenumber")).alias("row_id"),
+        F.when(c("l_orderkey") % 97 == 0, c("l_quantity") * 1000).otherwise(c("l_quantity")).alias("l_quantity"),
+        F.when(c("l_orderkey") % 89 == 0, F.lit(-1000.0)).otherwise(c("l_discount")).alias("l_discount"),
+        F.when(c("l_partkey") % 4 != 0, c("l_tax")).alias("l_tax"),
+        F.when(c("l_partkey") % 50 == 0, "rare").otherwise("usual").alias("mark"),
+    )
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where there is one, its SQL twin."""
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import drop_columns
 from ..operators import profile, tally
 from ..plans import ask as questions
 from ..plans import heuristics, quality, run
-from .base import GAPS_SQL, KINDS, gaps, numeric, query, rounded, stats_sql, table, union_sql
+from .base import GAPS_SQL, KINDS, SPIKED_SQL, gaps, numeric, query, rounded, spiked, stats_sql, table, union_sql
 from .profile import _missing_sql, _outlier_sql
 
-_NAME_TEST = " OR ".join(f"regexp_matches(name, '{p}', 'i')" for p in heuristics.ID_NAME_PATTERNS)
-_HINT_TEST = " OR ".join(f"contains(lower(name), '{h}')" for h in heuristics.TARGET_HINTS)
+# Fixed values, written out again so that the twins do not follow the rules they check.
+_NAME_TEST = """regexp_matches(name, '(^|_)id($|_)', 'i') OR regexp_matches(name, '_id$', 'i')
+  OR regexp_matches(name, '^(uuid|guid|hash|token|key|sku|code|ref|reference)$', 'i')
+  OR regexp_matches(name, '(tweet|user|post|comment|message|document|record|order|invoice|transaction|tracking)_?id', 'i')
+  OR regexp_matches(name, '^(index|rowid|rownum)$', 'i')"""
+_HINT_TEST = """regexp_matches(lower(name),
+  'target|label|y|class|output|response|outcome|sentiment|category|churn|fraud|spam|risk|score')"""
 _UNIQUE = "n_unique / greatest(n_rows, 1)"
 _GONE = "n_missing / greatest(n_rows, 1)"
 
@@ -211,12 +217,13 @@ def _(spark, sf_dir):
     return heuristics.plan_frame(df, heuristics.suggest_plan(df, "l_discount"))
 
 
-def _penalties_sql(name: str, columns: list[str], target: str) -> str:
-    """Scoring rules over the facets; ``columns`` are the analysed numeric columns."""
+def _penalties_sql(name: str, target: str) -> str:
+    """Scoring rules over the facets; identifiers are not analysed."""
     every = ", ".join(c for c, _ in KINDS[name])
     return f"""{stats_sql(name)}, {_ids_sql(name, _texts(name))}, {_missing_sql(name)},
-    {_outlier_sql(name, columns)},
     named AS (SELECT * FROM ids WHERE reason IS NOT NULL),
+    {_outlier_sql(name, numeric(name)).replace("outliers AS", "far AS", 1)},
+    outliers AS (SELECT * FROM far WHERE "column" NOT IN (SELECT name FROM named)),
     total AS (SELECT count(*) AS n FROM {name}),
     copies AS (SELECT (SELECT n FROM total) - count(*) AS d FROM (SELECT DISTINCT {every} FROM {name})),
     classes AS (SELECT count(*) AS n FROM {name} GROUP BY {target}),
@@ -236,8 +243,9 @@ def _penalties_sql(name: str, columns: list[str], target: str) -> str:
     )"""
 
 
-_GAP_PENALTIES = _penalties_sql("gaps", numeric("gaps"), "l_returnflag")
-_ORDER_PENALTIES = _penalties_sql("orders", ["o_custkey"], "o_orderstatus")
+_GAP_PENALTIES = _penalties_sql("gaps", "l_returnflag")
+_ORDER_PENALTIES = _penalties_sql("orders", "o_orderstatus")
+_SPIKED_PENALTIES = _penalties_sql("spiked", "mark")
 _BREAKDOWN = """SELECT CAST(row_number() OVER (ORDER BY points DESC, seq) AS INT) AS rank, CAST(points AS INT) AS points,
     code, detail, CAST(measure AS DOUBLE) AS measure FROM losses WHERE points > 0"""
 _SCORE = """, score AS (SELECT greatest(0, least(100, 100 - coalesce(sum(points), 0))) AS s, count(*) AS k FROM losses
@@ -261,25 +269,56 @@ def _(spark, sf_dir):
     return quality.quality_score(table(spark, sf_dir, "orders"), "o_orderstatus")
 
 
-@query(
-    "insights",
-    f"""WITH {GAPS_SQL}, {_GAP_PENALTIES}, found AS (
+def _insights_sql(target: str) -> str:
+    return f""", found AS (
       SELECT 1 AS seq, 'identifiers' AS code, string_agg(name, ',' ORDER BY position) AS detail, count(*) AS measure
         FROM named HAVING count(*) > 0
       UNION ALL SELECT 2, 'missing', (SELECT string_agg("column", ',' ORDER BY n_missing DESC, position) FROM
         (SELECT * FROM missing ORDER BY n_missing DESC, position LIMIT 3)), sum(n_missing) FROM missing HAVING count(*) > 0
       UNION ALL SELECT 3, 'duplicates', CAST(d AS VARCHAR), d FROM copies WHERE d > 0
-      UNION ALL SELECT 4, 'imbalance', 'l_returnflag', round(ratio, 4) FROM balance WHERE ratio > 5 AND k > 1
+      UNION ALL SELECT 4, 'imbalance', '{target}', round(ratio, 4) FROM balance WHERE ratio > 5 AND k > 1
       UNION ALL SELECT 5, 'outliers', (SELECT string_agg("column", ',' ORDER BY n_outliers DESC, position) FROM
         (SELECT * FROM outliers ORDER BY n_outliers DESC, position LIMIT 3)), count(*) FROM outliers HAVING count(*) > 0
     )
     SELECT CAST(row_number() OVER (ORDER BY seq) AS INT) AS rank, code, detail, CAST(measure AS DOUBLE) AS measure
-    FROM found""",
-)
+    FROM found"""
+
+
+@query("insights", f"WITH {GAPS_SQL}, {_GAP_PENALTIES} {_insights_sql('l_returnflag')}")
 def _(spark, sf_dir):
     return quality.insights(gaps(spark, sf_dir), "l_returnflag")
 
 
+@query("insights_spiked", f"WITH {SPIKED_SQL}, {_SPIKED_PENALTIES} {_insights_sql('mark')}")
+def _(spark, sf_dir):
+    return quality.insights(spiked(spark, sf_dir), "mark")
+
+
+@query("quality_breakdown_spiked", f"WITH {SPIKED_SQL}, {_SPIKED_PENALTIES} {_BREAKDOWN}")
+def _(spark, sf_dir):
+    return quality.quality_breakdown(spiked(spark, sf_dir), "mark")
+
+
+@query("quality_spiked", f"WITH {SPIKED_SQL}, {_SPIKED_PENALTIES} {_SCORE}")
+def _(spark, sf_dir):
+    return quality.quality_score(spiked(spark, sf_dir), "mark")
+
+
+@query(
+    "outliers_spiked",
+    f"""WITH {SPIKED_SQL}, {_outlier_sql('spiked', numeric('spiked'))}
+    SELECT position, "column", n_outliers, ratio, round(lower_bound, 6) AS lower_bound,
+    round(upper_bound, 6) AS upper_bound FROM outliers""",
+)
+def _(spark, sf_dir):
+    return rounded(profile.outliers(spiked(spark, sf_dir)), "lower_bound", "upper_bound")
+
+
+@query("id_columns_spiked", f"WITH {SPIKED_SQL}, {_id_query('spiked').removeprefix('WITH ')}")
+def _(spark, sf_dir):
+    return heuristics.id_columns_frame(spiked(spark, sf_dir))
+
+
 # A measure that follows another one, so that some proposal fires.
 _TIED_SQL = """tied AS (SELECT l_quantity, l_quantity * 3 + l_discount AS tripled, l_discount,
   l_quantity + l_discount * 300 AS mixed, l_returnflag FROM lineitem)"""
@@ -417,3 +456,63 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     return tally.n_unique(drop_columns(df, list(heuristics.id_reasons(df))))
+
+
+@query(
+    "ask_outliers_spiked",
+    f"""WITH {SPIKED_SQL}, {_outlier_sql('spiked', [n for n in numeric('spiked') if n != 'row_id'])}
+    SELECT 'outliers' AS topic, "column" AS item, CAST(n_outliers AS DOUBLE) AS value FROM outliers ORDER BY position LIMIT 5""",
+)
+def _(spark, sf_dir):
+    return questions.ask(spiked(spark, sf_dir), "Quels outliers ?")
+
+
+@query(
+    "ask_columns",
+    """SELECT 'columns' AS topic, unnest(['columns', 'numeric']) AS item, unnest([count(*),
+    count(*) FILTER (WHERE data_type IN ('BIGINT', 'INTEGER', 'DOUBLE'))]) ::DOUBLE AS value
+    FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE lineitem))""",
+)
+def _(spark, sf_dir):
+    return questions.ask(table(spark, sf_dir, "lineitem"), "Combien de colonnes ?")
+
+
+def _boards(spark, sf_dir):
+    """Order priorities as models with their mean price as the score, and statuses as features with their share."""
+    orders = table(spark, sf_dir, "orders")
+    board = orders.groupBy(F.col("o_orderpriority").alias("name")).agg(F.avg("o_totalprice").alias("score"))
+    board = board.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"))))
+    weights = orders.groupBy(F.col("o_orderstatus").alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("importance"))
+    return orders, board, weights
+
+
+@query(
+    "ask_best_model",
+    """SELECT 'best_model' AS topic, o_orderpriority AS item, round(avg(o_totalprice), 4) AS value FROM orders
+    GROUP BY o_orderpriority ORDER BY avg(o_totalprice) DESC LIMIT 1""",
+)
+def _(spark, sf_dir):
+    orders, board, weights = _boards(spark, sf_dir)
+    return rounded(questions.ask(orders, "Quel est le meilleur modèle ?", None, board, weights), "value", digits=4)
+
+
+@query(
+    "ask_importance",
+    """SELECT 'importance' AS topic, o_orderstatus AS item, count(*)::DOUBLE AS value FROM orders
+    GROUP BY o_orderstatus ORDER BY value DESC, item LIMIT 5""",
+)
+def _(spark, sf_dir):
+    orders, board, weights = _boards(spark, sf_dir)
+    return questions.ask(orders, "Quelles mesures sont importantes ?", None, board, weights)
+
+
+@query(
+    "ask_nothing",
+    """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'empty' ELSE 'unknown' END AS topic, count(*) AS n FROM orders GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """Questions that no branch answers have a topic and no rows; their topics are counted over orders."""
+    orders = table(spark, sf_dir, "orders")
+    silent = [q for q in ("  ", "bonjour") if questions.ask(orders, q).isEmpty()]
+    topics = [questions.topic_of(q) for q in silent]
+    return orders.groupBy(F.when(F.col("o_orderkey") % 2 == 0, topics[0]).otherwise(topics[-1]).alias("topic")).agg(F.count(F.lit(1)).alias("n"))
