@@ -22,7 +22,7 @@ from ..functions.kinds import (
     plan_numeric_columns,
 )
 from ..functions.scalars import share
-from .quantiles import SMALL_ROWS, exact_quantiles, quantile_columns
+from .quantiles import exact_quantiles, quantile_columns
 from .tally import TableTally, tally_frame
 
 HIGH_CARDINALITY = 50
@@ -85,10 +85,10 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return c
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """A2: count, mean, sample deviation, extremes and quartiles of each numeric column, in one pass."""
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A2: count, mean, sample deviation, extremes and quartiles of each numeric column."""
     wanted = list(numeric_columns(df) if columns is None else columns)
-    quartiles = quantile_columns(df, (0.25, 0.5, 0.75), wanted, small_rows)
+    quartiles = quantile_columns(df, (0.25, 0.5, 0.75), wanted)
     structs = []
     for c in wanted:
         x = as_double(df, c)
@@ -240,10 +240,10 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, k:
     )
 
 
-def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None, small_rows: int = SMALL_ROWS):
+def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None):
     """Interquartile fences per numeric column: {column: (lower, upper)}."""
     fences = {}
-    for c, (q1, q3) in exact_quantiles(df, (0.25, 0.75), columns, small_rows).items():
+    for c, (q1, q3) in exact_quantiles(df, (0.25, 0.75), columns).items():
         if q1 is not None:
             fences[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return fences
@@ -255,9 +255,9 @@ def is_outlier(df: DataFrame, name: str, bounds: tuple[float, float]) -> Column:
     return (x < F.lit(bounds[0])) | (x > F.lit(bounds[1]))
 
 
-def outliers(df: DataFrame, columns: Sequence[str] | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Numeric columns with values outside the fences; the share is of all rows."""
-    fences = outlier_bounds(df, columns, small_rows)
+    fences = outlier_bounds(df, columns)
     structs = [
         F.struct(
             F.lit(i).alias("position"),
@@ -276,9 +276,9 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, small_rows: in
     ).filter(F.col("n_outliers") > 0)
 
 
-def outlier_rows(df: DataFrame, name: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def outlier_rows(df: DataFrame, name: str) -> DataFrame:
     """P5: the rows outside the fences of one column."""
-    fences = outlier_bounds(df, [name], small_rows)
+    fences = outlier_bounds(df, [name])
     return df.filter(is_outlier(df, name, fences[name])) if name in fences else df.limit(0)
 
 
@@ -363,10 +363,10 @@ def histograms(
     )
 
 
-def target_summary(df: DataFrame, target: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def target_summary(df: DataFrame, target: str) -> DataFrame:
     """A10: mean, median and sample deviation of a numeric target."""
     x = as_double(df, target)
-    median = quantile_columns(df, (0.5,), [target], small_rows)[target][0]
+    median = quantile_columns(df, (0.5,), [target])[target][0]
     return df.agg(
         F.lit(target).alias("target"),
         F.avg(x).alias("mean"),

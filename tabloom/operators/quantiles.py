@@ -1,16 +1,15 @@
-"""Exact quantiles with linear interpolation at any size.
+"""Exact quantiles with linear interpolation, by one path at any size.
 
-Spark's ``percentile`` is exact but keeps every distinct value of the column in one aggregation buffer,
-so it is used only for tables counted as small. Beyond that the values at the wanted ranks are found by
-narrowing, for all columns and ranks at once: count rows per bin of the value range, keep the bin that
-holds the rank, and repeat inside it until so few rows are left that they can be ranked one by one. Each
-round is a scan whose tasks pass on a few counts; no value is shuffled before the last round.
+Spark's ``percentile`` is exact but keeps every distinct value of a column in one aggregation buffer. Here a scan takes
+sketched quantiles of all columns, which bound each wanted rank; a second one counts the values below and inside
+these bounds; where few are left inside they are ranked one by one. Otherwise rounds of counts per bin narrow the bounds
+first. Tasks pass on a few counts; no value is shuffled before the last step.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, numeric_columns
 
-# Tables up to this many rows use the built-in aggregate.
-SMALL_ROWS = 1_000_000
+# Sketched quantiles of a column, and their accuracy: a rank is off by at most a ten-thousandth of the rows.
+CELLS = 128
+ACCURACY = 10_000
 # Rows of one bin that may be ranked in one task.
 RANK_ROWS = 20_000
 BINS = 4_096
@@ -52,33 +52,53 @@ def _place(x: Column, low: float, high: float, bins: int) -> Column:
 def order_statistics(
     df: DataFrame,
     values: Mapping[str, Column],
-    ranks: Mapping[str, Sequence[int]],
+    ranks: Mapping[str, Sequence[int]] | Callable[[str, int], Sequence[int]],
     rank_rows: int = RANK_ROWS,
     bins: int = BINS,
 ) -> dict[str, dict[int, float]]:
-    """For each named value the values at the given 0-based ranks of its ascending, non-missing rows."""
+    """For each named value the values at the given 0-based ranks of its ascending, non-missing rows.
+
+    Ranks may be given as a function of the name and the number of non-missing rows.
+    """
     names = list(values)
     data = df.select(*[values[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
     x = [F.col(f"x{i}") for i in range(len(names))]
+    grid = F.array(*[F.lit(i / CELLS) for i in range(CELLS + 1)])
     ends = data.agg(
         *[F.count(v).alias(f"n{i}") for i, v in enumerate(x)],
         *[F.min(v).alias(f"lo{i}") for i, v in enumerate(x)],
         *[F.max(v).alias(f"hi{i}") for i, v in enumerate(x)],
+        *[F.percentile_approx(v, grid, F.lit(ACCURACY)).alias(f"at{i}") for i, v in enumerate(x)],
     ).first()
     found: dict[str, dict[int, float]] = {c: {} for c in names}
-    open_now: list[_Search] = []
+    bounded: list[_Search] = []
     for i, c in enumerate(names):
-        n, low, high = ends[f"n{i}"], ends[f"lo{i}"], ends[f"hi{i}"]
-        for rank in sorted(set(ranks[c])):
+        n, low, high, at = ends[f"n{i}"], ends[f"lo{i}"], ends[f"hi{i}"], ends[f"at{i}"]
+        for rank in sorted(set(ranks(c, n) if callable(ranks) else ranks[c])):
             if not 0 <= rank < n:
                 raise ValueError(f"rank {rank} outside a column of {n} values")
             if low == high:
                 found[c][rank] = low
             else:
-                open_now.append(_Search(i, rank, rank, low, high))
-    sizes = {i: ends[f"n{i}"] for i in range(len(names))}
-    ready = [s for s in open_now if sizes[s.column] <= rank_rows]
-    open_now = [s for s in open_now if sizes[s.column] > rank_rows]
+                # The cell of the rank and one more on either side, since the sketch is not exact.
+                cell = rank * CELLS // n
+                bounded.append(_Search(i, rank, rank, at[cell - 1] if cell else low, at[cell + 2] if cell + 2 <= CELLS else high))
+    ready, open_now = [], []
+    if bounded:
+        keys = list(_intervals(bounded))
+        counted = data.agg(
+            *[F.count_if(x[c] < F.lit(low)).alias(f"b{k}") for k, (c, low, _) in enumerate(keys)],
+            *[F.count_if((x[c] >= F.lit(low)) & (x[c] <= F.lit(high))).alias(f"i{k}") for k, (c, low, high) in enumerate(keys)],
+        ).first()
+    for s in bounded:
+        k = keys.index((s.column, s.low, s.high))
+        rest, inside = s.rank - counted[f"b{k}"], counted[f"i{k}"]
+        if not 0 <= rest < inside:
+            s, rest, inside = _Search(s.column, s.rank, s.rank, ends[f"lo{s.column}"], ends[f"hi{s.column}"]), s.rank, ends[f"n{s.column}"]
+        elif s.low == s.high:
+            found[names[s.column]][s.rank] = s.low
+            continue
+        (ready if inside <= rank_rows else open_now).append(_Search(s.column, s.rank, rest, s.low, s.high))
     while open_now:
         narrowed = []
         for before, s, bin_rows in _round(data, x, open_now, bins):
@@ -168,50 +188,29 @@ def _mix(low: float, high: float, weight: float) -> float:
 def narrow_quantiles(
     df: DataFrame, values: Mapping[str, Column], shares: Sequence[float], rank_rows: int = RANK_ROWS, bins: int = BINS
 ) -> dict[str, list[float | None]]:
-    """Quantiles of the named values by narrowing."""
-    counts = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())]).first()
-    places = {c: [interpolate(n, s) for s in shares] for c, n in zip(values, counts) if n}
-    ranks = {c: [r for low, high, _ in p for r in (low, high)] for c, p in places.items()}
-    at = order_statistics(df, {c: values[c] for c in places}, ranks, rank_rows, bins) if places else {}
+    """Quantiles of the named values."""
+    places: dict[str, list[tuple[int, int, float]]] = {}
+
+    def ranks(name: str, n: int) -> list[int]:
+        places[name] = [interpolate(n, s) for s in shares] if n else []
+        return [r for low, high, _ in places[name] for r in (low, high)]
+
+    at = order_statistics(df, values, ranks, rank_rows, bins) if values else {}
     return {
-        c: [_mix(at[c][low], at[c][high], w) for low, high, w in places[c]] if c in places else [None] * len(shares)
+        c: [_mix(at[c][low], at[c][high], w) for low, high, w in places[c]] if places[c] else [None] * len(shares)
         for c in values
     }
 
 
-def quantile_columns(
-    df: DataFrame,
-    shares: Sequence[float],
-    columns: Sequence[str] | None = None,
-    small_rows: int = SMALL_ROWS,
-) -> dict[str, Column]:
-    """For each numeric column an aggregate expression: ARRAY of its quantiles.
-
-    A small table uses ``percentile`` and stays lazy; a larger one is narrowed at once and its quantiles
-    enter as literals.
-    """
-    wanted = list(numeric_columns(df) if columns is None else columns)
-    if not wanted:
-        return {}
-    if df.count() <= small_rows:
-        at = F.array(*[F.lit(float(s)) for s in shares])
-        return {c: F.percentile(as_double(df, c), at) for c in wanted}
-    found = narrow_quantiles(df, {c: as_double(df, c) for c in wanted}, shares)
-    return {c: F.array(*[F.lit(v).cast("double") for v in found[c]]) for c in wanted}
+def quantile_columns(df: DataFrame, shares: Sequence[float], columns: Sequence[str] | None = None) -> dict[str, Column]:
+    """For each numeric column an expression: ARRAY of its quantiles, which are computed at once."""
+    found = exact_quantiles(df, shares, columns)
+    return {c: F.array(*[F.lit(v).cast("double") for v in q]) for c, q in found.items()}
 
 
 def exact_quantiles(
-    df: DataFrame,
-    shares: Sequence[float],
-    columns: Sequence[str] | None = None,
-    small_rows: int = SMALL_ROWS,
+    df: DataFrame, shares: Sequence[float], columns: Sequence[str] | None = None
 ) -> dict[str, list[float | None]]:
     """Quantiles of numeric columns as driver values: a handful of numbers per column."""
     wanted = list(numeric_columns(df) if columns is None else columns)
-    if not wanted:
-        return {}
-    if df.count() > small_rows:
-        return narrow_quantiles(df, {c: as_double(df, c) for c in wanted}, shares)
-    expressions = quantile_columns(df, shares, wanted, small_rows)
-    row = df.agg(*[e.alias(f"q{i}") for i, e in enumerate(expressions.values())]).first()
-    return {c: list(v) if v is not None else [None] * len(shares) for c, v in zip(expressions, row)}
+    return narrow_quantiles(df, {c: as_double(df, c) for c in wanted}, shares)

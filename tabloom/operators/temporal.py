@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import DATETIME, col, columns_of
 from ..functions.scalars import epoch_micros, from_epoch_micros, iso_text
-from .quantiles import RANK_ROWS, SMALL_ROWS, interpolate, order_statistics
+from .quantiles import RANK_ROWS, interpolate, order_statistics
 
 RANGE_ROWS = 1_000_000
 
@@ -77,18 +77,8 @@ def steps(
     )
 
 
-def _step_summary(every: DataFrame, n_steps: int, mean: float, small_rows: int, rank_rows: int) -> tuple[float, float]:
+def _step_summary(every: DataFrame, n_steps: int, mean: float, rank_rows: int) -> tuple[float, float]:
     """Sum of squared distances from the mean step, and the median step; repeats are steps of zero."""
-    if n_steps <= small_rows:
-        weighted = F.array(
-            F.struct(F.col("step_s").alias("v"), F.lit(1).cast("long").alias("w")),
-            F.struct(F.lit(0.0).alias("v"), F.col("n_zero").alias("w")),
-        )
-        row = every.select(F.explode(weighted).alias("cell")).agg(
-            F.sum(F.col("cell.w") * (F.col("cell.v") - F.lit(mean)) ** 2).alias("squares"),
-            F.percentile("cell.v", F.lit(0.5), F.col("cell.w")).alias("median"),
-        ).first()
-        return row.squares, row.median
     every = every.persist()
     try:
         sums = every.agg(
@@ -108,7 +98,6 @@ def temporal_summary(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     range_rows: int = RANGE_ROWS,
-    small_rows: int = SMALL_ROWS,
     rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
     """H8: extent, median step and regularity of each datetime column.
@@ -137,7 +126,7 @@ def temporal_summary(
             continue
         mean = edge.range_s / n_steps
         every = steps(df, c, range_rows=range_rows)
-        squares, median = _step_summary(every, n_steps, mean, small_rows, rank_rows)
+        squares, median = _step_summary(every, n_steps, mean, rank_rows)
         std = math.sqrt(squares / (n_steps - 1)) if n_steps > 1 else None
         regular = std is not None and std < abs(median or 1.0) * 0.1
         rows.append((c, edge.first, edge.last, edge.range_s, median, std, regular))

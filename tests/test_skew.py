@@ -97,7 +97,7 @@ def test_steps_with_a_hot_timestamp(spark):
     ranged = temporal.steps(df, "t", range_rows=50)
     assert plain.exceptAll(ranged).count() == 0 and ranged.count() == plain.count()
     a = temporal.temporal_summary(df).first()
-    b = temporal.temporal_summary(df, range_rows=50, small_rows=0, rank_rows=30).first()
+    b = temporal.temporal_summary(df, range_rows=50, rank_rows=30).first()
     series = df.toPandas()["t"].sort_values().diff().dt.total_seconds().dropna()
     assert a.median_step_s == b.median_step_s == series.median()
     assert a.std_step_s == pytest.approx(series.std()) and b.std_step_s == pytest.approx(series.std())
