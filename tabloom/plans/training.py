@@ -21,7 +21,7 @@ from ..operators.metrics import (
 )
 from ..operators.split import folds, holdout, position_of
 from ..operators.tally import TableTally, collect_tally
-from ..session import written
+from ..session import discard, written
 from .heuristics import Plan, ProblemType
 from .prepare import Recipe, fit_recipe, label_frame
 from .registry import Candidate, Context, candidates
@@ -70,14 +70,19 @@ class Trained:
     train: DataFrame
     valid: DataFrame
     names: list[str] = field(default_factory=list)
+    scratch: list[DataFrame] = field(default_factory=list)
 
     @property
     def best(self) -> ModelResult:
         return self.results[0]
 
     def release(self) -> None:
+        """Give back the cached frames and the tables that the training wrote."""
         for frame in (self.train, self.valid):
             frame.unpersist()
+        for frame in self.scratch:
+            discard(frame)
+        self.scratch.clear()
 
 
 def parameter_points(spec: Candidate, trials: int, seed: int) -> list[dict[str, Any]]:
@@ -97,15 +102,31 @@ def supervised_metrics(scored: DataFrame, problem_type: ProblemType) -> dict[str
     return {k: float(v) if v is not None else float("nan") for k, v in row.asDict().items()}
 
 
-def cross_validate(
-    prepared: list[tuple[DataFrame, DataFrame]], spec: Candidate, params: dict, context: Context
-) -> float:
-    """V2: mean primary metric over the folds, each prepared from its own training part."""
-    scores = []
-    for train, valid in prepared:
-        model = spec.build(params, context).fit(train)
-        scores.append(supervised_metrics(model.transform(valid), spec.problem_type)[PRIMARY_METRIC[spec.problem_type]])
-    return sum(scores) / len(scores)
+@dataclass
+class Trial:
+    """One candidate with one choice of parameters, and its scores on the folds so far."""
+
+    spec: Candidate
+    params: dict[str, Any]
+    scores: list[float] = field(default_factory=list)
+    failed: Exception | None = None
+    time_s: float = 0.0
+
+    @property
+    def mean(self) -> float:
+        return sum(self.scores) / len(self.scores) if self.scores else float("nan")
+
+    def run(self, train: DataFrame, probe: DataFrame, context: Context) -> None:
+        if self.failed is not None:
+            return
+        started = time.perf_counter()
+        try:
+            model = self.spec.build(self.params, context).fit(train)
+            kind = self.spec.problem_type
+            self.scores.append(supervised_metrics(model.transform(probe), kind)[PRIMARY_METRIC[kind]])
+        except Exception as exc:
+            self.failed = exc
+        self.time_s += time.perf_counter() - started
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -158,29 +179,33 @@ def train_supervised(
     train = _kept(recipe.apply(inside, keep=("label",)))
     valid = _kept(recipe.apply(outside, keep=("label",)))
     context = Context(n_train, len(recipe.feature_names), n_classes, settings.seed)
-    prepared = []
-    if settings.cv_folds > 1:
-        for j in range(settings.cv_folds):
-            part, probe = inside.filter(F.col("fold") != j), inside.filter(F.col("fold") == j)
-            own = fit_recipe(part, plan, target, "label" if _means_help(is_class, n_classes) else None, hidden)
-            prepared.append((_kept(own.apply(part, keep=("label",))), _kept(own.apply(probe, keep=("label",)))))
+    specs = specs or candidates(problem_type)
+    trials = {spec.name: [Trial(spec, p) for p in parameter_points(spec, settings.trials, settings.seed)] for spec in specs}
+    # V2: one fold at a time is kept, each prepared from its own training part.
+    for j in range(settings.cv_folds if settings.cv_folds > 1 else 0):
+        part, probe = inside.filter(F.col("fold") != j), inside.filter(F.col("fold") == j)
+        own = fit_recipe(part, plan, target, "label" if _means_help(is_class, n_classes) else None, hidden)
+        fold = _kept(own.apply(part, keep=("label",))), _kept(own.apply(probe, keep=("label",)))
+        for trial in itertools.chain(*trials.values()):
+            trial.run(*fold, context)
+        for frame in fold:
+            frame.unpersist()
 
     results = []
-    for spec in specs or candidates(problem_type):
+    for spec in specs:
         started = time.perf_counter()
         try:
-            result = _search(spec, prepared, train, valid, context, settings)
-            result.time_s = round(time.perf_counter() - started, 2)
+            result = _best_of(trials[spec.name], train, valid, context)
+            spent = sum(t.time_s for t in trials[spec.name])
+            result.time_s = round(spent + time.perf_counter() - started, 2)
             results.append(result)
         except Exception as exc:
             results.append(_error(spec, exc))
-    for pair in prepared:
-        for frame in pair:
-            frame.unpersist()
     if all(r.error for r in results):
         raise RuntimeError("no model could be trained: " + "; ".join(f"{r.name}: {r.error}" for r in results))
     return Trained(
-        problem_type, target, recipe, classes, _rank(results, problem_type), train, valid, recipe.feature_names
+        problem_type, target, recipe, classes, _rank(results, problem_type), train, valid, recipe.feature_names,
+        [placed] + ([inside] if inside is not rest else []),
     )
 
 
@@ -189,26 +214,20 @@ def _means_help(is_class: bool, n_classes: int) -> bool:
     return not is_class or n_classes <= 2
 
 
-def _search(spec, prepared, train, valid, context, settings) -> ModelResult:
-    metric = PRIMARY_METRIC[spec.problem_type]
-    points = parameter_points(spec, settings.trials, settings.seed)
-    tried: list[tuple[float, dict]] = []
-    failed: Exception | None = None
-    for params in points if prepared else points[:1]:
-        try:
-            tried.append((cross_validate(prepared, spec, params, context) if prepared else float("nan"), params))
-        except Exception as exc:
-            failed = exc
+def _best_of(trials: list[Trial], train: DataFrame, valid: DataFrame, context: Context) -> ModelResult:
+    """V3: the trial with the best mean over the folds, or the first without folds, fitted on all training rows."""
+    tried = [t for t in trials if t.failed is None]
     if not tried:
-        raise failed or RuntimeError("nothing tried")
-    cv_score, params = max(tried, key=lambda t: t[0] if t[0] == t[0] else float("-inf"))
-    model = spec.build(params, context).fit(train)
-    metrics = supervised_metrics(model.transform(valid), spec.problem_type)
-    if metric not in metrics:
-        raise RuntimeError(f"{metric} is undefined")
-    if prepared:
-        metrics["cv_score"] = cv_score
-    return ModelResult(spec.name, spec.problem_type, metrics, params, model=model)
+        raise trials[0].failed
+    best = max(tried, key=lambda t: t.mean if t.mean == t.mean else float("-inf")) if tried[0].scores else trials[0]
+    kind = best.spec.problem_type
+    model = best.spec.build(best.params, context).fit(train)
+    metrics = supervised_metrics(model.transform(valid), kind)
+    if PRIMARY_METRIC[kind] not in metrics:
+        raise RuntimeError(f"{PRIMARY_METRIC[kind]} is undefined")
+    if best.scores:
+        metrics["cv_score"] = best.mean
+    return ModelResult(best.spec.name, kind, metrics, best.params, model=model)
 
 
 def unsupervised_metrics(scored: DataFrame, problem_type: ProblemType) -> dict[str, float]:

@@ -1,6 +1,7 @@
 """Models against brute force and planted structure."""
 
 import dataclasses
+import os
 
 import numpy as np
 import pandas as pd
@@ -260,7 +261,10 @@ def test_search_takes_the_best_point(spark):
         training.Settings(trials=4, cv_folds=2), [wanted], ["row"],
     )
     assert trained.best.params["maxIter"] == 8
+    paths = [frame.scratch_path.removeprefix("file:") for frame in trained.scratch]
+    assert len(paths) == 2 and all(os.path.exists(p) for p in paths)
     trained.release()
+    assert not any(os.path.exists(p) for p in paths)
     points = training.parameter_points(next(s for s in registry.candidates(P.REGRESSION) if s.grid), 4, 42)
     assert len(points) == 4 and points == training.parameter_points(
         next(s for s in registry.candidates(P.REGRESSION) if s.grid), 4, 42
