@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import isolation, metrics, neighbors, outlier_models
@@ -201,6 +202,43 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "silhouette_of_labels",
+    """WITH d AS (SELECT a.vec_id AS id, a.label AS own, b.label AS other, a.vec_id = b.vec_id AS same,
+      list_sum(list_transform(range(1, len(a.embedding) + 1),
+        lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]) * (a.embedding[i]::DOUBLE - b.embedding[i]))) AS d
+      FROM embeddings a, embeddings b),
+    m AS (SELECT id, own, other, CASE WHEN own = other THEN sum(d) / greatest(count(*) - 1, 1) ELSE avg(d) END AS d,
+      count(*) AS n FROM d GROUP BY id, own, other),
+    s AS (SELECT id, max(d) FILTER (WHERE own = other) AS a, min(d) FILTER (WHERE own <> other) AS b,
+      max(n) FILTER (WHERE own = other) AS n FROM m GROUP BY id)
+    SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_sq FROM s""",
+)
+def _(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select(
+        array_to_vector(c("embedding").cast("array<double>")).alias("features"), c("label").alias("prediction")
+    )
+    value = metrics.silhouette(df)
+    return rounded(spark.createDataFrame([(value,)], "silhouette_sq double"), "silhouette_sq")
+
+
+@query(
+    "fitted_line",
+    """WITH s AS (SELECT covar_samp(l_extendedprice, l_quantity) AS y1, covar_samp(l_extendedprice, l_discount) AS y2,
+      var_samp(l_quantity) AS s11, var_samp(l_discount) AS s22, covar_samp(l_quantity, l_discount) AS s12,
+      avg(l_extendedprice) AS y, avg(l_quantity) AS x1, avg(l_discount) AS x2 FROM lineitem),
+    b AS (SELECT *, (y1 * s22 - y2 * s12) / (s11 * s22 - s12 * s12) AS b1, (y2 * s11 - y1 * s12) / (s11 * s22 - s12 * s12) AS b2
+      FROM s)
+    SELECT round(b1, 2) AS quantity, round(b2, 0) AS discount, round(y - b1 * x1 - b2 * x2, 1) AS intercept FROM b""",
+)
+def _(spark, sf_dir):
+    df = _vectors(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount").withColumnRenamed("l_extendedprice", "label")
+    model = candidate(REGRESSION, "LinearRegression").build({}, Context(df.count(), 2)).fit(df)
+    row = (*(float(x) for x in model.coefficients), float(model.intercept))
+    found = spark.createDataFrame([row], "quantity double, discount double, intercept double")
+    return found.select(F.round("quantity", 2).alias("quantity"), F.round("discount", 0).alias("discount"), F.round("intercept", 1).alias("intercept"))
+
+
 @query(
     "density_clusters",
     """WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal / 1000 AS x, c_nationkey * 0.1 AS y FROM customer),
@@ -318,7 +356,10 @@ def _(spark, sf_dir):
 
 @query(
     "varying_features",
-    """SELECT unnest(['l_quantity', 'l_tax']) AS feature FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 1""",
+    """WITH f AS (SELECT l_quantity, 1.0 AS one, l_tax, 0.0 AS none FROM lineitem)
+    SELECT feature FROM (
+      SELECT 'l_quantity' AS feature, var_pop(l_quantity) AS v FROM f UNION ALL SELECT 'one', var_pop(one) FROM f
+      UNION ALL SELECT 'l_tax', var_pop(l_tax) FROM f UNION ALL SELECT 'none', var_pop(none) FROM f) WHERE v > 0""",
 )
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_quantity", F.lit(1.0).alias("one"), "l_tax", F.lit(0.0).alias("none"))

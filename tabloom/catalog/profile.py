@@ -319,6 +319,17 @@ def _(spark, sf_dir):
     return tally.n_unique(table(spark, sf_dir, "lineitem"), approx=True)
 
 
+@query(
+    "n_unique_sketch_is_near",
+    """SELECT column_name AS "column", true AS near FROM (DESCRIBE lineitem)""",
+)
+def _(spark, sf_dir):
+    """Within a fifth of the exact count: four times the deviation that the sketch states."""
+    df = table(spark, sf_dir, "lineitem")
+    near = tally.n_unique(df, approx=True).withColumnRenamed("n_unique", "about").join(tally.n_unique(df), "column")
+    return near.select("column", (F.abs(F.col("about") - F.col("n_unique")) <= F.col("n_unique") / 5).alias("near"))
+
+
 @query(
     "value_counts",
     f"""WITH {GAPS_SQL}
