@@ -179,7 +179,7 @@ def _part_vectors(spark, sf_dir):
 
 @query("kmeans")
 def _(spark, sf_dir):
-    spec = candidate(ProblemType.CLUSTERING, "KMeans", restarts=2)
+    spec = candidate(ProblemType.CLUSTERING, "KMeans")
     df = _part_vectors(spark, sf_dir).persist()
     scored = spec.build(spec.params, Context(df.count(), 2)).fit(df).transform(df)
     return scored.select("p_partkey", "prediction")

@@ -6,8 +6,9 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +36,10 @@ def linear_importance(df: DataFrame, coefficients: Mapping[str, float]) -> DataF
 
 
 def _deviations(df: DataFrame, features: str = "features") -> list[float]:
-    """Mean absolute deviation of each vector entry: one row per entry leaves each task."""
-    long = df.select(F.posexplode(vector_to_array(col(features))).alias("i", "x"))
-    means = long.groupBy("i").agg(F.avg("x").alias("mean"))
-    # One row per feature.
-    rows = (
-        long.join(F.broadcast(means), "i")
-        .groupBy("i")
-        .agg(F.avg(F.abs(F.col("x") - F.col("mean"))).alias("d"))
-        .orderBy("i")
-        .collect()
-    )
-    return [r.d for r in rows]
+    """Mean absolute deviation of each vector entry: a pass for the means and one for the sums around them."""
+    centred = StandardScaler(inputCol=features, outputCol="__centred", withMean=True, withStd=False).fit(df).transform(df)
+    row = centred.select(Summarizer.metrics("normL1", "count").summary(F.col("__centred")).alias("s")).first().s
+    return [float(x) / row["count"] for x in row.normL1]
 
 
 def _model_weights(model) -> tuple[str, np.ndarray] | None:
