@@ -24,7 +24,7 @@ K1, B = 1.2, 0.75
 # Items in a block, and postings' texts that are indexed and broadcast at a time; more items take more passes.
 BLOCK = 8
 SHARD_BYTES = 32 << 20
-_BYTES = 2 << 20
+_BYTES = 1 << 20
 _MARKS = 1 << 18
 
 # ASCII bytes other than letters and digits part words, as white space does.

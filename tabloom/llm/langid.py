@@ -21,7 +21,7 @@ BUCKETS = 1 << 15
 FIT_PER_LANG = 3_000
 # The matrix that is broadcast: BUCKETS single-precision numbers for each language.
 MATRIX_BYTES = 256 << 20
-_BYTES = 4 << 20
+_BYTES = 1 << 20
 UNKNOWN = "und"
 
 

@@ -28,7 +28,7 @@ PERCENT = 85
 BANDS = 48
 ROWS = 8
 BINS = BANDS * ROWS
-_BYTES = 4 << 20
+_BYTES = 1 << 20
 # Rows of a bucket, and pairs of sets, that a task of the later rounds takes.
 _TASK_ROWS = 200_000
 _TASK_PAIRS = 20_000

@@ -27,7 +27,7 @@ OVERLAP = 0.8
 # stretches always.
 HASHES = 5
 ENOUGH = 2
-_BYTES = 2 << 20
+_BYTES = 1 << 20
 
 
 def _sliding(values: np.ndarray, size: int, pick: np.ufunc, fill: int) -> np.ndarray:
