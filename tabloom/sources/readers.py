@@ -87,11 +87,18 @@ def from_jdbc(
     partitions: int = 1,
     **options: str,
 ) -> DataFrame:
-    """A query in a database; with a numeric column and its bounds it is read in parallel."""
+    """A query in a database; with a numeric column and its bounds it is read in parallel.
+
+    Without given bounds the database is asked for the least and the greatest value of the column.
+    """
     reader = spark.read.format("jdbc").option("url", url).options(**options)
     if partition_column is None:
         return reader.option("query", query).load()
-    low, high = bounds or (0, 1)
+    if bounds is None:
+        ends = f"SELECT min({partition_column}) AS low, max({partition_column}) AS high FROM ({query}) AS source"
+        bounds = tuple(reader.option("query", ends).load().first())
+        reader = spark.read.format("jdbc").option("url", url).options(**options)
+    low, high = (0 if b is None else b for b in bounds)
     return (
         reader.option("dbtable", f"({query}) AS source")
         .option("partitionColumn", partition_column)
