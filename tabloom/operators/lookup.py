@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +22,10 @@ def _cell_bytes(c: Column, kind: T.DataType) -> Column:
         if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType)):
             return F.aggregate(c, F.lit(8).cast("long"), lambda n, x: n + F.coalesce(_cell_bytes(x, inner), F.lit(8)))
         return F.size(c) * 8 + 8
-    if isinstance(kind, VectorUDT):
+    if kind.typeName() == "vectorudt":
+        # Imported here, since Python workers import this module too and pyspark.ml loads much.
+        from pyspark.ml.functions import vector_to_array
+
         return F.size(vector_to_array(c)) * 8 + 8
     return F.lit(8)
 
