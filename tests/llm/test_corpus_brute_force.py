@@ -366,3 +366,41 @@ def test_next_token_probabilities_sum_to_one(make_docs, monkeypatch):
         rest = sorted(inner.values())[: 12 - n]
         of = dict(zip(model.rest_counts.tolist(), model.rest))
         assert sum(of[c] for c in rest) + model.unseen == pytest.approx(1)
+
+
+def test_every_word_is_a_context(make_docs):
+    """A pair that training has seen is likelier than one it has not, also where words are many and rare."""
+    n = 1500
+    rows = [(i, f"x{i % n} y{i % n}") for i in range(3 * n)]
+    rows += [(10_000 + i, f"x{i} y{i}") for i in range(n)] + [(20_000 + i, f"x{i} y{(i + 1) % n}") for i in range(n)]
+    got = {r.doc_id: r.score for r in pitman_yor.score_texts(make_docs(rows), F.col("doc_id") < 10_000).collect()}
+    assert all(got[10_000 + i] > got[20_000 + i] + 1 for i in range(n))
+
+
+def test_word_contexts_sum_to_one(make_docs, monkeypatch):
+    """After any context, over all known tokens and the unseen one; and the scores are those of the cells."""
+    texts = ["a b a b c", "b a d", "a a a e f", "g h a b", "i i i j k k"]
+    models, fit = [], pitman_yor._fit_words
+    monkeypatch.setattr(pitman_yor, "_fit_words", lambda *x: models.append(fit(*x)) or models[-1])
+    held = "a b k zz"
+    got = {r.doc_id: r for r in pitman_yor.score_texts(make_docs([*enumerate(texts), (9, held)]), F.col("doc_id") != 9).collect()}
+    model = models[-1]
+    assert model.types == 12 and model.tokens == 28 and model.start_customers == 5
+    share = dict(zip(model.told.tolist(), model.shares))
+    asked = {r.word: share[r.asked] for r in model.symbols.collect()}
+    assert len(asked) == 12 and sum(asked.values()) + model.unseen == pytest.approx(1)
+    cells = {(r.context, r.symbol): r.seated for r in model.cells.collect()}
+    tokens = [[*t.split(), None] for t in texts]
+    assert len(cells) == len({p for t in tokens for p in zip(["start", *t], t)})
+    tables = {r.word: r.tables for r in model.contexts.collect()}
+    hashes = {w: int(pitman_yor.word_hashes(*pitman_yor.buffers(pa.array([w])))[0].astype(np.int64)[0]) for w in [*"abcdefghijk", "zz"]}
+    hashes |= {None: 1, "start": 2}
+    customers = collections.Counter(w for t in tokens for w in ["start", *t])
+    for w in [*"abcdefghijk", "start"]:
+        seated = sum(s for (u, _), s in cells.items() if u == hashes[w])
+        assert seated + model.discount * tables[hashes[w]] == pytest.approx(customers[w])
+    want = 0.0
+    for u, w in zip(["start", *held.split()], [*held.split(), None]):
+        floor = (1 + model.discount * tables.get(hashes[u], 0)) * asked.get(hashes[w], model.unseen)
+        want += math.log10((cells.get((hashes[u], hashes[w]), 0) + floor) / (1 + customers[u]))
+    assert got[9].score == pytest.approx(want, abs=1e-6)
