@@ -15,6 +15,8 @@ from tabloom.session import scratch_path, ship, written
 
 # The least posterior probability of a document's language.
 LANGUAGE_SCORE = 0.5
+# Words of a shingle, and the least likeness in percent, of near duplicates.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 # No SQL says character models, and the stages build on each other; the tests hold the rows against brute force.
 ORACLE_SQL = None
@@ -28,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id."""
-    gone = written(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
+    gone = written(near_duplicates(docs, percent=NEAR_PERCENT, width=NEAR_WIDTH).filter("not kept").select("doc_id").distinct(), "gone")
     return first_of_each(with_ids(docs, gone, "doc_id", "left_anti"), "doc_id")
 
 

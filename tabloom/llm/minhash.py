@@ -24,10 +24,12 @@ from .words import buffers, mix, shingles, slices, word_hashes
 
 WIDTH = 3
 PERCENT = 85
-# 48 bands of 8 bins: two sets at a likeness of 0.85 miss each other in all bands with a chance of 2.4e-7.
+# 48 bands of 8 bins: two sets at a likeness of 0.85 miss each other in all bands with a chance of 2.4e-7. Lower
+# likenesses take narrower bands, until that chance is below MISS.
 BANDS = 48
 ROWS = 8
 BINS = BANDS * ROWS
+MISS = 1e-6
 _BYTES = 1 << 20
 # Rows of a bucket, and pairs of sets, that a task of the later rounds takes.
 _TASK_ROWS = 200_000
@@ -97,11 +99,17 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return values.reshape(-1, BINS)
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of a signature; different bands never share keys by construction of the hash."""
-    rows = signature.reshape(len(signature), BANDS, ROWS)
-    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
-    for i in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Bins of a band, for sets with a likeness of ``percent`` %."""
+    fits = (r for r in range(ROWS, 1, -1) if BINS % r == 0 and (1 - (percent / 100) ** r) ** (BINS // r) <= MISS)
+    return next(fits, 1)
+
+
+def band_keys(signature: np.ndarray, width: int = ROWS) -> np.ndarray:
+    """One 64-bit key for each band of ``width`` bins; different bands never share keys by construction of the hash."""
+    rows = signature.reshape(len(signature), BINS // width, width)
+    total = np.broadcast_to(np.arange(1, BINS // width + 1, dtype=np.uint64), rows.shape[:2]).copy()
+    for i in range(width):
         total = mix(total * np.uint64(0x100000001B3) + rows[:, :, i])
     return total
 
@@ -111,31 +119,37 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return upto[bounds[1:]] - upto[bounds[:-1]]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text", _BYTES):
-            sets, bounds = shingle_sets(part.column("text"))
-            keys = band_keys(signatures(sets, bounds)).astype(np.int64)
-            n = np.diff(bounds)
-            one, two = (_sums(mix(sets ^ np.uint64(salt)), bounds).astype(np.int64) for salt in (0x5BD1, 0xC2B2))
-            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id"), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel())),
-                ],
-                names=["id", "n_shingles", "one", "two", "bands"],
-            )
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text", _BYTES):
-            sets, bounds = shingle_sets(part.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.astype(np.int64)))],
-                names=["id", "shingles"],
-            )
+def _sign(width: int, rows: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _BYTES):
+                sets, bounds = shingle_sets(part.column("text"), width)
+                keys = band_keys(signatures(sets, bounds), rows).astype(np.int64)
+                n = np.diff(bounds)
+                one, two = (_sums(mix(sets ^ np.uint64(salt)), bounds).astype(np.int64) for salt in (0x5BD1, 0xC2B2))
+                offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BINS // rows, 0))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel())),
+                    ],
+                    names=["id", "n_shingles", "one", "two", "bands"],
+                )
+
+    return sign
+
+
+def _sets(width: int):
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _BYTES):
+                sets, bounds = shingle_sets(part.column("text"), width)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.astype(np.int64)))],
+                    names=["id", "shingles"],
+                )
+
+    return collect
 
 
 def _first_hubs(rows: DataFrame) -> DataFrame:
@@ -160,7 +174,7 @@ def _compared(pairs: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFr
     return written(told.coalesce(-(-n // _TASK_PAIRS) or 1), "pairs")
 
 
-def _links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _links(reps: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b) that connect all representatives with a likeness of at least ``percent`` % in a common bucket.
 
     Members of a bucket are first compared with one hub. What that leaves undecided is narrowed by three exact rules:
@@ -172,7 +186,7 @@ def _links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     met = written(rows.join(_first_hubs(rows), "key").filter("id <> hub"), "buckets")
     pairs = written(met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "asked")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = written(with_ids(docs, ids, "id").mapInArrow(_sets, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
+    sets = written(with_ids(docs, ids, "id").mapInArrow(_sets(width), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
     known = _compared(pairs, pairs.count(), sets, percent)
     links = known.filter("linked").select("a", "b")
     # A member that the hub links can only be linked to one that it rejects if their distances to the hub differ by
@@ -280,8 +294,8 @@ def _own_shingles(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return mine.join(single, "id", "left").select("id", F.size("shingles").alias("size"), F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, kept): near-duplicate groups by 3-word shingles, one kept of each.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """(id, n_shingles, component_id, kept): near-duplicate groups by shingles of ``width`` words, one kept of each.
 
     A shorter text counts as one shingle. Two documents are linked where 100 times the intersection of their sets is
     at least ``percent`` times the union; a component's id is the smallest document id in it and only that document
@@ -291,14 +305,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     lean = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     signed = written(
-        lean.mapInArrow(_sign, "id bigint, n_shingles bigint, one bigint, two bigint, bands array<bigint>")
+        lean.mapInArrow(_sign(width, band_rows(percent)), "id bigint, n_shingles bigint, one bigint, two bigint, bands array<bigint>")
         .withColumn("set_key", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.concat_ws("/", "n_shingles", "one", "two")))
         .drop("one", "two"), "signed",
     )
     grouped = signed.filter("set_key is not null")
     classes = written(grouped.groupBy("set_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("__n")), "classes")
     reps = written(grouped.join(classes.select("set_key", "id"), ["set_key", "id"]).select("id", "bands"), "reps")
-    edges = written(_links(reps, lean, percent).distinct(), "links")
+    edges = written(_links(reps, lean, percent, width).distinct(), "links")
     vertices = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     roots = components(vertices, edges)
     table = classes.join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("component_id"), "__n")

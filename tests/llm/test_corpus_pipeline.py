@@ -75,3 +75,14 @@ def test_stages_hand_on_documents(spark, planted):
         assert out.columns == NAMES and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         assert stage(spark, docs.limit(0), planted[2]).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), planted[2]).count() == 0
+
+
+def test_near_dedup_takes_five_words_and_80_percent(spark, make_docs):
+    base = prose(400, 200).split()
+    longer = base + prose(401, 40).split()
+    rows = [(1, " ".join(base)), (2, " ".join(longer)), (3, prose(403, 200)), (4, prose(403, 200) + " " + prose(404, 60))]
+    rows += [(5, " ".join(prose(405, 200).split())), (6, " ".join(prose(405, 200).split()[:91] + prose(406, 18).split() + prose(405, 200).split()[109:]))]
+    share = lambda a, b: len(runs(a, 5) & runs(b, 5)) / len(runs(a, 5) | runs(b, 5))
+    assert share(rows[0][1], rows[1][1]) >= 0.8 > share(rows[2][1], rows[3][1]) and share(rows[4][1], rows[5][1]) < 0.85
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, make_docs(rows, False), None).collect()}
+    assert kept == {a for a, t in rows if not any(b < a and share(t, u) >= 0.8 for b, u in rows)} and 2 not in kept
