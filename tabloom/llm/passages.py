@@ -154,20 +154,23 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def alike_runs(own: np.ndarray, other: np.ndarray, size: int = MIN_WORDS - WIDTH + 1, overlap: float = OVERLAP) -> list[tuple[int, int, float]]:
     """(first, last, share) of the longest runs of ``own`` of at least ``size`` that begin and end with a shingle of
-    ``other`` and hold a share of at least ``overlap`` of such; a run that holds too few is split at its widest gap."""
+    ``other`` and hold a share of at least ``overlap`` of such; then of the longest in front of and behind each."""
     found, todo = [], [np.flatnonzero(np.isin(own, other))]
     while todo:
         at = todo.pop()
         if not len(at) or at[-1] - at[0] + 1 < size:
             continue
-        gaps = np.diff(at)
-        share = len(at) / (at[-1] - at[0] + 1)
-        # A gap as wide as a fifth of the least passage is not part of one.
-        if len(gaps) and (share < overlap or gaps.max() > size * (1 - overlap) + 1):
-            cut = int(gaps.argmax()) + 1
-            todo += [at[:cut], at[cut:]]
-        else:
-            found.append((int(at[0]), int(at[-1]), float(share)))
+        # From the i-th to the j-th the share holds where height[j] >= height[i] - (1 - overlap).
+        height = np.arange(len(at)) - overlap * (at - at[0])
+        highest_behind = np.maximum.accumulate(height[::-1])[::-1]
+        last = np.searchsorted(-highest_behind, -(height - (1 - overlap) - 1e-9), side="right") - 1
+        length = at[last] - at + 1
+        i = int(length.argmax())
+        if length[i] < size:
+            continue
+        j = int(last[i])
+        found.append((int(at[i]), int(at[j]), (j - i + 1) / int(length[i])))
+        todo += [at[:i], at[j + 1 :]]
     return sorted(found)
 
 

@@ -404,3 +404,35 @@ def test_word_contexts_sum_to_one(make_docs, monkeypatch):
         floor = (1 + model.discount * tables.get(hashes[u], 0)) * asked.get(hashes[w], model.unseen)
         want += math.log10((cells.get((hashes[u], hashes[w]), 0) + floor) / (1 + customers[u]))
     assert got[9].score == pytest.approx(want, abs=1e-6)
+
+
+def test_runs_of_near_copies():
+    """The longest run with the share, whatever gaps it has: against all pairs of ends."""
+
+    def longest(own, other):
+        hits = [i for i, s in enumerate(own) if s in other]
+        fits = [(j - i + 1, -i, j) for i in hits for j in hits if j - i >= 45 and 10 * sum(i <= h <= j for h in hits) >= 8 * (j - i + 1)]
+        if not fits:
+            return []
+        n, i, j = max(fits)
+        left, right = longest(own[:-i], other), longest(own[j + 1 :], other)
+        return left + [(-i, j)] + [(a + j + 1, b + j + 1) for a, b in right]
+
+    draw = random.Random(5)
+    for _ in range(150):
+        own = list(range(draw.randrange(40, 220)))
+        other = set(own)
+        for _ in range(draw.randrange(7)):
+            at = draw.randrange(len(own))
+            other -= set(range(at, at + draw.randrange(1, 25)))
+        got = passages.alike_runs(np.array(own), np.array(sorted(other)))
+        assert [(a, b) for a, b, _ in got] == longest(own, other)
+        assert all(s == pytest.approx(sum(a <= h <= b for h in other) / (b - a + 1)) for a, b, s in got)
+
+
+def test_passage_with_six_words_changed_in_the_middle(make_docs):
+    shared = prose(500, 100).split()
+    edited = shared[:46] + prose(501, 6).split() + shared[52:]
+    docs = make_docs([(1, prose(502, 70) + " " + " ".join(shared)), (2, " ".join(edited) + " " + prose(503, 70))])
+    got = [(r.doc_id, r.source_id, r.first_word, r.n_words, round(r.overlap, 3)) for r in passages.repeated_passages(docs).collect()]
+    assert got == [(2, 1, 0, 100, 0.896)]
