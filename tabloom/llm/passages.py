@@ -28,6 +28,8 @@ OVERLAP = 0.8
 HASHES = 5
 ENOUGH = 2
 _BYTES = 1 << 20
+# The least number of shingles that a passage shares.
+_SHARED = -(-(MIN_WORDS - WIDTH + 1) * 8 // 10)
 
 
 def _sliding(values: np.ndarray, size: int, pick: np.ufunc, fill: int) -> np.ndarray:
@@ -189,12 +191,77 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the windows of each key, in that order, those that can still tell of a passage.
+
+    If the key tells of a passage, the window holds all of it. So a document still seeks if its window shares enough
+    shingles with windows of smaller ids, one of them outside the passages it is known to have (``spans``); a window
+    is still asked if a later document seeks a shingle that it has. Those that share most come first (``rank``).
+    """
+
+    def narrow(table: pa.Table) -> list[pa.RecordBatch]:
+        table = table.combine_chunks()
+        keys, ids, left, centre, right = (table.column(c).to_numpy() for c in ("key", "id", "left", "centre", "right"))
+        seeks = table.column("seeks").to_numpy(zero_copy_only=False)
+        runs = table.column("shingles").combine_chunks()
+        sizes = np.diff(runs.offsets.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        place = np.arange(len(owner)) - np.repeat(ends[:-1], sizes)
+        group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+        _, shingle = np.unique((group[owner] << 32) | runs.flatten().to_numpy().view(np.uint32).astype(np.int64), return_inverse=True)
+        unknown = np.ones(len(owner), bool)
+        for row, spans in enumerate(table.column("spans").to_pylist()):
+            at = slice(*ends[row : row + 2])
+            for span in spans or ():
+                unknown[at] &= (place[at] + left[row] < span["first"]) | (place[at] + left[row] > span["last"])
+        earliest = np.full(shingle.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(earliest, shingle, ids[owner])
+        shared = earliest[shingle] < ids[owner]
+        count = lambda mask: np.bincount(owner[mask], minlength=len(ids))
+        seeks = seeks & (count(shared) >= _SHARED) & (count(shared & unknown) > 0)
+
+        def asked(mask: np.ndarray) -> np.ndarray:
+            latest = np.full(len(earliest), np.iinfo(np.int64).min)
+            np.maximum.at(latest, shingle[mask], ids[owner[mask]])
+            return count(latest[shingle] > ids[owner])
+
+        mine = seeks[owner]
+        keep = seeks | (asked(mine & unknown) > 0)
+        rank = -np.minimum(asked(mine), _SHARED)
+        columns = [keys, ids, left, centre, right, seeks, rank.astype(np.int32)]
+        return [pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["key", "id", "left", "centre", "right", "seeks", "rank"])]
+
+    held, n, limit = [], 0, 1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < limit:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield from narrow(table.slice(0, cut))
+            held, n, limit = table.slice(cut).to_batches(), n - cut, 1
+        else:
+            limit = 2 * n
+    if n:
+        yield from narrow(pa.Table.from_batches(held))
+
+
+_OPEN = "key bigint, id bigint, left int, centre int, right int, seeks boolean, rank int"
+
+
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, source_id, first_word, n_words, overlap): passages of a document that a document with a smaller id has.
 
     Each passage has at least 50 words, begins and ends with a shingle of the other document, and at least 0.8 of its
-    five-word shingles occur in the other's stretch. Documents that share a passage are each paired with the one that
-    has the smallest id, so pairs grow with the documents. Words are white-space separated, A-Z lower-cased. Null and
+    five-word shingles occur in the other's stretch. The documents of a window are each paired with the one that has
+    the smallest id; those whose windows that leaves uncovered meet the next one, until no window can tell of more, so
+    pairs grow with the documents. Words are white-space separated, A-Z lower-cased. Null and
     short texts and rows with a null id have no passages; rows with equal ids are one document, of which one text is
     compared; passages that repeat inside one document only are not reported; other columns are not read; an empty
     table gives an empty result.
@@ -202,26 +269,58 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     lean = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
     windows = lean.mapInArrow(_windows, "key bigint, id bigint, left int, centre int, right int")
     keys = windows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last")
-    met = written(windows.join(keys.select("key", "hub"), "key"), "met")
-    place = F.struct("centre", "left", "right")
-    hubs = met.filter("id = hub").groupBy("key").agg(F.min(place).alias("at"))
-    pairs = met.filter("id <> hub").join(
-        hubs.select("key", F.col("at.left").alias("hub_left"), F.col("at.right").alias("hub_right")), "key"
-    )
-    stretches = written(
-        pairs.repartition("id", "hub").sortWithinPartitions("id", "hub", "left")
-        .select("key", "id", "hub", "left", "right", "hub_left", "hub_right")
-        .mapInArrow(_stretches, "id bigint, hub bigint, left int, right int, hub_left int, hub_right int"), "stretches",
-    )
-    ids = written(stretches.select(F.explode(F.array("id", "hub")).alias("id")).distinct(), "ids")
-    arrays = written(with_ids(lean, ids, "id").mapInArrow(_arrays, "id bigint, shingles array<int>").dropDuplicates(["id"]), "shingles")
+    met = written(windows.join(keys.select("key"), "key").select("*", F.lit(True).alias("seeks"), F.lit(0).alias("rank")), "met")
     cut = lambda c, left, right: F.slice(c, F.col(left) + 1, F.col(right) - F.col(left) + 1)
-    own = stretches.join(arrays, "id").select("id", "hub", "left", "hub_left", "hub_right", cut("shingles", "left", "right").alias("own"))
-    both = own.join(arrays.select(F.col("id").alias("hub"), "shingles"), "hub").select(
-        "id", "hub", "left", "own", cut("shingles", "hub_left", "hub_right").alias("other")
-    )
-    found = both.mapInArrow(_verify, "id bigint, source_id bigint, first_word int, n_words int, overlap double")
-    return found.withColumnRenamed("id", id_column)
+
+    def shingles_of(ids: DataFrame) -> DataFrame:
+        return with_ids(lean, written(ids.distinct(), "ids"), "id").mapInArrow(_arrays, "id bigint, shingles array<int>").dropDuplicates(["id"])
+
+    found = spans = asked = None
+    while True:
+        best = F.min(F.struct("rank", "id"))
+        hubs = met.groupBy("key").agg(best["id"].alias("hub"), F.max(F.when(F.col("seeks"), F.col("id"))).alias("last")).filter("hub < last")
+        # A hub that has the key several times is asked with all of its windows.
+        hubs = met.join(hubs.select("key", "hub"), "key").filter("id = hub").groupBy("key", "hub").agg(
+            F.min("left").alias("hub_left"), F.max("right").alias("hub_right")
+        )
+        pairs = written(
+            met.join(hubs, "key").filter("seeks and id > hub").select("key", "id", "hub", "left", "right", "hub_left", "hub_right"), "pairs"
+        )
+        # Documents that met in an earlier round too meet with the windows of both.
+        again = pairs if asked is None else pairs.unionByName(asked.join(pairs.select("id", "hub").distinct(), ["id", "hub"], "left_semi"))
+        stretches = written(
+            again.repartition("id", "hub").sortWithinPartitions("id", "hub", "left").select("key", "id", "hub", "left", "right", "hub_left", "hub_right")
+            .mapInArrow(_stretches, "id bigint, hub bigint, left int, right int, hub_left int, hub_right int"), "stretches",
+        )
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        arrays = written(shingles_of(stretches.select(F.explode(F.array("id", "hub")).alias("id"))), "shingles")
+        own = stretches.join(arrays, "id").select("id", "hub", "left", "hub_left", "hub_right", cut("shingles", "left", "right").alias("own"))
+        both = own.join(arrays.select(F.col("id").alias("hub"), "shingles"), "hub").select(
+            "id", "hub", "left", "own", cut("shingles", "hub_left", "hub_right").alias("other")
+        )
+        new = both.mapInArrow(_verify, "id bigint, source_id bigint, first_word int, n_words int, overlap double")
+        last_shingle = F.col("first_word") + F.col("n_words") - WIDTH
+        inside = (F.col("first") <= F.col("first_word")) & (F.col("last") >= last_shingle)
+        if spans is not None:
+            new = new.join(spans.withColumnRenamed("id", "span_id"), (F.col("id") == F.col("span_id")) & inside, "left_anti")
+        new = written(new, "passages")
+        found = new if found is None else found.unionByName(new)
+        spans = written(found.select("id", F.col("first_word").alias("first"), last_shingle.alias("last")).distinct(), "spans")
+        # Windows inside a passage seek no longer, but others may still find them.
+        rest = met.join(hubs.select("key", "hub"), "key").filter("id <> hub").drop("hub")
+        covered = rest.join(spans, "id").filter("first <= left and right <= last").select("key", "id", "left").distinct()
+        rest = rest.join(covered.withColumn("covered", F.lit(True)), ["key", "id", "left"], "left")
+        rest = rest.withColumn("seeks", F.col("seeks") & F.col("covered").isNull()).drop("covered")
+        alive = rest.groupBy("key").agg(F.min("id").alias("low"), F.max(F.when(F.col("seeks"), F.col("id"))).alias("high")).filter("low < high")
+        rest = written(rest.join(alive.select("key"), "key"), "rest")
+        arrays = shingles_of(rest.select("id"))
+        held = spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+        full = rest.join(arrays, "id").join(held, "id", "left").select(
+            "key", "id", "left", "centre", "right", "seeks", cut("shingles", "left", "right").alias("shingles"), "spans"
+        )
+        met = written(full.repartition("key").sortWithinPartitions("key", "id", "left").mapInArrow(_narrow, _OPEN), "met")
+        if met.isEmpty():
+            return found.withColumnRenamed("id", id_column)
 
 
 def _cut(text_column: str, spans_column: str):

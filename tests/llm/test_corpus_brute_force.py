@@ -436,3 +436,28 @@ def test_passage_with_six_words_changed_in_the_middle(make_docs):
     docs = make_docs([(1, prose(502, 70) + " " + " ".join(shared)), (2, " ".join(edited) + " " + prose(503, 70))])
     got = [(r.doc_id, r.source_id, r.first_word, r.n_words, round(r.overlap, 3)) for r in passages.repeated_passages(docs).collect()]
     assert got == [(2, 1, 0, 100, 0.896)]
+
+
+def test_parts_in_earlier_documents_hide_no_passage(make_docs):
+    """Two documents share 60 words; two earlier ones have 45 of them each, too few for a passage of their own."""
+    rows = []
+    for k in range(40):
+        at, shared = 10 * k, prose(600 + k, 60).split()
+        rows += [(at, prose(1000 + at, 60) + " " + " ".join(shared[:45])), (at + 1, " ".join(shared[15:]) + " " + prose(1001 + at, 60))]
+        rows += [(at + i, prose(1000 + at + i, 60) + " " + " ".join(shared) + " " + prose(1004 + at + i, 60)) for i in (2, 3)]
+    found = collections.defaultdict(set)
+    for r in passages.repeated_passages(make_docs(rows)).collect():
+        assert (r.doc_id % 10, r.source_id) == (3, r.doc_id - 1)
+        found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    assert found == {10 * k + 3: set(range(60, 120)) for k in range(40)}
+
+
+def test_longer_passage_around_a_known_one(make_docs):
+    """The first document has the middle of what the others share."""
+    shared = prose(700, 120)
+    middle = " ".join(shared.split()[35:90])
+    docs = make_docs([(1, middle + " " + prose(701, 60)), (2, prose(702, 60) + " " + shared), (3, shared + " " + prose(703, 60))])
+    found = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    assert found == {2: set(range(95, 150)), 3: set(range(120))}
