@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with SQL twins where SQL can say them."""
+"""The registered queries of the operators, with SQL twins where SQL can say them."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .chat import conversations, format_preferences, last_answer_swapped
-from .common import crc_mod
+from .common import crc_mod, lower_ascii
 from .decontaminate import find_leaks, split_items
 from .fingerprints import fingerprint_edits
 from .langid import fit, identify
+from .merkle import leaf_digest, merkle_proofs
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .passages import repeated_passages
+from .periodic import longest_run, periodic_runs, with_repeated_tail
 from .pitman_yor import score_texts
 from .registry import ORACLES, QUERIES, query, read
 from .url_rules import judge_urls
@@ -29,6 +31,21 @@ URL_RULES = [
 ]
 
 
+# For DuckDB, which has no crc32: its table (0xEDB88320), and the value of a document's id.
+_CRC_TABLE = """crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(n)))"""
+_CRC_OF_ID = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in fields) + ")"
+
+
 @query("op1_preferences", """
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -171,3 +188,86 @@ def op9_decontaminate(spark, sf_dir):
 @query("op10_repeated_passages")
 def op10_repeated_passages(spark, sf_dir):
     return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs", rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, {_CRC_OF_ID} AS h, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents, crc),
+a AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+m AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) ELSE w END AS w
+  FROM a),
+i AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM m),
+j AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM i x JOIN i y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+b AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM j),
+s AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM b GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+k AS (
+  SELECT i.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM i
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = i.doc_id AND i >= start + period AND i < start + length) GROUP BY i.doc_id),
+t AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told,
+         first({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period) AS best
+  FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""")
+def op11_periodic_runs(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    text = with_repeated_tail(F.col("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    found = periodic_runs(docs.select("doc_id", text.alias("text")))
+    best = found.withColumn("best", longest_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_merkle", f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, {_leaf_sql('text')} AS leaf,
+         CASE WHEN {_CRC_OF_ID} % 5 = 0 THEN {_leaf_sql(_LOWER)} END AS claimed
+  FROM documents, crc),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+v AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1 : i + 16], '')))
+  FROM v WHERE len(nodes) > 1),
+s AS (SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank FROM v WHERE len(nodes) = 1),
+w AS (
+  SELECT 0 AS level, list(subroot ORDER BY rank) AS nodes FROM s
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1 : i + 16], ''))) FROM w WHERE len(nodes) > 1),
+g AS (
+  SELECT tree, level, i AS grp, nodes[i * 16 + 1 : i * 16 + 16] AS run FROM v, unnest(range(0, (len(nodes) + 15) // 16)) u(i) WHERE len(nodes) > 1
+  UNION ALL
+  SELECT NULL, level, i, nodes[i * 16 + 1 : i * 16 + 16] FROM w, unnest(range(0, (len(nodes) + 15) // 16)) u(i) WHERE len(nodes) > 1),
+k AS (
+  SELECT doc_id, leaf, pos, tree, false AS up, level, pos // (16 ** level)::BIGINT AS place FROM p JOIN (SELECT DISTINCT tree, level FROM g) USING (tree)
+  UNION ALL
+  SELECT doc_id, leaf, pos, tree, true, level, rank // (16 ** level)::BIGINT FROM p JOIN s USING (tree), (SELECT DISTINCT level FROM g WHERE tree IS NULL)),
+o AS (
+  SELECT k.doc_id, k.leaf, k.tree, k.pos, array_to_string(run[: place % 16], '') AS front, array_to_string(run[place % 16 + 2 :], '') AS behind,
+         row_number() OVER (PARTITION BY k.tree, k.pos ORDER BY up, k.level) AS step
+  FROM k JOIN g ON g.level = k.level AND grp = place // 16 AND (NOT up AND g.tree = k.tree OR up AND g.tree IS NULL)),
+f AS (
+  SELECT tree, pos, 0 AS step, coalesce(claimed, leaf) AS digest FROM p
+  UNION ALL
+  SELECT f.tree, f.pos, o.step, sha256(front || digest || behind) FROM f JOIN o ON o.tree = f.tree AND o.pos = f.pos AND o.step = f.step + 1),
+e AS (SELECT tree, pos, arg_max(digest, step) AS folded_root FROM f GROUP BY tree, pos),
+x AS (SELECT tree, pos, sha256(string_agg(front || behind, '' ORDER BY step)) AS proof_sha256 FROM o GROUP BY tree, pos)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN s USING (tree) JOIN e USING (tree, pos) LEFT JOIN x USING (tree, pos), (SELECT nodes[1] AS root FROM w WHERE len(nodes) = 1)""")
+def op13_merkle(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    tampered = F.when(crc_mod(F.col("doc_id"), 5) == 0, leaf_digest(fields(lower_ascii(F.col("text")))))
+    leaves = docs.select(F.col("doc_id").alias("id"), "source", leaf_digest(fields(F.col("text"))).alias("leaf"), tampered.alias("claimed"))
+    return merkle_proofs(leaves).withColumnRenamed("id", "doc_id")
