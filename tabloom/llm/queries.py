@@ -17,6 +17,7 @@ from .passages import repeated_passages
 from .periodic import longest_run, periodic_runs, with_repeated_tail
 from .pitman_yor import score_texts
 from .registry import ORACLES, QUERIES, query, read
+from .set_join import jaccard_classes
 from .url_rules import judge_urls
 from .warc import round_trip
 
@@ -271,3 +272,23 @@ def op13_merkle(spark, sf_dir):
     tampered = F.when(crc_mod(F.col("doc_id"), 5) == 0, leaf_digest(fields(lower_ascii(F.col("text")))))
     leaves = docs.select(F.col("doc_id").alias("id"), "source", leaf_digest(fields(F.col("text"))).alias("leaf"), tampered.alias("claimed"))
     return merkle_proofs(leaves).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_jaccard_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g
+  FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM g),
+s AS (SELECT doc_id, unnest(g) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM n JOIN c ON a = doc_id""")
+def op12_jaccard_join(spark, sf_dir):
+    return jaccard_classes(read(spark, sf_dir, "documents"))
