@@ -10,7 +10,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import isolation, metrics, neighbors, outlier_models
+from ..operators.boosting import BoostedTrees
 from ..operators.dbscan import dbscan
+from ..operators.shap import mean_abs_shap
 from ..plans import explain, run, training
 from ..plans.heuristics import ProblemType, suggest_plan
 from ..plans.prepare import fit_recipe, varying_features
@@ -85,6 +87,59 @@ def _(spark, sf_dir):
     return _board(spark, _fit(_late(spark, sf_dir), "watch", CLASSIFICATION, [spec], ["o_orderkey"]))
 
 
+@query("boosted_three_classes")
+def _(spark, sf_dir):
+    chosen = [candidate(CLASSIFICATION, "BoostedTrees", maxIter=10, maxDepth=3), candidate(CLASSIFICATION, "BoostedLeaves", maxIter=10, maxLeaves=8)]
+    return _board(spark, _fit(_tiers(spark, sf_dir), "tier", CLASSIFICATION, chosen, _LINE_KEY))
+
+
+_THIRDS_SQL = """SELECT l_quantity, l_discount, l_tax,
+    CASE WHEN l_discount > 0.05 THEN 0 WHEN l_quantity > 30 THEN 1 ELSE 2 END AS label FROM lineitem"""
+
+
+def _thirds(spark, sf_dir):
+    """Line items with three classes, by columns of few values."""
+    label = F.when(c("l_discount") > 0.05, 0.0).when(c("l_quantity") > 30, 1.0).otherwise(2.0)
+    columns = ("l_quantity", "l_discount", "l_tax")
+    return _vectors(table(spark, sf_dir, "lineitem").select(*[c(x).cast("double").alias(x) for x in columns], label.alias("label")), *columns)
+
+
+@query(
+    "boosted_first_split",
+    f"""WITH r AS ({_THIRDS_SQL}),
+    k AS (SELECT label AS k, count(*) / (SELECT count(*) FROM r)::DOUBLE AS p FROM r GROUP BY label),
+    x AS (SELECT 0 AS feature, l_quantity::DOUBLE AS x, label FROM r UNION ALL SELECT 1, l_discount, label FROM r
+          UNION ALL SELECT 2, l_tax, label FROM r),
+    v AS (SELECT k, p, feature, x, sum(p - (label = k)::INT) AS g, count(*) * p * (1 - p) AS h, count(*) AS n FROM x, k GROUP BY k, p, feature, x),
+    b AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER a AS gt, sum(h) OVER a AS ht FROM v
+          WINDOW w AS (PARTITION BY k, feature ORDER BY x), a AS (PARTITION BY k, feature)),
+    s AS (SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM b
+          WHERE hl >= 1 AND ht - hl >= 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(gain, 6) DESC, feature, x) AS nth FROM s)
+    SELECT k::INT AS class, feature::INT AS feature, x AS threshold, nl::BIGINT AS n_left, round(gain, 4) AS gain FROM o WHERE nth = 1""",
+)
+def _(spark, sf_dir):
+    model = BoostedTrees(1, 0.1, 1, n_classes=3).fit(_thirds(spark, sf_dir))
+    rows = [
+        (k, int(t.feature[0]), float(t.threshold[0]), int(t.cover[t.left[0]]), round(float(t.gain[0]), 4)) for k, t in enumerate(model.rounds[0])
+    ]
+    return spark.createDataFrame(rows, "class int, feature int, threshold double, n_left bigint, gain double")
+
+
+@query(
+    "boosted_stump_shap",
+    """WITH m AS (SELECT *, avg(l_extendedprice) OVER (PARTITION BY l_quantity > 25) AS side, avg(l_extendedprice) OVER () AS mean FROM (
+      SELECT l_quantity, CASE WHEN l_quantity > 25 THEN 900.0 ELSE 100.0 END + l_tax * 100 AS l_extendedprice FROM lineitem))
+    SELECT 'l_quantity' AS feature, round(avg(abs(side - mean)), 4) AS importance FROM m
+    UNION ALL SELECT 'l_discount', 0.0""",
+)
+def _(spark, sf_dir):
+    price = F.when(c("l_quantity") > 25, 900.0).otherwise(100.0) + c("l_tax") * 100
+    df = _vectors(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", price.alias("label")), "l_quantity", "l_discount")
+    model = BoostedTrees(1, 1.0, 1, l2=0.0).fit(df)
+    return mean_abs_shap(df, model, ["l_quantity", "l_discount"]).withColumn("importance", F.round("importance", 4))
+
+
 @query("perceptron")
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "customer").withColumn(
@@ -104,7 +159,7 @@ for _name, _spec_of in {
     "linear_regression": ("LinearRegression", {}),
     "random_forest_regressor": ("RandomForest", {"numTrees": 20, "maxDepth": 6}),
     "boosted_trees_regressor": ("BoostedTrees", {"maxIter": 10, "maxDepth": 4}),
-    "gradient_boosting": ("GradientBoosting", {"maxIter": 10}),
+    "gradient_boosting": ("GradientBoosting", {}),
 }.items():
 
     @query(_name)

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.kinds import as_double, col, numeric_columns
 from ..operators.metrics import classification_metrics, regression_metrics, silhouette, silhouette_verdict
 from ..operators.metrics import NOISE
+from ..operators.shap import mean_abs_shap
 from .heuristics import ProblemType
 from .training import Trained
 
 IMPORTANCE_SCHEMA = "feature string, importance double"
+# Rows of the hold-out that trees are explained by.
+EXPLAINED_ROWS = 500
 
 
 def linear_importance(df: DataFrame, coefficients: Mapping[str, float]) -> DataFrame:
@@ -43,13 +46,11 @@ def _deviations(df: DataFrame, features: str = "features") -> list[float]:
 
 
 def _model_weights(model) -> tuple[str, np.ndarray] | None:
-    """("linear" | "tree", one weight per feature), where the model has them."""
+    """("linear", one weight per feature), where the model has them."""
     if hasattr(model, "coefficientMatrix"):
         return "linear", np.abs(model.coefficientMatrix.toArray()).mean(axis=0)
     if hasattr(model, "coefficients"):
         return "linear", np.abs(model.coefficients.toArray())
-    if hasattr(model, "featureImportances"):
-        return "tree", model.featureImportances.toArray()
     if hasattr(model, "models"):
         parts = [_model_weights(m) for m in model.models]
         if parts and all(p is not None for p in parts):
@@ -58,14 +59,21 @@ def _model_weights(model) -> tuple[str, np.ndarray] | None:
 
 
 def feature_importance(trained: Trained) -> tuple[str, DataFrame]:
-    """Importances of the best model and the method that gave them."""
-    found = _model_weights(trained.best.model)
+    """Importances of the best model and the method that gave them.
+
+    Trees are explained by the mean absolute SHAP values of ``EXPLAINED_ROWS`` rows of the hold-out, chosen by hash.
+    """
     spark = trained.train.sparkSession
+    if hasattr(trained.best.model, "featureImportances"):
+        few = trained.valid.orderBy(F.xxhash64(vector_to_array("features")), "label").limit(EXPLAINED_ROWS)
+        # One row per feature; taken now, since the hold-out may be released before the result is read.
+        found = mean_abs_shap(few, trained.best.model, trained.names).collect()
+        return "shap", spark.createDataFrame(found, IMPORTANCE_SCHEMA)
+    found = _model_weights(trained.best.model)
     if found is None:
         return "permutation", permutation_importance(trained)
     kind, weights = found
-    if kind == "linear":
-        weights = weights * np.array(_deviations(trained.train))
+    weights = weights * np.array(_deviations(trained.train))
     rows = [(n, float(w)) for n, w in zip(trained.names, weights)]
     return kind, spark.createDataFrame(rows, IMPORTANCE_SCHEMA)
 

@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.ml import classification, clustering, regression
 
+from ..operators.boosting import BoostedTrees
 from ..operators.dbscan import DensityClusters
 from ..operators.neighbors import LocalOutlierFactor, NearestNeighbors
 from ..operators.outlier_models import IsolationForestEstimator, MahalanobisEstimator
@@ -68,6 +69,14 @@ def _estimator(kind: type, *, two_classes: bool = False, **fixed) -> Callable[[P
     return build
 
 
+def _boosting(params: Params, context: Context) -> BoostedTrees:
+    """One model for any number of classes; 0 classes are numbers."""
+    return BoostedTrees(
+        rounds=params["maxIter"], step=params["stepSize"], max_depth=params.get("maxDepth"), max_leaves=params.get("maxLeaves"),
+        n_classes=context.n_classes, l2=params.get("l2", 1.0),
+    )
+
+
 def _perceptron(params: Params, context: Context):
     layers = [context.n_features, *params["hidden"], max(context.n_classes, 2)]
     return classification.MultilayerPerceptronClassifier(layers=layers, maxIter=500, seed=context.seed)
@@ -92,7 +101,8 @@ def _board() -> dict[ProblemType, tuple[Candidate, ...]]:
         board.setdefault(kind, []).append(Candidate(name, kind, build, params, grid))
 
     ml, depths = ProblemType, (FOREST_DEPTH, 10, 20)
-    boosting = {"maxIter": (200, 400), "maxDepth": (3, 6), "stepSize": (0.05, 0.1)}
+    boosting = {"maxIter": (200, 400), "stepSize": (0.05, 0.1)}
+    by_depth, by_leaves = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}, {"maxIter": 200, "maxLeaves": 31, "stepSize": 0.1}
 
     # Penalties are the inverse of 0.1, 1 and 5 (0.5, 1 and 5 for the support vectors), spread over the rows.
     add(ml.CLASSIFICATION, "LogisticRegression",
@@ -101,8 +111,8 @@ def _board() -> dict[ProblemType, tuple[Candidate, ...]]:
     add(ml.CLASSIFICATION, "RandomForest", _estimator(classification.RandomForestClassifier),
         {"numTrees": 200, "maxDepth": FOREST_DEPTH, "minInstancesPerNode": 1},
         numTrees=(100, 300), maxDepth=depths, minInstancesPerNode=(1, 2))
-    add(ml.CLASSIFICATION, "BoostedTrees", _estimator(classification.GBTClassifier, two_classes=True),
-        {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}, **boosting)
+    add(ml.CLASSIFICATION, "BoostedTrees", _boosting, by_depth, **boosting, maxDepth=(3, 4, 6, 8))
+    add(ml.CLASSIFICATION, "BoostedLeaves", _boosting, by_leaves, **boosting, maxLeaves=(15, 31))
     add(ml.CLASSIFICATION, "KNN", lambda p, c: NearestNeighbors(p["k"], p["weights"]),
         {"k": 5, "weights": "uniform"}, k=(3, 5, 11), weights=("uniform", "distance"))
     add(ml.CLASSIFICATION, "SVM",
@@ -114,10 +124,9 @@ def _board() -> dict[ProblemType, tuple[Candidate, ...]]:
     add(ml.REGRESSION, "LinearRegression", _estimator(regression.LinearRegression, regParam=1e-8))
     add(ml.REGRESSION, "RandomForest", _estimator(regression.RandomForestRegressor),
         {"numTrees": 200, "maxDepth": FOREST_DEPTH}, numTrees=(100, 300), maxDepth=depths)
-    add(ml.REGRESSION, "BoostedTrees", _estimator(regression.GBTRegressor),
-        {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}, **boosting)
-    add(ml.REGRESSION, "GradientBoosting", _estimator(regression.GBTRegressor),
-        {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}, maxIter=(100, 300), maxDepth=(3, 5), stepSize=(0.05, 0.1))
+    add(ml.REGRESSION, "BoostedTrees", _boosting, by_depth, **boosting, maxDepth=(3, 4, 6, 8))
+    add(ml.REGRESSION, "BoostedLeaves", _boosting, by_leaves, **boosting, maxLeaves=(15, 31))
+    add(ml.REGRESSION, "GradientBoosting", _boosting, {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "l2": 0.0}, maxIter=(100, 300), maxDepth=(3, 5), stepSize=(0.05, 0.1))
 
     add(ml.CLUSTERING, "KMeans", lambda p, c: RestartedKMeans(p["k"], p["restarts"], c.seed),
         {"k": 4, "restarts": 10}, k=(3, 4, 5, 8))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.blocks import vector_array
+from ..operators.boosting import BoostedModel
 from ..operators.lookup import BROADCAST_BYTES, lookup_join, measured_bytes
 from ..operators.neighbors import NearestNeighborsModel
 from ..operators.outlier_models import IsolationForestModel, MahalanobisModel
@@ -42,7 +43,7 @@ class LabelledRows:
         return LabelledRows(spark.read.parquet(path))
 
 
-_OWN = {m.__name__: m for m in (NearestNeighborsModel, IsolationForestModel, MahalanobisModel)}
+_OWN = {m.__name__: m for m in (NearestNeighborsModel, IsolationForestModel, MahalanobisModel, BoostedModel)}
 
 
 @dataclass
