@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import isolation, metrics, neighbors, outlier_models
+from ..operators.blocks import distinct_vectors
 from ..operators.boosting import BoostedTrees
 from ..operators.dbscan import dbscan
 from ..operators.shap import mean_abs_shap
+from ..operators.ward import ward_merges
 from ..plans import explain, run, training
 from ..plans.heuristics import ProblemType, suggest_plan
 from ..plans.prepare import fit_recipe, varying_features
@@ -242,10 +244,43 @@ def _(spark, sf_dir):
 
 @query("bisecting_kmeans")
 def _(spark, sf_dir):
-    spec = candidate(ProblemType.CLUSTERING, "Agglomerative")
     df = _part_vectors(spark, sf_dir).persist()
+    return BisectingKMeans(k=4, seed=42).fit(df).transform(df).select("p_partkey", "prediction")
+
+
+# The customers of a market segment lie apart from all others by far more than among themselves.
+_PLACE = "list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) * 1000"
+
+
+@query(
+    "agglomerative",
+    f"""WITH p AS (SELECT {_PLACE} AS x, c_nationkey AS y FROM customer),
+    s AS (SELECT x, count(*) AS n, round(avg(y), 6) AS mean FROM p GROUP BY x)
+    SELECT (row_number() OVER (ORDER BY n DESC, x) - 1)::INT AS prediction, n, mean FROM s""",
+)
+def _(spark, sf_dir):
+    place = F.array_position(F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]), c("c_mktsegment"))
+    df = _vectors(table(spark, sf_dir, "customer").select((place * 1000).alias("x"), c("c_nationkey").alias("y")), "x", "y")
+    spec = candidate(ProblemType.CLUSTERING, "Agglomerative", k=5)
     scored = spec.build(spec.params, Context(df.count(), 2)).fit(df).transform(df)
-    return scored.select("p_partkey", "prediction")
+    return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("mean"))
+
+
+@query(
+    "ward_costs",
+    """WITH RECURSIVE p AS (SELECT n_nationkey AS id, sqrt(n_nationkey + 1) * 10 AS x, n_nationkey * 7 % 25 * 1.37 AS y FROM nation),
+    t AS (SELECT 0 AS step, list({'id': id, 'n': 1::DOUBLE, 'x': x::DOUBLE, 'y': y::DOUBLE} ORDER BY id) AS g, NULL::DOUBLE AS cost FROM p
+      UNION ALL
+      SELECT step + 1, list_append(list_filter(g, lambda c: c.id <> m.a.id AND c.id <> m.b.id),
+        {'id': m.a.id, 'n': m.a.n + m.b.n, 'x': (m.a.x * m.a.n + m.b.x * m.b.n) / (m.a.n + m.b.n), 'y': (m.a.y * m.a.n + m.b.y * m.b.n) / (m.a.n + m.b.n)}), m.cost
+      FROM (SELECT step, g, list_reduce(flatten(list_transform(g, lambda a: list_transform(list_filter(g, lambda b: b.id > a.id),
+          lambda b: {'cost': a.n * b.n / (a.n + b.n) * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 'a': a, 'b': b}))),
+          lambda u, v: CASE WHEN v.cost < u.cost THEN v ELSE u END) AS m FROM t WHERE len(g) > 1))
+    SELECT round(cost, 6) AS cost FROM t WHERE step > 0""",
+)
+def _(spark, sf_dir):
+    df = _vectors(table(spark, sf_dir, "nation").select((F.sqrt(c("n_nationkey") + 1) * 10).alias("x"), (c("n_nationkey") * 7 % 25 * 1.37).alias("y")), "x", "y")
+    return ward_merges(distinct_vectors(df), finish=4).select(F.round("cost", 6).alias("cost"))
 
 
 @query("silhouette")

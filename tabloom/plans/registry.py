@@ -17,6 +17,7 @@ from ..operators.boosting import BoostedTrees
 from ..operators.dbscan import DensityClusters
 from ..operators.neighbors import LocalOutlierFactor, NearestNeighbors
 from ..operators.outlier_models import IsolationForestEstimator, MahalanobisEstimator
+from ..operators.ward import WardClusters
 from .heuristics import ProblemType
 
 # Forests "without a limit" stop here: a tree of that depth has at most 32,768 leaves, so 200 of them fit a driver.
@@ -132,7 +133,7 @@ def _board() -> dict[ProblemType, tuple[Candidate, ...]]:
         {"k": 4, "restarts": 10}, k=(3, 4, 5, 8))
     add(ml.CLUSTERING, "DBSCAN", lambda p, c: DensityClusters(p["eps"], p["min_points"]),
         {"eps": 0.5, "min_points": 5}, eps=(0.3, 0.5, 0.8), min_points=(3, 5, 10))
-    add(ml.CLUSTERING, "Agglomerative", _estimator(clustering.BisectingKMeans), {"k": 4}, k=(3, 4, 5))
+    add(ml.CLUSTERING, "Agglomerative", lambda p, c: WardClusters(p["k"]), {"k": 4}, k=(3, 4, 5))
 
     add(ml.ANOMALY_DETECTION, "IsolationForest", lambda p, c: IsolationForestEstimator(p["contamination"], seed=c.seed),
         {"contamination": 0.05}, contamination=(0.05, 0.1))
