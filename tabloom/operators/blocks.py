@@ -1,8 +1,8 @@
 """Exact distance joins over vectors without a cross join.
 
-Points are assigned to the nearest of a bounded set of pivots. A query only meets the cells that the
-triangle inequality cannot rule out, and a cell meets its queries in blocks of bounded size, so a crowded
-cell is more tasks and never one large one. Equal vectors are combined beforehand and carry a weight.
+Points go down a tree of pivots, to the nearest one at each node, until a cell holds a block of them. A query only meets
+the cells that the triangle inequality cannot rule out, and a cell meets its queries in blocks of bounded size, so a
+crowded cell is more tasks and never one large one. Equal vectors are combined beforehand and carry a weight.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,13 @@ from ..functions.kinds import col
 from ..session import written
 from .lookup import lookup_join
 
-BLOCK = 20_000
-MAX_PIVOTS = 2_000
+# Points of a cell, at least and at most, unless a caller says otherwise.
+LEAST_CELL = 256
+BLOCK = 1_024
+# Children of a node, and the size at which the tree stops growing: two million pivots of two coordinates.
+FAN = 64
+TREE_BYTES = 96 << 20
+_ROOT = -1
 _CHUNK_CELLS = 4_000_000
 
 
@@ -77,77 +82,189 @@ def chunks(n_rows: int, n_columns: int):
     return (slice(i, min(i + step, n_rows)) for i in range(0, n_rows, step))
 
 
-@dataclass(frozen=True)
+@dataclass
 class Cells:
-    """Pivots with the radius and the size of their cells."""
+    """A tree of pivots: the points of a node lie nearest to its pivot among its siblings; nodes without children are cells.
+
+    A node that holds more points than a block is split by pivots drawn among them, until none does, so a cell has
+    at most ``block`` points and its number of neighbours does not grow with the table. The tree is held by every
+    task; it stops growing at ``TREE_BYTES``, beyond which cells are larger than a block and searched block by block.
+    """
 
     pivots: np.ndarray
     radius: np.ndarray
+    parent: np.ndarray
     block: int
 
+    def __post_init__(self):
+        order = np.argsort(self.parent, kind="stable")
+        owners, first = np.unique(self.parent[order], return_index=True)
+        self.children = dict(zip(owners.tolist(), np.split(order, first[1:])))
+        self.gaps = {node: distances(self.pivots[kids], self.pivots[kids]) for node, kids in self.children.items()}
+
+    @property
+    def single(self) -> bool:
+        return len(self.pivots) == 1
+
     @staticmethod
     def build(points: DataFrame, block: int | None = None, seed: int = 42) -> tuple["Cells", DataFrame]:
-        """Pick pivots among the points and add ``cell`` to each point."""
+        """Grow the tree over (id, vec, ...) and add ``cell`` to each point."""
         n = points.count()
         cores = points.sparkSession.sparkContext.defaultParallelism
-        size = block or int(min(max(math.ceil(n / (2 * cores)), 256), BLOCK))
-        wanted = min(max(math.ceil(n / size), 1), MAX_PIVOTS)
-        drawn = points.sample(min(1.0, 2.0 * wanted / max(n, 1) + 0.01), seed).orderBy(F.rand(seed)).limit(wanted)
-        rows = drawn.select("vec").collect() or points.select("vec").limit(1).collect()
-        pivots = np.array([r.vec for r in rows])
-        placed = points.withColumn("__near", nearest_pivot(points, pivots))
-        placed = written(
-            placed.select(*points.columns, F.col("__near.cell").alias("cell"), F.col("__near.far").alias("far")),
-            "cells",
-        )
-        found = {r["cell"]: r["far"] for r in placed.groupBy("cell").agg(F.max("far").alias("far")).collect()}
-        radius = np.array([found.get(i, -np.inf) for i in range(len(pivots))])
-        return Cells(pivots, radius, size), placed.drop("far")
-
-    def reach(self, df: DataFrame, limit: Column, home: Column | None = None) -> Column:
-        """The cells that may hold a point within ``limit`` of a query, its home cell left out."""
-        shared = df.sparkSession.sparkContext.broadcast((self.pivots, self.radius))
+        size = block or int(min(max(math.ceil(n / (2 * cores)), LEAST_CELL), BLOCK))
+        pivots, radius, parent = [], [], []
+        placed = points.withColumn("cell", F.lit(_ROOT))
+        crowded, turn = {_ROOT: n}, 0
+        while crowded:
+            drawn = _drawn(placed, crowded, size, seed + turn)
+            if not drawn:
+                # Nothing was drawn: of a nearly empty table, or by chance.
+                if n == 0:
+                    break
+                turn += 1
+                continue
+            first = len(pivots)
+            for node, vectors in drawn.items():
+                pivots += vectors
+                parent += [node] * len(vectors)
+            step = Cells(np.array(pivots[first:], float), np.zeros(len(pivots) - first), np.array(parent[first:]), size)
+            told = step._nearest(placed, first)
+            placed = written(placed.withColumn("__near", told).select(*points.columns, F.col("__near.cell").alias("cell"), F.col("__near.far").alias("far")), "cells")
+            found = {r["cell"]: r for r in placed.filter(F.col("cell") >= first).groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+            placed = placed.drop("far")
+            radius += [found[i].far if i in found else -np.inf for i in range(first, len(pivots))]
+            # Nodes of which no second pivot was drawn are tried again.
+            crowded = {i: c for i, c in crowded.items() if i != _ROOT and i not in drawn}
+            # Points that are all equal cannot be parted.
+            crowded |= {i: r.n for i, r in found.items() if r.n > size and r.far > 0}
+            if len(pivots) * (len(pivots[0]) + 4) * 8 > TREE_BYTES:
+                break
+            turn += 1
+        if not pivots:
+            return Cells(np.zeros((1, 1)), np.array([-np.inf]), np.array([_ROOT]), size), placed.withColumn("cell", F.lit(0))
+        return Cells(np.array(pivots, float), np.array(radius), np.array(parent), size), placed
+
+    def _nearest(self, placed: DataFrame, first: int) -> Column:
+        """One step down: the child (numbered from ``first``) and the distance, for points of a node that is split."""
+        shared = placed.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("cell int, far double")
+        def nearest(vec: pd.Series, cell: pd.Series) -> pd.DataFrame:
+            tree = shared.value
+            points, at = matrix(vec), cell.to_numpy()
+            to, far = at.copy(), np.full(len(at), np.nan)
+            for node, kids in tree.children.items():
+                here = np.flatnonzero(at == node)
+                for part in chunks(len(here), len(kids)):
+                    d = distances(points[here[part]], tree.pivots[kids])
+                    to[here[part]], far[here[part]] = kids[d.argmin(axis=1)] + first, d.min(axis=1)
+            return pd.DataFrame({"cell": to, "far": far})
+
+        return nearest(F.col("vec"), F.col("cell"))
+
+    def home(self, df: DataFrame) -> Column:
+        """The cell that a point of any table falls into."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf(T.IntegerType())
+        def home(vec: pd.Series) -> pd.Series:
+            tree, points = shared.value, matrix(vec)
+            out = np.zeros(len(points), np.int64)
+            todo = [(_ROOT, np.arange(len(points)))] if len(points) else []
+            while todo:
+                node, rows = todo.pop()
+                kids = tree.children[node]
+                near = np.concatenate([distances(points[rows[part]], tree.pivots[kids]).argmin(axis=1) for part in chunks(len(rows), len(kids))])
+                for j in np.unique(near):
+                    kid, mine = int(kids[j]), rows[near == j]
+                    out[mine] = kid
+                    if kid in tree.children:
+                        todo.append((kid, mine))
+            return pd.Series(out)
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def reach(vec: pd.Series, limit: pd.Series, home: pd.Series) -> pd.Series:
-            pivots, radius = shared.value
-            points, out = matrix(vec), []
-            bound, own = limit.to_numpy(dtype=float), home.to_numpy()
-            for part in chunks(len(points), len(pivots)):
-                far = distances(points[part], pivots)
+        return home(F.col("vec"))
+
+    def _open(self, points: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that may hold a point within ``bound`` of a row, by row."""
+        rows_out, cells_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(_ROOT, np.arange(len(points)))]
+        while todo:
+            node, rows = todo.pop()
+            kids = self.children[node]
+            radius, gaps = self.radius[kids], self.gaps[node]
+            for part in chunks(len(rows), len(kids)):
+                mine = rows[part]
+                far = distances(points[mine], self.pivots[kids])
                 nearest = far.min(axis=1)
                 # Rounding must never rule a cell out.
                 slack = 1e-9 * (1.0 + far)
-                open_cells = far - radius[None, :] - slack <= bound[part][:, None]
-                gap = distances(pivots[far.argmin(axis=1)], pivots)
+                limit = bound[mine][:, None]
+                passed = (far - radius[None, :] - slack <= limit) & (radius[None, :] >= 0)
+                gap = gaps[far.argmin(axis=1)]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = (far**2 - nearest[:, None] ** 2) / (2.0 * gap)
                 plane[gap == 0] = -np.inf
-                open_cells &= plane - slack <= bound[part][:, None]
-                open_cells &= radius[None, :] >= 0
-                for i, row in enumerate(open_cells):
-                    mine = own[part.start + i]
-                    out.append([int(c) for c in np.flatnonzero(row) if c != mine])
-            return pd.Series(out)
+                passed &= plane - slack <= limit
+                for j, kid in enumerate(kids.tolist()):
+                    hit = mine[passed[:, j]]
+                    if not len(hit):
+                        continue
+                    if kid in self.children:
+                        todo.append((kid, hit))
+                    else:
+                        rows_out.append(hit)
+                        cells_out.append(np.full(len(hit), kid))
+        found, cells = np.concatenate(rows_out), np.concatenate(cells_out)
+        order = np.lexsort((cells, found))
+        return found[order], cells[order]
+
+    def reach(self, df: DataFrame, limit: Column, home: Column | None = None) -> Column:
+        """The cells that may hold a point within ``limit`` of a query, its home cell left out."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def reach(vec: pd.Series, limit: pd.Series, home: pd.Series) -> pd.Series:
+            points = matrix(vec)
+            rows, cells = shared.value._open(points, limit.to_numpy(dtype=float)) if len(points) else (np.zeros(0, int), np.zeros(0, int))
+            other = cells != home.to_numpy()[rows]
+            rows, cells = rows[other], cells[other]
+            ends = np.searchsorted(rows, np.arange(len(points) + 1))
+            return pd.Series([cells[a:b].tolist() for a, b in zip(ends, ends[1:])], dtype=object)
 
         return reach(F.col("vec"), limit.cast("double"), (F.lit(-1) if home is None else home).cast("int"))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, int(self.parent[i]), float(self.radius[i]), self.pivots[i].tolist(), self.block) for i in range(len(self.pivots))]
+        spark.createDataFrame(rows, "node int, parent int, radius double, pivot array<double>, block int").coalesce(1).write.parquet(path)
 
-def nearest_pivot(df: DataFrame, pivots: np.ndarray) -> Column:
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Cells":
+        rows = spark.read.parquet(path).orderBy("node").collect()
+        return Cells(np.array([r.pivot for r in rows]), np.array([r.radius for r in rows]), np.array([r.parent for r in rows]), rows[0].block)
 
-    @F.pandas_udf("cell int, far double")
-    def nearest(vec: pd.Series) -> pd.DataFrame:
-        points, cells, far = matrix(vec), [], []
-        for part in chunks(len(points), len(shared.value)):
-            d = distances(points[part], shared.value)
-            cells.append(d.argmin(axis=1))
-            far.append(d.min(axis=1))
-        return pd.DataFrame(
-            {"cell": np.concatenate(cells) if cells else [], "far": np.concatenate(far) if far else []}
-        )
 
-    return nearest(F.col("vec"))
+def _drawn(placed: DataFrame, crowded: dict[int, int], size: int, seed: int) -> dict[int, list[list[float]]]:
+    """Pivots for the nodes that hold too many points: at most ``FAN`` each, and at least two, or one at the root."""
+    wanted = {node: min(FAN, max(math.ceil(1.5 * n / size) if n > size else 1, 1)) for node, n in crowded.items()}
+    rates = placed.sparkSession.createDataFrame(
+        [(node, min(1.0, (2.0 * wanted[node] + 8) / max(n, 1))) for node, n in crowded.items()], "cell int, rate double"
+    )
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = placed.select("cell", "vec", place.alias("place")).join(F.broadcast(rates), "cell").filter("place < rate")
+    by_node: dict[int, list[list[float]]] = {}
+    # About twice as many rows as pivots are wanted.
+    for r in some.orderBy("cell", "place").select("cell", "vec").collect():
+        mine = by_node.setdefault(r["cell"], [])
+        if len(mine) < wanted[r["cell"]]:
+            mine.append(list(r.vec))
+    return {node: v for node, v in by_node.items() if len(v) > 1 or (v and node == _ROOT)}
+
+
+def pairs_compared(queries: DataFrame, points: DataFrame) -> int:
+    """How many pairs a :func:`block_join` of these frames looks at."""
+    asked = queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
+    held = points.groupBy("cell").agg(F.count(F.lit(1)).alias("p"))
+    return int(asked.join(held, "cell").agg(F.coalesce(F.sum(F.col("q") * F.col("p")), F.lit(0))).first()[0])
 
 
 def block_join(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import col
 from ..session import written
-from .blocks import Cells, block_join, chunks, distances, distinct_vectors, matrix, nearest_pivot, vector_array
+from .blocks import Cells, block_join, chunks, distances, distinct_vectors, matrix, vector_array
 from .isolation import flag_anomalies
 from .lookup import lookup_join
 
@@ -91,13 +91,13 @@ def nearest(
     )
     lean = placed.select("id", "vec", "weight", "cell", *payload)
     at_home = written(
-        queries.select("id", "vec", nearest_pivot(queries, cells.pivots)["cell"].alias("home")), "queries"
+        queries.select("id", "vec", cells.home(queries).alias("home")), "queries"
     )
     work = _best(k, same, payload)
     first = written(
         _merge(block_join(at_home.withColumn("cells", F.array("home")), lean, cells.block, work, schema), k), "near"
     )
-    if len(cells.pivots) == 1:
+    if cells.single:
         return first
     bound = first.groupBy("id").agg(F.max("distance").alias("limit"), F.sum("weight").alias("have"))
     # Short of k neighbours nothing can be ruled out yet.
@@ -154,17 +154,14 @@ class NearestNeighborsModel:
     def save(self, path: str) -> None:
         spark = self.placed.sparkSession
         self.placed.write.parquet(f"{path}/points")
-        state = {
-            "k": self.k, "weights": self.weights, "pivots": self.cells.pivots.tolist(),
-            "radius": self.cells.radius.tolist(), "block": self.cells.block,
-        }
+        self.cells.save(spark, f"{path}/nodes")
+        state = {"k": self.k, "weights": self.weights}
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.text(f"{path}/state")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "NearestNeighborsModel":
         s = json.loads(spark.read.text(f"{path}/state").first().value)
-        cells = Cells(np.array(s["pivots"]), np.array(s["radius"]), s["block"])
-        return NearestNeighborsModel(s["k"], s["weights"], cells, spark.read.parquet(f"{path}/points"))
+        return NearestNeighborsModel(s["k"], s["weights"], Cells.load(spark, f"{path}/nodes"), spark.read.parquet(f"{path}/points"))
 
 
 def local_outlier_factor(

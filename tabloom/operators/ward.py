@@ -58,7 +58,7 @@ def _nearest(clusters: DataFrame, block: int | None) -> DataFrame:
     home = placed.withColumn("cells", F.array("cell")).select("id", "vec", "weight", "cells")
     lean = placed.select("id", "vec", "weight", "cell")
     first = written(block_join(home, lean, cells.block, _cheapest, _NEAR).groupBy("id").agg(best).select("id", "best.*"), "near")
-    if len(cells.pivots) == 1:
+    if cells.single:
         return first
     smallest = float(clusters.agg(F.min("weight")).first()[0])
     size = F.col("weight")
