@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ BLOCK = 1_024
 # Children of a node, and the size at which the tree stops growing: two million pivots of two coordinates.
 FAN = 64
 TREE_BYTES = 96 << 20
+# Points that the upper part of the tree is grown from.
+SAMPLE = 20_000
 _ROOT = -1
 _CHUNK_CELLS = 4_000_000
 
@@ -86,9 +89,9 @@ def chunks(n_rows: int, n_columns: int):
 class Cells:
     """A tree of pivots: the points of a node lie nearest to its pivot among its siblings; nodes without children are cells.
 
-    A node that holds more points than a block is split by pivots drawn among them, until none does, so a cell has
-    at most ``block`` points and its number of neighbours does not grow with the table. The tree is held by every
-    task; it stops growing at ``TREE_BYTES``, beyond which cells are larger than a block and searched block by block.
+    A node that holds more points than two blocks is split by pivots drawn among them, until none does, so the size
+    of a cell does not grow with the table. The tree is held by every
+    task; it stops growing at ``TREE_BYTES``, beyond which cells are larger and searched block by block.
     """
 
     pivots: np.ndarray
@@ -108,41 +111,45 @@ class Cells:
 
     @staticmethod
     def build(points: DataFrame, block: int | None = None, seed: int = 42) -> tuple["Cells", DataFrame]:
-        """Grow the tree over (id, vec, ...) and add ``cell`` to each point."""
+        """Grow the tree over (id, vec, ...) and add ``cell`` to each point.
+
+        The upper part is grown from a bounded sample and all points placed in one pass; cells that are still too
+        large are split step by step.
+        """
         n = points.count()
         cores = points.sparkSession.sparkContext.defaultParallelism
         size = block or int(min(max(math.ceil(n / (2 * cores)), LEAST_CELL), BLOCK))
-        pivots, radius, parent = [], [], []
-        placed = points.withColumn("cell", F.lit(_ROOT))
-        crowded, turn = {_ROOT: n}, 0
-        while crowded:
+        if not n:
+            return Cells(np.zeros((1, 1)), np.array([-np.inf]), np.array([_ROOT]), size), points.withColumn("cell", F.lit(0))
+        tree = _sampled(points, n, size, seed)
+        told = tree._home(points)
+        placed, found = _written(points, told, points.columns, 0)
+        pivots, parent = list(tree.pivots), tree.parent.tolist()
+        radius = [found[i].far if i in found else -np.inf for i in range(len(pivots))]
+        # Points that are all equal cannot be parted.
+        crowded, turn = {i: r.n for i, r in found.items() if r.n > 2 * size and r.far > 0}, 1
+        while crowded and len(pivots) * (len(pivots[0]) + 4) * 8 <= TREE_BYTES:
+            # Nodes of which no second pivot was drawn are tried again.
             drawn = _drawn(placed, crowded, size, seed + turn)
+            turn += 1
             if not drawn:
-                # Nothing was drawn: of a nearly empty table, or by chance.
-                if n == 0:
-                    break
-                turn += 1
                 continue
             first = len(pivots)
             for node, vectors in drawn.items():
                 pivots += vectors
                 parent += [node] * len(vectors)
             step = Cells(np.array(pivots[first:], float), np.zeros(len(pivots) - first), np.array(parent[first:]), size)
-            told = step._nearest(placed, first)
-            placed = written(placed.withColumn("__near", told).select(*points.columns, F.col("__near.cell").alias("cell"), F.col("__near.far").alias("far")), "cells")
-            found = {r["cell"]: r for r in placed.filter(F.col("cell") >= first).groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
-            placed = placed.drop("far")
+            placed, found = _written(placed, step._nearest(placed, first), points.columns, first)
             radius += [found[i].far if i in found else -np.inf for i in range(first, len(pivots))]
-            # Nodes of which no second pivot was drawn are tried again.
-            crowded = {i: c for i, c in crowded.items() if i != _ROOT and i not in drawn}
-            # Points that are all equal cannot be parted.
-            crowded |= {i: r.n for i, r in found.items() if r.n > size and r.far > 0}
-            if len(pivots) * (len(pivots[0]) + 4) * 8 > TREE_BYTES:
-                break
-            turn += 1
-        if not pivots:
-            return Cells(np.zeros((1, 1)), np.array([-np.inf]), np.array([_ROOT]), size), placed.withColumn("cell", F.lit(0))
-        return Cells(np.array(pivots, float), np.array(radius), np.array(parent), size), placed
+            crowded = {i: c for i, c in crowded.items() if i not in drawn}
+            crowded |= {i: r.n for i, r in found.items() if r.n > 2 * size and r.far > 0}
+        pivots, radius, parent = np.array(pivots, float), np.array(radius), np.array(parent)
+        # What lies below a node is at most as far as its children are and reach; children come behind their parents.
+        for i in range(len(parent) - 1, -1, -1):
+            if parent[i] != _ROOT and parent[i] in tree.children:
+                up = parent[i]
+                radius[up] = max(radius[up], (distances(pivots[up : up + 1], pivots[i : i + 1])[0, 0] + radius[i]) * (1 + 1e-12))
+        return Cells(pivots, radius, parent, size), placed
 
     def _nearest(self, placed: DataFrame, first: int) -> Column:
         """One step down: the child (numbered from ``first``) and the distance, for points of a node that is split."""
@@ -162,28 +169,31 @@ class Cells:
 
         return nearest(F.col("vec"), F.col("cell"))
 
-    def home(self, df: DataFrame) -> Column:
-        """The cell that a point of any table falls into."""
+    def _home(self, df: DataFrame) -> Column:
+        """(cell, far): the cell that a point of any table falls into, and how far it is from its pivot."""
         shared = df.sparkSession.sparkContext.broadcast(self)
 
-        @F.pandas_udf(T.IntegerType())
-        def home(vec: pd.Series) -> pd.Series:
+        @F.pandas_udf("cell int, far double")
+        def home(vec: pd.Series) -> pd.DataFrame:
             tree, points = shared.value, matrix(vec)
-            out = np.zeros(len(points), np.int64)
+            to, far = np.zeros(len(points), np.int64), np.zeros(len(points))
             todo = [(_ROOT, np.arange(len(points)))] if len(points) else []
             while todo:
                 node, rows = todo.pop()
                 kids = tree.children[node]
-                near = np.concatenate([distances(points[rows[part]], tree.pivots[kids]).argmin(axis=1) for part in chunks(len(rows), len(kids))])
-                for j in np.unique(near):
-                    kid, mine = int(kids[j]), rows[near == j]
-                    out[mine] = kid
-                    if kid in tree.children:
-                        todo.append((kid, mine))
-            return pd.Series(out)
+                for part in chunks(len(rows), len(kids)):
+                    d = distances(points[rows[part]], tree.pivots[kids])
+                    to[rows[part]], far[rows[part]] = kids[d.argmin(axis=1)], d.min(axis=1)
+                near = to[rows]
+                todo += [(int(kid), rows[near == kid]) for kid in np.unique(near) if int(kid) in tree.children]
+            return pd.DataFrame({"cell": to, "far": far})
 
         return home(F.col("vec"))
 
+    def home(self, df: DataFrame) -> Column:
+        """The cell that a point of any table falls into."""
+        return self._home(df)["cell"]
+
     def _open(self, points: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) of the cells that may hold a point within ``bound`` of a row, by row."""
         rows_out, cells_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -243,21 +253,55 @@ class Cells:
         return Cells(np.array([r.pivot for r in rows]), np.array([r.radius for r in rows]), np.array([r.parent for r in rows]), rows[0].block)
 
 
+def _written(points: DataFrame, told: Column, names: list[str], first: int) -> tuple[DataFrame, dict[int, Any]]:
+    """The points with their cells, and of the cells numbered from ``first`` the count and the farthest point."""
+    kept = [c for c in names if c != "cell"]
+    held = points.withColumn("__near", told).select(*kept, F.col("__near.cell").alias("cell"), F.col("__near.far").alias("far"))
+    placed = written(held, "cells")
+    sizes = placed.filter(F.col("cell") >= first).groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n"))
+    return placed.drop("far"), {r["cell"]: r for r in sizes.collect()}
+
+
+def _place(seed: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def _sampled(points: DataFrame, n: int, size: int, seed: int) -> Cells:
+    """The tree of a sample of ``SAMPLE`` points, as deep as its share of a block, of eight points or more, allows."""
+    some = points.select("vec", _place(seed).alias("place")).filter(F.col("place") < min(1.0, SAMPLE / n + 1e-12))
+    rows = some.orderBy("place").limit(SAMPLE).select("vec").collect() or points.select("vec").limit(1).collect()
+    x = np.array([r.vec for r in rows], float)
+    quota = max(size * len(x) / n, 8.0) if len(x) < n else float(size)
+    rng = np.random.default_rng(seed)
+    pivots, parent, todo = [], [], [(_ROOT, np.arange(len(x)))]
+    while todo:
+        node, mine = todo.pop(0)
+        kids = rng.choice(mine, min(FAN, max(math.ceil(len(mine) / quota), 1 if node == _ROOT else 2)), replace=False)
+        first = len(pivots)
+        pivots += list(x[kids])
+        parent += [node] * len(kids)
+        near = np.concatenate([distances(x[mine[part]], x[kids]).argmin(axis=1) for part in chunks(len(mine), len(kids))])
+        for j in range(len(kids)):
+            below = mine[near == j]
+            if len(below) > 2 * quota and (x[below] != x[kids[j]]).any():
+                todo.append((first + j, below))
+    return Cells(np.array(pivots), np.zeros(len(pivots)), np.array(parent), size)
+
+
 def _drawn(placed: DataFrame, crowded: dict[int, int], size: int, seed: int) -> dict[int, list[list[float]]]:
-    """Pivots for the nodes that hold too many points: at most ``FAN`` each, and at least two, or one at the root."""
-    wanted = {node: min(FAN, max(math.ceil(1.5 * n / size) if n > size else 1, 1)) for node, n in crowded.items()}
+    """Pivots for the nodes that hold too many points: at most ``FAN`` each, and at least two."""
+    wanted = {node: min(FAN, max(math.ceil(n / size), 2)) for node, n in crowded.items()}
     rates = placed.sparkSession.createDataFrame(
-        [(node, min(1.0, (2.0 * wanted[node] + 8) / max(n, 1))) for node, n in crowded.items()], "cell int, rate double"
+        [(node, min(1.0, (2.0 * wanted[node] + 8) / n)) for node, n in crowded.items()], "cell int, rate double"
     )
-    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = placed.select("cell", "vec", place.alias("place")).join(F.broadcast(rates), "cell").filter("place < rate")
+    some = placed.select("cell", "vec", _place(seed).alias("place")).join(F.broadcast(rates), "cell").filter("place < rate")
     by_node: dict[int, list[list[float]]] = {}
     # About twice as many rows as pivots are wanted.
     for r in some.orderBy("cell", "place").select("cell", "vec").collect():
         mine = by_node.setdefault(r["cell"], [])
         if len(mine) < wanted[r["cell"]]:
             mine.append(list(r.vec))
-    return {node: v for node, v in by_node.items() if len(v) > 1 or (v and node == _ROOT)}
+    return {node: v for node, v in by_node.items() if len(v) > 1}
 
 
 def pairs_compared(queries: DataFrame, points: DataFrame) -> int:

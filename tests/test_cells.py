@@ -12,18 +12,19 @@ def points_of(spark, x):
     return spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "id bigint, vec array<double>, weight bigint").repartition(4)
 
 
-@pytest.mark.parametrize("dims", [1, 2, 5])
-def test_reach_misses_no_near_point(spark, dims, monkeypatch):
-    """Also where the points lie at a few spots and most of the tree is below one node."""
+@pytest.mark.parametrize(("dims", "sample"), [(1, 20_000), (2, 20_000), (5, 20_000), (2, 100), (3, 1)])
+def test_reach_misses_no_near_point(spark, dims, sample, monkeypatch):
+    """Also where the points lie at a few spots, most of the tree is below one node, or it is grown step by step."""
     monkeypatch.setattr(blocks, "FAN", 4)
+    monkeypatch.setattr(blocks, "SAMPLE", sample)
     rng = np.random.default_rng(dims)
     x = np.concatenate([rng.normal(size=(300, dims)), rng.normal(scale=0.01, size=(500, dims)) + 3])
     cells, placed = Cells.build(points_of(spark, x), block=20)
     rows = placed.withColumn("home", cells.home(placed)).withColumn("open", cells.reach(placed, F.lit(0.05))).collect()
     assert all(r["cell"] == r.home for r in rows) and len(rows) == 800
     sizes = np.bincount([r["cell"] for r in rows])
-    assert sizes.max() <= 20
-    # Cells are leaves, and each node's radius covers all below it.
+    assert sizes.max() <= 40
+    # Cells are leaves, and a point's home is its cell.
     assert not set(np.flatnonzero(sizes)) & set(cells.children)
     cell_of = {r.id: r["cell"] for r in rows}
     for r in rows[::7]:
@@ -50,5 +51,7 @@ def test_few_points_and_a_small_tree(spark, monkeypatch):
     none, placed = Cells.build(points_of(spark, np.zeros((0, 3))))
     assert none.single and placed.count() == 0
     monkeypatch.setattr(blocks, "TREE_BYTES", 1)
+    monkeypatch.setattr(blocks, "SAMPLE", 100)
+    monkeypatch.setattr(blocks, "FAN", 16)
     cells, placed = Cells.build(points_of(spark, np.random.default_rng(1).normal(size=(500, 2))), block=5)
-    assert len(cells.children) == 1 and placed.groupBy("cell").count().agg(F.max("count")).first()[0] > 5
+    assert placed.groupBy("cell").count().agg(F.max("count")).first()[0] > 10
