@@ -13,6 +13,7 @@ from ..operators import isolation, metrics, neighbors, outlier_models
 from ..operators.blocks import distinct_vectors
 from ..operators.boosting import BoostedTrees
 from ..operators.dbscan import dbscan
+from ..operators.kernel import KernelClassifier, OneClassMachine
 from ..operators.shap import mean_abs_shap
 from ..operators.ward import ward_merges
 from ..plans import explain, run, training
@@ -74,7 +75,7 @@ _LINE_KEY = ["l_orderkey", "l_linenumber"]
 for _name, _specs in {
     "logistic_regression": [("LogisticRegression", {})],
     "random_forest_classifier": [("RandomForest", {"numTrees": 20, "maxDepth": 6})],
-    "support_vectors": [("SVM", {})],
+    "support_vectors": [("SVM", {"kernel": "linear"})],
 }.items():
 
     @query(_name)
@@ -372,6 +373,35 @@ def _(spark, sf_dir):
     return rounded(neighbors.local_outlier_factor(df, 20, block=300).select("id", "score"), "score")
 
 
+def _rings(spark, sf_dir):
+    """Customers on two rings around one centre; the segment tells which."""
+    angle, outer = c("c_custkey") * 2.399963, c("c_mktsegment").isin("BUILDING", "MACHINERY")
+    radius = F.when(outer, 3.0).otherwise(1.0) + (c("c_custkey") * 31 % 101 - 50) / 500
+    df = table(spark, sf_dir, "customer").select((radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"), outer.cast("double").alias("label"))
+    return _vectors(df, "x", "y")
+
+
+@query("kernel_machine", "SELECT 'rbf' AS kernel, count(*) AS n, true AS parted FROM customer UNION ALL SELECT 'linear', count(*), false FROM customer")
+def _(spark, sf_dir):
+    """The Gaussian kernel parts rings that a line cannot: more than 95 % are right."""
+    df, rows = _rings(spark, sf_dir), []
+    for kernel in ("rbf", "linear"):
+        scored = KernelClassifier(kernel, 0.001, size=200).fit(df).transform(df)
+        n, share = scored.agg(F.count(F.lit(1)), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
+        rows.append((kernel, n, share > 0.95))
+    return spark.createDataFrame(rows, "kernel string, n bigint, parted boolean")
+
+
+@query("one_class_machine", "SELECT count(*) AS n, true AS near_nu, true AS centre_flagged FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def _(spark, sf_dir):
+    """The flagged share is within 0.01 of nu, and the empty centre of a ring is flagged."""
+    df = _rings(spark, sf_dir).filter("label = 1")
+    model = OneClassMachine(0.05, gamma=1.0, size=200, steps=5).fit(df)
+    centre = _vectors(spark.range(1).select(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), "x", "y")
+    told = model.transform(df).agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg((F.col("prediction") == -1).cast("double")) - 0.05) <= 0.01).alias("near_nu"))
+    return told.crossJoin(model.transform(centre).select((F.col("prediction") == -1).alias("centre_flagged")))
+
+
 @query("isolation_forest")
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "user_id", "value")

@@ -15,8 +15,9 @@ from pyspark.ml import classification, clustering, regression
 
 from ..operators.boosting import BoostedTrees
 from ..operators.dbscan import DensityClusters
+from ..operators.kernel import KernelClassifier, OneClassMachine
 from ..operators.neighbors import LocalOutlierFactor, NearestNeighbors
-from ..operators.outlier_models import IsolationForestEstimator, MahalanobisEstimator
+from ..operators.outlier_models import IsolationForestEstimator
 from ..operators.ward import WardClusters
 from .heuristics import ProblemType
 
@@ -57,15 +58,14 @@ class Candidate:
     grid: Mapping[str, tuple] = field(default_factory=dict)
 
 
-def _estimator(kind: type, *, two_classes: bool = False, **fixed) -> Callable[[Params, Context], Any]:
-    """Build a Spark estimator from its own parameters; one that knows two classes only is fitted one-vs-rest."""
+def _estimator(kind: type, **fixed) -> Callable[[Params, Context], Any]:
+    """Build a Spark estimator from its own parameters."""
 
     def build(params: Params, context: Context):
         given = {k: v.of(context) if isinstance(v, PerRow) else v for k, v in {**fixed, **params}.items()}
         if hasattr(kind, "setSeed"):
             given["seed"] = context.seed
-        one = kind(**given)
-        return classification.OneVsRest(classifier=one) if two_classes and context.n_classes > 2 else one
+        return kind(**given)
 
     return build
 
@@ -116,9 +116,8 @@ def _board() -> dict[ProblemType, tuple[Candidate, ...]]:
     add(ml.CLASSIFICATION, "BoostedLeaves", _boosting, by_leaves, **boosting, maxLeaves=(15, 31))
     add(ml.CLASSIFICATION, "KNN", lambda p, c: NearestNeighbors(p["k"], p["weights"]),
         {"k": 5, "weights": "uniform"}, k=(3, 5, 11), weights=("uniform", "distance"))
-    add(ml.CLASSIFICATION, "SVM",
-        _estimator(classification.LinearSVC, two_classes=True, maxIter=100, standardization=False),
-        {"regParam": PerRow(1.0)}, regParam=(PerRow(2.0), PerRow(1.0), PerRow(0.2)))
+    add(ml.CLASSIFICATION, "SVM", lambda p, c: KernelClassifier(p["kernel"], p["regParam"].of(c), c.n_classes, seed=c.seed),
+        {"regParam": PerRow(1.0), "kernel": "rbf"}, regParam=(PerRow(2.0), PerRow(1.0), PerRow(0.2)), kernel=("rbf", "linear"))
     add(ml.CLASSIFICATION, "MLP", _perceptron, {"hidden": (64, 32)}, hidden=((64,), (64, 32)))
 
     # One-hot columns keep every level, so many lines fit equally; a trace of ridge picks the smallest.
@@ -137,7 +136,7 @@ def _board() -> dict[ProblemType, tuple[Candidate, ...]]:
 
     add(ml.ANOMALY_DETECTION, "IsolationForest", lambda p, c: IsolationForestEstimator(p["contamination"], seed=c.seed),
         {"contamination": 0.05}, contamination=(0.05, 0.1))
-    add(ml.ANOMALY_DETECTION, "OneClassSVM", lambda p, c: MahalanobisEstimator(p["nu"]), {"nu": 0.05}, nu=(0.05, 0.1))
+    add(ml.ANOMALY_DETECTION, "OneClassSVM", lambda p, c: OneClassMachine(p["nu"], seed=c.seed), {"nu": 0.05}, nu=(0.05, 0.1))
     add(ml.ANOMALY_DETECTION, "LocalOutlierFactor", lambda p, c: LocalOutlierFactor(p["k"], p["contamination"]),
         {"k": 20, "contamination": 0.05}, k=(10, 20))
     return {kind: tuple(found) for kind, found in board.items()}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blocks import vector_array
 from ..operators.boosting import BoostedModel
+from ..operators.kernel import KernelModel, OneClassModel
 from ..operators.lookup import BROADCAST_BYTES, lookup_join, measured_bytes
 from ..operators.neighbors import NearestNeighborsModel
 from ..operators.outlier_models import IsolationForestModel, MahalanobisModel
@@ -43,7 +44,7 @@ class LabelledRows:
         return LabelledRows(spark.read.parquet(path))
 
 
-_OWN = {m.__name__: m for m in (NearestNeighborsModel, IsolationForestModel, MahalanobisModel, BoostedModel)}
+_OWN = {m.__name__: m for m in (NearestNeighborsModel, IsolationForestModel, MahalanobisModel, BoostedModel, KernelModel, OneClassModel)}
 
 
 @dataclass
