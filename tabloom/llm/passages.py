@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.encoders import ranked
 from ..session import written
 from .common import BROADCAST_IDS, with_ids
 from .words import buffers, mix, shingles, slices, word_hashes
@@ -23,11 +24,13 @@ from .words import buffers, mix, shingles, slices, word_hashes
 WIDTH = 5
 MIN_WORDS = 50
 OVERLAP = 0.8
-# A pair of stretches with a likeness of 0.8 agrees in two of five hash functions with a chance of 0.993, equal
-# stretches always.
+# A pair of stretches with a Jaccard likeness of 0.8 agrees in two of five hash functions with a chance of 0.993, equal
+# stretches always. Replaced words that leave a share of 0.8 leave a Jaccard likeness of 0.67 (a chance of 0.95).
 HASHES = 5
 ENOUGH = 2
 _BYTES = 1 << 20
+# Windows that a task settles at a time, more only where one key has more.
+_TASK_WINDOWS = 20_000
 # The least number of shingles that a passage shares.
 _SHARED = -(-(MIN_WORDS - WIDTH + 1) * 8 // 10)
 
@@ -107,8 +110,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join overlapping windows of a pair of documents; rows come sorted by pair and left end."""
+def _stretches(batches: Iterator[pa.RecordBatch], least: int = ENOUGH) -> Iterator[pa.RecordBatch]:
+    """Join overlapping windows of a pair of documents, of ``least`` hash functions; rows come sorted by pair and left end."""
     names = ["id", "hub", "left", "right", "hub_left", "hub_right"]
 
     def join(x: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -120,7 +123,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] |= pair[1:] * np.int64(1 << 32) + x["left"][1:] > far[:-1]
         at = np.flatnonzero(new)
         kinds = np.bitwise_or.reduceat(np.left_shift(1, (x["key"] & 7).astype(np.int64)), at)
-        enough = np.array([int(k).bit_count() for k in kinds]) >= ENOUGH
+        enough = np.array([int(k).bit_count() for k in kinds]) >= least
         ends = {
             "id": x["id"][at], "hub": x["hub"][at],
             **{c: np.minimum.reduceat(x[c], at) for c in ("left", "hub_left")},
@@ -157,15 +160,24 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def alike_runs(own: np.ndarray, other: np.ndarray, size: int = MIN_WORDS - WIDTH + 1, overlap: float = OVERLAP) -> list[tuple[int, int, float]]:
     """(first, last, share) of the longest runs of ``own`` of at least ``size`` that begin and end with a shingle of
     ``other`` and hold a share of at least ``overlap`` of such; then of the longest in front of and behind each."""
-    found, todo = [], [np.flatnonzero(np.isin(own, other))]
+    return _runs_at(np.flatnonzero(np.isin(own, other)), size, overlap)
+
+
+def _farthest(at: np.ndarray, overlap: float) -> np.ndarray:
+    """For each of the places ``at`` the index of the last one up to which the share of places holds."""
+    # From the i-th to the j-th the share holds where height[j] >= height[i] - (1 - overlap).
+    height = np.arange(len(at)) - overlap * (at - at[0])
+    highest_behind = np.maximum.accumulate(height[::-1])[::-1]
+    return np.searchsorted(-highest_behind, -(height - (1 - overlap) - 1e-9), side="right") - 1
+
+
+def _runs_at(at: np.ndarray, size: int = MIN_WORDS - WIDTH + 1, overlap: float = OVERLAP) -> list[tuple[int, int, float]]:
+    found, todo = [], [at]
     while todo:
         at = todo.pop()
         if not len(at) or at[-1] - at[0] + 1 < size:
             continue
-        # From the i-th to the j-th the share holds where height[j] >= height[i] - (1 - overlap).
-        height = np.arange(len(at)) - overlap * (at - at[0])
-        highest_behind = np.maximum.accumulate(height[::-1])[::-1]
-        last = np.searchsorted(-highest_behind, -(height - (1 - overlap) - 1e-9), side="right") - 1
+        last = _farthest(at, overlap)
         length = at[last] - at + 1
         i = int(length.argmax())
         if length[i] < size:
@@ -191,48 +203,93 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the windows of each key, in that order, those that can still tell of a passage.
+def _in_runs(at: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in any run of the places ``at`` that is long enough and holds the share."""
+    inside = np.zeros(n + 1, np.int64)
+    if len(at):
+        end = at[_farthest(at, OVERLAP)]
+        long = end - at + 1 >= MIN_WORDS - WIDTH + 1
+        np.add.at(inside, at[long], 1)
+        np.subtract.at(inside, end[long] + 1, 1)
+    return np.cumsum(inside[:-1]) > 0
 
-    If the key tells of a passage, the window holds all of it. So a document still seeks if its window shares enough
-    shingles with windows of smaller ids, one of them outside the passages it is known to have (``spans``); a window
-    is still asked if a later document seeks a shingle that it has. Those that share most come first (``rank``).
-    """
 
-    def narrow(table: pa.Table) -> list[pa.RecordBatch]:
-        table = table.combine_chunks()
-        keys, ids, left, centre, right = (table.column(c).to_numpy() for c in ("key", "id", "left", "centre", "right"))
-        seeks = table.column("seeks").to_numpy(zero_copy_only=False)
+class _Lists:
+    """The windows of several keys with their shingles, and for each shingle of a key the windows that have it."""
+
+    def __init__(self, table: pa.Table):
+        self.keys, self.ids, self.left, self.right = (table.column(c).to_numpy() for c in ("key", "id", "left", "right"))
+        self.seeks = table.column("seeks").to_numpy(zero_copy_only=False)
         runs = table.column("shingles").combine_chunks()
         sizes = np.diff(runs.offsets.to_numpy())
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        place = np.arange(len(owner)) - np.repeat(ends[:-1], sizes)
-        group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
-        _, shingle = np.unique((group[owner] << 32) | runs.flatten().to_numpy().view(np.uint32).astype(np.int64), return_inverse=True)
-        unknown = np.ones(len(owner), bool)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.owner = np.repeat(np.arange(len(self.ids)), sizes)
+        group = np.cumsum(np.concatenate([[0], self.keys[1:] != self.keys[:-1]]))
+        marks = (group[self.owner] << 32) | runs.flatten().to_numpy().view(np.uint32).astype(np.int64)
+        _, self.shingle = np.unique(marks, return_inverse=True)
+        by_shingle = np.argsort(self.shingle, kind="stable")
+        self.holders = self.owner[by_shingle]
+        self.first = np.searchsorted(self.shingle[by_shingle], np.arange(self.shingle.max(initial=-1) + 2))
+        self.unknown = np.ones(len(self.owner), bool)
         for row, spans in enumerate(table.column("spans").to_pylist()):
-            at = slice(*ends[row : row + 2])
+            place = np.arange(self.left[row], self.left[row] + sizes[row])
             for span in spans or ():
-                unknown[at] &= (place[at] + left[row] < span["first"]) | (place[at] + left[row] > span["last"])
-        earliest = np.full(shingle.max(initial=-1) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(earliest, shingle, ids[owner])
-        shared = earliest[shingle] < ids[owner]
-        count = lambda mask: np.bincount(owner[mask], minlength=len(ids))
-        seeks = seeks & (count(shared) >= _SHARED) & (count(shared & unknown) > 0)
-
-        def asked(mask: np.ndarray) -> np.ndarray:
-            latest = np.full(len(earliest), np.iinfo(np.int64).min)
-            np.maximum.at(latest, shingle[mask], ids[owner[mask]])
-            return count(latest[shingle] > ids[owner])
-
-        mine = seeks[owner]
-        keep = seeks | (asked(mine & unknown) > 0)
-        rank = -np.minimum(asked(mine), _SHARED)
-        columns = [keys, ids, left, centre, right, seeks, rank.astype(np.int32)]
-        return [pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["key", "id", "left", "centre", "right", "seeks", "rank"])]
-
-    held, n, limit = [], 0, 1
+                self.unknown[self.ends[row] : self.ends[row + 1]] &= (place < span["first"]) | (place > span["last"])
+
+    def seeking(self) -> np.ndarray:
+        """Windows that share enough with smaller ids, something new among it, and seek at all."""
+        earliest = np.full(self.shingle.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(earliest, self.shingle, self.ids[self.owner])
+        self.shared = earliest[self.shingle] < self.ids[self.owner]
+        count = lambda mask: np.bincount(self.owner[mask], minlength=len(self.ids))
+        return np.flatnonzero(self.seeks & (count(self.shared) >= _SHARED) & (count(self.shared & self.unknown) > 0))
+
+    def partners(self, w: int) -> Iterator[int]:
+        """The windows of smaller ids with a passage that tells of something new in window w, by id."""
+        mine = slice(self.ends[w], self.ends[w + 1])
+        shingle, unknown = self.shingle[mine], self.unknown[mine].copy()
+        # With one partner no more can be in a run than with all together.
+        unknown &= _in_runs(np.flatnonzero(self.shared[mine]), len(shingle))
+        if not unknown.any():
+            return
+        sizes = self.first[shingle + 1] - self.first[shingle]
+        where = np.repeat(np.arange(len(shingle)), sizes)
+        holder = self.holders[np.arange(len(where)) + np.repeat(self.first[shingle] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)]
+        earlier = self.ids[holder] < self.ids[w]
+        order = np.lexsort((where[earlier], holder[earlier], self.ids[holder[earlier]]))
+        where, holder = where[earlier][order], holder[earlier][order]
+        cuts = np.flatnonzero(np.concatenate([[True], holder[1:] != holder[:-1]])) if len(holder) else np.zeros(0, np.int64)
+        ends = np.concatenate([cuts[1:], [len(holder)]])
+        enough = ends - cuts >= _SHARED
+        for a, b in zip(cuts[enough].tolist(), ends[enough].tolist()):
+            at = np.unique(where[a:b])
+            if len(at) < _SHARED or not unknown[at].any():
+                continue
+            new = [(f, l) for f, l, _ in _runs_at(at) if unknown[f : l + 1].any()]
+            if new:
+                yield int(holder[a])
+                for f, l in new:
+                    unknown[f : l + 1] = False
+                if not unknown.any():
+                    return
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of windows of one key that tell of passages beyond those known (``spans``); rows come sorted by key.
+
+    A window takes its partners by their ids, each only where it tells of something that no passage before it does, so
+    there are no more pairs than there are words to tell of, and nothing is left for another round.
+    """
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        lists, rows = _Lists(table.combine_chunks()), []
+        for w in lists.seeking().tolist():
+            rows += [(w, e) for e in lists.partners(w)]
+        w, e = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        columns = [lists.keys[w], lists.ids[w], lists.ids[e], lists.left[w], lists.right[w], lists.left[e], lists.right[e]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "hub", "left", "right", "hub_left", "hub_right"])
+
+    held, n, limit = [], 0, _TASK_WINDOWS
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -244,83 +301,86 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = table.column("key").to_numpy()
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut:
-            yield from narrow(table.slice(0, cut))
-            held, n, limit = table.slice(cut).to_batches(), n - cut, 1
+            yield settle(table.slice(0, cut))
+            held, n, limit = table.slice(cut).to_batches(), n - cut, _TASK_WINDOWS
         else:
             limit = 2 * n
     if n:
-        yield from narrow(pa.Table.from_batches(held))
+        yield settle(pa.Table.from_batches(held))
 
 
-_OPEN = "key bigint, id bigint, left int, centre int, right int, seeks boolean, rank int"
+_PAIR = "key bigint, id bigint, hub bigint, left int, right int, hub_left int, hub_right int"
+_PASSAGE = "id bigint, source_id bigint, first_word int, n_words int, overlap double"
+
+
+def _own_keys(lean: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with a key of their own as id; where ids repeat also (key, id, text_hash) of all."""
+    if lean.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return lean, None
+    hashed = lean.withColumn("text_hash", F.xxhash64("text"))
+    rows = written(hashed.select("id", "text_hash").distinct().withColumn("row", F.struct("id", "text_hash")), "rows")
+    names = written(ranked(rows, "row").select(F.col("code").alias("key"), "id", "text_hash"), "names")
+    return hashed.join(names, ["id", "text_hash"]).select(F.col("key").alias("id"), "text"), names
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, source_id, first_word, n_words, overlap): passages of a document that a document with a smaller id has.
+    """(id, source_id, first_word, n_words, overlap, text_hash): passages that a document with a smaller id has too.
 
     Each passage has at least 50 words, begins and ends with a shingle of the other document, and at least 0.8 of its
-    five-word shingles occur in the other's stretch. The documents of a window are each paired with the one that has
-    the smallest id; those whose windows that leaves uncovered meet the next one, until no window can tell of more, so
-    pairs grow with the documents. Words are white-space separated, A-Z lower-cased. Null and
-    short texts and rows with a null id have no passages; rows with equal ids are one document, of which one text is
-    compared; passages that repeat inside one document only are not reported; other columns are not read; an empty
-    table gives an empty result.
+    five-word shingles occur in the other's stretch. The documents of a window are first paired with the one that has
+    the smallest id. What that leaves uncovered is settled window key by window key: partners are taken by their ids,
+    each only where it tells of more, so pairs grow with the words and two rounds do. Words are white-space separated,
+    A-Z lower-cased. Null and short texts and rows with a null id have no passages. Rows with equal ids and different
+    texts count as documents of their own, by the hash of their text, which ``text_hash`` then tells; it is null
+    where the id has one row. Passages that repeat inside one document only are not reported; other columns are not
+    read; an empty table gives an empty result.
     """
-    lean = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
+    lean, names = _own_keys(
+        docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
+    )
     windows = lean.mapInArrow(_windows, "key bigint, id bigint, left int, centre int, right int")
     keys = windows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last")
-    met = written(windows.join(keys.select("key"), "key").select("*", F.lit(True).alias("seeks"), F.lit(0).alias("rank")), "met")
+    met = written(windows.join(keys.select("key", "hub"), "key"), "met")
     cut = lambda c, left, right: F.slice(c, F.col(left) + 1, F.col(right) - F.col(left) + 1)
+    read = with_ids(lean, written(met.select("id").distinct(), "ids"), "id").mapInArrow(_arrays, "id bigint, shingles array<int>")
+    arrays = written(read.dropDuplicates(["id"]), "shingles")
 
-    def shingles_of(ids: DataFrame) -> DataFrame:
-        return with_ids(lean, written(ids.distinct(), "ids"), "id").mapInArrow(_arrays, "id bigint, shingles array<int>").dropDuplicates(["id"])
-
-    found = spans = asked = None
-    while True:
-        best = F.min(F.struct("rank", "id"))
-        hubs = met.groupBy("key").agg(best["id"].alias("hub"), F.max(F.when(F.col("seeks"), F.col("id"))).alias("last")).filter("hub < last")
-        # A hub that has the key several times is asked with all of its windows.
-        hubs = met.join(hubs.select("key", "hub"), "key").filter("id = hub").groupBy("key", "hub").agg(
-            F.min("left").alias("hub_left"), F.max("right").alias("hub_right")
-        )
-        pairs = written(
-            met.join(hubs, "key").filter("seeks and id > hub").select("key", "id", "hub", "left", "right", "hub_left", "hub_right"), "pairs"
+    def verified(pairs: DataFrame, least: int) -> DataFrame:
+        sorted_pairs = pairs.repartition("id", "hub").sortWithinPartitions("id", "hub", "left")
+        stretches = sorted_pairs.select("key", "id", "hub", "left", "right", "hub_left", "hub_right").mapInArrow(
+            lambda batches: _stretches(batches, least), "id bigint, hub bigint, left int, right int, hub_left int, hub_right int"
         )
-        # Documents that met in an earlier round too meet with the windows of both.
-        again = pairs if asked is None else pairs.unionByName(asked.join(pairs.select("id", "hub").distinct(), ["id", "hub"], "left_semi"))
-        stretches = written(
-            again.repartition("id", "hub").sortWithinPartitions("id", "hub", "left").select("key", "id", "hub", "left", "right", "hub_left", "hub_right")
-            .mapInArrow(_stretches, "id bigint, hub bigint, left int, right int, hub_left int, hub_right int"), "stretches",
-        )
-        asked = pairs if asked is None else asked.unionByName(pairs)
-        arrays = written(shingles_of(stretches.select(F.explode(F.array("id", "hub")).alias("id"))), "shingles")
         own = stretches.join(arrays, "id").select("id", "hub", "left", "hub_left", "hub_right", cut("shingles", "left", "right").alias("own"))
         both = own.join(arrays.select(F.col("id").alias("hub"), "shingles"), "hub").select(
             "id", "hub", "left", "own", cut("shingles", "hub_left", "hub_right").alias("other")
         )
-        new = both.mapInArrow(_verify, "id bigint, source_id bigint, first_word int, n_words int, overlap double")
-        last_shingle = F.col("first_word") + F.col("n_words") - WIDTH
-        inside = (F.col("first") <= F.col("first_word")) & (F.col("last") >= last_shingle)
-        if spans is not None:
-            new = new.join(spans.withColumnRenamed("id", "span_id"), (F.col("id") == F.col("span_id")) & inside, "left_anti")
-        new = written(new, "passages")
-        found = new if found is None else found.unionByName(new)
-        spans = written(found.select("id", F.col("first_word").alias("first"), last_shingle.alias("last")).distinct(), "spans")
-        # Windows inside a passage seek no longer, but others may still find them.
-        rest = met.join(hubs.select("key", "hub"), "key").filter("id <> hub").drop("hub")
-        covered = rest.join(spans, "id").filter("first <= left and right <= last").select("key", "id", "left").distinct()
-        rest = rest.join(covered.withColumn("covered", F.lit(True)), ["key", "id", "left"], "left")
-        rest = rest.withColumn("seeks", F.col("seeks") & F.col("covered").isNull()).drop("covered")
-        alive = rest.groupBy("key").agg(F.min("id").alias("low"), F.max(F.when(F.col("seeks"), F.col("id"))).alias("high")).filter("low < high")
-        rest = written(rest.join(alive.select("key"), "key"), "rest")
-        arrays = shingles_of(rest.select("id"))
-        held = spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-        full = rest.join(arrays, "id").join(held, "id", "left").select(
-            "key", "id", "left", "centre", "right", "seeks", cut("shingles", "left", "right").alias("shingles"), "spans"
-        )
-        met = written(full.repartition("key").sortWithinPartitions("key", "id", "left").mapInArrow(_narrow, _OPEN), "met")
-        if met.isEmpty():
-            return found.withColumnRenamed("id", id_column)
+        return both.mapInArrow(_verify, _PASSAGE)
+
+    # A hub that has the key several times is asked with all of its windows.
+    hubs = met.filter("id = hub").groupBy("key").agg(F.min("left").alias("hub_left"), F.max("right").alias("hub_right"))
+    found = written(verified(met.filter("id > hub").join(hubs, "key"), ENOUGH), "passages")
+    last_shingle = F.col("first_word") + F.col("n_words") - WIDTH
+    spans = written(found.select("id", F.col("first_word").alias("first"), last_shingle.alias("last")).distinct(), "spans")
+    # Windows inside a passage seek no longer, but others may still find them.
+    rest = met.filter("id <> hub").select("key", "id", "left", "right")
+    covered = rest.join(spans, "id").filter("first <= left and right <= last").select("key", "id", "left").distinct()
+    rest = rest.join(covered.withColumn("covered", F.lit(True)), ["key", "id", "left"], "left").withColumn("seeks", F.col("covered").isNull())
+    rest = written(rest.drop("covered"), "rest")
+    alive = rest.groupBy("key").agg(F.min("id").alias("low"), F.max(F.when(F.col("seeks"), F.col("id"))).alias("high")).filter("low < high")
+    held = spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    full = rest.join(alive.select("key"), "key").join(arrays, "id").join(held, "id", "left").select(
+        "key", "id", "left", "right", "seeks", cut("shingles", "left", "right").alias("shingles"), "spans"
+    )
+    settled = written(full.repartition("key").sortWithinPartitions("key", "id", "left").mapInArrow(_settled, _PAIR), "pairs")
+    inside = (F.col("first") <= F.col("first_word")) & (F.col("last") >= last_shingle)
+    more = verified(settled, 1).join(spans.withColumnRenamed("id", "span_id"), (F.col("id") == F.col("span_id")) & inside, "left_anti")
+    told = found.unionByName(written(more, "passages"))
+    if names is None:
+        return told.withColumn("text_hash", F.lit(None).cast("bigint")).withColumnRenamed("id", id_column)
+    whose = names.select(F.col("key").alias("id"), F.col("id").alias(id_column), "text_hash")
+    source = names.select(F.col("key").alias("source_id"), F.col("id").alias("source"))
+    repeats = told.join(whose, "id").join(source, "source_id").drop("id", "source_id").withColumnRenamed("source", "source_id")
+    return repeats.select(id_column, "source_id", "first_word", "n_words", "overlap", "text_hash")
 
 
 def _cut(text_column: str, spans_column: str):
@@ -336,7 +396,7 @@ def _cut(text_column: str, spans_column: str):
                 texts = []
                 for i, mine in enumerate(spans):
                     done, left = int(offsets[i]), []
-                    for first, n in sorted((s["first_word"], s["n_words"]) for s in mine):
+                    for first, n in sorted((s["first_word"], s["n_words"]) for s in mine or ()):
                         begin, stop = int(starts[bounds[i] + first]), int(ends[bounds[i] + first + n - 1])
                         left.append(bytes(data[done : max(begin, done)]))
                         done = max(done, stop)
@@ -351,11 +411,17 @@ def _cut(text_column: str, spans_column: str):
 def without_passages(docs: DataFrame, passages: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without the ``passages`` found in them; other rows and columns stay as they are.
 
-    Documents without passages are not moved. The passages of a document are bounded by its length.
+    Of several rows with one id each loses its own passages, told apart by the hash of the text. Documents without
+    passages are not moved. The passages of a document are bounded by its length.
     """
     grouped = written(
-        passages.groupBy(F.col(id_column).alias("__id")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans")), "spans"
+        passages.groupBy(F.col(id_column).alias("__id"), F.col("text_hash").alias("__hash"))
+        .agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans")), "spans"
+    )
+    ids = written(grouped.select(F.col("__id").alias(id_column)).distinct(), "ids")
+    mine = (F.col(id_column) == F.col("__id")) & (F.col("__hash").isNull() | (F.col("__hash") == F.xxhash64(text_column)))
+    near = with_ids(docs, ids, id_column)
+    touched = near.join(F.broadcast(grouped) if ids.count() <= BROADCAST_IDS else grouped, mine, "left").drop("__id", "__hash")
+    return with_ids(docs, ids, id_column, "left_anti").unionByName(
+        touched.select(*docs.columns, "__spans").mapInArrow(_cut(text_column, "__spans"), docs.schema)
     )
-    ids = grouped.select(F.col("__id").alias(id_column))
-    touched = docs.join(F.broadcast(grouped) if ids.count() <= BROADCAST_IDS else grouped, F.col(id_column) == F.col("__id")).drop("__id")
-    return with_ids(docs, ids, id_column, "left_anti").unionByName(touched.mapInArrow(_cut(text_column, "__spans"), docs.schema))
