@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.encoders import ranked
-from ..session import written
-from .common import BROADCAST_IDS, with_ids
+from ..session import discard, written
+from .common import BROADCAST_IDS, partitions, with_ids
 from .words import buffers, mix, shingles, slices, word_hashes
 
 WIDTH = 5
@@ -31,6 +31,8 @@ ENOUGH = 2
 _BYTES = 1 << 20
 # Windows that a task settles at a time, more only where one key has more.
 _TASK_WINDOWS = 20_000
+# Bytes of text whose windows (about one for 32 bytes) come to one task.
+_PART_BYTES = 64 << 20
 # The least number of shingles that a passage shares.
 _SHARED = -(-(MIN_WORDS - WIDTH + 1) * 8 // 10)
 
@@ -98,15 +100,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", _BYTES):
             found, bounds = _shingled(part.column("text"))
             for j in range(HASHES):
-                row, left, centre, right, value = compact_windows(mix(found + np.uint64((j + 1) * 0x632BE59BD9B4E019 % (1 << 64))), bounds, size)
+                row, left, _, right, value = compact_windows(mix(found + np.uint64((j + 1) * 0x632BE59BD9B4E019 % (1 << 64))), bounds, size)
                 start = bounds[row]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((value & ~np.uint64(7) | np.uint64(j)).astype(np.int64)),
                         part.column("id").take(pa.array(row)),
-                        *(pa.array((x - start).astype(np.int32)) for x in (left, centre, right)),
+                        *(pa.array((x - start).astype(np.int32)) for x in (left, right)),
                     ],
-                    names=["key", "id", "left", "centre", "right"],
+                    names=["key", "id", "left", "right"],
                 )
 
 
@@ -203,14 +205,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _in_runs(at: np.ndarray, n: int) -> np.ndarray:
-    """Which of n places lie in any run of the places ``at`` that is long enough and holds the share."""
+def _in_runs(at: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in any run of the places ``at`` of one owner that is long enough and holds the share."""
+    if not len(at):
+        return np.zeros(n, bool)
+    rank = np.cumsum(np.concatenate([[0], owner[1:] != owner[:-1]]))
+    own = np.searchsorted(rank, rank)
+    # Owners are kept apart by more than any height; see _farthest.
+    height = np.arange(len(at)) - own - OVERLAP * (at - at[own])
+    apart = rank * (height.max() - height.min() + 1.0)
+    highest_behind = np.maximum.accumulate((height - apart)[::-1])[::-1]
+    # Heights are multiples of 0.2, so that much rounding is harmless.
+    last = np.searchsorted(-highest_behind, -(height - apart - (1 - OVERLAP) - 1e-3), side="right") - 1
+    last = np.minimum(last, np.searchsorted(rank, rank, side="right") - 1)
+    end = at[last]
+    long = end - at + 1 >= MIN_WORDS - WIDTH + 1
     inside = np.zeros(n + 1, np.int64)
-    if len(at):
-        end = at[_farthest(at, OVERLAP)]
-        long = end - at + 1 >= MIN_WORDS - WIDTH + 1
-        np.add.at(inside, at[long], 1)
-        np.subtract.at(inside, end[long] + 1, 1)
+    np.add.at(inside, at[long], 1)
+    np.subtract.at(inside, end[long] + 1, 1)
     return np.cumsum(inside[:-1]) > 0
 
 
@@ -232,26 +244,28 @@ class _Lists:
         self.first = np.searchsorted(self.shingle[by_shingle], np.arange(self.shingle.max(initial=-1) + 2))
         self.unknown = np.ones(len(self.owner), bool)
         for row, spans in enumerate(table.column("spans").to_pylist()):
+            if not spans:
+                continue
             place = np.arange(self.left[row], self.left[row] + sizes[row])
-            for span in spans or ():
+            for span in spans:
                 self.unknown[self.ends[row] : self.ends[row + 1]] &= (place < span["first"]) | (place > span["last"])
 
     def seeking(self) -> np.ndarray:
         """Windows that share enough with smaller ids, something new among it, and seek at all."""
         earliest = np.full(self.shingle.max(initial=-1) + 1, np.iinfo(np.int64).max)
         np.minimum.at(earliest, self.shingle, self.ids[self.owner])
-        self.shared = earliest[self.shingle] < self.ids[self.owner]
+        shared = earliest[self.shingle] < self.ids[self.owner]
         count = lambda mask: np.bincount(self.owner[mask], minlength=len(self.ids))
-        return np.flatnonzero(self.seeks & (count(self.shared) >= _SHARED) & (count(self.shared & self.unknown) > 0))
+        seeks = self.seeks & (count(shared) >= _SHARED) & (count(shared & self.unknown) > 0)
+        # With one partner no more can be in a run than with all together.
+        at = np.flatnonzero(shared & seeks[self.owner])
+        self.unknown &= _in_runs(at, self.owner[at], len(shared))
+        return np.flatnonzero(seeks & (count(self.unknown) > 0))
 
     def partners(self, w: int) -> Iterator[int]:
         """The windows of smaller ids with a passage that tells of something new in window w, by id."""
         mine = slice(self.ends[w], self.ends[w + 1])
         shingle, unknown = self.shingle[mine], self.unknown[mine].copy()
-        # With one partner no more can be in a run than with all together.
-        unknown &= _in_runs(np.flatnonzero(self.shared[mine]), len(shingle))
-        if not unknown.any():
-            return
         sizes = self.first[shingle + 1] - self.first[shingle]
         where = np.repeat(np.arange(len(shingle)), sizes)
         holder = self.holders[np.arange(len(where)) + np.repeat(self.first[shingle] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)]
@@ -261,8 +275,11 @@ class _Lists:
         cuts = np.flatnonzero(np.concatenate([[True], holder[1:] != holder[:-1]])) if len(holder) else np.zeros(0, np.int64)
         ends = np.concatenate([cuts[1:], [len(holder)]])
         enough = ends - cuts >= _SHARED
+        if len(cuts):
+            enough &= np.logical_or.reduceat(unknown[where], cuts)
         for a, b in zip(cuts[enough].tolist(), ends[enough].tolist()):
-            at = np.unique(where[a:b])
+            at = where[a:b]
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
             if len(at) < _SHARED or not unknown[at].any():
                 continue
             new = [(f, l) for f, l, _ in _runs_at(at) if unknown[f : l + 1].any()]
@@ -309,7 +326,36 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(pa.Table.from_batches(held))
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of keys that several documents have, with the smallest id of each key and how far its windows
+    reach; all rows of a key come to one task."""
+    names = ("key", "id", "left", "right")
+    held: list[list[np.ndarray]] = [[] for _ in names]
+    for batch in batches:
+        for mine, c in zip(held, names):
+            mine.append(batch.column(c).to_numpy())
+    if not held[0]:
+        return
+    key, ids, left, right = (np.concatenate(h) for h in held)
+    order = np.lexsort((left, ids, key))
+    key, ids, left, right = (x[order] for x in (key, ids, left, right))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    hub = np.repeat(ids[starts], sizes)
+    hubs_own = ids == hub
+    # A hub that has the key several times is asked with all of its windows.
+    low = np.minimum.reduceat(np.where(hubs_own, left, np.iinfo(np.int32).max), starts)
+    high = np.maximum.reduceat(np.where(hubs_own, right, -1), starts)
+    several = np.repeat(np.logical_or.reduceat(~hubs_own, starts), sizes)
+    columns = (key, ids, left, right, hub, np.repeat(low, sizes), np.repeat(high, sizes))
+    for at in range(0, len(key), 1 << 16):
+        part = np.flatnonzero(several[at : at + (1 << 16)]) + at
+        yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in columns], names=[*names, "hub", "hub_left", "hub_right"])
+
+
+_WINDOW = "key bigint, id bigint, left int, right int"
 _PAIR = "key bigint, id bigint, hub bigint, left int, right int, hub_left int, hub_right int"
+_STRETCH = "id bigint, hub bigint, left int, right int, hub_left int, hub_right int"
 _PASSAGE = "id bigint, source_id bigint, first_word int, n_words int, overlap double"
 
 
@@ -338,27 +384,32 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     lean, names = _own_keys(
         docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
     )
-    windows = lean.mapInArrow(_windows, "key bigint, id bigint, left int, centre int, right int")
-    keys = windows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last")
-    met = written(windows.join(keys.select("key", "hub"), "key"), "met")
-    cut = lambda c, left, right: F.slice(c, F.col(left) + 1, F.col(right) - F.col(left) + 1)
-    read = with_ids(lean, written(met.select("id").distinct(), "ids"), "id").mapInArrow(_arrays, "id bigint, shingles array<int>")
-    arrays = written(read.dropDuplicates(["id"]), "shingles")
+    n_bytes = lean.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts = max(partitions(docs), -(-n_bytes // _PART_BYTES))
+    windows = lean.mapInArrow(_windows, _WINDOW).repartition(parts, "key")
+    met = written(windows.mapInArrow(_met, f"{_WINDOW}, hub bigint, hub_left int, hub_right int"), "met")
+    part_of = lambda c, left, right: F.slice(c, F.col(left) + 1, F.col(right) - F.col(left) + 1)
+
+    def arrays_of(ids: DataFrame) -> DataFrame:
+        read = with_ids(lean, written(ids.distinct(), "ids"), "id").mapInArrow(_arrays, "id bigint, shingles array<int>")
+        # Only equal rows can have one key.
+        return read if names is None else read.dropDuplicates(["id"])
 
     def verified(pairs: DataFrame, least: int) -> DataFrame:
         sorted_pairs = pairs.repartition("id", "hub").sortWithinPartitions("id", "hub", "left")
-        stretches = sorted_pairs.select("key", "id", "hub", "left", "right", "hub_left", "hub_right").mapInArrow(
-            lambda batches: _stretches(batches, least), "id bigint, hub bigint, left int, right int, hub_left int, hub_right int"
+        stretches = written(
+            sorted_pairs.select("key", "id", "hub", "left", "right", "hub_left", "hub_right").mapInArrow(lambda b: _stretches(b, least), _STRETCH), "stretches"
         )
-        own = stretches.join(arrays, "id").select("id", "hub", "left", "hub_left", "hub_right", cut("shingles", "left", "right").alias("own"))
+        arrays = written(arrays_of(stretches.select(F.explode(F.array("id", "hub")).alias("id"))), "shingles")
+        own = stretches.join(arrays, "id").select("id", "hub", "left", "hub_left", "hub_right", part_of("shingles", "left", "right").alias("own"))
         both = own.join(arrays.select(F.col("id").alias("hub"), "shingles"), "hub").select(
-            "id", "hub", "left", "own", cut("shingles", "hub_left", "hub_right").alias("other")
+            "id", "hub", "left", "own", part_of("shingles", "hub_left", "hub_right").alias("other")
         )
-        return both.mapInArrow(_verify, _PASSAGE)
+        told = written(both.mapInArrow(_verify, _PASSAGE), "passages")
+        discard(arrays)
+        return told
 
-    # A hub that has the key several times is asked with all of its windows.
-    hubs = met.filter("id = hub").groupBy("key").agg(F.min("left").alias("hub_left"), F.max("right").alias("hub_right"))
-    found = written(verified(met.filter("id > hub").join(hubs, "key"), ENOUGH), "passages")
+    found = verified(met.filter("id > hub"), ENOUGH)
     last_shingle = F.col("first_word") + F.col("n_words") - WIDTH
     spans = written(found.select("id", F.col("first_word").alias("first"), last_shingle.alias("last")).distinct(), "spans")
     # Windows inside a passage seek no longer, but others may still find them.
@@ -366,15 +417,19 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     covered = rest.join(spans, "id").filter("first <= left and right <= last").select("key", "id", "left").distinct()
     rest = rest.join(covered.withColumn("covered", F.lit(True)), ["key", "id", "left"], "left").withColumn("seeks", F.col("covered").isNull())
     rest = written(rest.drop("covered"), "rest")
+    discard(met)
     alive = rest.groupBy("key").agg(F.min("id").alias("low"), F.max(F.when(F.col("seeks"), F.col("id"))).alias("high")).filter("low < high")
+    rest = written(rest.join(alive.select("key", "high"), "key").filter("id <= high").drop("high"), "rest")
     held = spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    full = rest.join(alive.select("key"), "key").join(arrays, "id").join(held, "id", "left").select(
-        "key", "id", "left", "right", "seeks", cut("shingles", "left", "right").alias("shingles"), "spans"
+    full = rest.join(arrays_of(rest.select("id")), "id").select(
+        "key", "id", "left", "right", "seeks", part_of("shingles", "left", "right").alias("shingles")
     )
-    settled = written(full.repartition("key").sortWithinPartitions("key", "id", "left").mapInArrow(_settled, _PAIR), "pairs")
+    full = full.join(held, "id", "left").repartition(parts, "key").sortWithinPartitions("key", "id", "left")
+    columns = ("key", "id", "left", "right", "seeks", "shingles", "spans")
+    settled = written(full.select(*columns).mapInArrow(_settled, _PAIR), "pairs")
     inside = (F.col("first") <= F.col("first_word")) & (F.col("last") >= last_shingle)
     more = verified(settled, 1).join(spans.withColumnRenamed("id", "span_id"), (F.col("id") == F.col("span_id")) & inside, "left_anti")
-    told = found.unionByName(written(more, "passages"))
+    told = found.unionByName(written(more, "more"))
     if names is None:
         return told.withColumn("text_hash", F.lit(None).cast("bigint")).withColumnRenamed("id", id_column)
     whose = names.select(F.col("key").alias("id"), F.col("id").alias(id_column), "text_hash")
