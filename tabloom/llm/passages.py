@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ OVERLAP = 0.8
 HASHES = 5
 ENOUGH = 2
 _BYTES = 1 << 20
-# Windows that a task settles at a time, more only where one key has more.
-_TASK_WINDOWS = 20_000
+# Shingles of windows that are settled at a time, more only where one key has more.
+_PART_SHINGLES = 300_000
 # Bytes of text whose windows (about one for 32 bytes) come to one task.
 _PART_BYTES = 64 << 20
 # The least number of shingles that a passage shares.
@@ -235,15 +236,20 @@ class _Lists:
         runs = table.column("shingles").combine_chunks()
         sizes = np.diff(runs.offsets.to_numpy())
         self.ends = np.concatenate([[0], np.cumsum(sizes)])
-        self.owner = np.repeat(np.arange(len(self.ids)), sizes)
+        self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), sizes)
         group = np.cumsum(np.concatenate([[0], self.keys[1:] != self.keys[:-1]]))
         marks = (group[self.owner] << 32) | runs.flatten().to_numpy().view(np.uint32).astype(np.int64)
-        _, self.shingle = np.unique(marks, return_inverse=True)
-        by_shingle = np.argsort(self.shingle, kind="stable")
-        self.holders = self.owner[by_shingle]
-        self.first = np.searchsorted(self.shingle[by_shingle], np.arange(self.shingle.max(initial=-1) + 2))
+        # Shingles are numbered in the order of a stable sort, which also tells who has each.
+        order = np.argsort(marks, kind="stable")
+        marks = marks[order]
+        new = np.concatenate([[True], marks[1:] != marks[:-1]])[: len(marks)]
+        self.shingle = np.empty(len(marks), np.int32)
+        self.shingle[order] = np.cumsum(new) - 1
+        self.holders = self.owner[order]
+        self.first = np.append(np.flatnonzero(new), len(marks))
         self.unknown = np.ones(len(self.owner), bool)
-        for row, spans in enumerate(table.column("spans").to_pylist()):
+        seekers = np.flatnonzero(self.seeks)
+        for row, spans in zip(seekers.tolist(), table.column("spans").take(pa.array(seekers)).to_pylist()):
             if not spans:
                 continue
             place = np.arange(self.left[row], self.left[row] + sizes[row])
@@ -306,7 +312,18 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [lists.keys[w], lists.ids[w], lists.ids[e], lists.left[w], lists.right[w], lists.left[e], lists.right[e]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "hub", "left", "right", "hub_left", "hub_right"])
 
-    held, n, limit = [], 0, _TASK_WINDOWS
+    def parts(table: pa.Table) -> Iterator[pa.Table]:
+        """Whole keys, as many as have about ``_PART_SHINGLES`` shingles."""
+        keys = table.column("key").to_numpy()
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        upto = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(table.column("shingles")).to_numpy())])[begins]
+        at = 0
+        while at < len(begins) - 1:
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + _PART_SHINGLES, side="right")) - 1)
+            yield table.slice(begins[at], begins[end] - begins[at])
+            at = end
+
+    held, n, limit = [], 0, 1
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -318,12 +335,12 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = table.column("key").to_numpy()
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut:
-            yield settle(table.slice(0, cut))
-            held, n, limit = table.slice(cut).to_batches(), n - cut, _TASK_WINDOWS
+            yield from map(settle, parts(table.slice(0, cut)))
+            held, n, limit = table.slice(cut).to_batches(), n - cut, 1
         else:
             limit = 2 * n
     if n:
-        yield settle(pa.Table.from_batches(held))
+        yield from map(settle, parts(pa.Table.from_batches(held)))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
