@@ -32,6 +32,7 @@ ENOUGH = 2
 _BYTES = 1 << 20
 # Shingles of windows that are settled at a time, more only where one key has more.
 _PART_SHINGLES = 300_000
+_GATHERED = 1 << 20
 # Bytes of text whose windows (about one for 32 bytes) come to one task.
 _PART_BYTES = 64 << 20
 # The least number of shingles that a passage shares.
@@ -206,10 +207,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _in_runs(at: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Which of n places lie in any run of the places ``at`` of one owner that is long enough and holds the share."""
-    if not len(at):
-        return np.zeros(n, bool)
+def _long_runs(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the places ``at`` of several owners the last place up to which the share holds, and whether that
+    makes a run that is long enough."""
     rank = np.cumsum(np.concatenate([[0], owner[1:] != owner[:-1]]))
     own = np.searchsorted(rank, rank)
     # Owners are kept apart by more than any height; see _farthest.
@@ -220,10 +220,15 @@ def _in_runs(at: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     last = np.searchsorted(-highest_behind, -(height - apart - (1 - OVERLAP) - 1e-3), side="right") - 1
     last = np.minimum(last, np.searchsorted(rank, rank, side="right") - 1)
     end = at[last]
-    long = end - at + 1 >= MIN_WORDS - WIDTH + 1
-    inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, at[long], 1)
-    np.subtract.at(inside, end[long] + 1, 1)
+    return end, end - at + 1 >= MIN_WORDS - WIDTH + 1
+
+
+def _in_runs(at: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in any run of the places ``at`` of one owner that is long enough and holds the share."""
+    if not len(at):
+        return np.zeros(n, bool)
+    end, long = _long_runs(at, owner)
+    inside = np.bincount(at[long], minlength=n + 1) - np.bincount(end[long] + 1, minlength=n + 1)
     return np.cumsum(inside[:-1]) > 0
 
 
@@ -238,6 +243,7 @@ class _Lists:
         self.ends = np.concatenate([[0], np.cumsum(sizes)])
         self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), sizes)
         group = np.cumsum(np.concatenate([[0], self.keys[1:] != self.keys[:-1]]))
+        self.group = np.searchsorted(group, group)
         marks = (group[self.owner] << 32) | runs.flatten().to_numpy().view(np.uint32).astype(np.int64)
         # Shingles are numbered in the order of a stable sort, which also tells who has each.
         order = np.argsort(marks, kind="stable")
@@ -272,21 +278,43 @@ class _Lists:
         """The windows of smaller ids with a passage that tells of something new in window w, by id."""
         mine = slice(self.ends[w], self.ends[w + 1])
         shingle, unknown = self.shingle[mine], self.unknown[mine].copy()
-        sizes = self.first[shingle + 1] - self.first[shingle]
-        where = np.repeat(np.arange(len(shingle)), sizes)
-        holder = self.holders[np.arange(len(where)) + np.repeat(self.first[shingle] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)]
-        earlier = self.ids[holder] < self.ids[w]
-        order = np.lexsort((where[earlier], holder[earlier], self.ids[holder[earlier]]))
-        where, holder = where[earlier][order], holder[earlier][order]
-        cuts = np.flatnonzero(np.concatenate([[True], holder[1:] != holder[:-1]])) if len(holder) else np.zeros(0, np.int64)
+        before = np.searchsorted(self.ids[self.group[w] : w], self.ids[w]) + self.group[w]
+
+        def holders(places: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            """(window, place) of the windows of smaller ids, of ``some`` only, that have the shingles at these places."""
+            low = self.first[shingle[places]]
+            sizes = self.first[shingle[places] + 1] - low
+            # A very wide window of a crowded key is looked up a part at a time.
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(_GATHERED, int(sizes.sum()) + _GATHERED, _GATHERED))
+            found = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+            for x, y in zip([0, *(cuts + 1).tolist()], [*(cuts + 1).tolist(), len(places)]):
+                n, start = sizes[x:y], low[x:y]
+                holder = self.holders[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)]
+                keep = holder < before
+                if some is not None:
+                    keep &= some[holder]
+                found.append((holder[keep], np.repeat(places[x:y].astype(np.int32), n)[keep]))
+            return tuple(np.concatenate(c) for c in zip(*found))
+
+        # Only windows with something new count, so that the others of a crowded key are not looked at.
+        telling = np.zeros(len(self.ids), bool)
+        telling[holders(np.flatnonzero(unknown))[0]] = True
+        if not telling.any():
+            return
+        holder, where = holders(np.arange(len(shingle)), telling)
+        order = np.argsort(holder, kind="stable")
+        holder, where = holder[order], where[order].astype(np.int64)
+        # A shingle that the window has several times stands at each of its places once for a holder.
+        once = np.concatenate([[True], (holder[1:] != holder[:-1]) | (where[1:] != where[:-1])])
+        holder, where = holder[once], where[once]
+        cuts = np.flatnonzero(np.concatenate([[True], holder[1:] != holder[:-1]]))
         ends = np.concatenate([cuts[1:], [len(holder)]])
-        enough = ends - cuts >= _SHARED
-        if len(cuts):
-            enough &= np.logical_or.reduceat(unknown[where], cuts)
-        for a, b in zip(cuts[enough].tolist(), ends[enough].tolist()):
+        end, long = _long_runs(where, holder)
+        news = np.concatenate([[0], np.cumsum(unknown)])
+        tells = np.logical_or.reduceat(long & (news[end + 1] > news[where]), cuts) & (ends - cuts >= _SHARED)
+        for a, b in zip(cuts[tells].tolist(), ends[tells].tolist()):
             at = where[a:b]
-            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-            if len(at) < _SHARED or not unknown[at].any():
+            if not unknown[at].any():
                 continue
             new = [(f, l) for f, l, _ in _runs_at(at) if unknown[f : l + 1].any()]
             if new:
