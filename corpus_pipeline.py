@@ -23,31 +23,42 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: texts without letters and undecided ones go."""
+    """Documents whose language is known: null texts, texts without letters and undecided ones go.
+
+    Rows are judged one by one, so copies and rows with equal or null ids fare alike.
+    """
     judged = with_language(docs, fit(docs, F.lit(True)), lang_column="__lang", score_column="__score")
     return judged.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LANGUAGE_SCORE)).drop("__lang", "__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
+    """One document of each near-duplicate group, the one with the smallest id.
+
+    Texts without words are in no group and stay. Of rows with one id one stays, whose text has the smallest hash; rows
+    with a null id all stay.
+    """
     gone = written(near_duplicates(docs, percent=NEAR_PERCENT, width=NEAR_WIDTH).filter("not kept").select("doc_id").distinct(), "gone")
     return first_of_each(with_ids(docs, gone, "doc_id", "left_anti"), "doc_id")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller id has are taken out; documents left without a word go."""
+    """Passages that a document with a smaller id has are taken out; documents left without a word go.
+
+    Rows with a null id lose nothing; rows with one id lose their own passages each. ``docs`` needs a column
+    ``n_chars``, which then counts the characters left.
+    """
     cut = without_passages(docs, written(repeated_passages(docs), "passages"))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, whatever their ids."""
     items = split_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return with_leaks(docs, items, "__leaks").filter("__leaks = 0").drop("__leaks")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often (``copies``)."""
+    """The documents that the mix takes, with how often (``copies``); null sources are one source, null texts are empty."""
     return with_copies(docs, "copies").filter("copies > 0")
 
 
