@@ -34,9 +34,15 @@ def partitions(df: DataFrame) -> int:
 
 
 def first_of_each(df: DataFrame, key: str) -> DataFrame:
-    """One row for each value of ``key``; rows with a null key all stay. Only rows with a repeated key are moved."""
+    """One row for each value of ``key``, that with the smallest hash of all columns; rows with a null key all stay.
+
+    Only rows with a repeated key are moved.
+    """
     repeated = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
     if repeated.isEmpty():
         return df
     ids = written(repeated, "repeated")
-    return with_ids(df, ids, key, "left_anti").unionByName(with_ids(df, ids, key).dropDuplicates([key]))
+    several = with_ids(df, ids, key)
+    row = F.struct(*[F.col(c) for c in df.columns])
+    one = several.groupBy(key).agg(F.min_by(row, F.struct(F.xxhash64(*df.columns), F.hash(*df.columns))).alias("__row"))
+    return with_ids(df, ids, key, "left_anti").unionByName(one.select("__row.*"))
