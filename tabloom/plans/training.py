@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
-import random
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -12,23 +12,16 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.metrics import (
-    NOISE,
-    classification_metrics,
-    cluster_count,
-    regression_metrics,
-    silhouette,
-)
+from ..operators.metrics import NOISE, cluster_count, silhouette
 from ..operators.split import folds, holdout, position_of
 from ..operators.tally import TableTally, collect_tally
 from ..session import discard, written
 from .heuristics import Plan, ProblemType
 from .prepare import Recipe, fit_recipe, label_frame
 from .registry import Candidate, Context, candidates
+from .search import SEARCH_METRIC, Trial, parameter_points, search, supervised_metrics, winner
 
-PRIMARY_METRIC = {
-    ProblemType.CLASSIFICATION: "f1_weighted",
-    ProblemType.REGRESSION: "r2",
+PRIMARY_METRIC = SEARCH_METRIC | {
     ProblemType.CLUSTERING: "silhouette_sq",
     ProblemType.ANOMALY_DETECTION: "silhouette_sq",
 }
@@ -45,6 +38,8 @@ class Settings:
     cv_folds: int = 5
     seed: int = 42
     valid_share: float = 0.2
+    parallel: int = 4
+    racing: bool = True
 
 
 @dataclass
@@ -85,50 +80,6 @@ class Trained:
         self.scratch.clear()
 
 
-def parameter_points(spec: Candidate, trials: int, seed: int) -> list[dict[str, Any]]:
-    """V3: the defaults first, then a seeded random subset of the grid."""
-    points = [dict(spec.params)]
-    if spec.grid and trials > 1:
-        grid = [dict(zip(spec.grid, v)) for v in itertools.product(*spec.grid.values())]
-        grid = [{**spec.params, **p} for p in grid]
-        others = [p for p in grid if p != points[0]]
-        points += random.Random(seed).sample(others, min(trials - 1, len(others)))
-    return points
-
-
-def supervised_metrics(scored: DataFrame, problem_type: ProblemType) -> dict[str, float]:
-    measure = classification_metrics if problem_type is ProblemType.CLASSIFICATION else regression_metrics
-    row = measure(scored).first()
-    return {k: float(v) if v is not None else float("nan") for k, v in row.asDict().items()}
-
-
-@dataclass
-class Trial:
-    """One candidate with one choice of parameters, and its scores on the folds so far."""
-
-    spec: Candidate
-    params: dict[str, Any]
-    scores: list[float] = field(default_factory=list)
-    failed: Exception | None = None
-    time_s: float = 0.0
-
-    @property
-    def mean(self) -> float:
-        return sum(self.scores) / len(self.scores) if self.scores else float("nan")
-
-    def run(self, train: DataFrame, probe: DataFrame, context: Context) -> None:
-        if self.failed is not None:
-            return
-        started = time.perf_counter()
-        try:
-            model = self.spec.build(self.params, context).fit(train)
-            kind = self.spec.problem_type
-            self.scores.append(supervised_metrics(model.transform(probe), kind)[PRIMARY_METRIC[kind]])
-        except Exception as exc:
-            self.failed = exc
-        self.time_s += time.perf_counter() - started
-
-
 def _kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -175,21 +126,30 @@ def train_supervised(
     n_train = inside.count()
     n_classes = classes.count() if classes is not None else 0
 
-    recipe = fit_recipe(inside, plan, target, "label" if _means_help(is_class, n_classes) else None, hidden)
+    means = "label" if _means_help(is_class, n_classes) else None
+    recipe = fit_recipe(inside, plan, target, means, hidden)
     train = _kept(recipe.apply(inside, keep=("label",)))
     valid = _kept(recipe.apply(outside, keep=("label",)))
     context = Context(n_train, len(recipe.feature_names), n_classes, settings.seed)
     specs = specs or candidates(problem_type)
     trials = {spec.name: [Trial(spec, p) for p in parameter_points(spec, settings.trials, settings.seed)] for spec in specs}
+    own: dict[int, Recipe] = {}
+
     # V2: one fold at a time is kept, each prepared from its own training part.
-    for j in range(settings.cv_folds if settings.cv_folds > 1 else 0):
+    @contextmanager
+    def fold(j: int) -> Iterator[tuple[DataFrame, DataFrame]]:
         part, probe = inside.filter(F.col("fold") != j), inside.filter(F.col("fold") == j)
-        own = fit_recipe(part, plan, target, "label" if _means_help(is_class, n_classes) else None, hidden)
-        fold = _kept(own.apply(part, keep=("label",))), _kept(own.apply(probe, keep=("label",)))
-        for trial in itertools.chain(*trials.values()):
-            trial.run(*fold, context)
-        for frame in fold:
-            frame.unpersist()
+        if j not in own:
+            own[j] = fit_recipe(part, plan, target, means, hidden)
+        kept = _kept(own[j].apply(part, keep=("label",))), _kept(own[j].apply(probe, keep=("label",)))
+        try:
+            yield kept
+        finally:
+            for frame in kept:
+                frame.unpersist()
+
+    n_folds = settings.cv_folds if settings.cv_folds > 1 else 0
+    search(trials, fold, n_folds, context, settings.parallel, settings.racing)
 
     results = []
     for spec in specs:
@@ -215,11 +175,8 @@ def _means_help(is_class: bool, n_classes: int) -> bool:
 
 
 def _best_of(trials: list[Trial], train: DataFrame, valid: DataFrame, context: Context) -> ModelResult:
-    """V3: the trial with the best mean over the folds, or the first without folds, fitted on all training rows."""
-    tried = [t for t in trials if t.failed is None]
-    if not tried:
-        raise trials[0].failed
-    best = max(tried, key=lambda t: t.mean if t.mean == t.mean else float("-inf")) if tried[0].scores else trials[0]
+    """V3: the winner of the folds, fitted on all training rows."""
+    best = winner(trials)
     kind = best.spec.problem_type
     model = best.spec.build(best.params, context).fit(train)
     metrics = supervised_metrics(model.transform(valid), kind)
