@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, col, numeric_columns
+from ..operators.sketches import part_aggregates, part_rows
 
 
 def window_profile(
@@ -67,3 +68,26 @@ def profile_stream(
 ) -> DataFrame:
     """R2: the windowed profile of a stream; rows later than the watermark are dropped, closed windows leave the state."""
     return window_profile(stream.withWatermark(ts, watermark), ts, window, columns, group, quartiles)
+
+
+def sketch_stream(
+    stream: DataFrame,
+    ts: str,
+    window: str = "1 hour",
+    watermark: str = "10 minutes",
+    columns: Sequence[str] | None = None,
+    group: Sequence[str] = (),
+) -> DataFrame:
+    """R2: mergeable parts of a stream, one row per closed window, group and column.
+
+    What a sink has stored merges over any span of windows with ``merge_profiles``, by ``window_start`` truncated to
+    days for example. Rows later than the watermark are dropped. The same function takes a batch.
+    """
+    wanted = [c for c in (numeric_columns(stream) if columns is None else columns) if c not in group and c != ts]
+    grouped = (
+        stream.withWatermark(ts, watermark)
+        .groupBy(F.window(col(ts), window), *[col(g) for g in group])
+        .agg(*part_aggregates(stream, wanted))
+    )
+    ends = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
+    return part_rows(grouped, [*ends, *[col(g) for g in group]], wanted)
