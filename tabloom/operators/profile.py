@@ -22,6 +22,8 @@ from ..functions.kinds import (
     plan_numeric_columns,
 )
 from ..functions.scalars import share
+from ..session import written
+from .lookup import BROADCAST_BYTES
 from .quantiles import exact_quantiles, quantile_columns
 from .tally import TableTally, tally_frame
 
@@ -155,27 +157,55 @@ def top_missing(df: DataFrame, k: int = 3) -> DataFrame:
     return missing(df).orderBy(F.desc("n_missing"), "position").limit(k).drop("position")
 
 
-def duplicate_count(df: DataFrame, tally: TableTally | None = None) -> DataFrame:
+def row_fingerprint(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of the whole row; which of its values are missing counts too."""
+    values = [col(c) for c in df.columns]
+    # A hash passes over nulls, so (null, a) and (a, null) are told apart by their gaps.
+    gaps = [v.isNull() for v in values]
+    return [F.xxhash64(F.lit(salt), *values, *gaps).alias(f"__print{salt}") for salt in (1, 2)]
+
+
+def duplicate_count(df: DataFrame, tally: TableTally | None = None, fingerprint: bool | None = None) -> DataFrame:
     """A4: rows beyond the first of each group of identical rows; missing equals missing.
 
     A column known to hold a different value in every row settles the question without a shuffle.
-    Otherwise identical rows are combined where they are read and each distinct row is shuffled once.
+    Otherwise identical rows are combined where they are read and each distinct row is shuffled once: as 16 bytes
+    of fingerprint where rows may be long (text, binary or nested columns, or ``fingerprint=True``). Only rows whose
+    fingerprint occurs twice or more are then compared whole, so the count is exact; if more fingerprints are shared
+    than ``BROADCAST_BYTES`` holds, all rows are compared.
     """
     if tally is not None and any(c.exact and c.n_rows and c.n_unique == c.n_rows for c in tally.columns):
-        return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_duplicates"))
+        return _no_duplicates(df)
     plain = normalize(df)
-    keys = [
-        F.to_json(F.struct(col(c))).alias(c) if plain.schema[c].dataType.typeName() == "map" else col(c)
-        for c in plain.columns
-    ]
+    plain = plain.select(
+        *[
+            F.to_json(F.struct(col(c))).alias(c) if plain.schema[c].dataType.typeName() == "map" else col(c)
+            for c in plain.columns
+        ]
+    )
+    known = set(kinds(plain).values())
+    # Names by position clash neither with the fingerprint's nor with each other.
+    plain = plain.toDF(*[f"c{i}" for i in range(len(plain.columns))])
+    if (known & {CATEGORICAL, NESTED}) if fingerprint is None else fingerprint:
+        prints = plain.groupBy(*row_fingerprint(plain)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        shared = written(prints.drop("n"), "fingerprints")
+        n_shared = shared.count()
+        if not n_shared:
+            return _no_duplicates(df)
+        if n_shared * 2 * 8 <= BROADCAST_BYTES:
+            marked = plain.select("*", *row_fingerprint(plain))
+            plain = marked.join(F.broadcast(shared), shared.columns, "left_semi").drop(*shared.columns)
     return (
-        plain.select(*keys)
-        .groupBy(*[col(c) for c in plain.columns])
+        plain.groupBy(*[col(c) for c in plain.columns])
         .agg(F.count(F.lit(1)).alias("__copies"))
         .agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("n_duplicates"))
     )
 
 
+def _no_duplicates(df: DataFrame) -> DataFrame:
+    return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_duplicates"))
+
+
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Rows per target value, missing as its own value."""
     counts = normalize(df.select(col(target))).groupBy(col(target).cast("string").alias("value")).agg(
