@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .words import buffers, shingles, slices, word_hashes
 
 WIDTH = 5
@@ -55,6 +56,25 @@ def _item(key: int, question: np.ndarray, answer: np.ndarray) -> Item:
     return Item(key, terms, counts, np.unique(first), np.unique(answer), shingled, len(question) + len(answer))
 
 
+@dataclass
+class Statistics:
+    """What the weights need to know of all items, whichever of them an index holds."""
+
+    n_items: int
+    mean_length: float
+    longest: int
+    # How many items have each term of the index's sorted vocabulary.
+    frequency: np.ndarray
+
+
+def _own_statistics(items: list[Item]) -> Statistics:
+    lengths = [i.length for i in items]
+    terms = np.concatenate([i.terms for i in items]) if items else np.zeros(0, np.uint64)
+    return Statistics(
+        len(items), float(np.mean(lengths)) if items else 1.0, max(lengths, default=1), np.unique(terms, return_counts=True)[1]
+    )
+
+
 def _lost(n: int) -> int:
     return int(n - np.ceil(OVERLAP * n))
 
@@ -62,13 +82,14 @@ def _lost(n: int) -> int:
 class BlockMaxIndex:
     """Postings of the items in blocks, with the largest weight of each term in each block."""
 
-    def __init__(self, items: list[Item], threshold: float = THRESHOLD):
+    def __init__(self, items: list[Item], threshold: float = THRESHOLD, statistics: Statistics | None = None):
         # Items with like words share blocks, which keeps the maxima of other blocks low.
         self.items = sorted((i for i in items if i.length), key=lambda i: tuple(sorted(i.terms.tolist()))[:4])
         n = len(self.items)
-        self.vocabulary, df = np.unique(np.concatenate([i.terms for i in self.items]), return_counts=True) if n else (np.zeros(0, np.uint64), np.zeros(0))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = np.mean([i.length for i in self.items]) if n else 1.0
+        known = statistics or _own_statistics(self.items)
+        self.vocabulary = np.unique(np.concatenate([i.terms for i in self.items])) if n else np.zeros(0, np.uint64)
+        idf = np.log1p((known.n_items - known.frequency + 0.5) / (known.frequency + 0.5))
+        mean = known.mean_length
         self.n_blocks = -(-n // BLOCK)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         self.weights = []
@@ -101,7 +122,7 @@ class BlockMaxIndex:
         self.term_max = np.array([max(w for _, w in x) for x in postings], np.float32)
         self.marks = np.zeros(_MARKS, bool)
         self.marks[self.vocabulary & np.uint64(_MARKS - 1)] = True
-        self.longest = max((i.length for i in self.items), default=1)
+        self.longest = known.longest
 
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, term) of the words that occur in the index."""
@@ -124,9 +145,9 @@ class BlockMaxIndex:
         rows = np.repeat(query, sizes)
         at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.block_ends[term], sizes)
         live, rows = np.unique(rows, return_inverse=True)
-        cells = rows * self.n_blocks + self.block_of[at]
-        total = np.bincount(cells, self.block_max[at], minlength=len(live) * self.n_blocks)
-        found = np.flatnonzero(total >= 1)
+        # Sums of the cells that occur: queries times blocks may be far more.
+        cells, place = np.unique(rows * self.n_blocks + self.block_of[at], return_inverse=True)
+        found = cells[np.bincount(place, self.block_max[at], minlength=len(cells)) >= 1]
         return live[found // max(self.n_blocks, 1)], found % max(self.n_blocks, 1)
 
     def search(self, terms: list[int], blocks: list[int]) -> list[int]:
@@ -146,7 +167,7 @@ def _overlap(part: np.ndarray, of: np.ndarray) -> float:
 
 
 def leaks_in(index: BlockMaxIndex, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float, float, float]]:
-    """(row, item, score, question overlap, answer overlap) of the confirmed items of a slice of documents.
+    """(row, item key, score, question overlap, answer overlap) of the confirmed items of a slice of documents.
 
     Passages are windows of twice the longest item that begin at its multiples, so every stretch as long as an item
     lies in one.
@@ -188,13 +209,17 @@ def leaks_in(index: BlockMaxIndex, words: np.ndarray, bounds: np.ndarray) -> lis
     return [(r, index.items[i].key, min(s, 1.0), q, a) for (r, i), (s, q, a) in sorted(best.items())]
 
 
-def _index(rows: list, threshold: float) -> BlockMaxIndex:
-    """Index of distinct (id, question, answer) rows."""
-    rows = sorted({(r.id, r.question or "", r.answer or "") for r in rows}, key=lambda r: (r[0] is None, *r))
-    asked, asked_at = plain_words(pa.array([r[1] for r in rows], pa.string()))
-    told, told_at = plain_words(pa.array([r[2] for r in rows], pa.string()))
-    items = [_item(r[0], asked[asked_at[i] : asked_at[i + 1]], told[told_at[i] : told_at[i + 1]]) for i, r in enumerate(rows)]
-    return BlockMaxIndex(items, threshold)
+def _items(batch: pa.RecordBatch | pa.Table) -> list[Item]:
+    """The items of (question, answer) rows, each with the number of its row as key."""
+    asked, asked_at = plain_words(_texts(batch, "question"))
+    told, told_at = plain_words(_texts(batch, "answer"))
+    return [
+        _item(i, asked[asked_at[i] : asked_at[i + 1]], told[told_at[i] : told_at[i + 1]]) for i in range(batch.num_rows)
+    ]
+
+
+def _texts(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
+    return pa.array(batch.column(name).to_pylist(), pa.string())
 
 
 def split_items(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
@@ -209,12 +234,60 @@ def split_items(items: DataFrame, id_column: str = "item_id", text_column: str =
     )
 
 
-def _shards(items: DataFrame, threshold: float) -> Iterator[BlockMaxIndex]:
-    """Indexes of the items, each of at most about ``SHARD_BYTES`` of text."""
-    size = items.agg(F.sum(F.octet_length(F.coalesce("question", F.lit(""))) + F.octet_length(F.coalesce("answer", F.lit(""))))).first()[0]
+@dataclass
+class Shard:
+    index: BlockMaxIndex
+    # The ids of the items by their keys, in their own type.
+    ids: pa.Array
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): in how many items of a batch each term occurs."""
+    for batch in batches:
+        items = [i for i in _items(batch) if i.length]
+        terms, n = np.unique(np.concatenate([i.terms for i in items] or [np.zeros(0, np.uint64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([i.length for i in _items(batch) if i.length], pa.int64())], names=["length"])
+
+
+def _shards(items: DataFrame, threshold: float) -> Iterator[Shard]:
+    """Indexes of the items, each of at most about ``SHARD_BYTES`` of text, all weighed by the statistics of all items.
+
+    The driver holds one shard at a time, and of the frequencies those of the shard's terms.
+    """
+    lean = items.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("question", "answer")]).distinct()
+    size = lean.agg(F.sum(F.octet_length("question") + F.octet_length("answer"))).first()[0]
     n = max(1, -(-(size or 0) // SHARD_BYTES))
+    if n > 1:
+        lean = written(lean, "items")
+        texts = lean.select("question", "answer")
+        frequency = written(
+            texts.mapInArrow(_terms, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "frequencies"
+        )
+        total = texts.mapInArrow(_lengths, "length bigint").agg(
+            F.count("length").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")
+        ).first()
     for shard in range(n):
-        yield _index(items.filter(F.pmod(F.xxhash64("id", "question", "answer"), F.lit(n)) == shard).collect(), threshold)
+        mine = lean.filter(F.pmod(F.xxhash64("question", "answer"), F.lit(n)) == shard)
+        table = mine.toArrow()
+        found = _items(table)
+        # Rows come in any order; the index is that of their contents.
+        place = sorted(zip(*(table.column(c).to_pylist() for c in ("question", "answer")), map(repr, table.column("id").to_pylist()), range(len(found))))
+        found = [found[row[-1]] for row in place]
+        known = None
+        if n > 1:
+            own = mine.select("question", "answer").mapInArrow(_terms, "term bigint, n bigint").select("term").distinct()
+            counts = frequency.join(own, "term").toArrow()
+            terms = counts.column("term").to_numpy().view(np.uint64)
+            known = Statistics(
+                total.n, total.mean or 1.0, total.longest or 1, counts.column("n").to_numpy()[np.argsort(terms)]
+            )
+        ids = table.column("id").combine_chunks()
+        yield Shard(BlockMaxIndex(found, threshold, known), ids)
 
 
 def find_leaks(
@@ -226,24 +299,24 @@ def find_leaks(
     has fewer than five) and 0.8 of the answer's words in one passage; the threshold on the score is lowered for an
     item where a confirmed leak could miss it. Case and ASCII punctuation do not count. Null or empty texts leak
     nothing, items without words match nothing, repeated items count once, rows with equal or null ids are searched
-    one by one, other columns are not read. Items beyond ``SHARD_BYTES`` of text are indexed in several shards, each
-    with its own pass over the documents.
+    one by one, other columns are not read. Ids of documents and items may have any type that can be compared. Items
+    beyond ``SHARD_BYTES`` of text are indexed in several shards, each with its own pass over the documents; scores
+    are the same, since all shards are weighed by the statistics of all items.
     """
     lean = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     id_type, item_type = lean.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double"
-    arrow_item = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
     found = None
-    for index in _shards(items, threshold):
+    for shard in _shards(items, threshold):
 
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", _BYTES):
-                    rows = leaks_in(index, *plain_words(part.column("text")))
+                    rows = leaks_in(shard.index, *plain_words(part.column("text")))
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("id").take(pa.array([r[0] for r in rows], pa.int64())),
-                            pa.array([r[1] for r in rows], arrow_item),
+                            shard.ids.take(pa.array([r[1] for r in rows], pa.int64())),
                             *(pa.array([r[i] for r in rows], pa.float64()) for i in (2, 3, 4)),
                         ],
                         names=["id", "item_id", "score", "question_overlap", "answer_overlap"],
@@ -257,9 +330,9 @@ def find_leaks(
 def with_leaks(docs: DataFrame, items: DataFrame, column: str = "n_leaks", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add the number of items that each document leaks, as in :func:`find_leaks`; rows keep their other columns."""
     marked = docs.withColumn(column, F.lit(0).cast("bigint"))
-    for index in _shards(items, threshold):
+    for shard in _shards(items, threshold):
 
-        def count(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], index=shard.index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, text_column, _BYTES):
                     rows = [r[0] for r in leaks_in(index, *plain_words(part.column(text_column)))]
