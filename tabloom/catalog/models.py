@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -14,6 +15,7 @@ from ..operators.blocks import distinct_vectors
 from ..operators.boosting import BoostedTrees
 from ..operators.dbscan import dbscan
 from ..operators.kernel import KernelClassifier, OneClassMachine
+from ..operators.perceptron import Net, gradient_sums
 from ..operators.shap import mean_abs_shap
 from ..operators.ward import ward_merges
 from ..plans import explain, run, training
@@ -158,6 +160,26 @@ def _(spark, sf_dir):
     return _board(spark, trained)
 
 
+@query(
+    "perceptron_gradient",
+    """WITH t AS (SELECT l_quantity / 50 AS quantity, l_discount * 10 AS discount,
+      CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem)
+    SELECT k AS class, round(avg((1.0 / 3 - CAST(y = k AS INT)) * quantity), 6) AS d_quantity,
+    round(avg((1.0 / 3 - CAST(y = k AS INT)) * discount), 6) AS d_discount, round(avg(1.0 / 3 - CAST(y = k AS INT)), 6) AS d_shift
+    FROM t, (VALUES (0), (1), (2)) AS classes(k) GROUP BY k""",
+)
+def _(spark, sf_dir):
+    """The first gradient of a net without hidden layers, from weights of zero."""
+    y = F.when(c("l_returnflag") == "A", 0).when(c("l_returnflag") == "N", 1).otherwise(2)
+    rows = table(spark, sf_dir, "lineitem").select(F.array(c("l_quantity") / 50, c("l_discount") * 10).alias("x"), y.alias("y"))
+    net = Net((2, 3), np.zeros(2 * 3 + 3))
+    _, n, total = gradient_sums(rows, net, rows.rdd.getNumPartitions())
+    weights, shifts = net.pairs(total / n)[0]
+    found = [(k, float(weights[0, k]), float(weights[1, k]), float(shifts[k])) for k in range(3)]
+    out = spark.createDataFrame(found, "class int, d_quantity double, d_discount double, d_shift double")
+    return rounded(out, "d_quantity", "d_discount", "d_shift")
+
+
 for _name, _spec_of in {
     "linear_regression": ("LinearRegression", {}),
     "random_forest_regressor": ("RandomForest", {"numTrees": 20, "maxDepth": 6}),

@@ -18,6 +18,7 @@ from ..operators.dbscan import DensityClusters
 from ..operators.kernel import KernelClassifier, OneClassMachine
 from ..operators.neighbors import LocalOutlierFactor, NearestNeighbors
 from ..operators.outlier_models import IsolationForestEstimator
+from ..operators.perceptron import Perceptron
 from ..operators.ward import WardClusters
 from .heuristics import ProblemType
 
@@ -78,9 +79,8 @@ def _boosting(params: Params, context: Context) -> BoostedTrees:
     )
 
 
-def _perceptron(params: Params, context: Context):
-    layers = [context.n_features, *params["hidden"], max(context.n_classes, 2)]
-    return classification.MultilayerPerceptronClassifier(layers=layers, maxIter=500, seed=context.seed)
+def _perceptron(params: Params, context: Context) -> Perceptron:
+    return Perceptron(tuple(params["hidden"]), params["alpha"], context.n_classes, seed=context.seed)
 
 
 class RestartedKMeans:
@@ -118,7 +118,7 @@ def _board() -> dict[ProblemType, tuple[Candidate, ...]]:
         {"k": 5, "weights": "uniform"}, k=(3, 5, 11), weights=("uniform", "distance"))
     add(ml.CLASSIFICATION, "SVM", lambda p, c: KernelClassifier(p["kernel"], p["regParam"].of(c), c.n_classes, seed=c.seed),
         {"regParam": PerRow(1.0), "kernel": "rbf"}, regParam=(PerRow(2.0), PerRow(1.0), PerRow(0.2)), kernel=("rbf", "linear"))
-    add(ml.CLASSIFICATION, "MLP", _perceptron, {"hidden": (64, 32)}, hidden=((64,), (64, 32)))
+    add(ml.CLASSIFICATION, "MLP", _perceptron, {"hidden": (64, 32), "alpha": 1e-4}, hidden=((64,), (64, 32)), alpha=(1e-4, 1e-3))
 
     # One-hot columns keep every level, so many lines fit equally; a trace of ridge picks the smallest.
     add(ml.REGRESSION, "LinearRegression", _estimator(regression.LinearRegression, regParam=1e-8))

@@ -16,6 +16,7 @@ from ..operators.kernel import KernelModel, OneClassModel
 from ..operators.lookup import BROADCAST_BYTES, lookup_join, measured_bytes
 from ..operators.neighbors import NearestNeighborsModel
 from ..operators.outlier_models import IsolationForestModel, MahalanobisModel
+from ..operators.perceptron import PerceptronModel
 from .heuristics import ProblemType
 from .prepare import Recipe
 from .training import Trained
@@ -44,7 +45,7 @@ class LabelledRows:
         return LabelledRows(spark.read.parquet(path))
 
 
-_OWN = {m.__name__: m for m in (NearestNeighborsModel, IsolationForestModel, MahalanobisModel, BoostedModel, KernelModel, OneClassModel)}
+_OWN = {m.__name__: m for m in (NearestNeighborsModel, IsolationForestModel, MahalanobisModel, BoostedModel, KernelModel, OneClassModel, PerceptronModel)}
 
 
 @dataclass
