@@ -67,12 +67,19 @@ def _as_document(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": ["]" if opened else "[]"]})
 
 
+# Rows of one JSON document: it is read whole by one task, so a larger table is more documents.
+DOCUMENT_ROWS = 100_000
+
+
+def _write_documents(df: DataFrame, path: str) -> None:
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value")).repartition(max(4, -(-df.count() // DOCUMENT_ROWS)))
+    rows.mapInPandas(_as_document, "value string").write.text(path)
+
+
 @query("read_json", _ORDERS_SQL)
 def _(spark, sf_dir):
     path = scratch_path(spark, "orders") + ".json"
-    orders = table(spark, sf_dir, "orders")
-    rows = orders.select(F.to_json(F.struct(*orders.columns)).alias("value")).repartition(4)
-    rows.mapInPandas(_as_document, "value string").write.text(path)
+    _write_documents(table(spark, sf_dir, "orders"), path)
     return _order_totals(readers.read_table(spark, path))
 
 
