@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinds import col
+from ..session import spread, tasks_for
 from .blocks import matrix, vector_array
 from .isolation import score_cut
 
@@ -28,6 +29,8 @@ FEATURES = 512
 # Steps of the one-class machine; each one is a pass for a quantile and one for a mean.
 STEPS = 25
 _BATCH = 1_000
+# Bytes of mapped features of a task of the linear fit, at most.
+_TASK_BYTES = 64 << 20
 
 
 @dataclass
@@ -36,6 +39,8 @@ class FourierFeatures:
 
     weights: np.ndarray
     shifts: np.ndarray
+    # Rows that the features were fitted on, where they were.
+    rows: int = 0
 
     @staticmethod
     def draw(width: int, gamma: float, size: int = FEATURES, seed: int = 42) -> "FourierFeatures":
@@ -51,7 +56,8 @@ class FourierFeatures:
         mean, n = np.array(s["mean"].toArray()), s["count"]
         within = np.array(s["variance"].toArray()) * (n - 1) / n
         spread = float(within.mean() + mean.var())
-        return FourierFeatures.draw(len(mean), gamma or 1.0 / (len(mean) * (spread or 1.0)), size, seed)
+        drawn = FourierFeatures.draw(len(mean), gamma or 1.0 / (len(mean) * (spread or 1.0)), size, seed)
+        return replace(drawn, rows=n)
 
     def of(self, x: np.ndarray) -> np.ndarray:
         return np.cos(x @ self.weights + self.shifts) * np.sqrt(2.0 / len(self.shifts))
@@ -90,7 +96,10 @@ class KernelClassifier:
         if self.kernel == "linear":
             return KernelModel(None, estimator.fit(df))
         features = FourierFeatures.fit(df, self.gamma, self.size, self.seed)
-        lean = df.select(array_to_vector(features.column(df)).alias("features"), "label")
+        # A mapped row is many times its own size, so one file of rows would be one task with all of them.
+        tasks = tasks_for(df.sparkSession, features.rows, max(1, _TASK_BYTES // (8 * self.size)))
+        dealt = spread(df.select("features", "label"), tasks)
+        lean = dealt.select(array_to_vector(features.column(dealt)).alias("features"), "label")
         return KernelModel(features, estimator.fit(lean))
 
 

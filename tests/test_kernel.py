@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tabloom.operators import kernel
 from tabloom.operators.kernel import FourierFeatures, KernelClassifier, KernelModel, OneClassMachine, OneClassModel
 from tabloom.operators.outlier_models import MahalanobisEstimator
 
@@ -52,6 +53,19 @@ def test_rings(spark, tmp_path):
     assert model.transform(df.limit(0)).count() == 0
 
 
+def test_a_task_holds_a_bounded_share_of_the_mapped_rows(spark, monkeypatch):
+    """The linear fit of one file of rows gets them in many tasks, all of them."""
+    seen = []
+    fit = kernel.classification.LinearSVC.fit
+    monkeypatch.setattr(kernel, "_TASK_BYTES", 40 * 8 * 50)
+    monkeypatch.setattr(kernel.classification.LinearSVC, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df))
+    x, y = rings(np.random.default_rng(4), 600)
+    df = frame(spark, x, y).coalesce(1)
+    model = KernelClassifier("rbf", 0.001, size=40).fit(df)
+    assert seen == [(12, 600)]
+    assert model.transform(df).filter("prediction = label").count() > 570
+
+
 def plain_one_class(z, nu, steps):
     """Frank-Wolfe on the weights of all rows."""
     n = len(z)
