@@ -1,7 +1,8 @@
 """Gradient boosting on histograms (M3, M9, M10): the trees of all classes of a round grow together.
 
-Features are binned once. One pass over the rows per tree level sums gradients and Hessians by (class, node, feature,
-bin): a task adds up its rows, the sums of all tasks meet by node and feature, and only the best split of each node
+Features are binned once, and rows whose features share all bins become one with their number and the sums of their
+labels: they have one margin for good, so their gradients add up exactly. One pass over these rows per tree level sums
+gradients and Hessians by (class, node, feature, bin): a task adds up its rows, the sums of all tasks meet by node and feature, and only the best split of each node
 comes to the driver. Leaves are split best first, bounded in number, depth or both; a level is a pass whatever the
 number of classes. Margins of the rows are written anew every ``REWRITE`` rounds, and later trees are added while
 reading, so that neither lineage nor work per pass grows with the rounds.
@@ -21,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, written
+from ..session import discard, spread, tasks_for, written
 from .blocks import matrix, vector_array
 
 MAX_BINS = 255
@@ -78,15 +79,23 @@ class Tree:
     def land(self, x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """The leaf of each row of ``x``, compared with ``cuts`` (``bins`` or ``threshold``)."""
         at = np.zeros(len(x), np.int64)
-        rows = np.arange(len(x))
-        while True:
-            feature = self.feature[at]
-            inner = feature >= 0
-            if not inner.any():
-                return at
-            # NaN is not at most anything: it goes right, as its bin is the last.
-            goes_left = x[rows, np.maximum(feature, 0)] <= cuts[at]
-            at = np.where(inner, np.where(goes_left, self.left[at], self.right[at]), at)
+        flat, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        inner = self.feature >= 0
+        # Leaves lead to themselves; NaN is not at most anything: it goes right, as its bin is the last.
+        here = np.arange(len(inner))
+        feature = np.maximum(self.feature, 0)
+        below = np.stack([np.where(inner, self.right, here), np.where(inner, self.left, here)], axis=1).ravel()
+        for _ in range(self.depth):
+            at = below[2 * at + (flat[first + feature[at]] <= cuts[at])]
+        return at
+
+    @property
+    def depth(self) -> int:
+        """Splits on the longest way to a leaf; children come behind their parents."""
+        level = np.zeros(len(self.feature), np.int64)
+        for i in np.flatnonzero(self.feature >= 0):
+            level[[self.left[i], self.right[i]]] = level[i] + 1
+        return int(level.max())
 
     def to_json(self) -> dict:
         return {k: v.tolist() for k, v in self.__dict__.items()}
@@ -128,24 +137,56 @@ def bin_edges(df: DataFrame, width: int, bins: int) -> list[np.ndarray]:
     return found
 
 
+def _cells(bins: np.ndarray) -> pa.Array:
+    """Each row of a matrix of bytes as one binary value."""
+    n, width = bins.shape
+    offsets = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(bins))])
+
+
 def _binned(edges: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             bins = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)], axis=1).astype(np.uint8)
-            packed = pa.array([b.tobytes() for b in bins], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed, batch.column("label"), batch.column("margin")], names=["bins", "label", "margin"])
+            yield pa.RecordBatch.from_arrays([_cells(bins), batch.column("label")], names=["bins", "label"])
 
     return run
 
 
-_ROWS = "bins binary, label double, margin array<double>"
+# A block of groups as matrices of bytes: ``n`` rows with equal bins each; ``labels`` is the sum of their labels, or for
+# several classes the rows of each.
+_ROWS = "size int, bins binary, n binary, labels binary, margin binary"
+# Groups of a task of a pass, at most.
+_PASS_ROWS = 2_000_000
+
 
+def _written_blocks(blocks: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([b[i] for b in blocks], kind) for i, kind in enumerate(kinds)], names=["size", "bins", "n", "labels", "margin"])
 
-def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    margin = batch.column("margin").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    return bins, batch.column("label").to_numpy(zero_copy_only=False), margin
+
+def _packed(base: list[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            bins = b"".join(batch.column("bins").to_pylist())
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            labels = batch.column("labels").flatten().to_numpy(zero_copy_only=False)
+            yield _written_blocks([(size, bins, n.tobytes(), labels.tobytes(), np.tile(np.array(base), size).tobytes())])
+
+    return run
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, n, labels, margin) of each block."""
+    for size, bins, *numbers in zip(*(c.to_pylist() for c in batch.columns)):
+        n, labels, margin = (np.frombuffer(v, float).reshape(size, -1) for v in numbers)
+        yield np.frombuffer(bins, np.uint8).reshape(size, -1), n[:, 0], labels, margin
 
 
 def _added(margin: np.ndarray, bins: np.ndarray, rounds: list[list[Tree]]) -> np.ndarray:
@@ -156,42 +197,37 @@ def _added(margin: np.ndarray, bins: np.ndarray, rounds: list[list[Tree]]) -> np
     return margin
 
 
-def slopes(margin: np.ndarray, y: np.ndarray, loss: str) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives of the loss of each row by each of its margins."""
+def slopes(margin: np.ndarray, n: np.ndarray, labels: np.ndarray, loss: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of the loss by each margin, summed over the ``n`` rows of each group."""
+    n = n[:, None]
     if loss == "squared":
-        return margin - y[:, None], np.ones_like(margin)
+        return n * margin - labels, n * np.ones_like(margin)
     if loss == "logistic":
         p = 1.0 / (1.0 + np.exp(-margin))
-        return p - y[:, None], p * (1 - p)
+        return n * p - labels, n * (p * (1 - p))
     p = np.exp(margin - margin.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    return p - (y[:, None] == np.arange(margin.shape[1])[None, :]), p * (1 - p)
+    return n * p - labels, n * (p * (1 - p))
 
 
 def _rewritten(rounds: list[list[Tree]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, _, margin = _read(batch)
-            flat = _added(margin, bins, rounds)
-            offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("bins"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["bins", "label", "margin"]
-            )
+            sizes, bins, n, labels = (batch.column(c).to_pylist() for c in ("size", "bins", "n", "labels"))
+            margins = (_added(margin, x, rounds).tobytes() for x, _, _, margin in _read(batch))
+            for block in zip(sizes, bins, n, labels, margins):
+                yield _written_blocks([block])
 
     return run
 
 
 def _sums(rounds: list[list[Tree]], growing: list[Tree], slots: list[dict[int, int]], n_slots: int, loss: str, width: int, n_bins: int):
-    """One row for each open node and feature: sums of (gradient, Hessian, rows) by bin over the rows of a task."""
+    """One row for each open node and feature: sums of (gradient, Hessian, rows) by bin over the groups of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_slots * width * n_bins, 3))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, y, margin = _read(batch)
-            g, h = slopes(_added(margin, bins, rounds), y, loss)
-            offsets = np.arange(width) * n_bins + bins
+        total = np.zeros((3, width, n_slots * n_bins))
+        for bins, n, labels, margin in (block for batch in batches for block in _read(batch)):
+            g, h = slopes(_added(margin, bins, rounds), n, labels, loss)
             for k, (tree, open_nodes) in enumerate(zip(growing, slots)):
                 if not open_nodes:
                     continue
@@ -199,12 +235,14 @@ def _sums(rounds: list[list[Tree]], growing: list[Tree], slots: list[dict[int, i
                 slot_of[list(open_nodes)] = list(open_nodes.values())
                 slot = slot_of[tree.land(bins, tree.bins)]
                 here = np.flatnonzero(slot >= 0)
-                cell = (slot[here, None] * (width * n_bins) + offsets[here]).ravel()
-                for c, weight in enumerate((g[here, k], h[here, k])):
-                    total[:, c] += np.bincount(cell, np.repeat(weight, width), len(total))
-                total[:, 2] += np.bincount(cell, minlength=len(total))
-        by_key = total.reshape(n_slots, width, n_bins * 3)
-        some = np.argwhere(by_key.reshape(n_slots, width, n_bins, 3)[..., 2].any(axis=2))
+                first, mine = slot[here] * n_bins, bins[here]
+                weights = (g[here, k], h[here, k], n[here])
+                for j in range(width):
+                    cell = first + mine[:, j]
+                    for c, weight in enumerate(weights):
+                        total[c, j] += np.bincount(cell, weight, n_slots * n_bins)
+        by_key = np.ascontiguousarray(total.reshape(3, width, n_slots, n_bins).transpose(2, 1, 3, 0))
+        some = np.argwhere(by_key[..., 2].any(axis=2))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(some[:, 0].astype(np.int32)), pa.array(some[:, 1].astype(np.int32)),
@@ -345,7 +383,7 @@ class BoostedTrees:
         return ("squared", 1) if self.n_classes == 0 else ("logistic", 1) if self.n_classes <= 2 else ("softmax", self.n_classes)
 
     def prepared(self, df: DataFrame) -> tuple[DataFrame, list[np.ndarray], list[float]]:
-        """The binned rows with their first margins, the edges of the bins, and those margins."""
+        """Blocks of the binned rows, combined and with their first margins, the edges of the bins, and those margins."""
         if not 2 <= self.bins <= MAX_BINS:
             raise ValueError(f"bins: 2 to {MAX_BINS}")
         lean = df.select(vector_array(df, "features").alias("x"), F.col("label").cast("double").alias("label")).filter("label is not null")
@@ -362,14 +400,21 @@ class BoostedTrees:
         else:
             base = [float(np.log(max(head[f"n{i}"], 1e-6) / head.n)) for i in range(k)]
         edges = bin_edges(lean, head.width, self.bins)
-        start = lean.withColumn("margin", F.array(*[F.lit(b) for b in base]))
-        return written(start.mapInArrow(_binned(edges), _ROWS), "binned"), edges, base
+        y = F.col("label")
+        labels = [F.count_if(y == i).cast("double") for i in range(k)] if loss == "softmax" else [F.sum("label")]
+        # Combined where they are read, then by their bins.
+        groups = lean.mapInArrow(_binned(edges), "bins binary, label double").groupBy("bins").agg(
+            F.count(F.lit(1)).cast("double").alias("n"), F.array(*labels).alias("labels")
+        )
+        return written(groups.mapInArrow(_packed(base), _ROWS), "binned"), edges, base
 
     def fit(self, df: DataFrame) -> BoostedModel:
         rows, edges, base = self.prepared(df)
         loss, k = self._loss()
         model = BoostedModel(loss, base, [], len(edges))
-        table = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        # Few groups stay in few tasks, many go to all cores.
+        tasks = tasks_for(df.sparkSession, rows.agg(F.sum("size")).first()[0], _PASS_ROWS)
+        table = spread(rows, tasks).persist(StorageLevel.MEMORY_AND_DISK)
         fresh: list[list[Tree]] = []
         try:
             for _ in range(self.rounds):
@@ -384,7 +429,7 @@ class BoostedTrees:
                     table.unpersist()
                     discard(rows)
                     rows, fresh = anew, []
-                    table = rows.persist(StorageLevel.MEMORY_AND_DISK)
+                    table = (rows if rows.rdd.getNumPartitions() >= tasks else spread(rows, tasks)).persist(StorageLevel.MEMORY_AND_DISK)
         finally:
             table.unpersist()
             discard(rows)

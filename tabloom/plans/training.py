@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.metrics import NOISE, cluster_count, silhouette
 from ..operators.split import folds, holdout, position_of
 from ..operators.tally import TableTally, collect_tally
-from ..session import discard, written
+from ..session import discard, spread, tasks_for, written
 from .heuristics import Plan, ProblemType
 from .prepare import Recipe, fit_recipe, label_frame
 from .registry import Candidate, Context, candidates
@@ -115,7 +115,9 @@ def train_supervised(
     # The label decides the strata only where there are classes.
     is_class = problem_type is ProblemType.CLASSIFICATION
     stratum = "label" if is_class else None
-    placed = written(labelled.withColumn("__p", position_of(df, key, settings.seed)), "labelled")
+    # However few files the table has, all cores take part; every model reads these rows many times.
+    tasks = tasks_for(df.sparkSession, one.n_rows)
+    placed = written(spread(labelled.withColumn("__p", position_of(df, key, settings.seed)), tasks), "labelled")
     split = holdout(placed, settings.valid_share, stratum, position=F.col("__p"))
     # A second hash of the position decides the folds, so they do not follow the hold-out cut.
     refold = F.pmod(F.xxhash64("__p"), F.lit(1 << 53)) / F.lit(float(1 << 53))

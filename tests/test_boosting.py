@@ -9,8 +9,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from tabloom import session
 from tabloom.operators import boosting, shap
 from tabloom.operators.boosting import BoostedModel, BoostedTrees, Node, best_first
+from tabloom.plans import training
+from tabloom.plans.heuristics import ProblemType, suggest_plan
+from tabloom.plans.registry import candidate
 
 
 def frame(spark, x, y, parts=3):
@@ -175,3 +179,29 @@ def test_mean_shap(spark, data):
     assert {r.importance for r in shap.mean_abs_shap(df.limit(0), model, list("abcd")).collect()} == {0.0}
     nan = shap.leaves_of(model, spark).values(np.full((1, 4), np.nan))
     assert np.allclose(nan, shap.leaves_of(model, spark).values(np.full((1, 4), 1e9)))
+
+
+def test_rows_with_equal_bins_are_one(spark, data):
+    """A pass reads each combination of bins once, however many rows have it, and goes to all cores where there are many."""
+    x, y = data
+    few = np.clip(np.round(x), -1, 1) + 0.0
+    often = frame(spark, np.repeat(few, 5, axis=0), np.repeat(y, 5), 1)
+    for n_classes, target in ((0, y * 1.0), (2, y > 0), (3, y)):
+        trees = BoostedTrees(3, 0.3, 3, n_classes=n_classes)
+        combined, _, _ = trees.prepared(frame(spark, np.repeat(few, 5, axis=0), np.repeat(target, 5), 1))
+        n = np.concatenate([np.frombuffer(r.n, float) for r in combined.collect()])
+        assert len(n) == len(np.unique(few, axis=0)) and n.sum() == 3_000
+    model = BoostedTrees(3, 0.3, 3, n_classes=3).fit(often)
+    assert np.allclose(model.margins(few), plain_rounds(np.repeat(few, 5, axis=0), np.repeat(y, 5), 3, 3, 0.3, 1 << 30, 3)[::5], atol=1e-9)
+
+
+def test_one_file_is_trained_on_by_all_cores(spark, monkeypatch):
+    """The rows of one task are dealt out before they are read once per tree level."""
+    monkeypatch.setattr(session, "SHARED_ROWS", 50)
+    df = spark.range(2_000).select("id", (F.col("id") * 7 % 31).cast("double").alias("a"), (F.col("id") % 3).cast("string").alias("kind")).coalesce(1)
+    chosen = [candidate(ProblemType.CLASSIFICATION, "BoostedTrees", maxIter=1, maxDepth=2)]
+    trained = training.train_supervised(df, "kind", suggest_plan(df, "kind"), ProblemType.CLASSIFICATION, training.Settings(trials=1, cv_folds=1), chosen, ["id"])
+    assert trained.train.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert trained.train.count() + trained.valid.count() == 2_000
+    trained.release()
+    assert session.tasks_for(spark, 10) == 1 and session.tasks_for(spark, 10**9) == 250
