@@ -236,11 +236,14 @@ def _sums(rounds: list[list[Tree]], growing: list[Tree], slots: list[dict[int, i
                 slot = slot_of[tree.land(bins, tree.bins)]
                 here = np.flatnonzero(slot >= 0)
                 first, mine = slot[here] * n_bins, bins[here]
-                weights = (g[here, k], h[here, k], n[here])
+                # For the squared loss the Hessians are the rows.
+                weights = {0: g[here, k], 2: n[here]} | ({1: h[here, k]} if loss != "squared" else {})
                 for j in range(width):
                     cell = first + mine[:, j]
-                    for c, weight in enumerate(weights):
+                    for c, weight in weights.items():
                         total[c, j] += np.bincount(cell, weight, n_slots * n_bins)
+        if loss == "squared":
+            total[1] = total[2]
         by_key = np.ascontiguousarray(total.reshape(3, width, n_slots, n_bins).transpose(2, 1, 3, 0))
         some = np.argwhere(by_key[..., 2].any(axis=2))
         yield pa.RecordBatch.from_arrays(
@@ -412,9 +415,9 @@ class BoostedTrees:
         rows, edges, base = self.prepared(df)
         loss, k = self._loss()
         model = BoostedModel(loss, base, [], len(edges))
-        # Few groups stay in few tasks, many go to all cores.
+        # Few groups stay in one task, whose sums need no shuffle; many go to all cores.
         tasks = tasks_for(df.sparkSession, rows.agg(F.sum("size")).first()[0], _PASS_ROWS)
-        table = spread(rows, tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        table = (spread(rows, tasks) if tasks > 1 else rows.coalesce(1)).persist(StorageLevel.MEMORY_AND_DISK)
         fresh: list[list[Tree]] = []
         try:
             for _ in range(self.rounds):
@@ -429,7 +432,8 @@ class BoostedTrees:
                     table.unpersist()
                     discard(rows)
                     rows, fresh = anew, []
-                    table = (rows if rows.rdd.getNumPartitions() >= tasks else spread(rows, tasks)).persist(StorageLevel.MEMORY_AND_DISK)
+                    enough = rows.rdd.getNumPartitions() >= tasks
+                    table = (rows.coalesce(1) if tasks == 1 else rows if enough else spread(rows, tasks)).persist(StorageLevel.MEMORY_AND_DISK)
         finally:
             table.unpersist()
             discard(rows)
@@ -472,9 +476,15 @@ class BoostedTrees:
             slots.append({node.place: len(by_slot) + i for i, node in enumerate(mine)})
             by_slot += mine
         width, n_bins = len(edges), max(len(e) for e in edges) + 1
-        sums = table.mapInArrow(_sums(fresh, growing, slots, len(by_slot), self._loss()[0], width, n_bins), "slot int, feature int, sums binary")
-        tasks = -(-len(by_slot) * width // _TASK_SUMS)
-        best = sums.repartition(tasks, "slot", "feature").mapInArrow(_best(n_bins, self.l2, self.least_hessian, self.least_rows), _SPLITS)
+        add = _sums(fresh, growing, slots, len(by_slot), self._loss()[0], width, n_bins)
+        find = _best(n_bins, self.l2, self.least_hessian, self.least_rows)
+        if table.rdd.getNumPartitions() > 1:
+            sums = table.mapInArrow(add, "slot int, feature int, sums binary")
+            tasks = -(-len(by_slot) * width // _TASK_SUMS)
+            best = sums.repartition(tasks, "slot", "feature").mapInArrow(find, _SPLITS)
+        else:
+            # The sums of one task have nothing to meet.
+            best = table.mapInArrow(lambda batches: find(add(batches)), _SPLITS)
         # A row per open node and task of the second step.
         for r in _tops(map(tuple, best.collect())).values():
             node = by_slot[r[0]]

@@ -205,3 +205,18 @@ def test_one_file_is_trained_on_by_all_cores(spark, monkeypatch):
     assert trained.train.count() + trained.valid.count() == 2_000
     trained.release()
     assert session.tasks_for(spark, 10) == 1 and session.tasks_for(spark, 10**9) == 250
+
+
+def test_a_pass_over_few_groups_needs_no_shuffle(spark, data, monkeypatch):
+    """The trees are those that several tasks find."""
+    x, y = data
+    rows = frame(spark, x, y + x[:, 3])
+    dealt, plain = [], type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda df, *how: dealt.append(how) or plain(df, *how))
+    monkeypatch.setattr(boosting, "REWRITE", 2)
+    one = BoostedTrees(3, 0.3, 3).fit(rows)
+    assert one.passes == 9 and dealt == []
+    monkeypatch.setattr(session, "SHARED_ROWS", 100)
+    several = BoostedTrees(3, 0.3, 3).fit(rows)
+    assert len([how for how in dealt if how[1:] == ("slot", "feature")]) == 9
+    assert np.allclose(one.margins(x), several.margins(x))
