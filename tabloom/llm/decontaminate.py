@@ -25,7 +25,9 @@ K1, B = 1.2, 0.75
 # Items in a block, and postings' texts that are indexed and broadcast at a time; more items take more passes.
 BLOCK = 8
 SHARD_BYTES = 32 << 20
-_BYTES = 1 << 20
+# Bytes of text that are searched at a time, and (query, posting) cells that are summed at a time, more only for one query.
+_BYTES = 1 << 18
+_CELLS = 1 << 18
 _MARKS = 1 << 18
 
 # ASCII bytes other than letters and digits part words, as white space does.
@@ -142,6 +144,20 @@ class BlockMaxIndex:
         alive = reach[query]
         query, term = query[alive], term[alive]
         sizes = np.diff(self.block_ends)[term]
+        starts = np.append(np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))[: len(query)], len(query))
+        upto = np.concatenate([[0], np.cumsum(sizes)])[starts]
+        hits, blocks, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while at < len(starts) - 1:
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + _CELLS, side="right")) - 1)
+            part = slice(starts[at], starts[to])
+            hit, block = self._open_of(query[part], term[part], sizes[part])
+            hits.append(hit)
+            blocks.append(block)
+            at = to
+        return np.concatenate(hits), np.concatenate(blocks)
+
+    def _open_of(self, query: np.ndarray, term: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The open blocks of some queries; ``sizes`` are those of their terms' posting lists."""
         rows = np.repeat(query, sizes)
         at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.block_ends[term], sizes)
         live, rows = np.unique(rows, return_inverse=True)

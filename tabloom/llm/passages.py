@@ -30,6 +30,8 @@ OVERLAP = 0.8
 HASHES = 5
 ENOUGH = 2
 _BYTES = 1 << 20
+# The same where texts are cut or only their shingles are wanted.
+_LEAN_BYTES = 1 << 18
 # Shingles of windows that are settled at a time, more only where one key has more.
 _PART_SHINGLES = 300_000
 _GATHERED = 1 << 20
@@ -153,7 +155,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], least: int = ENOUGH) -> Iterat
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """32 bits of each shingle: enough to compare two stretches."""
     for batch in batches:
-        for part in slices(batch, "text", _BYTES):
+        for part in slices(batch, "text", _LEAN_BYTES):
             found, bounds = _shingled(part.column("text"))
             low = (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -489,7 +491,7 @@ def _cut(text_column: str, spans_column: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_column)
-            for part in slices(batch, text_column, _BYTES):
+            for part in slices(batch, text_column, _LEAN_BYTES):
                 data, offsets = buffers(part.column(at))
                 _, starts, ends, bounds = word_hashes(data, offsets)
                 spans = part.column(spans_column).to_pylist()
