@@ -35,6 +35,8 @@ _LEAN_BYTES = 1 << 18
 # Shingles of windows that are settled at a time, more only where one key has more.
 _PART_SHINGLES = 300_000
 _GATHERED = 1 << 20
+# Windows of smaller ids that a window looks at first; four times as many each time that they leave something new.
+_FIRST_LOOK = 64
 # Bytes of text whose windows (about one for 32 bytes) come to one task.
 _PART_BYTES = 64 << 20
 # The least number of shingles that a passage shares.
@@ -255,6 +257,8 @@ class _Lists:
         self.shingle[order] = np.cumsum(new) - 1
         self.holders = self.owner[order]
         self.first = np.append(np.flatnonzero(new), len(marks))
+        # Sorted, so that the holders of a shingle in a range of windows are found by two searches.
+        self.held = self.shingle[order] * np.int64(len(self.ids)) + self.holders
         self.unknown = np.ones(len(self.owner), bool)
         seekers = np.flatnonzero(self.seeks)
         for row, spans in zip(seekers.tolist(), table.column("spans").take(pa.array(seekers)).to_pylist()):
@@ -277,33 +281,51 @@ class _Lists:
         return np.flatnonzero(seeks & (count(self.unknown) > 0))
 
     def partners(self, w: int) -> Iterator[int]:
-        """The windows of smaller ids with a passage that tells of something new in window w, by id."""
+        """The windows of smaller ids with a passage that tells of something new in window w, by id.
+
+        Those of a crowded key are looked at by ids, a few first, so that where these tell of everything the others
+        are never looked at; each only counts where it tells of more than those before it, so ranges change nothing.
+        """
         mine = slice(self.ends[w], self.ends[w + 1])
         shingle, unknown = self.shingle[mine], self.unknown[mine].copy()
-        before = np.searchsorted(self.ids[self.group[w] : w], self.ids[w]) + self.group[w]
-
-        def holders(places: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-            """(window, place) of the windows of smaller ids, of ``some`` only, that have the shingles at these places."""
-            low = self.first[shingle[places]]
-            sizes = self.first[shingle[places] + 1] - low
-            # A very wide window of a crowded key is looked up a part at a time.
-            cuts = np.searchsorted(np.cumsum(sizes), np.arange(_GATHERED, int(sizes.sum()) + _GATHERED, _GATHERED))
-            found = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
-            for x, y in zip([0, *(cuts + 1).tolist()], [*(cuts + 1).tolist(), len(places)]):
-                n, start = sizes[x:y], low[x:y]
-                holder = self.holders[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)]
-                keep = holder < before
-                if some is not None:
-                    keep &= some[holder]
-                found.append((holder[keep], np.repeat(places[x:y].astype(np.int32), n)[keep]))
-            return tuple(np.concatenate(c) for c in zip(*found))
-
+        begin, n, low = int(self.group[w]), _FIRST_LOOK, self.first[shingle]
+        before = int(np.searchsorted(self.ids[begin:w], self.ids[w])) + begin
+        while begin < before and unknown.any():
+            end = min(before, begin + n)
+            # The holders of a shingle stand by their numbers, so those of the next range follow.
+            high = np.searchsorted(self.held, shingle * np.int64(len(self.ids)) + end)
+            yield from self._partners_among(begin, end, low, high, unknown)
+            begin, n, low = end, 4 * n, high
+
+    def _holders(self, places: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place) of the ``sizes`` holders from ``low`` on of the shingles at these places."""
+        upto = np.cumsum(sizes)
+        return self.holders[np.arange(upto[-1]) + np.repeat(low - upto + sizes, sizes)], np.repeat(places, sizes)
+
+    def _partners_among(self, begin: int, end: int, low: np.ndarray, high: np.ndarray, unknown: np.ndarray) -> Iterator[int]:
+        """The partners among the windows from ``begin`` to ``end``, those from ``low`` to ``high`` of the holders of
+        each shingle; what they tell of is no longer ``unknown``."""
+        sizes, places = high - low, np.arange(len(low), dtype=np.int32)
         # Only windows with something new count, so that the others of a crowded key are not looked at.
-        telling = np.zeros(len(self.ids), bool)
-        telling[holders(np.flatnonzero(unknown))[0]] = True
+        telling = np.zeros(end - begin, bool)
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        # A very wide window of a crowded key is looked up a part at a time.
+        upto = np.cumsum(sizes)
+        parts = [slice(0, len(low))]
+        if upto[-1] > _GATHERED:
+            cuts = np.searchsorted(upto, np.arange(_GATHERED, int(upto[-1]) + _GATHERED, _GATHERED)) + 1
+            parts = [slice(x, y) for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(low)]) if x < min(y, len(low))]
+        for part in parts:
+            new = places[part][unknown[part]]
+            if len(new):
+                telling[self._holders(new, low[new], sizes[new])[0] - begin] = True
         if not telling.any():
             return
-        holder, where = holders(np.arange(len(shingle)), telling)
+        for part in parts:
+            holder, where = self._holders(places[part], low[part], sizes[part])
+            keep = telling[holder - begin]
+            found.append((holder[keep], where[keep]))
+        holder, where = (np.concatenate(c) for c in zip(*found))
         order = np.argsort(holder, kind="stable")
         holder, where = holder[order], where[order].astype(np.int64)
         # A shingle that the window has several times stands at each of its places once for a holder.
@@ -311,9 +333,9 @@ class _Lists:
         holder, where = holder[once], where[once]
         cuts = np.flatnonzero(np.concatenate([[True], holder[1:] != holder[:-1]]))
         ends = np.concatenate([cuts[1:], [len(holder)]])
-        end, long = _long_runs(where, holder)
+        far, long = _long_runs(where, holder)
         news = np.concatenate([[0], np.cumsum(unknown)])
-        tells = np.logical_or.reduceat(long & (news[end + 1] > news[where]), cuts) & (ends - cuts >= _SHARED)
+        tells = np.logical_or.reduceat(long & (news[far + 1] > news[where]), cuts) & (ends - cuts >= _SHARED)
         for a, b in zip(cuts[tells].tolist(), ends[tells].tolist()):
             at = where[a:b]
             if not unknown[at].any():
