@@ -33,6 +33,11 @@ TREE_BYTES = 96 << 20
 SAMPLE = 20_000
 _ROOT = -1
 _CHUNK_CELLS = 4_000_000
+# Cells on a shelf, at most (a bit each), and the bytes of its vectors.
+_SHELF_CELLS = 62
+_SHELF_BYTES = 16 << 20
+# Pairs of a matrix product at a time.
+_PRODUCT_CELLS = 1 << 20
 
 
 def vector_array(df: DataFrame, features: str) -> Column:
@@ -85,6 +90,54 @@ def chunks(n_rows: int, n_columns: int):
     return (slice(i, min(i + step, n_rows)) for i in range(0, n_rows, step))
 
 
+class NearPairs:
+    """The pairs of two blocks within a bound. A matrix product in single precision rules pairs out, by no more than its
+    rounding allows; the others are measured as :func:`distances` does."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.width = a, b, a.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            centre = b.mean(axis=0)
+            x, y = a - centre, b - centre
+            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            self.scale = float(np.sqrt(max(xx.max(), yy.max())))
+        # Blocks with values that are no numbers, too large or all the same are measured whole.
+        self.ruled = bool(np.isfinite(self.scale)) and self.scale > 1e-100
+        if not self.ruled:
+            return
+        self.left = np.empty((len(a), self.width + 2), np.float32)
+        self.left[:, :-2], self.left[:, -1] = -2.0 * (x / self.scale), 1.0
+        self.right = np.empty((len(b), self.width + 2), np.float32)
+        self.right[:, :-2], self.right[:, -2], self.right[:, -1] = y / self.scale, 1.0, yy / self.scale**2
+        self.xx = xx / self.scale**2
+        # Scaled vectors are at most 1 long, so the terms of a product add up to less than 10.
+        self.slack = 16 * (self.width + 8) * 2.0**-24
+
+    def within(self, rows: np.ndarray, columns: slice, bound: np.ndarray):
+        """(row, column, distance) of the pairs of these rows and columns, some rows at a time; ``bound`` is by row and
+        may shrink meanwhile."""
+        right = self.b[columns] if not self.ruled else self.right[columns]
+        step = max(1, _PRODUCT_CELLS // max(len(right), 1))
+        for start in range(0, len(rows), step):
+            mine = rows[start : start + step]
+            limit = bound[mine]
+            if self.ruled:
+                left = self.left[mine]
+                left[:, -2] = self.xx[mine] - np.minimum((limit / self.scale) ** 2, 5.0) - self.slack
+                r, c = np.divmod(np.flatnonzero(left @ right.T <= 0), len(right))
+                far = np.zeros(len(r))
+                for j in range(self.width):
+                    far += (self.a[mine[r], j] - self.b[columns.start + c, j]) ** 2
+                far = np.sqrt(far)
+                near = far <= limit[r]
+                r, c, far = r[near], c[near], far[near]
+            else:
+                d = distances(self.a[mine], right)
+                r, c = np.nonzero(d <= limit[:, None])
+                far = d[r, c]
+            yield mine[r], columns.start + c, far
+
+
 @dataclass
 class Cells:
     """A tree of pivots: the points of a node lie nearest to its pivot among its siblings; nodes without children are cells.
@@ -243,6 +296,58 @@ class Cells:
 
         return reach(F.col("vec"), limit.cast("double"), (F.lit(-1) if home is None else home).cast("int"))
 
+    def places(self) -> np.ndarray:
+        """The place of each cell among all cells, those of one node side by side; -1 for nodes with children."""
+        place, todo, n = np.full(len(self.parent), -1, np.int64), [_ROOT], 0
+        while todo:
+            node = todo.pop()
+            if node in self.children:
+                todo += self.children[node][::-1].tolist()
+            else:
+                place[node], n = n, n + 1
+        return place
+
+    def shelves(self, n_queries: int, n_points: int, cores: int) -> tuple[int, int]:
+        """(cells on a shelf, points of a block) for a search that opens most cells: blocks are as large as memory and
+        the cores allow, since each query is sent to each block once."""
+        most = max(_SHELF_BYTES // (8 * self.pivots.shape[1]), 2 * self.block)
+        points = int(min(max(math.isqrt(n_queries * n_points // (4 * cores)), 2 * self.block), most))
+        cells = int((self.places() >= 0).sum())
+        return min(max(points * cells // (2 * max(n_points, 1)), 1), _SHELF_CELLS), points
+
+    def shelved(self, placed: DataFrame, width: int) -> DataFrame:
+        """The points with the shelf of their cell as ``cell`` and its place on it as ``place``."""
+        shared = placed.sparkSession.sparkContext.broadcast(self.places())
+
+        @F.pandas_udf("int")
+        def place(cell: pd.Series) -> pd.Series:
+            return pd.Series(shared.value[cell.to_numpy()])
+
+        held = placed.withColumn("__place", place("cell"))
+        return held.withColumn("cell", F.floor(F.col("__place") / width).cast("int")).withColumn("place", F.col("__place") % width).drop("__place")
+
+    def reach_shelves(self, df: DataFrame, limit: Column, home: Column, width: int) -> Column:
+        """:meth:`reach` by shelves of ``width`` cells: (cell, open) of each shelf, with a bit in ``open`` for each cell."""
+        shared = df.sparkSession.sparkContext.broadcast((self, self.places()))
+
+        @F.pandas_udf("cell array<int>, open array<bigint>")
+        def reach(vec: pd.Series, limit: pd.Series, home: pd.Series) -> pd.DataFrame:
+            tree, places = shared.value
+            points = matrix(vec)
+            rows, cells = tree._open(points, limit.to_numpy(dtype=float)) if len(points) else (np.zeros(0, int), np.zeros(0, int))
+            other = cells != home.to_numpy()[rows]
+            rows, place = rows[other], places[cells[other]]
+            order = np.lexsort((place, rows))
+            rows, shelf, bit = rows[order], place[order] // width, np.int64(1) << place[order] % width
+            first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (shelf[1:] != shelf[:-1]))) if len(rows) else np.zeros(0, int)
+            shelf, bits = shelf[first].astype(np.int32), np.bitwise_or.reduceat(bit, first) if len(first) else bit
+            ends = np.searchsorted(rows[first], np.arange(len(points) + 1))
+            cut = lambda x: pd.Series([x[a:b] for a, b in zip(ends, ends[1:])], dtype=object)
+            return pd.DataFrame({"cell": cut(shelf), "open": cut(bits)})
+
+        found = reach(F.col("vec"), limit.cast("double"), home.cast("int"))
+        return F.arrays_zip(found["cell"].alias("cell"), found["open"].alias("open"))
+
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, int(self.parent[i]), float(self.radius[i]), self.pivots[i].tolist(), self.block) for i in range(len(self.pivots))]
         spark.createDataFrame(rows, "node int, parent int, radius double, pivot array<double>, block int").coalesce(1).write.parquet(path)
@@ -321,11 +426,13 @@ def block_join(
 ) -> DataFrame:
     """Run ``work(query block, point block)`` for every block pair that shares a cell.
 
-    ``queries`` has (id, …, cells ARRAY), ``points`` has (id, …, cell). Both blocks hold about ``block``
-    rows at most, however many rows a cell has. ``few_cells`` says that the cells are pivots, whose
+    ``queries`` has (id, …, cells ARRAY), ``points`` has (id, …, cell). The array may hold structs of a ``cell`` and more
+    columns. Both blocks hold about ``block`` rows at most, however many rows a cell has. ``few_cells`` says that the cells are pivots, whose
     number is bounded; otherwise their sizes are looked up by a balanced join.
     """
     spread = queries.select(*[c for c in queries.columns if c != "cells"], F.explode("cells").alias("cell"))
+    if isinstance(spread.schema["cell"].dataType, T.StructType):
+        spread = spread.select(*spread.columns[:-1], "cell.*")
     p_sizes = points.select(col("cell").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("__p"))
     q_sizes = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("__q"))
     sizes = p_sizes.join(q_sizes, "cell").select(

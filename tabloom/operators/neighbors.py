@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import col
 from ..session import written
-from .blocks import Cells, block_join, chunks, distances, distinct_vectors, matrix, vector_array
+from .blocks import Cells, NearPairs, block_join, chunks, distances, distinct_vectors, matrix, vector_array
 from .isolation import flag_anomalies
 from .lookup import lookup_join
 
 _TINY = 1e-10
+# Pairs within the bounds that a block holds before the nearest are taken out and the bounds shrink.
+_HELD = 200_000
 
 
 def _best(k: int, same: bool, payload: tuple[str, ...]):
@@ -58,6 +60,52 @@ def _best(k: int, same: bool, payload: tuple[str, ...]):
     return work
 
 
+def _nearer(k: int, same: bool, payload: tuple[str, ...]):
+    """Block work: as :func:`_best`, among the points that lie within ``limit`` of a query in a cell it has ``open``."""
+
+    def work(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("place", kind="stable")
+        a, b = matrix(queries["vec"]), matrix(points["vec"])
+        qid, pid = queries["id"].to_numpy(), points["id"].to_numpy()
+        weight = points["weight"].to_numpy(dtype=np.int64)
+        opened, bound = queries["open"].to_numpy(dtype=np.int64), queries["limit"].to_numpy(dtype=float).copy()
+        pairs = NearPairs(a, b)
+
+        def nearest_of(row: np.ndarray, at: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, ...]:
+            """The nearest of each row until their weights reach k; ties go to the smaller id."""
+            w = weight[at] - (pid[at] == qid[row] if same else 0)
+            order = np.lexsort((pid[at], far, row))
+            order = order[w[order] > 0]
+            row, at, far, w = row[order], at[order], far[order], w[order]
+            upto = np.cumsum(w)
+            starts = np.searchsorted(row, row)
+            before = upto - w - (upto - w)[starts]
+            kept = before < k
+            full = (before + w >= k) & kept
+            bound[row[full]] = np.minimum(bound[row[full]], far[full])
+            return row[kept], at[kept], far[kept], w[kept]
+
+        found, held = [], 0
+        place = points["place"].to_numpy()
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        for start, end in zip(starts.tolist(), np.append(starts[1:], len(place)).tolist()):
+            asking = np.flatnonzero(opened >> np.int64(place[start]) & 1)
+            for more in pairs.within(asking, slice(start, end), bound):
+                found.append(more)
+                held += len(more[0])
+                if held > max(_HELD, 4 * k * len(a)):
+                    found = [nearest_of(*(np.concatenate(x) for x in zip(*found)))[:3]]
+                    held = len(found[0][0])
+        none = np.zeros(0, np.int64)
+        row, at, far, w = nearest_of(*(np.concatenate(x) for x in zip(*found))) if found else (none, none, none.astype(float), none)
+        out = pd.DataFrame({"id": qid[row], "pid": pid[at], "distance": far, "weight": w})
+        for name in payload:
+            out[name] = points[name].to_numpy()[at]
+        return out
+
+    return work
+
+
 def _merge(found: DataFrame, k: int) -> DataFrame:
     """The nearest of all blocks per query; ``weight`` becomes the copies that count towards k."""
     order = Window.partitionBy("id").orderBy("distance", "pid")
@@ -83,7 +131,7 @@ def nearest(
 
     ``queries`` has (id, vec). With ``same`` both sides are one set and a point is not its own neighbour,
     though its copies are. A first pass in the home cell bounds the distance; a second one visits only
-    the cells that can hold something nearer.
+    the cells that can hold something nearer. Neighbouring cells share a shelf, to which a query goes once.
     """
     types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     schema = ", ".join(
@@ -104,8 +152,10 @@ def nearest(
     bounded = at_home.join(bound, "id", "left").withColumn(
         "limit", F.when(F.col("have") >= k, F.col("limit")).otherwise(F.lit(float("inf")))
     )
-    beyond = bounded.select("id", "vec", cells.reach(bounded, F.col("limit"), F.col("home")).alias("cells"))
-    second = block_join(beyond, lean, cells.block, work, schema)
+    width, block = cells.shelves(queries.count(), placed.count(), placed.sparkSession.sparkContext.defaultParallelism)
+    open_shelves = cells.reach_shelves(bounded, F.col("limit"), F.col("home"), width)
+    beyond = written(bounded.select("id", "vec", "limit", open_shelves.alias("cells")), "beyond")
+    second = block_join(beyond, cells.shelved(lean, width), block, _nearer(k, same, payload), schema)
     return _merge(first.drop("rank").unionByName(second), k)
 
 
@@ -127,7 +177,7 @@ class NearestNeighborsModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``: the class with most votes, the smallest among equals."""
         asked = distinct_vectors(df, "features")
-        near = nearest(asked, self.cells, self.placed, self.k, payload=("labels", "counts"))
+        near = written(nearest(asked, self.cells, self.placed, self.k, payload=("labels", "counts")), "near")
         # Copies of one point vote with the mix of their classes.
         share = F.col("weight") / F.aggregate("counts", F.lit(0.0), lambda a, v: a + v)
         if self.weights == "distance":
