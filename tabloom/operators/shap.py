@@ -129,8 +129,8 @@ def _of_boosted(model: BoostedModel) -> Leaves:
     return Leaves.of(trees, n, np.array(model.base))
 
 
-def _of_spark(model, spark: SparkSession) -> Leaves:
-    """Trees of ``pyspark.ml``: their saved nodes, as many as the model on the driver has."""
+def saved_nodes(model, spark: SparkSession) -> dict[int, list]:
+    """The saved nodes of each tree of ``pyspark.ml``, as many as the model on the driver has."""
     path = scratch_path(spark, "trees")
     model.write().save(path)
     table = spark.read.parquet(f"{path}/data")
@@ -145,14 +145,19 @@ def _of_spark(model, spark: SparkSession) -> Leaves:
     ).orderBy("treeID", "id").collect()
     if any(r.categories > 0 for r in rows):
         raise ValueError("splits by sets of categories are not supported")
+    by_tree: dict[int, list] = {}
+    for r in rows:
+        by_tree.setdefault(r.treeID, []).append(r)
+    return by_tree
+
+
+def _of_spark(model, spark: SparkSession) -> Leaves:
+    by_tree = saved_nodes(model, spark)
     n_classes = getattr(model, "numClasses", 0)
     weights = getattr(model, "treeWeights", None)
     # The margin of boosted classes adds up predictions; forests average the shares of the classes.
     averaged = type(model).__name__.startswith("RandomForest")
     shares = bool(n_classes) and not type(model).__name__.startswith("GBT")
-    by_tree: dict[int, list] = {}
-    for r in rows:
-        by_tree.setdefault(r.treeID, []).append(r)
     trees = []
     for tree_id, nodes in by_tree.items():
         scale = 1.0 / len(by_tree) if averaged else weights[tree_id] if weights else 1.0

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, col, numeric_columns
+from ..operators.forest import forest_of
 from ..operators.metrics import classification_metrics, regression_metrics, silhouette, silhouette_verdict
 from ..operators.metrics import NOISE
 from ..operators.shap import mean_abs_shap
+from ..session import written
 from .heuristics import ProblemType
 from .training import Trained
 
@@ -87,34 +90,28 @@ def top_features(importance: DataFrame, k: int = 15) -> DataFrame:
 def permutation_importance(trained: Trained, repeats: int = 3, seed: int = 42) -> DataFrame:
     """How much the primary metric of the hold-out drops when a feature is shuffled.
 
-    The hold-out is dealt at random once. Each task then shuffles one feature within its own batches and
-    emits the changed rows, so all features and repeats are scored in a single pass.
+    The hold-out is dealt at random once. Each task then shuffles one feature within its own batches, so all features
+    and repeats are scored in a single pass. Forests predict inside the task, which hands out counts and sums only; for
+    other models the changed rows go through ``transform``.
     """
-    width = len(trained.names)
+    width, spark = len(trained.names), trained.valid.sparkSession
     is_class = trained.problem_type is ProblemType.CLASSIFICATION
     model = trained.best.model
     dealt = trained.valid.select("label", vector_to_array("features").alias("x")).repartition(F.rand(seed))
-
-    def shuffled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng(seed)
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            base = np.vstack(batch["x"].to_numpy())
-            for j in range(-1, width):
-                for r in range(repeats if j >= 0 else 1):
-                    changed = base.copy()
-                    if j >= 0:
-                        changed[:, j] = changed[rng.permutation(len(base)), j]
-                    yield pd.DataFrame(
-                        {"feature": j, "round": r, "label": batch["label"], "x": list(changed)}
-                    )
-
-    wide = dealt.mapInPandas(shuffled, "feature int, round int, label double, x array<double>")
-    scored = model.transform(wide.withColumn("features", array_to_vector("x")).drop("x"))
-    if is_class:
+    forest = forest_of(model, spark)
+    if forest is not None:
+        cells = dealt.mapInArrow(_shuffled_forest(spark.sparkContext.broadcast(forest), width, repeats, seed, is_class), _SHUFFLED)
+        cells = cells.groupBy("feature", "round", "label", "prediction").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"))
+    else:
+        wide = dealt.mapInPandas(_shuffled_rows(width, repeats, seed), "feature int, round int, label double, x array<double>")
+        scored = model.transform(wide.withColumn("features", array_to_vector("x")).drop("x"))
         cells = scored.groupBy("feature", "round", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-        metric = _grouped_f1(cells)
+    if is_class:
+        # Read twice: a small table spares a second pass.
+        metric = _grouped_f1(written(cells, "cells"))
+    elif forest is not None:
+        spread = trained.valid.agg(F.var_pop("label")).first()[0]
+        metric = cells.select("feature", "round", (F.lit(1.0) - F.try_divide(F.col("squares") / F.col("n"), F.lit(spread))).alias("metric"))
     else:
         y, p = F.col("label"), F.col("prediction")
         metric = scored.groupBy("feature", "round").agg(
@@ -127,7 +124,64 @@ def permutation_importance(trained: Trained, repeats: int = 3, seed: int = 42) -
         (name, float(np.mean([base - r.metric for r in rows if r.feature == j])))
         for j, name in enumerate(trained.names)
     ]
-    return trained.valid.sparkSession.createDataFrame(drops, IMPORTANCE_SCHEMA)
+    return spark.createDataFrame(drops, IMPORTANCE_SCHEMA)
+
+
+def _shuffles(base: np.ndarray, repeats: int, rng: np.random.Generator) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(feature, round, rows): the rows as they are, then with one feature after the other shuffled."""
+    for j in range(-1, base.shape[1]):
+        for r in range(repeats if j >= 0 else 1):
+            changed = base.copy()
+            if j >= 0:
+                changed[:, j] = changed[rng.permutation(len(base)), j]
+            yield j, r, changed
+
+
+def _shuffled_rows(width: int, repeats: int, seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng(seed)
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            base = np.vstack(batch["x"].to_numpy())
+            for j, r, changed in _shuffles(base, repeats, rng):
+                yield pd.DataFrame({"feature": j, "round": r, "label": batch["label"], "x": list(changed)})
+
+    return run
+
+
+_SHUFFLED = "feature int, round int, label double, prediction double, n bigint, squares double"
+
+
+def _shuffled_forest(shared, width: int, repeats: int, seed: int, is_class: bool):
+    """How many rows of a task have a label and a prediction; of numbers, the sum of the squared errors instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, rng = shared.value, np.random.default_rng(seed)
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            base = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            label = batch.column("label").to_numpy(zero_copy_only=False)
+            names, code = np.unique(label, return_inverse=True)
+            known = forest.leaves(base)
+            for j, r, changed in _shuffles(base, repeats, rng):
+                told = forest.predict(forest.leaves_without(changed, known, j))
+                if is_class:
+                    n = np.bincount(code * forest.n_classes + told.astype(np.int64), minlength=len(names) * forest.n_classes)
+                    found = [((j, r, float(names[i // forest.n_classes]), float(i % forest.n_classes)), (n[i], 0.0)) for i in np.flatnonzero(n)]
+                else:
+                    found = [((j, r, 0.0, 0.0), (len(label), ((label - told) ** 2).sum()))]
+                for key, more in found:
+                    total[key] = total.get(key, 0) + np.array(more, float)
+        if total:
+            keys, sums = zip(*total), np.array(list(total.values()))
+            columns = [*(np.array(x) for x in keys), sums[:, 0].astype(np.int64), sums[:, 1]]
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["feature", "round", "label", "prediction", "n", "squares"])
+
+    return run
 
 
 def _grouped_f1(cells: DataFrame) -> DataFrame:
